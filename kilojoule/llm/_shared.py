@@ -106,11 +106,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word (lower-cased A-Z, cut at ASCII white space), and where each row's words start."""
+def words(column: pa.Array, also: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word (lower-cased A-Z, cut at ASCII white space and the bytes in `also`), and where each row's start."""
     data, offsets = text_bytes(column)
     data = _LOWER[data]
     inside = ~_SPACE[data]
+    if also:
+        inside &= ~np.isin(np.arange(256), list(also))[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]

@@ -1,0 +1,35 @@
+"""The pipeline's stages over hard cases, and all of it over the smallest table."""
+
+import re
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tests.llm.test_operators import SF, cases, empty, hard_cases, plain_join, plain_secrets, texts_of  # noqa: F401
+
+
+def test_stages_keep_the_columns(spark, cases, empty):  # noqa: F811
+    for df in (cases, empty):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, SF)
+            assert out.columns == df.columns or stage is corpus_pipeline.bpe_stage, name
+            assert out.count() <= df.count()
+
+
+def test_one_document_of_each_group_stays(spark, cases):  # noqa: F811
+    kept = [d for d, _ in texts_of(corpus_pipeline.near_duplicate_stage(spark, cases, SF))]
+    want = {d for d, _, c in plain_join(texts_of(cases)) if d == c}
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
+def test_secrets_go(spark, cases):  # noqa: F811
+    out = texts_of(corpus_pipeline.secrets_stage(spark, cases, SF))
+    assert len(out) == len(hard_cases()) and not any(re.search("(?<![0-9])assign:", plain_secrets(t or "")) for _, t in out)
+    assert "[access]" in dict(out)[200] and dict(out)[13 if False else 9] == dict(texts_of(cases))[9]
+
+
+def test_run(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = corpus_pipeline.run(spark, SF)
+    assert 0 < out.count() < docs.count() and out.columns == ["doc_id", "n_tokens", "ids"]
+    assert out.where(F.size("ids") != F.col("n_tokens")).count() == 0
