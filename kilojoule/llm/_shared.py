@@ -40,7 +40,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def join_checked(large: DataFrame, small: DataFrame, on: str, how: str, rows_limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A join that broadcasts `small` only if it was counted to be within `rows_limit`, and shuffles otherwise."""
+    """A join that broadcasts `small`, ids or a few numbers a row, only if it was counted to be within `rows_limit`, and shuffles
+    otherwise."""
     few = small.limit(rows_limit + 1).count() <= rows_limit
     return large.join(F.broadcast(small) if few else small.hint("merge"), on, how)
 

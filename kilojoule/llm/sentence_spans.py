@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilojoule.llm._shared import cut, join_checked, key, mix, own_id, pieces, signed, spread
+from kilojoule.llm._shared import cut, key, mix, own_id, pieces, signed, spread
 
 #: Consecutive sentences in a span.
 RUN = 3
@@ -81,6 +81,6 @@ def sentence_span_dedup(documents: DataFrame, id_col: str = "doc_id", text_col:
     seen = spans.groupBy("span").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first")).where("n > 1")
     again = spans.join(seen.hint("merge"), "span").where("key <> first.key or at <> first.at")
     starts = cut(again.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("starts")))
-    out = join_checked(texts, starts, "key", "left", 100_000)
+    out = texts.join(starts.hint("merge"), "key", "left")
     out = out.mapInArrow(_without(run), "key long, n_sentences long, n_removed long, kept_sha256 string, removed array<int>, kept string")
     return out.select(own_id().alias("doc_id"), *out.columns[1:])

@@ -228,7 +228,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     wanted = cut(distinct.join(several.hint("merge"), "anchor").select("anchor", "key", "start", "windows", "size"))
     total = wanted.agg(size).first()[0] or 0
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("wanted"))
-    strings = cut(join_checked(texts, lists, "key", "inner", 100_000).mapInArrow(_slice(length), "anchor long, key long, start int, string binary"))
+    strings = cut(texts.join(lists.hint("merge"), "key").mapInArrow(_slice(length), "anchor long, key long, start int, string binary"))
     hot = cut(wanted.where(F.col("size") > BUCKET_BYTES).select("anchor").distinct())
     n_buckets = max(1, total // BUCKET_BYTES)
     cold = join_checked(strings, hot, "anchor", "left_anti")
@@ -250,5 +250,5 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
     texts = documents.select(key(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spans = repeated_spans(texts, length)
     spans = cut(spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")))
-    out = join_checked(texts, spans, "key", "left", 100_000).mapInArrow(_apply, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept binary")
+    out = texts.join(spans.hint("merge"), "key", "left").mapInArrow(_apply, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept binary")
     return out.select(own_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")
