@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from kilojoule.llm._shared import cut, join_checked, key, mix, own_id, pieces, signed, spread, words
 
 SHINGLE = 5
+#: Bytes of text that a task works on at once.
+PIECE = 3 << 19
 #: Members of a bucket beyond which its signature counts as costly.
 LARGE_BUCKET = 48
 #: Costly signatures of a set that may be left out, besides its empty segments.
@@ -146,14 +148,14 @@ def signatures(h: np.ndarray, at: np.ndarray, t: float) -> tuple[np.ndarray, np.
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches, "text"):
+    for b in pieces(batches, "text", PIECE):
         h, at = shingles(b.column("text"))
         yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(np.diff(at)), signed(_set_hash(h, at))], names=["key", "n", "h"])
 
 
 def _index(t: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", PIECE):
             h, at = shingles(b.column("text"))
             whole, ids = _set_hash(h, at), np.asarray(b.column("key"))
             # equal sets of a piece count once: the smallest id stands for them
@@ -165,28 +167,15 @@ def _index(t: float):
             who, sig = signatures(h[at[once][row] + place], sub, t)
             who = once[who]
             for k in range(0, len(who), 1 << 18):
-                yield pa.RecordBatch.from_arrays([signed(sig[k : k + (1 << 18)]), pa.array(ids[who[k : k + (1 << 18)]])], names=["sig", "key"])
+                yield pa.RecordBatch.from_arrays([signed(sig[k : k + (1 << 18)]), pa.array(ids[who[k : k + (1 << 18)]])], names=["sig", "id"])
 
     return run
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches, "text"):
+    for b in pieces(batches, "text", PIECE):
         h, at = shingles(b.column("text"))
-        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([h[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())], names=["key", "members"])
-
-
-def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("members_a"), b.column("members_b")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), signed(h))], names=["key", "members"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -208,13 +197,17 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids that link, by their whole sets."""
-    pairs = cut(pairs.distinct())
+def _linked(pairs: DataFrame, per_id: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of class ids that link, by their whole sets; sizes alone rule many out."""
+    size = lambda c: per_id.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"))
+    pairs = join_checked(join_checked(pairs.distinct(), size("a"), "a", "inner"), size("b"), "b", "inner")
+    pairs = cut(pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = cut(join_checked(texts, ends, "key", "left_semi").mapInArrow(_whole_sets, "key long, members binary"))
-    side = lambda n: sets.select(F.col("key").alias(n), F.col("members").alias(f"members_{n}"))
-    return cut(pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").mapInArrow(_verify(percent), "a long, b long"))
+    sets = cut(join_checked(texts, ends, "key", "left_semi").mapInArrow(_whole_sets, "key long, members array<long>"))
+    side = lambda c: sets.select(F.col("key").alias(c), F.col("members").alias(f"members_{c}"))
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    common, total = F.size(F.array_intersect("members_a", "members_b")), F.size("members_a") + F.size("members_b")
+    return cut(both.where((100 * common.cast("long") >= percent * (total - common)) & (common > 0)).select("a", "b"))
 
 
 def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -231,30 +224,27 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     sets = cut(texts.mapInArrow(_sets, "key long, n long, h long"))
     classes = sets.where("n > 0").groupBy("h", "n").agg(F.min("key").alias("rep"), F.count("*").alias("n_copies"))
     to_rep = cut(sets.where("n > 0").select("key", "h", "n").distinct().join(classes, ["h", "n"]).select("key", "rep", "n_copies", "n", "h"))
+    # of equal sets only the smallest id's is indexed
+    copies = to_rep.groupBy("key").agg(F.bool_or(F.col("key") == F.col("rep")).alias("stands")).where("not stands").select("key")
+    texts = join_checked(texts, copies, "key", "left_anti")
 
     by_sig = Window.partitionBy("sig")
-    found = texts.mapInArrow(_index(t), "sig long, key long").withColumn("head", F.min("key").over(by_sig)).withColumn("most", F.max("key").over(by_sig))
-    met = found.where("head <> most").select("sig", "key").distinct()
-    # members by their classes; copies of one set that met only each other need nothing
-    met = cut(met.join(to_rep.select("key", "rep"), "key").select("sig", F.col("rep").alias("id")).distinct())
-    buckets = met.withColumn("head", F.min("id").over(by_sig)).withColumn("size", F.count("*").over(by_sig)).where("size > 1")
-    buckets = cut(buckets)
-    edges = [_linked(buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")), texts, percent)]
-    comp = cut(components(edges[0]))
+    found = texts.mapInArrow(_index(t), "sig long, id long").withColumn("head", F.min("id").over(by_sig)).withColumn("most", F.max("id").over(by_sig))
+    buckets = cut(found.withColumn("size", F.count("*").over(by_sig).cast("int")).where("head <> most").select("sig", "id", "head", "size"))
+    per_id = cut(to_rep.where("key = rep").groupBy(F.col("rep").alias("id")).agg(F.min("n").alias("n")))
+    edges = [_linked(buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")), per_id, texts, percent)]
+    comp = components(edges[0])
 
     # what is still apart: small buckets for all, large ones for sets that have more of them than the slack
-    large = buckets.groupBy("id").agg(F.count_if(F.col("size") > LARGE_BUCKET).alias("n_large"))
-    apart = buckets.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    met = buckets.groupBy("id").agg(F.count_if(F.col("size") > LARGE_BUCKET).alias("n_large"))
+    state = cut(met.join(per_id, "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "n_large", "n", F.coalesce("component", "id").alias("component")))
+    apart = join_checked(buckets.select("sig", "id", "size"), state, "id", "inner")
     apart = apart.withColumn("low", F.min("component").over(by_sig)).withColumn("high", F.max("component").over(by_sig)).where("low <> high")
-    sizes = to_rep.where("key = rep").select(F.col("rep").alias("id"), "n").groupBy("id").agg(F.min("n").alias("n"))
-    kept = apart.join(large.join(sizes, "id"), "id").where((F.col("size") <= LARGE_BUCKET) | (F.col("n_large") > SLACK) | (F.col("n") <= NO_SLACK)).select("sig", "id", "component")
-    kept = cut(kept)
+    kept = cut(apart.where((F.col("size") <= LARGE_BUCKET) | (F.col("n_large") > SLACK) | (F.col("n") <= NO_SLACK)).select("sig", "id", "component"))
     left = kept.select("sig", F.col("id").alias("a"), F.col("component").alias("ca"))
     right = kept.select("sig", F.col("id").alias("b"), F.col("component").alias("cb"))
-    rest = left.join(right.hint("merge"), "sig").where("a < b and ca <> cb").select("a", "b").distinct()
-    rest = rest.join(to_rep.where("key = rep").select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(to_rep.where("key = rep").select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-    rest = rest.where((100 * F.least("na", "nb")) >= percent * F.greatest("na", "nb")).select("a", "b").join(edges[0].select("a", "b"), ["a", "b"], "left_anti")
-    edges.append(_linked(rest, texts, percent))
+    rest = left.join(right.hint("merge"), "sig").where("a < b and ca <> cb").select("a", "b")
+    edges.append(_linked(rest, per_id, texts, percent))
     comp = components(reduce(DataFrame.union, edges))
 
     reached = to_rep.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
