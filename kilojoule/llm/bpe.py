@@ -9,6 +9,7 @@ what is encoded doesn't depend on it.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import tempfile
@@ -26,8 +27,12 @@ from kilojoule.llm._shared import key, own_id, pieces
 
 #: Frequent words that the lexicon holds at most; it is read by every task, so this bounds its size (some megabytes).
 LEXICON_WORDS = 32_768
-#: Encoded white-space-free chunks that a task remembers before it starts afresh.
-REMEMBER = 200_000
+#: Encoded white-space-free chunks that a task remembers; later ones are worked out again in each piece of texts.
+REMEMBER = 100_000
+#: Bytes beyond which a word is merged by itself.
+LONG = 64
+#: The rank of a pair that is never merged.
+NEVER = 1 << 30
 
 # White space as the vocabulary's normalizer takes it, without U+001C to U+001F, which Python adds.
 _SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -102,17 +107,30 @@ class Transducer:
             setattr(self, name, whole[at : at + int(n)])
             at += int(n)
 
-    def ids_of(self, word: bytes) -> list[int] | None:
-        """The ids of a word of the lexicon, else None."""
-        state = number = 0
-        for b in word:
-            low, high = int(self.first[state]), int(self.first[state + 1])
-            k = low + int(np.searchsorted(self.byte[low:high], b))
-            if k == high or self.byte[k] != b:
-                return None
-            number += int(self.skip[k])
-            state = int(self.target[k])
-        return self.ids[self.id_at[number] : self.id_at[number + 1]].tolist() if self.final[state] else None
+        self.state = np.repeat(np.arange(len(self.final)), np.diff(self.first))
+
+    def find(self, words: list[bytes]) -> list[list[int] | None]:
+        """The ids of each word of the lexicon, None for others: all words take a transition at a time."""
+        if not words:
+            return []
+        sizes = np.array([len(w) for w in words])
+        text = np.frombuffer(b"".join(words), np.uint8)
+        begin = np.cumsum(sizes) - sizes
+        arcs = self.state.astype(np.int64) << 8 | self.byte
+        at, number, alive = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.arange(len(words))
+        for k in range(int(sizes.max())):
+            if not len(arcs):
+                at[:] = -1
+                break
+            alive = alive[(sizes[alive] > k) & (at[alive] >= 0)]
+            asked = at[alive] << 8 | text[begin[alive] + k]
+            arc = np.minimum(np.searchsorted(arcs, asked), len(arcs) - 1)
+            ok = arcs[arc] == asked
+            at[alive] = np.where(ok, self.target[arc], -1)
+            number[alive] += np.where(ok, self.skip[arc], 0)
+        ends = (at >= 0) & (self.final[np.maximum(at, 0)] > 0)
+        low, high = self.id_at[np.where(ends, number, 0)], self.id_at[np.where(ends, number + 1, 0)]
+        return [self.ids[a:z].tolist() if e else None for e, a, z in zip(ends, low, high)]
 
 
 class Codec:
@@ -124,12 +142,19 @@ class Codec:
         model = spec["model"]
         self.vocab = model["vocab"]
         self.end = model["end_of_word_suffix"]
-        self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        vocab, chars = self.vocab, _byte_chars()
+        pairs = np.array([vocab[a] << 20 | vocab[b] for a, b in merges], np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.rank_of = pairs[order], order.astype(np.int32)
+        self.made = np.array([vocab[a + b] for a, b in merges], np.int32)
+        self.first_ids = np.array([vocab[c] for c in chars], np.int32)
+        self.last_ids = np.array([vocab[c + self.end] for c in chars], np.int32)
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.added.items()]}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", _SPACE))
-        self.chars = _byte_chars()
+        self.names = {i: str(i) for i in self.tokens}
         self.lexicon = Transducer(lexicon) if lexicon else None
         self.cache: dict[str, tuple[int, str, str]] = {}
 
@@ -140,49 +165,116 @@ class Codec:
     def chunks(self, text: str) -> list[str]:
         return [x for x in _SPACES.split(text) if x] if _ODD.search(text) else text.split()
 
-    def merge(self, word: str) -> list[int]:
-        parts = [self.chars[b] for b in word.encode()]
-        parts[-1] += self.end
-        while len(parts) > 1:
-            rank, k = min((self.ranks.get(pair, 1 << 30), k) for k, pair in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 30:
-                break
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return [self.vocab[p] for p in parts if p in self.vocab]
-
-    def ids_of_chunk(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        for word in self.word.findall(chunk):
-            ids = self.lexicon.ids_of(word.encode()) if self.lexicon else None
-            out += self.merge(word) if ids is None else ids
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word, by merging its pairs in order of rank, the leftmost first: many words of like sizes a step."""
+        out: list[list[int]] = [[] for _ in words]
+        order = sorted((i for i, w in enumerate(words) if 0 < len(w) <= LONG), key=lambda i: len(words[i]))
+        for k in range(0, len(order), 20_000):
+            self._merge_rows([words[i] for i in order[k : k + 20_000]], order[k : k + 20_000], out)
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = self._merge_long(w)
         return out
 
-    def _known(self, chunk: str) -> tuple[int, str, str]:
-        got = self.cache.get(chunk)
-        if got is None:
-            ids = self.ids_of_chunk(chunk)
-            got = len(ids), " ".join(map(str, ids)), self.decode(ids)
-            if len(self.cache) >= REMEMBER:
-                self.cache.clear()
-            self.cache[chunk] = got
-        return got
-
-    def parts(self, text: str) -> list[tuple[int, str, str]]:
-        """(number of ids, ids, decoded) of the text, chunk by chunk; a chunk without ids is left out."""
-        if "<|" not in text or not self.special.search(text):
-            return [x for x in map(self._known, self.chunks(self.normal(text))) if x[0]]
-        out, at = [], 0
-        for m in self.special.finditer(text):
-            out += self.parts_of_plain(text[at : m.start()])
-            out.append((1, str(self.added[m[0]]), m[0]))
-            at = m.end()
-        return out + self.parts_of_plain(text[at:])
-
-    def parts_of_plain(self, text: str) -> list[tuple[int, str, str]]:
-        return [x for x in map(self._known, self.chunks(self.normal(text))) if x[0]]
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = a.astype(np.int64) << 20 | b
+        k = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where((self.pairs[k] == pair) & (a >= 0) & (b >= 0), self.rank_of[k], NEVER)
+
+    def _merge_rows(self, words: list[bytes], where: list[int], out: list[list[int]]) -> None:
+        sizes = np.array([len(w) for w in words])
+        width = int(sizes.max())
+        inside = np.arange(width + 1) < sizes[:, None]
+        sym = np.full((len(words), width + 1), -1, np.int32)
+        sym[inside] = self.first_ids[np.frombuffer(b"".join(words), np.uint8)]
+        rows = np.arange(len(words))
+        sym[rows, sizes - 1] = self.last_ids[[w[-1] for w in words]]
+        rank = self._ranks(sym[:, :-1], sym[:, 1:]).astype(np.int32)
+        place = np.arange(width + 1)
+        left = rows
+        while len(left):
+            k = rank.argmin(1)
+            best = rank[np.arange(len(left)), k]
+            go = best < NEVER
+            if not go.all():
+                for i in np.flatnonzero(~go):
+                    out[where[left[i]]] = sym[i][sym[i] >= 0].tolist()
+                left, k, best, sym, rank = left[go], k[go], best[go], sym[go], rank[go]
+                if not len(left):
+                    break
+            n = np.arange(len(left))
+            shift = np.minimum(place + (place > k[:, None]), width)
+            sym[:, :] = np.take_along_axis(sym, shift, 1)
+            sym[:, width] = -1
+            sym[n, k] = self.made[best]
+            rank[:, :] = np.take_along_axis(rank, np.minimum(shift[:, :-1], width - 1), 1)
+            rank[:, width - 1] = NEVER
+            rank[n, k] = self._ranks(sym[n, k], sym[n, np.minimum(k + 1, width)])
+            prev = np.maximum(k - 1, 0)
+            rank[n, prev] = np.where(k > 0, self._ranks(sym[n, prev], sym[n, k]), rank[n, prev])
+
+    def _merge_long(self, word: bytes) -> list[int]:
+        """One long word: the pairs in a heap, their symbols in a linked list."""
+        sym = self.first_ids[np.frombuffer(word, np.uint8)].tolist()
+        sym[-1] = int(self.last_ids[word[-1]])
+        n = len(sym)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        rank = {p: (int(r), int(self.made[r])) for p, r in zip(self.pairs.tolist(), self.rank_of.tolist())}
+        heap = [(rank[p][0], i, p) for i in range(n - 1) if (p := sym[i] << 20 | sym[i + 1]) in rank]
+        heapq.heapify(heap)
+        while heap:
+            _, i, pair = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] < 0 or j < 0 or sym[i] << 20 | sym[j] != pair:
+                continue
+            sym[i], sym[j] = rank[pair][1], -1
+            after[i] = after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b >= 0 and (p := sym[a] << 20 | sym[b]) in rank:
+                    heapq.heappush(heap, (rank[p][0], a, p))
+        return [s for s in sym if s >= 0]
+
+    def learn(self, chunks: Iterable[str]) -> dict[str, tuple[int, str, str]]:
+        """(number of ids, ids, decoded) of chunks."""
+        chunks = list(chunks)
+        split = [self.word.findall(c) for c in chunks]
+        words = list({w for x in split for w in x})
+        raw = [w.encode() for w in words]
+        ids = self.lexicon.find(raw) if self.lexicon else [None] * len(words)
+        rest = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(rest, self.merge([raw[i] for i in rest])):
+            ids[i] = x
+        names, tokens = self.names, self.tokens
+        known = {w: (len(x), " ".join([names[i] for i in x]), " ".join([tokens[i] for i in x])) for w, x in zip(words, ids)}
+        out = {}
+        for c, x in zip(chunks, split):
+            got = [known[w] for w in x]
+            out[c] = got[0] if len(got) == 1 else (sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got]))
+        return out
+
+    def parts(self, texts: list[str]) -> list[list[tuple[int, str, str]]]:
+        """For each text (number of ids, ids, decoded), chunk by chunk; a chunk without ids is left out."""
+        pieces_: list[list[list[str] | tuple[int, str, str]]] = []
+        for text in texts:
+            if "<|" in text and self.special.search(text):
+                own, at = [], 0
+                for m in self.special.finditer(text):
+                    own += [self.chunks(self.normal(text[at : m.start()])), (1, str(self.added[m[0]]), m[0])]
+                    at = m.end()
+                pieces_.append([*own, self.chunks(self.normal(text[at:]))])
+            else:
+                pieces_.append([self.chunks(self.normal(text))])
+        cache = self.cache
+        new = self.learn({c for own in pieces_ for x in own if isinstance(x, list) for c in x if c not in cache})
+        room = max(REMEMBER - len(cache), 0)
+        cache.update(list(new.items())[:room])
+        get = lambda c: new.get(c) or cache[c]
+        return [[p for x in own for p in ([x] if isinstance(x, tuple) else map(get, x)) if p[0]] for own in pieces_]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.parts(text) for i in ids.split()]
+        return [int(i) for _, ids, _ in self.parts([text])[0] for i in ids.split()]
 
     def decode(self, ids: Iterable[int]) -> str:
         """As a vocabulary without a decoder is decoded: the tokens joined by one space."""
@@ -210,14 +302,15 @@ def compile_lexicon(texts: DataFrame, path: str, size: int = LEXICON_WORDS) -> b
     counts = texts.mapInArrow(_count(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     frequent = counts.orderBy(F.desc("n"), "word").limit(size).collect()
     codec = Codec(path)
-    return Transducer.compile({r["word"].encode(): codec.merge(r["word"]) for r in frequent})
+    words = [r["word"].encode() for r in frequent]
+    return Transducer.compile(dict(zip(words, codec.merge(words))))
 
 
 def _encode(path: str, lexicon, digest_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path, lexicon.value)
         for b in pieces(batches, "text"):
-            rows = [codec.parts(t.as_py() or "") for t in b.column("text")]
+            rows = codec.parts([t.as_py() or "" for t in b.column("text")])
             n = pa.array([sum(p[0] for p in x) for x in rows], pa.int64())
             ids = [" ".join(p[1] for p in x) for x in rows]
             decoded = [" ".join(p[2] for p in x) for x in rows]
