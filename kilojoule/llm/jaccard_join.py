@@ -240,10 +240,12 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     state = cut(met.join(per_id, "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "n_large", "n", F.coalesce("component", "id").alias("component")))
     apart = join_checked(buckets.select("sig", "id", "size"), state, "id", "inner")
     apart = apart.withColumn("low", F.min("component").over(by_sig)).withColumn("high", F.max("component").over(by_sig)).where("low <> high")
-    kept = cut(apart.where((F.col("size") <= LARGE_BUCKET) | (F.col("n_large") > SLACK) | (F.col("n") <= NO_SLACK)).select("sig", "id", "component"))
-    left = kept.select("sig", F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = kept.select("sig", F.col("id").alias("b"), F.col("component").alias("cb"))
-    rest = left.join(right.hint("merge"), "sig").where("a < b and ca <> cb").select("a", "b")
+    kept = cut(apart.where((F.col("size") <= LARGE_BUCKET) | (F.col("n_large") > SLACK) | (F.col("n") <= NO_SLACK)).select("sig", "id", "component", "n", "n_large"))
+    side = lambda c: kept.select("sig", *[F.col(x).alias(c + x) for x in kept.columns[1:]])
+    rest = side("a").join(side("b").hint("merge"), "sig").where(f"aid < bid and acomponent <> bcomponent and 100 * least(an, bn) >= {percent} * greatest(an, bn)")
+    # two sets that link agree on more segments than the slack; those in left-out buckets are among the large ones of both
+    rest = rest.groupBy(F.col("aid").alias("a"), F.col("bid").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("an_large", "bn_large")).alias("large"), F.min(F.greatest("an", "bn")).alias("size"))
+    rest = rest.where(f"shared + large > {SLACK} or size <= {NO_SLACK}").select("a", "b")
     edges.append(_linked(rest, per_id, texts, percent))
     comp = components(reduce(DataFrame.union, edges))
 
