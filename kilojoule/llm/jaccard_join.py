@@ -5,8 +5,8 @@ of shingles into segments: among any H+1 segments, two sets that differ in at mo
 therefore indexes its first H+1+slack segment subsets under a scheme of its size band, and sets that meet in no bucket can't link.
 
 Costs are allocated per segment. A segment that is empty in a set, or whose bucket is large, costs most and says least, so a set
-leaves those out; `slack` segments more than H+1 pay for it, and a set that would leave out more than the slack keeps them all, so
-that no link is lost. Small sets, where one member makes up a whole segment, take one segment and its one-deletion neighbourhood
+leaves those out; `slack` segments more than H+1 pay for it. A set that would leave out more than the slack keeps its empty segments,
+and if its buckets are large is joined by its rarest shingles instead, so that no link is lost. Small sets, where one member makes up a whole segment, take one segment and its one-deletion neighbourhood
 where that is cheaper than H+1 small segments.
 
 Buckets never make all their pairs. Their members are first verified against the bucket's smallest one, then only members of
@@ -210,6 +210,22 @@ def _linked(pairs: DataFrame, per_id: DataFrame, texts: DataFrame, percent: int)
     return cut(both.where((100 * common.cast("long") >= percent * (total - common)) & (common > 0)).select("a", "b"))
 
 
+def _by_rare_members(texts: DataFrame, state: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that may link, for sets that mostly consist of what many sets share.
+
+    Two sets that link share one of each one's rarest members, as many as it may lack of the other and one more.
+    """
+    members = texts.mapInArrow(_whole_sets, "key long, members array<long>").select(F.col("key").alias("id"), F.size("members").alias("n"), F.explode("members").alias("member"))
+    members = cut(members)
+    often = members.groupBy("member").agg(F.count("*").alias("often"))
+    rare = members.join(often, "member").withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("often", "member")))
+    rare = rare.where((F.col("nth") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - F.lit(1e-9)) + 1) & (F.col("often") > 1)).select("member", "id", "n")
+    rare = cut(join_checked(rare, state.select("id", "component"), "id", "inner"))
+    side = lambda c: rare.select("member", *[F.col(x).alias(c + x) for x in ("id", "n", "component")])
+    pairs = side("a").join(side("b").hint("merge"), "member").where(f"aid < bid and acomponent <> bcomponent and 100 * least(an, bn) >= {percent} * greatest(an, bn)")
+    return pairs.select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct()
+
+
 def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_copies): the near-duplicate group of every document.
 
@@ -235,17 +251,19 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     edges = [_linked(buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")), per_id, texts, percent)]
     comp = components(edges[0])
 
-    # what is still apart: small buckets for all, large ones for sets that have more of them than the slack
+    # what is still apart: pairs in small buckets, and sets with more large buckets than the slack
     met = buckets.groupBy("id").agg(F.count_if(F.col("size") > LARGE_BUCKET).alias("n_large"))
     state = cut(met.join(per_id, "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "n_large", "n", F.coalesce("component", "id").alias("component")))
     apart = join_checked(buckets.select("sig", "id", "size"), state, "id", "inner")
-    apart = apart.withColumn("low", F.min("component").over(by_sig)).withColumn("high", F.max("component").over(by_sig)).where("low <> high")
-    kept = cut(apart.where((F.col("size") <= LARGE_BUCKET) | (F.col("n_large") > SLACK) | (F.col("n") <= NO_SLACK)).select("sig", "id", "component", "n", "n_large"))
-    side = lambda c: kept.select("sig", *[F.col(x).alias(c + x) for x in kept.columns[1:]])
+    apart = cut(apart.withColumn("low", F.min("component").over(by_sig)).withColumn("high", F.max("component").over(by_sig)).where("low <> high").drop("low", "high"))
+    kept = apart.where(F.col("size") <= LARGE_BUCKET)
+    costly = apart.where((F.col("size") > LARGE_BUCKET) & ((F.col("n_large") > SLACK) | (F.col("n") <= NO_SLACK))).select(F.col("id").alias("key")).distinct()
+    side = lambda c: kept.select("sig", *[F.col(x).alias(c + x) for x in ("id", "component", "n", "n_large")])
     rest = side("a").join(side("b").hint("merge"), "sig").where(f"aid < bid and acomponent <> bcomponent and 100 * least(an, bn) >= {percent} * greatest(an, bn)")
     # two sets that link agree on more segments than the slack; those in left-out buckets are among the large ones of both
     rest = rest.groupBy(F.col("aid").alias("a"), F.col("bid").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("an_large", "bn_large")).alias("large"), F.min(F.greatest("an", "bn")).alias("size"))
     rest = rest.where(f"shared + large > {SLACK} or size <= {NO_SLACK}").select("a", "b")
+    rest = rest.union(_by_rare_members(join_checked(texts, costly, "key", "left_semi"), state, percent))
     edges.append(_linked(rest, per_id, texts, percent))
     comp = components(reduce(DataFrame.union, edges))
 

@@ -104,6 +104,15 @@ def test_join(cases, small, empty):
     assert got(jaccard_join.jaccard_join(empty)) == []
 
 
+def test_join_of_sets_in_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LARGE_BUCKET", 3)
+    rng, line = random.Random(6), " ".join(f"c{i}" for i in range(60))
+    rows = [(i, line + " " + " ".join(f"d{i // 2}x{j}" for j in range(rng.choice([3, 8, 20, 60]))) + (" end" if i % 2 else "")) for i in range(80)]
+    rows += [(100 + i, " ".join(f"c{k}" for k in range(i % 9, i % 9 + 9)) + f" t{i // 3}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert order(got(jaccard_join.jaccard_join(df).select("doc_id", "n_shingles", "component_id"))) == order(plain_join(rows))
+
+
 def test_join_links_at_the_threshold(spark):
     """Random pairs of sets around the threshold, of many sizes; a chain; a group whose members meet only in large buckets."""
     rng, rows = random.Random(3), []
