@@ -77,7 +77,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS BIGINT[]) WHEN len(w) < 5 THEN [CAST(hash(array_to_string(w, ' ')) % 4611686018427387904 AS BIGINT)]
-              ELSE list_transform(range(1, len(w) - 3), i -> CAST(hash(array_to_string(w[i:i + 4], ' ')) % 4611686018427387904 AS BIGINT)) END) AS h FROM w),
+              ELSE list_transform(range(1, len(w) - 3), lambda i: CAST(hash(array_to_string(w[i:i + 4], ' ')) % 4611686018427387904 AS BIGINT)) END) AS h FROM w),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
         g AS (SELECT doc_id, n, list_sort(list(h)) AS hs FROM s JOIN n USING (doc_id) GROUP BY 1, 2),
         c AS (SELECT *, min(doc_id) OVER (PARTITION BY hs) AS rep, count(*) OVER (PARTITION BY hs) AS n_copies FROM g),
