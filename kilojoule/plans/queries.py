@@ -1,2 +1,217 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""The engine's queries over the test tables, and the DuckDB SQL that gives the same rows.
+
+The tables hold no rides, so views stand in for them: a user's events in order are a ride's seconds, hours are ticks to resample,
+orders are daily loads and sessions, line items are workout steps. Doubles come out as whole thousandths.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kilojoule.functions import metrics as fn
+from kilojoule.operators import metrics as m
+from kilojoule.operators.resample import ResampleConfig, resample
+
+ATHLETE = m.Athlete(ftp=1000.0, weight_kg=72.0, lthr=150.0, max_hr=190.0, resting_hr=50.0, cp=1000.0, w_prime=20_000.0)
+DURATIONS = [d for d in fn.STANDARD_DURATIONS if d <= 45]
+
+
+def milli(c: Column | str) -> Column:
+    """Thousandths, rounded half up."""
+    return F.floor((F.col(c) if isinstance(c, str) else c) * 1000 + 0.5).cast("long")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("user_id").alias("activity_id"), (F.row_number().over(w) - 1).alias("idx"), F.floor(F.col("value") * 5).cast("int").alias("power"),
+        (90 + F.get_json_object("props", "$.k").cast("int")).alias("heart_rate"), F.when(F.col("event_type") == "view", 0.0).otherwise(8.0).alias("speed"),
+    )
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    none = F.lit(None).cast("double")
+    return e.select(
+        F.col("user_id").alias("activity_id"), F.row_number().over(w).alias("seq"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000).cast("long").alias("ts"),
+        F.when(F.col("event_type") != "error", F.floor(F.col("value") * 6).cast("int")).alias("power"), (90 + F.get_json_object("props", "$.k").cast("int")).alias("heart_rate"),
+        F.lit(None).cast("int").alias("cadence"), none.alias("speed"), none.alias("altitude"), none.alias("distance"),
+    )
+
+
+def activity_power(spark, d):
+    p = m.power_summary(rides(spark, d), ATHLETE.ftp)
+    return p.select("activity_id", "seconds", "moving_seconds", "max_power", *[milli(c).alias(c) for c in ("avg_power", "work_kj", "np", "intensity", "vi", "tss")])
+
+
+def activity_heart_rate(spark, d):
+    h = m.heart_rate_summary(rides(spark, d), ATHLETE)
+    return h.select("activity_id", "max_hr", *[milli(c).alias(c) for c in ("avg_hr", "hr_tss", "decoupling")])
+
+
+def activity_zones(spark, d):
+    z = m.zones_of_activity(rides(spark, d), ATHLETE)
+    names = [("power_zones", i) for i in range(7)] + [("hr_zones", i) for i in range(7)]
+    return z.select("activity_id", *[F.col(n)[i].alias(f"{n[:2]}_z{i + 1}") for n, i in names])
+
+
+def activity_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: power, heart rate, zones and least W' balance of every ride."""
+    r = rides(spark, d)
+    parts = [m.power_summary(r, ATHLETE.ftp), m.heart_rate_summary(r, ATHLETE), m.zones_of_activity(r, ATHLETE), m.least_balance(m.w_prime_balance(r, ATHLETE.cp, ATHLETE.w_prime)).withColumnRenamed("balance", "least_balance").withColumnRenamed("idx", "least_at")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "activity_id")
+    return out.select("activity_id", "seconds", "max_power", "max_hr", "least_at", *[milli(c).alias(c) for c in ("np", "intensity", "tss", "work_kj", "hr_tss", "decoupling", "least_balance")], (milli("np") * 1000 / milli("avg_hr")).cast("long").alias("ef"), F.col("power_zones")[6].alias("po_z7"))
+
+
+def resample_series(spark, d):
+    s, _ = resample(ticks(spark, d), cfg=ResampleConfig(max_power=1000))
+    return s.select("activity_id", "idx", "elapsed", "power", "power_dropout", "heart_rate", "state", "segment", "segment_start")
+
+
+def resample_report(spark, d):
+    return resample(ticks(spark, d), cfg=ResampleConfig(max_power=1000))[1].drop("timer_paused_records")
+
+
+def mean_max(spark, d):
+    return m.mean_max_at(rides(spark, d), DURATIONS)
+
+
+def full_power_curve(spark, d):
+    return m.envelope(m.power_curve(rides(spark, d))).select("activity_id", "duration_s", "best_sum", milli("envelope").alias("envelope"))
+
+
+def season_best(spark, d):
+    c = m.mean_max_at(rides(spark, d), DURATIONS)
+    return m.season_curve(c.withColumn("athlete_id", F.col("activity_id") % 10).withColumn("added", F.col("activity_id")), "athlete_id")
+
+
+def w_balance(spark, d):
+    b = m.w_prime_balance(rides(spark, d), ATHLETE.cp, ATHLETE.w_prime)
+    return m.least_balance(b).select("activity_id", F.col("idx").alias("least_at"), milli("balance").alias("least_balance"))
+
+
+def loads(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    return o.select("c_nationkey", F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("day"), (F.floor(F.col("o_totalprice") * 100) / 1000000).alias("load"))
+
+
+def daily_load(spark, d):
+    return m.daily_loads(loads(spark, d), "c_nationkey").select("c_nationkey", "day", milli("load").alias("load"))
+
+
+def fitness(spark, d):
+    daily = m.daily_loads(loads(spark, d), "c_nationkey")
+    today, before = m.training_load(daily, "c_nationkey"), m.training_load(daily, "c_nationkey", m.LoadConfig(exponential=False, tsb_of_yesterday=True))
+    both = today.select("c_nationkey", "day", *[milli(c).alias(c) for c in ("ctl", "atl", "tsb")]).join(before.select("c_nationkey", "day", milli("tsb").alias("tsb_yesterday")), ["c_nationkey", "day"])
+    return both
+
+
+def critical_power(spark, d):
+    p = m.mean_max_at(rides(spark, d), range(3, 46, 3)).select("activity_id", F.col("duration_s").cast("double").alias("t"), (F.col("best_sum") / F.col("duration_s")).alias("p"))
+    return m.fit_2p(p, "activity_id").select("activity_id", "n", *[milli(c).alias(c) for c in ("cp", "w_prime", "r2", "rmse")])
+
+
+def eftp(spark, d):
+    p = m.mean_max_at(rides(spark, d), range(3, 46, 3)).select("activity_id", (F.col("duration_s") * 40).alias("t"), (F.col("best_sum") / F.col("duration_s")).alias("p"))
+    return m.estimate_ftp(p, "activity_id").select("activity_id", "duration_s", milli("eftp").alias("eftp"))
+
+
+def planned_load(spark, d):
+    line = table(spark, d, "lineitem").where("l_orderkey % 7 = 0")
+    steps = line.groupBy(F.col("l_orderkey").alias("activity_id"), F.col("l_linenumber").alias("seq")).agg((F.sum("l_quantity") * 10).cast("int").alias("duration_s"))
+    steps = steps.select("*", (40 + F.col("seq") * 12).cast("double").alias("from_pct"), (40 + F.col("seq") * 12 + F.col("duration_s") % 3 * 5).cast("double").alias("to_pct"))
+    return m.power_summary(m.workout_profile(steps, 250.0), 250.0).select("activity_id", "seconds", *[milli(c).alias(c) for c in ("avg_power", "np", "tss", "work_kj")])
+
+
+def sessions(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", (30 + k % 240).cast("double").alias("minutes"), ((50 + k % 55) / 100).alias("intensity"), (55 + k % 40).cast("double").alias("mass"), F.when(k % 3 == 0, (k % 2000).cast("double")).alias("planned"), (k % 14).cast("double").alias("gap"))
+
+
+def fuelling_rules(spark, d):
+    c = F.col
+    s = sessions(spark, d)
+    s = s.withColumn("work", fn.session_work_kj(c("planned"), c("minutes"), c("intensity"), F.lit(None).cast("double"), c("mass"))).withColumn("load", fn.session_load(c("work"), c("mass"), c("intensity")))
+    rate, hours = fn.recovery_hours(c("load"), c("gap"))
+    return s.select(
+        "o_orderkey", milli("work").alias("work"), milli("load").alias("load"), milli(fn.carbs_g_per_kg(c("load"))).alias("carbs"), milli(fn.protein_g_per_kg(c("load"))).alias("protein"), fn.load_band(c("load")).alias("band"),
+        milli(fn.pre_ride_hours(c("load"), c("gap"))).alias("pre_hours"), fn.in_ride_g_per_hour(c("minutes"), c("intensity")).alias("in_ride"), fn.mouth_rinse(c("minutes"), c("intensity")).alias("rinse"), milli(rate).alias("recovery_rate"), hours.cast("long").alias("recovery_hours"),
+    )
+
+
+def rounded_grams(spark, d):
+    line = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("idx")).agg((F.floor(F.sum("l_quantity") * 16) / 16).alias("grams"))
+    return m.round_grams(line, "plan_id").select("plan_id", "idx", "rounded")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (activity_summary, activity_power, activity_heart_rate, activity_zones, resample_series, resample_report, mean_max, full_power_curve, season_best, w_balance, daily_load, fitness, critical_power, eftp, planned_load, fuelling_rules, rounded_grams)
+}
+
+_RIDES = """rides AS (SELECT user_id AS activity_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, CAST(floor(value * 5) AS INTEGER) AS power,
+    90 + CAST(json_extract_string(props, '$.k') AS INTEGER) AS heart_rate, CASE WHEN event_type = 'view' THEN 0.0::DOUBLE ELSE 8.0::DOUBLE END AS speed FROM events)"""
+_MILLI = lambda e: f"CAST(floor(({e}) * 1000 + 0.5) AS BIGINT)"
+_POWER = """np AS (SELECT activity_id, count(*) AS seconds, count(*) FILTER (speed > 0.5) AS moving_seconds, avg(power) AS avg_power, max(power) AS max_power, sum(power) / 1000 AS work_kj,
+    sqrt(sqrt(avg(pow(s / 30, 4)) FILTER (n = 30))) AS np FROM (SELECT *, CAST(sum(power) OVER w AS DOUBLE) AS s, count(*) OVER w AS n FROM rides WINDOW w AS (PARTITION BY activity_id ORDER BY idx ROWS 29 PRECEDING)) GROUP BY 1)"""
+_TRIMP = lambda h: f"(least(greatest(({h} - 50.0) / 140.0, 0), 1) * 0.64 * exp(1.92 * least(greatest(({h} - 50.0) / 140.0, 0), 1)) / 60)"
+_HR = f"""hr AS (SELECT activity_id, avg(heart_rate) AS avg_hr, max(heart_rate) AS max_hr, sum({_TRIMP("heart_rate::DOUBLE")}) FILTER (speed > 0.5) / ({_TRIMP("150::DOUBLE")} * 3600) * 100 AS hr_tss,
+    sum(power) FILTER (idx < n // 2) / sum(heart_rate) FILTER (idx < n // 2) AS r1, sum(power) FILTER (idx >= n // 2) / sum(heart_rate) FILTER (idx >= n // 2) AS r2
+    FROM (SELECT *, count(*) OVER (PARTITION BY activity_id) AS n FROM rides) GROUP BY 1)"""
+_BALANCE = """steps AS (SELECT activity_id, idx, greatest(1000.0::DOUBLE - power, 0) / 20000 AS a, greatest(power - 1000.0::DOUBLE, 0) AS b FROM rides),
+    cum AS (SELECT activity_id, idx, b, sum(a) OVER (PARTITION BY activity_id ORDER BY idx) AS big FROM steps),
+    bal AS (SELECT activity_id, idx, 20000 - exp(-big) * sum(b * exp(big)) OVER (PARTITION BY activity_id ORDER BY idx) AS balance FROM cum),
+    low AS (SELECT activity_id, min(balance) AS least_balance, arg_min(idx, (balance, idx)) AS least_at FROM bal GROUP BY 1)"""
+_BEST = lambda ds: f"""d AS (SELECT unnest({ds}) AS duration_s), cum AS (SELECT activity_id, idx + 1 AS k, sum(power) OVER (PARTITION BY activity_id ORDER BY idx) AS total FROM rides UNION ALL SELECT DISTINCT activity_id, 0, 0 FROM rides),
+    best AS (SELECT a.activity_id, d.duration_s, CAST(max(b.total - a.total) AS BIGINT) AS best_sum FROM cum a, d, cum b WHERE a.activity_id = b.activity_id AND b.k = a.k + d.duration_s GROUP BY 1, 2)"""
+_ZONES = lambda c, ref, bounds: ", ".join(f"count(*) FILTER ({c} {'<= ' + str(b) + '::DOUBLE * ' + str(ref) if b else 'IS NOT NULL'}{' AND ' + c + ' > ' + str(a) + '::DOUBLE * ' + str(ref) if a else ''}) AS {('po' if c == 'power' else 'hr')}_z{i + 1}" for i, (a, b) in enumerate(zip((None, *bounds), (*bounds, None))))
+_LOADS = """l AS (SELECT c_nationkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day, sum(floor(o_totalprice * 100) / 1000000) AS load FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+    days AS (SELECT c_nationkey, unnest(range(min(day), max(day) + 1)) AS day FROM l GROUP BY 1), daily AS (SELECT c_nationkey, days.day, coalesce(load, 0) AS load FROM days LEFT JOIN l USING (c_nationkey, day))"""
+_TICKS = """t AS (SELECT user_id AS activity_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS ts, CASE WHEN event_type <> 'error' THEN CAST(floor(value * 6) AS INTEGER) END AS raw,
+      90 + CAST(json_extract_string(props, '$.k') AS INTEGER) AS heart_rate FROM events),
+    r AS (SELECT *, coalesce(raw > 1000, false) AS spike, CASE WHEN raw <= 1000 THEN raw END AS power, coalesce(ts < max(ts) OVER (PARTITION BY activity_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM t),
+    g AS (SELECT activity_id, ts, arg_max(power, seq) FILTER (power IS NOT NULL) AS power, arg_max(heart_rate, seq) AS heart_rate FROM r WHERE NOT late GROUP BY 1, 2),
+    p AS (SELECT *, lag(ts) OVER (PARTITION BY activity_id ORDER BY ts) AS prev FROM g),
+    b AS (SELECT *, prev IS NULL OR ts - prev > 31 AS brk FROM p),
+    s AS (SELECT *, sum(brk::INTEGER) OVER (PARTITION BY activity_id ORDER BY ts) - 1 AS segment FROM b),
+    f AS (SELECT activity_id, segment, ts, unnest(CASE WHEN brk THEN [ts] ELSE range(prev + 1, ts + 1) END) AS x, power, heart_rate FROM s),
+    q AS (SELECT activity_id, segment, x, x = ts AS recorded, CASE WHEN x = ts THEN power END AS power, CASE WHEN x = ts THEN heart_rate END AS heart_rate FROM f),
+    k AS (SELECT *, count(power) OVER w AS run, last_value(power IGNORE NULLS) OVER w AS pa, last_value(CASE WHEN power IS NOT NULL THEN x END IGNORE NULLS) OVER w AS xa, first_value(power IGNORE NULLS) OVER v AS pb, first_value(CASE WHEN power IS NOT NULL THEN x END IGNORE NULLS) OVER v AS xb,
+      last_value(heart_rate IGNORE NULLS) OVER w AS ha, last_value(CASE WHEN heart_rate IS NOT NULL THEN x END IGNORE NULLS) OVER w AS hxa, first_value(heart_rate IGNORE NULLS) OVER v AS hb, first_value(CASE WHEN heart_rate IS NOT NULL THEN x END IGNORE NULLS) OVER v AS hxb
+      FROM q WINDOW w AS (PARTITION BY activity_id, segment ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (PARTITION BY activity_id, segment ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    i AS (SELECT *, CASE WHEN power IS NOT NULL THEN power WHEN sum((recorded AND power IS NULL)::INTEGER) OVER (PARTITION BY activity_id, segment, run) > 8 THEN NULL
+      ELSE coalesce(pa + (pb - pa)::DOUBLE * (x - xa) / greatest(xb - xa, 1), pa, pb) END AS pv, coalesce(ha + (hb - ha)::DOUBLE * (x - hxa) / greatest(hxb - hxa, 1), ha, hb) AS hv FROM k),
+    o AS (SELECT *, CAST(floor(pv + 0.5) AS INTEGER) AS pw, CAST(floor(hv + 0.5) AS INTEGER) AS hw, row_number() OVER u - 1 AS idx, lag(x) OVER u AS before, lag(recorded) OVER u AS was, x - min(x) OVER (PARTITION BY activity_id) AS elapsed FROM i WINDOW u AS (PARTITION BY activity_id ORDER BY x))"""
+_W = "(CASE WHEN planned >= 0 THEN planned ELSE minutes * 60 * greatest(intensity, 0) * (mass * 3) / 1000 END)"
+_S = """s AS (SELECT o_orderkey, (30 + o_orderkey % 240)::DOUBLE AS minutes, (50 + o_orderkey % 55)::DOUBLE / 100 AS intensity, (55 + o_orderkey % 40)::DOUBLE AS mass, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 2000)::DOUBLE END AS planned, (o_orderkey % 14)::DOUBLE AS gap FROM orders)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "activity_power": f"WITH {_RIDES}, {_POWER} SELECT activity_id, seconds, moving_seconds, max_power, {_MILLI('avg_power')} AS avg_power, {_MILLI('work_kj')} AS work_kj, {_MILLI('np')} AS np, {_MILLI('np / 1000')} AS intensity, {_MILLI('np / avg_power')} AS vi, {_MILLI('moving_seconds * np * (np / 1000) / (1000.0::DOUBLE * 3600) * 100')} AS tss FROM np",
+    "activity_heart_rate": f"WITH {_RIDES}, {_HR} SELECT activity_id, max_hr, {_MILLI('avg_hr')} AS avg_hr, {_MILLI('hr_tss')} AS hr_tss, {_MILLI('(r1 - r2) / r1 * 100')} AS decoupling FROM hr",
+    "activity_zones": f"WITH {_RIDES} SELECT activity_id, {_ZONES('power', 1000, fn.POWER_ZONES)}, {_ZONES('heart_rate', 150, fn.HR_ZONES)} FROM rides GROUP BY 1",
+    "activity_summary": f"WITH {_RIDES}, {_POWER}, {_HR}, {_BALANCE} SELECT activity_id, seconds, max_power, max_hr, least_at, {_MILLI('np')} AS np, {_MILLI('np / 1000')} AS intensity, {_MILLI('moving_seconds * np * (np / 1000) / (1000.0::DOUBLE * 3600) * 100')} AS tss, {_MILLI('work_kj')} AS work_kj, {_MILLI('hr_tss')} AS hr_tss, {_MILLI('(r1 - r2) / r1 * 100')} AS decoupling, {_MILLI('least_balance')} AS least_balance, {_MILLI('np')} * 1000 // {_MILLI('avg_hr')} AS ef, (SELECT count(*) FROM rides x WHERE x.activity_id = np.activity_id AND x.power > 1.5::DOUBLE * 1000) AS po_z7 FROM np JOIN hr USING (activity_id) JOIN low USING (activity_id)",
+    "resample_series": f"WITH {_TICKS} SELECT activity_id, idx, elapsed, coalesce(pw, 0) AS power, pw IS NULL AS power_dropout, hw AS heart_rate, CASE WHEN recorded THEN 'recorded' ELSE 'filled' END AS state, segment, coalesce(x - before > 1, true) AS segment_start FROM o",
+    "resample_report": f"WITH {_TICKS}, c AS (SELECT activity_id, count(*) AS records, count(*) FILTER (late) AS out_of_order, count(*) FILTER (spike) AS power_spikes, count(*) FILTER (NOT late) AS kept FROM r GROUP BY 1), m AS (SELECT activity_id, count(*) FILTER (recorded) AS n, count(*) FILTER (NOT recorded AND was) AS gaps_filled, count(*) FILTER (NOT recorded) AS gap_seconds_filled, count(*) FILTER (x - before > 1) AS pauses, coalesce(sum(x - before - 1) FILTER (x - before > 1), 0)::BIGINT AS paused_seconds, count(*) FILTER (recorded AND power IS NULL AND pw IS NOT NULL) AS power_dropouts_repaired, CASE WHEN count(pw) > 0 THEN count(*) FILTER (pw IS NULL) ELSE 0 END AS power_dropout_seconds, count(*) FILTER (recorded AND heart_rate IS NULL AND hw IS NOT NULL) AS hr_dropouts_repaired FROM o GROUP BY 1) SELECT activity_id, records, kept - n AS duplicates, out_of_order, power_spikes, gaps_filled, gap_seconds_filled, pauses, paused_seconds, power_dropouts_repaired, power_dropout_seconds, hr_dropouts_repaired FROM c JOIN m USING (activity_id)",
+    "mean_max": f"WITH {_RIDES}, {_BEST(DURATIONS)} SELECT * FROM best",
+    "full_power_curve": f"WITH {_RIDES}, {_BEST('range(1, 200)')} SELECT *, {_MILLI('max(best_sum / duration_s) OVER (PARTITION BY activity_id ORDER BY duration_s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)')} AS envelope FROM best",
+    "season_best": f"WITH {_RIDES}, {_BEST(DURATIONS)} SELECT activity_id % 10 AS athlete_id, duration_s, max(best_sum) AS best_sum, arg_max(activity_id, (best_sum, -activity_id)) AS source FROM best GROUP BY 1, 2",
+    "w_balance": f"WITH {_RIDES}, {_BALANCE} SELECT activity_id, least_at, {_MILLI('least_balance')} AS least_balance FROM low",
+    "daily_load": f"WITH {_LOADS} SELECT c_nationkey, day, {_MILLI('load')} AS load FROM daily",
+    "fitness": f"WITH RECURSIVE {_LOADS}, n AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY day) AS k FROM daily), f AS (SELECT c_nationkey, 0::BIGINT AS k, 0::BIGINT AS day, 0.0::DOUBLE AS ctl, 0.0::DOUBLE AS atl, 0.0::DOUBLE AS c2, 0.0::DOUBLE AS a2, 0.0::DOUBLE AS y FROM n WHERE k = 1 UNION ALL SELECT n.c_nationkey, n.k, n.day, f.ctl + (n.load - f.ctl) * (1 - exp(-1 / 42.0::DOUBLE)), f.atl + (n.load - f.atl) * (1 - exp(-1 / 7.0::DOUBLE)), f.c2 + (n.load - f.c2) * (1 / 42.0::DOUBLE), f.a2 + (n.load - f.a2) * (1 / 7.0::DOUBLE), f.c2 - f.a2 FROM f JOIN n ON n.c_nationkey = f.c_nationkey AND n.k = f.k + 1) SELECT c_nationkey, day, {_MILLI('ctl')} AS ctl, {_MILLI('atl')} AS atl, {_MILLI('ctl - atl')} AS tsb, {_MILLI('y')} AS tsb_yesterday FROM f WHERE k > 0",
+    "critical_power": f"WITH {_RIDES}, {_BEST('range(3, 46, 3)')}, p AS (SELECT activity_id, duration_s::DOUBLE AS t, best_sum / duration_s AS p FROM best), l AS (SELECT activity_id, count(*) AS n, regr_slope(p * t, t) AS cp, regr_intercept(p * t, t) AS w_prime, avg(p) AS mean FROM p GROUP BY 1 HAVING count(*) >= 3 AND regr_slope(p * t, t) > 0 AND regr_intercept(p * t, t) > 0), s AS (SELECT activity_id, n, cp, w_prime, sum(pow(p - (w_prime / t + cp), 2)) AS ss, sum(pow(p - mean, 2)) AS tot FROM p JOIN l USING (activity_id) GROUP BY 1, 2, 3, 4) SELECT activity_id, n, {_MILLI('cp')} AS cp, {_MILLI('w_prime')} AS w_prime, {_MILLI('CASE WHEN tot > 0 THEN 1 - ss / tot ELSE 1 END')} AS r2, {_MILLI('sqrt(ss / n)')} AS rmse FROM s",
+    "eftp": f"WITH {_RIDES}, {_BEST('range(3, 46, 3)')}, p AS (SELECT activity_id, duration_s * 40 AS t, best_sum / duration_s AS p FROM best), l AS (SELECT activity_id, regr_intercept(p * t, t) AS w FROM p WHERE t BETWEEN 120 AND 1200 GROUP BY 1 HAVING count(*) >= 3 AND regr_slope(p * t, t) > 0 AND regr_intercept(p * t, t) > 0), e AS (SELECT activity_id, t, p - v / t + v / 3600 AS e FROM (SELECT p.*, CASE WHEN w BETWEEN 5000 AND 50000 THEN w ELSE 20000.0::DOUBLE END AS v FROM p LEFT JOIN l USING (activity_id) WHERE t BETWEEN 180 AND 1800)) SELECT activity_id, arg_max(t, (e, t)) AS duration_s, {_MILLI('max(e)')} AS eftp FROM e GROUP BY 1",
+    "planned_load": f"WITH st AS (SELECT l_orderkey AS activity_id, l_linenumber AS seq, CAST(sum(l_quantity) * 10 AS INTEGER) AS dur FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY 1, 2), b AS (SELECT *, coalesce(sum(dur) OVER (PARTITION BY activity_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beg, (40 + seq * 12)::DOUBLE AS f, (40 + seq * 12 + dur % 3 * 5)::DOUBLE AS t FROM st), rides AS (SELECT activity_id, beg + k AS idx, CAST(floor((f + (t - f) * (k + 0.5::DOUBLE) / dur) / 100 * 250 + 0.5) AS INTEGER) AS power, 8.0::DOUBLE AS speed FROM (SELECT *, unnest(range(0, dur)) AS k FROM b)), {_POWER} SELECT activity_id, seconds, {_MILLI('avg_power')} AS avg_power, {_MILLI('np')} AS np, {_MILLI('seconds * np * (np / 250) / (250.0::DOUBLE * 3600) * 100')} AS tss, {_MILLI('work_kj')} AS work_kj FROM np",
+    "fuelling_rules": f"WITH {_S}, w AS (SELECT *, {_W} AS work FROM s), l AS (SELECT *, work / mass * least(greatest(intensity / 0.75, 0.6), 1.4) AS load FROM w), q AS (SELECT *, least(greatest(load / 35, 0), 1) AS dem, least(greatest((intensity - 0.55) / 0.30::DOUBLE, 0), 1) AS z FROM l) SELECT o_orderkey, {_MILLI('work')} AS work, {_MILLI('load')} AS load, {_MILLI('CASE WHEN load <= 0 THEN 3 WHEN load < 8 THEN 3 + load * (2.0::DOUBLE / 8) WHEN load < 15 THEN 5 + (load - 8) * (1.5::DOUBLE / 7) WHEN load < 35 THEN 6.5 + (load - 15) * (2.5::DOUBLE / 20) WHEN load < 60 THEN 9 + (load - 35) * (3.0::DOUBLE / 25) ELSE 12 END')} AS carbs, {_MILLI('1.2 + 0.8 * least(greatest(load / 60, 0), 1)')} AS protein, CASE WHEN load < 8 THEN 'light' WHEN load < 15 THEN 'moderate' WHEN load < 35 THEN 'high' ELSE 'very_high' END AS band, {_MILLI('least(greatest(least(1 + 3 * dem, greatest(gap, 1)), 1), 4)')} AS pre_hours, CAST(floor(CASE WHEN minutes <= 45 THEN 0 WHEN minutes <= 75 THEN 30 * z WHEN minutes <= 120 THEN 30 + 30 * z WHEN minutes <= 150 THEN 45 + 15 * z ELSE 60 + 30 * z END + 0.5) AS BIGINT) AS in_ride, minutes BETWEEN 46 AND 75 AND intensity >= 0.85::DOUBLE AS rinse, {_MILLI('CASE WHEN gap < 8 THEN 1 + 0.2 * dem ELSE 0 END')} AS recovery_rate, CASE WHEN gap < 8 THEN CAST(greatest(floor(least(greatest(gap, 0), 4)), 1) AS BIGINT) ELSE 0 END AS recovery_hours FROM q",
+    "rounded_grams": "WITH g AS (SELECT l_orderkey AS plan_id, l_linenumber AS idx, floor(sum(l_quantity) * 16) / 16 AS grams FROM lineitem GROUP BY 1, 2), b AS (SELECT *, floor(grams / 5) AS base, grams / 5 - floor(grams / 5) AS rem FROM g), r AS (SELECT *, floor(sum(grams) OVER w / 5 + 0.5) - sum(base) OVER w AS missing, row_number() OVER (PARTITION BY plan_id ORDER BY rem DESC, idx) AS k FROM b WINDOW w AS (PARTITION BY plan_id)) SELECT plan_id, idx, CAST((base + (k <= missing)::INTEGER) * 5 AS BIGINT) AS rounded FROM r",
+}
