@@ -28,7 +28,7 @@ from kilojoule.llm._shared import cut, join_checked, key, mix, own_id, pieces, s
 
 SHINGLE = 5
 #: Bytes of text that a task works on at once.
-PIECE = 3 << 19
+PIECE = 1 << 19
 #: Members of a bucket beyond which its signature counts as costly.
 LARGE_BUCKET = 48
 #: Costly signatures of a set that may be left out, besides its empty segments.
