@@ -99,7 +99,7 @@ def edit_likeness(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = documents.select(key(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     texts = texts.repartition("key").groupBy("key", "text").agg(F.count("*").alias("copies"))
     sizes = texts.select("key", F.length("text").alias("n"))
-    order = cut(next_ids(sizes.select("key").distinct()))
+    order = cut(next_ids(documents.select(key(id_col).alias("key")).distinct()))  # without the texts
     # of the next document travels only what is needed
     need = sizes.groupBy("key").agg(F.max(F.expr("n div 2")).alias("need")).join(order, "key").select(F.col("next_key").alias("key"), F.col("key").alias("before"), "need")
     nexts = texts.groupBy("key").agg(F.min("text").alias("text")).join(need, "key")
