@@ -5,17 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows without an id take part under this one, so that joins treat them like any other.
 NULL_ID = -(2**63)
 #: Most rows of a list of ids (or of short records) that a join may broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
+#: Bytes and rows of a batch that a task hands to its Python worker at once, where a table is cut.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2_000
 
 
 def key(column: str | Column) -> Column:
@@ -29,13 +32,28 @@ def own_id(column: str | Column = "key") -> Column:
     return F.when(column != F.lit(NULL_ID), column)
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Hands texts to Python workers in batches of BATCH_BYTES within the block: tasks hold several copies of a batch outside the heap."""
+    names = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n, v in zip(names, (BATCH_BYTES, BATCH_ROWS)):
+            spark.conf.set(n, str(v))
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a table in the shared checkpoint folder, so that a lost executor costs no recomputation and lineage ends."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
