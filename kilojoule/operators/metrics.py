@@ -221,6 +221,61 @@ def fit_2p(points: DataFrame, by: str) -> DataFrame:
     return out.select(by, "cp", "w_prime", F.when(F.col("tot") > 0, 1 - F.col("ss") / positive(F.col("tot"))).otherwise(1.0).alias("r2"), F.sqrt(F.col("ss") / F.col("n")).alias("rmse"), "n")
 
 
+def _line_for(t: np.ndarray, p: np.ndarray, k: float) -> tuple[float, float] | None:
+    """(cp, w_prime) of p = w_prime / (t - k) + cp by least squares."""
+    x = 1 / (t - k)
+    mx, mp = x.mean(), p.mean()
+    sxx = ((x - mx) ** 2).sum()
+    if len(t) < 3 or not sxx > 0:
+        return None
+    w_prime = ((x - mx) * (p - mp)).sum() / sxx
+    return mp - w_prime * mx, w_prime
+
+
+def _best_k(t: np.ndarray, p: np.ndarray, low: float = -600.0, high: float = -0.01, steps: int = 80) -> float:
+    """The k of least squared error, by golden section; equal errors keep the right part."""
+
+    def error(k: float) -> float:
+        line = _line_for(t, p, k)
+        return float("inf") if line is None else float(((p - line[1] / (t - k) - line[0]) ** 2).sum())
+
+    ratio = (5**0.5 - 1) / 2
+    inner = [high - (high - low) * ratio, low + (high - low) * ratio]
+    errors = [error(k) for k in inner]
+    for _ in range(steps):
+        if errors[0] < errors[1]:
+            high = inner[1]
+            inner = [high - (high - low) * ratio, inner[0]]
+            errors = [error(inner[0]), errors[0]]
+        else:
+            low = inner[0]
+            inner = [inner[1], low + (high - low) * ratio]
+            errors = [errors[1], error(inner[1])]
+    return (low + high) / 2
+
+
+def fit_3p(points: DataFrame, by: str) -> DataFrame:
+    """(by, cp, w_prime, k, p_max, r2, rmse, n) of p = W' / (t - k) + CP from (by, t, p); no row for fewer than 4 points or if either isn't positive.
+
+    A group is one curve's points at the durations of a fit, some dozens.
+    """
+
+    def fit(group):
+        t, p = group["t"].to_numpy(float), group["p"].to_numpy(float)
+        out = group[[by]].head(1)
+        k = _best_k(t, p) if len(t) >= 4 else 0.0
+        line = _line_for(t, p, k) if len(t) >= 4 else None
+        if line is None or not (line[0] > 0 and line[1] > 0):
+            return out.head(0).assign(cp=0.0, w_prime=0.0, k=0.0, p_max=0.0, r2=0.0, rmse=0.0, n=0)
+        cp, w_prime = line
+        off, spread = ((p - w_prime / (t - k) - cp) ** 2).sum(), ((p - p.mean()) ** 2).sum()
+        return out.assign(cp=cp, w_prime=w_prime, k=k, p_max=cp - w_prime / k, r2=1 - off / spread if spread > 0 else 1.0, rmse=(off / len(t)) ** 0.5, n=len(t))
+
+    kind = points.schema[by].dataType.simpleString()
+    schema = f"{by} {kind}, cp double, w_prime double, k double, p_max double, r2 double, rmse double, n long"
+    return points.where("t is not null and p is not null").select(by, F.col("t").cast("double").alias("t"), F.col("p").cast("double").alias("p")).groupBy(by).applyInPandas(fit, schema)
+
+
 def estimate_ftp(points: DataFrame, by: str, low: int = 180, high: int = 1800, fallback: float = DEFAULT_W_PRIME) -> DataFrame:
     """(by, eftp, duration_s): the best power over an hour that any point from low to high stands for; ties take the longest."""
     fits = fit_2p(points.where("t between 120 and 1200"), by).select(by, "w_prime")
@@ -239,6 +294,31 @@ def workout_profile(steps: DataFrame, ftp: float) -> DataFrame:
     return rows.select("activity_id", (F.col("begin") + F.col("k")).cast("int").alias("idx"), watts.alias("power"))
 
 
+def _escaped(c: Column) -> Column:
+    for sign, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot"), ("'", "apos")):
+        c = F.replace(c, F.lit(sign), F.lit(f"&{name};"))
+    return F.regexp_replace(c, r"\p{Cc}", "")
+
+
+def to_zwo(workouts: DataFrame, steps: DataFrame) -> DataFrame:
+    """(activity_id, zwo): workouts (activity_id, name) as XML, from steps (activity_id, seq, kind, duration_s, from_pct, to_pct).
+
+    A step whose to_pct is null is steady at from_pct; a ramp is a warm-up or a cool-down where its kind (warmup, cooldown) says so. A
+    workout without steps has an empty list; a null name is empty.
+    """
+    part = lambda pct: F.format_string("%.3f", F.col(pct) / 100)
+    quoted = lambda name, value: F.concat(F.lit(f' {name}="'), value, F.lit('"'))
+    tag = F.when(F.col("kind") == "warmup", "Warmup").when(F.col("kind") == "cooldown", "Cooldown").otherwise("Ramp")
+    lasting = quoted("Duration", F.col("duration_s").cast("string"))
+    steady = F.concat(F.lit("    <SteadyState"), lasting, quoted("Power", part("from_pct")), F.lit("/>\n"))
+    ramp = F.concat(F.lit("    <"), tag, lasting, quoted("PowerLow", part("from_pct")), quoted("PowerHigh", part("to_pct")), F.lit("/>\n"))
+    lines = steps.select("activity_id", "seq", F.when(F.col("to_pct").isNull(), steady).otherwise(ramp).alias("line"))
+    # a workout's steps, some dozens
+    body = lines.groupBy("activity_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "").alias("body"))
+    head = F.concat(F.lit("<workout_file>\n  <author>kilojoule</author>\n  <name>"), _escaped(F.coalesce("name", F.lit(""))), F.lit("</name>\n  <description>Exported from kilojoule</description>\n  <sportType>bike</sportType>\n  <tags/>\n  <workout>\n"))
+    return workouts.join(body, "activity_id", "left").select("activity_id", F.concat(head, F.coalesce("body", F.lit("")), F.lit("  </workout>\n</workout_file>\n")).alias("zwo"))
+
+
 def round_grams(entries: DataFrame, by: str, step: int = 5) -> DataFrame:
     """entries (by, idx, grams) with `rounded`: multiples of the step that add up to the rounded total, by largest remainder."""
     w = Window.partitionBy(by)
