@@ -128,12 +128,25 @@ def eftp(spark, d):
 
 
 def planned_load(spark, d):
-    line = table(spark, d, "lineitem").where("l_orderkey % 7 = 0")
-    steps = line.groupBy(F.col("l_orderkey").alias("activity_id"), F.col("l_linenumber").alias("seq")).agg((F.sum("l_quantity") * 10).cast("int").alias("duration_s"))
+    line = table(spark, d, "lineitem")
+    steps = line.groupBy(F.col("l_orderkey").alias("activity_id"), F.col("l_linenumber").alias("seq")).agg(F.sum("l_quantity").cast("int").alias("duration_s"))
     steps = steps.select("*", (40 + F.col("seq") * 12).cast("double").alias("from_pct"), (40 + F.col("seq") * 12 + F.col("duration_s") % 3 * 5).cast("double").alias("to_pct"))
     return m.power_summary(m.workout_profile(steps, 250.0), 250.0).select("activity_id", "seconds", *[milli(c).alias(c) for c in ("avg_power", "np", "tss", "work_kj")])
 
 
+def workout_files(spark, d):
+    line = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("activity_id"), F.col("l_linenumber").alias("seq")).agg(F.sum("l_quantity").cast("int").alias("duration_s"))
+    kind = F.when(F.col("seq") == 1, "warmup").when(F.col("seq") > 4, "cooldown").otherwise("active")
+    steps = line.select("*", kind.alias("kind"), (40 + F.col("seq") * 12).cast("double").alias("from_pct"), F.when(F.col("seq") % 3 > 0, (40 + F.col("seq") * 12 + 5).cast("double")).alias("to_pct"))
+    named = table(spark, d, "orders").select(F.col("o_orderkey").alias("activity_id"), F.concat(F.lit("<"), F.col("o_orderpriority"), F.lit("> & 'more'")).alias("name"))
+    return m.to_zwo(named, steps)
+
+
+def critical_power_3p(spark, d):
+    p = m.mean_max_at(rides(spark, d), range(3, 46, 3)).select("activity_id", F.col("duration_s").cast("double").alias("t"), (F.col("best_sum") / F.col("duration_s")).alias("p"))
+    return m.fit_3p(p, "activity_id").select("activity_id", "n", *[milli(c).alias(c) for c in ("cp", "w_prime", "k", "p_max", "r2", "rmse")])
+
+
 def sessions(spark, d):
     k = F.col("o_orderkey")
     return table(spark, d, "orders").select("o_orderkey", (30 + k % 240).cast("double").alias("minutes"), ((50 + k % 55) / 100).alias("intensity"), (55 + k % 40).cast("double").alias("mass"), F.when(k % 3 == 0, (k % 2000).cast("double")).alias("planned"), (k % 14).cast("double").alias("gap"))
@@ -157,7 +170,7 @@ def rounded_grams(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (activity_summary, activity_power, activity_heart_rate, activity_zones, resample_series, resample_report, mean_max, full_power_curve, season_best, w_balance, daily_load, fitness, critical_power, eftp, planned_load, fuelling_rules, rounded_grams)
+    for f in (activity_summary, activity_power, activity_heart_rate, activity_zones, resample_series, resample_report, mean_max, full_power_curve, season_best, w_balance, daily_load, fitness, critical_power, critical_power_3p, eftp, planned_load, workout_files, fuelling_rules, rounded_grams)
 }
 
 _RIDES = """rides AS (SELECT user_id AS activity_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, CAST(floor(value * 5) AS INTEGER) AS power,
@@ -211,7 +224,14 @@ ORACLE_SQL: dict[str, str] = {
     "fitness": f"WITH RECURSIVE {_LOADS}, n AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY day) AS k FROM daily), f AS (SELECT c_nationkey, 0::BIGINT AS k, 0::BIGINT AS day, 0.0::DOUBLE AS ctl, 0.0::DOUBLE AS atl, 0.0::DOUBLE AS c2, 0.0::DOUBLE AS a2, 0.0::DOUBLE AS y FROM n WHERE k = 1 UNION ALL SELECT n.c_nationkey, n.k, n.day, f.ctl + (n.load - f.ctl) * (1 - exp(-1 / 42.0::DOUBLE)), f.atl + (n.load - f.atl) * (1 - exp(-1 / 7.0::DOUBLE)), f.c2 + (n.load - f.c2) * (1 / 42.0::DOUBLE), f.a2 + (n.load - f.a2) * (1 / 7.0::DOUBLE), f.c2 - f.a2 FROM f JOIN n ON n.c_nationkey = f.c_nationkey AND n.k = f.k + 1) SELECT c_nationkey, day, {_MILLI('ctl')} AS ctl, {_MILLI('atl')} AS atl, {_MILLI('ctl - atl')} AS tsb, {_MILLI('y')} AS tsb_yesterday FROM f WHERE k > 0",
     "critical_power": f"WITH {_RIDES}, {_BEST('range(3, 46, 3)')}, p AS (SELECT activity_id, duration_s::DOUBLE AS t, best_sum / duration_s AS p FROM best), l AS (SELECT activity_id, count(*) AS n, regr_slope(p * t, t) AS cp, regr_intercept(p * t, t) AS w_prime, avg(p) AS mean FROM p GROUP BY 1 HAVING count(*) >= 3 AND regr_slope(p * t, t) > 0 AND regr_intercept(p * t, t) > 0), s AS (SELECT activity_id, n, cp, w_prime, sum(pow(p - (w_prime / t + cp), 2)) AS ss, sum(pow(p - mean, 2)) AS tot FROM p JOIN l USING (activity_id) GROUP BY 1, 2, 3, 4) SELECT activity_id, n, {_MILLI('cp')} AS cp, {_MILLI('w_prime')} AS w_prime, {_MILLI('CASE WHEN tot > 0 THEN 1 - ss / tot ELSE 1 END')} AS r2, {_MILLI('sqrt(ss / n)')} AS rmse FROM s",
     "eftp": f"WITH {_RIDES}, {_BEST('range(3, 46, 3)')}, p AS (SELECT activity_id, duration_s * 40 AS t, best_sum / duration_s AS p FROM best), l AS (SELECT activity_id, regr_intercept(p * t, t) AS w FROM p WHERE t BETWEEN 120 AND 1200 GROUP BY 1 HAVING count(*) >= 3 AND regr_slope(p * t, t) > 0 AND regr_intercept(p * t, t) > 0), e AS (SELECT activity_id, t, p - v / t + v / 3600 AS e FROM (SELECT p.*, CASE WHEN w BETWEEN 5000 AND 50000 THEN w ELSE 20000.0::DOUBLE END AS v FROM p LEFT JOIN l USING (activity_id) WHERE t BETWEEN 180 AND 1800)) SELECT activity_id, arg_max(t, (e, t)) AS duration_s, {_MILLI('max(e)')} AS eftp FROM e GROUP BY 1",
-    "planned_load": f"WITH st AS (SELECT l_orderkey AS activity_id, l_linenumber AS seq, CAST(sum(l_quantity) * 10 AS INTEGER) AS dur FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY 1, 2), b AS (SELECT *, coalesce(sum(dur) OVER (PARTITION BY activity_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beg, (40 + seq * 12)::DOUBLE AS f, (40 + seq * 12 + dur % 3 * 5)::DOUBLE AS t FROM st), rides AS (SELECT activity_id, beg + k AS idx, CAST(floor((f + (t - f) * (k + 0.5::DOUBLE) / dur) / 100 * 250 + 0.5) AS INTEGER) AS power, 8.0::DOUBLE AS speed FROM (SELECT *, unnest(range(0, dur)) AS k FROM b)), {_POWER} SELECT activity_id, seconds, {_MILLI('avg_power')} AS avg_power, {_MILLI('np')} AS np, {_MILLI('seconds * np * (np / 250) / (250.0::DOUBLE * 3600) * 100')} AS tss, {_MILLI('work_kj')} AS work_kj FROM np",
+    "planned_load": f"WITH st AS (SELECT l_orderkey AS activity_id, l_linenumber AS seq, CAST(sum(l_quantity) AS INTEGER) AS dur FROM lineitem GROUP BY 1, 2), b AS (SELECT *, coalesce(sum(dur) OVER (PARTITION BY activity_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beg, (40 + seq * 12)::DOUBLE AS f, (40 + seq * 12 + dur % 3 * 5)::DOUBLE AS t FROM st), rides AS (SELECT activity_id, beg + k AS idx, CAST(floor((f + (t - f) * (k + 0.5::DOUBLE) / dur) / 100 * 250 + 0.5) AS INTEGER) AS power, 8.0::DOUBLE AS speed FROM (SELECT *, unnest(range(0, dur)) AS k FROM b)), {_POWER} SELECT activity_id, seconds, {_MILLI('avg_power')} AS avg_power, {_MILLI('np')} AS np, {_MILLI('seconds * np * (np / 250) / (250.0::DOUBLE * 3600) * 100')} AS tss, {_MILLI('work_kj')} AS work_kj FROM np",
     "fuelling_rules": f"WITH {_S}, w AS (SELECT *, {_W} AS work FROM s), l AS (SELECT *, work / mass * least(greatest(intensity / 0.75, 0.6), 1.4) AS load FROM w), q AS (SELECT *, least(greatest(load / 35, 0), 1) AS dem, least(greatest((intensity - 0.55) / 0.30::DOUBLE, 0), 1) AS z FROM l) SELECT o_orderkey, {_MILLI('work')} AS work, {_MILLI('load')} AS load, {_MILLI('CASE WHEN load <= 0 THEN 3 WHEN load < 8 THEN 3 + load * (2.0::DOUBLE / 8) WHEN load < 15 THEN 5 + (load - 8) * (1.5::DOUBLE / 7) WHEN load < 35 THEN 6.5 + (load - 15) * (2.5::DOUBLE / 20) WHEN load < 60 THEN 9 + (load - 35) * (3.0::DOUBLE / 25) ELSE 12 END')} AS carbs, {_MILLI('1.2 + 0.8 * least(greatest(load / 60, 0), 1)')} AS protein, CASE WHEN load < 8 THEN 'light' WHEN load < 15 THEN 'moderate' WHEN load < 35 THEN 'high' ELSE 'very_high' END AS band, {_MILLI('least(greatest(least(1 + 3 * dem, greatest(gap, 1)), 1), 4)')} AS pre_hours, CAST(floor(CASE WHEN minutes <= 45 THEN 0 WHEN minutes <= 75 THEN 30 * z WHEN minutes <= 120 THEN 30 + 30 * z WHEN minutes <= 150 THEN 45 + 15 * z ELSE 60 + 30 * z END + 0.5) AS BIGINT) AS in_ride, minutes BETWEEN 46 AND 75 AND intensity >= 0.85::DOUBLE AS rinse, {_MILLI('CASE WHEN gap < 8 THEN 1 + 0.2 * dem ELSE 0 END')} AS recovery_rate, CASE WHEN gap < 8 THEN CAST(greatest(floor(least(greatest(gap, 0), 4)), 1) AS BIGINT) ELSE 0 END AS recovery_hours FROM q",
+    "workout_files": """WITH st AS (SELECT l_orderkey AS activity_id, l_linenumber AS seq, CAST(sum(l_quantity) AS INTEGER) AS dur, 40 + l_linenumber * 12 AS pct FROM lineitem GROUP BY 1, 2),
+        ln AS (SELECT activity_id, seq, '    <' || CASE WHEN seq % 3 = 0 THEN 'SteadyState' WHEN seq = 1 THEN 'Warmup' WHEN seq > 4 THEN 'Cooldown' ELSE 'Ramp' END || ' Duration="' || dur || '" ' ||
+          CASE WHEN seq % 3 = 0 THEN 'Power="' || printf('%.3f', pct / 100) ELSE 'PowerLow="' || printf('%.3f', pct / 100) || '" PowerHigh="' || printf('%.3f', (pct + 5) / 100) END || '"/>' || chr(10) AS line FROM st),
+        body AS (SELECT activity_id, string_agg(line, '' ORDER BY seq) AS body FROM ln GROUP BY 1)
+        SELECT o_orderkey AS activity_id, '<workout_file>' || chr(10) || '  <author>kilojoule</author>' || chr(10) || '  <name>&lt;' || o_orderpriority || '&gt; &amp; &apos;more&apos;</name>' || chr(10) ||
+          '  <description>Exported from kilojoule</description>' || chr(10) || '  <sportType>bike</sportType>' || chr(10) || '  <tags/>' || chr(10) || '  <workout>' || chr(10) || coalesce(body, '') || '  </workout>' || chr(10) || '</workout_file>' || chr(10) AS zwo
+        FROM orders LEFT JOIN body ON o_orderkey = activity_id""",
     "rounded_grams": "WITH g AS (SELECT l_orderkey AS plan_id, l_linenumber AS idx, floor(sum(l_quantity) * 16) / 16 AS grams FROM lineitem GROUP BY 1, 2), b AS (SELECT *, floor(grams / 5) AS base, grams / 5 - floor(grams / 5) AS rem FROM g), r AS (SELECT *, floor(sum(grams) OVER w / 5 + 0.5) - sum(base) OVER w AS missing, row_number() OVER (PARTITION BY plan_id ORDER BY rem DESC, idx) AS k FROM b WINDOW w AS (PARTITION BY plan_id)) SELECT plan_id, idx, CAST((base + (k <= missing)::INTEGER) * 5 AS BIGINT) AS rounded FROM r",
 }
