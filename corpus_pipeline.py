@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilojoule.llm._shared import join_checked, key
+from kilojoule.llm._shared import cut, join_checked, key
 from kilojoule.llm.bpe import bpe
 from kilojoule.llm.decontaminate import decontaminate
 from kilojoule.llm.jaccard_join import jaccard_join
@@ -20,39 +20,58 @@ from kilojoule.llm.queries import table, tokenizer_path
 from kilojoule.llm.secrets import secret_scan
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id isn't among `ids` (doc_id)."""
-    gone = ids.select(key("doc_id").alias("_gone")).distinct()
-    return join_checked(docs.withColumn("_gone", key("doc_id")), gone, "_gone", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame, *also: str) -> DataFrame:
+    """The documents with _row, a key of their own for every id and text: ids may be null or repeated. `also` names columns to tell apart too."""
+    return docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in also if c in docs.columns]))
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The keyed documents whose _row isn't among `rows` (_row)."""
+    return join_checked(docs, rows.select("_row").distinct(), "_row", "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the classifier keeps."""
-    return _without(docs, quality_scores(docs, table(spark, sf_dir, "labels")).where("not keep").select("doc_id"))
+    """Keeps what the classifier keeps; each row by its own score."""
+    rows = _keyed(docs, "lang", "source")
+    scored = quality_scores(rows, table(spark, sf_dir, "labels"), row_col="_row")
+    return _without(rows, scored.where("not keep").select("_row")).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates the smallest id stays, and one row of it."""
-    groups = jaccard_join(docs)
-    kept = _without(docs, groups.where("doc_id <> component_id or component_id is null and doc_id is not null").select("doc_id"))
-    repeated = kept.groupBy(key("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_id").alias("doc_id"))
-    # rows that repeat an id are one document: the smallest text stays
+    """Of every group of near duplicates one row of the smallest id stays, whatever other texts have that id.
+
+    Null ids count as one id, the smallest. Texts without words have no group; each stays, rows of one id and text once, unless its id
+    has a row with words.
+    """
+    rows = _keyed(docs)
+    groups = jaccard_join(rows, "_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"), (F.col("n_shingles") > 0).alias("_words")).groupBy("_row", "_group", "_words").agg(F.count("*").alias("_n"))
+    groups = cut(groups.join(rows.select("_row", key("doc_id").alias("_id")).distinct().hint("merge"), "_row"))
+    heads = groups.groupBy("_group").agg(F.min(F.struct("_id", "_row")).alias("_head"), F.count("*").alias("_size")).where("_size > 1")
+    gone = groups.join(heads.hint("merge"), "_group").where("_row <> _head._row").select("_row")
+    wordless = groups.where("not _words")
+    named = join_checked(groups.where("_words").select("_id"), wordless.select("_id").distinct(), "_id", "left_semi").distinct()
+    gone = cut(gone.union(join_checked(wordless, named, "_id", "left_semi").select("_row")))
+    kept = _without(rows, gone)
+    repeated = cut(groups.where("_n > 1").select("_row"))
+    # rows of one id and text are one document
     once = _without(kept, repeated)
-    again = join_checked(kept.withColumn("_id", key("doc_id")), repeated.select(F.col("doc_id").alias("_id")), "_id", "left_semi")
-    others = [c for c in docs.columns if c != "doc_id"]
-    again = again.groupBy("_id").agg(F.min(F.struct("text", *[c for c in others if c != "text"])).alias("_row"), F.first("doc_id").alias("doc_id"))
-    return once.unionByName(again.select("doc_id", "_row.*").select(*docs.columns))
+    again = join_checked(kept, repeated, "_row", "left_semi")
+    again = again.groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_kept"))
+    return once.select(*docs.columns).unionByName(again.select("_kept.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    rows = _keyed(docs)
+    held = decontaminate(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(rows, held.select(F.col("doc_id").alias("_row"))).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts [kind] in the place of every secret found; n_chars follows."""
-    found = secret_scan(docs).where("size(found) > 0").select(key("doc_id").alias("_id"), "found").dropDuplicates(["_id"])
-    both = join_checked(docs.withColumn("_id", key("doc_id")), found, "_id", "left", 100_000)
+    rows = _keyed(docs)
+    found = secret_scan(rows, "_row").where("size(found) > 0").select(F.col("doc_id").alias("_row"), "found").dropDuplicates(["_row"])
+    both = join_checked(rows, found, "_row", "left", 100_000)
     walked = (
         "aggregate(found, named_struct('at', 0, 'out', ''), (a, x) -> if(x.start < a.at, named_struct('at', greatest(a.at, x.end), 'out', a.out), "
         "named_struct('at', x.end, 'out', concat(a.out, substring(text, a.at + 1, x.start - a.at), '[', x.kind, ']'))), a -> concat(a.out, substring(text, a.at + 1)))"

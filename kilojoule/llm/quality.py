@@ -216,20 +216,20 @@ def _score(models):
             for w_text, w_meta, both in models.value:
                 logits = np.stack([text.dot(w_text[:-1]) + w_text[-1], meta.dot(w_meta[:-1]) + w_meta[-1]], 1)
                 p.append(1 / (1 + np.exp(-np.clip(np.clip(logits, -30, 30) @ both[:-1] + both[-1], -30, 30))))
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(p[0]), pa.array(p[1]), pa.array(p[0] * (1 - p[1]))], names=["key", "p_quality", "p_toxic", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("row"), pa.array(p[0]), pa.array(p[1]), pa.array(p[0] * (1 - p[1]))], names=["key", "row", "p_quality", "p_toxic", "score"])
 
     return run
 
 
-def quality_scores(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_scores(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(doc_id, p_quality, p_toxic, score, keep) of every row; keep where score, good and not toxic, is KEEP or more.
 
     labels has doc_id, quality and toxic (0 or 1); rows with a null in them are passed over, and of repeated ids the worse counts.
     Without any labels all documents score alike. Null texts count as empty; missing source or lang columns as null. Null and
-    repeated ids are scored row by row; other columns are ignored.
+    repeated ids are scored row by row; other columns are ignored, but row_col, a long, is handed on last if it is given.
     """
     column = lambda c: F.col(c).cast("string").alias(c) if c in documents.columns else F.lit(None).cast("string").alias(c)
-    rows = documents.select(key(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), column("source"), column("lang"))
-    models = documents.sparkSession.sparkContext.broadcast(train(rows, labels.select(key(id_col).alias("key"), "quality", "toxic")))
-    out = rows.mapInArrow(_score(models), "key long, p_quality double, p_toxic double, score double")
-    return out.select(own_id().alias("doc_id"), "p_quality", "p_toxic", "score", (F.col("score") >= KEEP).alias("keep"))
+    rows = documents.select(key(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), column("source"), column("lang"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
+    models = documents.sparkSession.sparkContext.broadcast(train(rows.drop("row"), labels.select(key(id_col).alias("key"), "quality", "toxic")))
+    out = rows.mapInArrow(_score(models), "key long, row long, p_quality double, p_toxic double, score double")
+    return out.select(own_id().alias("doc_id"), "p_quality", "p_toxic", "score", (F.col("score") >= KEEP).alias("keep"), *([F.col("row").alias(row_col)] if row_col else []))
