@@ -237,6 +237,32 @@ def test_sampled_walks_reach_the_recall():
     assert items.alike(0, windows).mean() >= 0.95
 
 
+def edited(text, share, seed):
+    """The text with so many edits a character, at random places."""
+    rng, t = random.Random(seed), list(text)
+    for _ in range(int(share * len(text))):
+        k, kind = rng.randrange(len(t)), rng.random()
+        t[k : k + (kind < 0.67)] = [] if kind < 0.33 else [rng.choice("abcdefghijklmnop")]
+    return "".join(t)
+
+
+def test_the_search_finds_edited_items():
+    """End to end: random edits up to the most allowed, and a changed character in every third word."""
+
+    class Block:
+        value = None
+
+    bench = __import__("pyarrow.parquet", fromlist=["x"]).read_table(f"{SF.replace('0.001', '0.01')}/benchmark.parquet")
+    texts = [" ".join(decontaminate.normal(t)) for t in bench.column("text").to_pylist()]
+    Block.value = decontaminate.Items(list(range(len(texts))), texts)
+    third = lambda t: " ".join(w[: len(w) // 2] + "#" + w[len(w) // 2 + 1 :] if k % 3 == 2 else w for k, w in enumerate(t.split(" ")))
+    for name, change in {"third": lambda t, s: third(t), **{str(x): lambda t, s, x=x: edited(t, x, s) for x in (0.1, 0.15, 0.19)}}.items():
+        docs = [(k, f"{prose(k, 60)} {change(texts[k % len(texts)], k)} {prose(k + 1, 60)}") for k in range(200)]
+        batch = decontaminate.pa.RecordBatch.from_pydict({"key": [d for d, _ in docs], "text": [t for _, t in docs]})
+        found = {(d, i) for b in decontaminate._search(Block)([batch]) for d, i in zip(b.column("key").to_pylist(), b.column("item").to_pylist())}
+        assert sum((k, k % len(texts)) in found for k in range(200)) >= decontaminate.RECALL * 200, name
+
+
 # --- HTML
 
 
