@@ -28,9 +28,10 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _SCOPES = frozenset("table ul ol dl select body html article section div main".split())
 #: Parts that are never of the article.
 _DROP = frozenset("head script style noscript template nav footer aside form button select option input textarea iframe object embed svg canvas dialog menu menuitem audio video map noembed noframes".split())
-_NOT_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|share|sharing|social|related|recommend\w*|sidebar|rail|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|site-header|page-header|comments?|comment-\w+|disqus|respond|replies|login|search|skip-link|pagination|pager|copyright|disclaimer|toolbar)(?:$|[\s_-])"
-)
+#: Words in a class or id that speak against the article; a whole name of them says more than a part of one, as in `no-sidebar`.
+_WORDS = r"(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|share|sharing|social|related|recommend\w*|sidebar|rail|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|site-header|page-header|comments?|comment-\w+|disqus|respond|replies|login|search|skip-link|pagination|pager|copyright|disclaimer|toolbar)"
+_NOT_ARTICLE = re.compile(rf"(?:^|[\s_-]){_WORDS}(?:$|[\s_-])")
+_WHOLE_NAME = re.compile(rf"(?:^|\s){_WORDS}(?:[_-]{_WORDS})*(?:$|\s)")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _WHOLE = frozenset("html body main article".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
@@ -38,12 +39,13 @@ _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "role", "chars", "tags", "link_chars", "link_tags", "density", "sum", "kept")
+    __slots__ = ("tag", "parent", "children", "dropped", "doubt", "role", "chars", "tags", "link_chars", "link_tags", "density", "sum", "kept")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
         self.dropped = self.kept = False
+        self.doubt = 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -55,11 +57,19 @@ def _boilerplate(tag: str, attrs: str, within_article: bool) -> bool:
         return False
     for name, *values in _ATTR.findall(attrs):
         value, name = next((v for v in values[:3] if v), "").lower(), (name or values[3]).lower()
-        if name in ("class", "id") and _NOT_ARTICLE.search(value) or name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return False
 
 
+def _doubt(tag: str, attrs: str) -> int:
+    """2 if a class or id says by a whole name that this isn't the article, 1 if by a part of a name, else 0."""
+    if tag in _WHOLE or not attrs.strip():
+        return 0
+    values = [next((v for v in x[1:4] if v), "").lower() for x in _ATTR.findall(attrs) if x[0].lower() in ("class", "id")]
+    return max((2 if _WHOLE_NAME.search(v) else 1 if _NOT_ARTICLE.search(v) else 0 for v in values), default=0)
+
+
 def parse(page: str) -> Node:
     """The tree of a page; tags left open are closed where HTML says so, ends without a start are passed over."""
     root = Node("html", None)
@@ -104,6 +114,7 @@ def parse(page: str) -> Node:
                 leave(k)
         node = Node(tag, stack[-1])
         node.dropped = _boilerplate(tag, m[3], in_article > 0)
+        node.doubt = 0 if node.dropped else _doubt(tag, m[3])
         stack[-1].children.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -146,8 +157,41 @@ def weigh(root: Node) -> list[Node]:
     return nodes
 
 
+def settle(root: Node) -> None:
+    """Drops the nodes in doubt, but none around the node of the largest density sum.
+
+    That node is looked for in article and main elements if there are any outside of nodes in doubt. What is in doubt by a part of a
+    name only goes if its density is below the threshold or half of its text is links.
+    """
+    nodes = _nodes(root)
+    if not any(n.doubt for n in nodes):
+        return
+    weigh(root)
+    body = next((n for n in nodes if n.tag == "body"), root)
+    doubtful, marked, scope = {id(root): False}, {id(root): False}, []
+    for n in nodes[1:]:
+        doubtful[id(n)] = doubtful[id(n.parent)] or n.doubt > 0
+        marked[id(n)] = marked[id(n.parent)] or n.tag in ("article", "main") and n.chars > 0 and not doubtful[id(n)]
+        if marked[id(n)]:
+            scope.append(n)
+    best = max(scope or _nodes(body), key=lambda n: n.sum)
+    if not best.sum:  # no tags below: the fullest one
+        best = max(scope or _nodes(body)[1:] or [body], key=lambda n: n.density)
+    around, threshold, n = set(), math.inf, best
+    while n is not None:
+        around.add(id(n))
+        threshold = min(threshold, n.density)
+        if n is body:
+            break
+        n = n.parent
+    for n in nodes:
+        if n.doubt and id(n) not in around:
+            n.dropped = n.doubt == 2 or n.density < threshold or n.link_chars * 2 >= n.chars
+
+
 def main_parts(root: Node) -> None:
     """Marks the nodes whose texts are the article."""
+    settle(root)
     nodes = weigh(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     below = _nodes(body)

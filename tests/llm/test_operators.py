@@ -288,6 +288,22 @@ def test_html(spark):
     assert got(html_text.html_text(df.limit(0))) == []
 
 
+def test_html_keeps_the_article_in_layout_wrappers():
+    """Class and id words on elements around the article or a part of it; real boilerplate beside it still goes."""
+    body = ["The title", "First paragraph of the article with enough words to be taken for text of it.", "Second paragraph of the article, which also has enough words to be taken for text."]
+    text = f"<h1>{body[0]}</h1><p>{body[1]}</p><p>{body[2]}</p>"
+    beside = '<div class="sidebar"><p>Side</p></div><div class="cookie-notice">We use cookies</div><section class="comments"><p>A comment of a few words.</p></section>'
+    for name in ('class="no-sidebar"', 'class="content-area right-sidebar"', 'class="post share-enabled"', "id=related-work", 'class="nav-open"', 'class="page search"', 'class="sidebar"'):
+        for inner in (text, f"<article>{text}</article>", f"<main><div>{text}</div></main>"):
+            for page in (f"<body><div {name}>{inner}</div>{beside}</body>", f"<body><div {name}><div id=x>{inner}{beside}</div></div></body>"):
+                want = body
+                assert html_text.extract(page).split("\n\n") == want, (name, page)
+    part = f'<body><article>{text}<div id="related-work"><p>What others have done before, in as many words as the rest has.</p></div><div class="ad">Buy</div></article>{beside}</body>'
+    assert html_text.extract(part).split("\n\n") == [*body, "What others have done before, in as many words as the rest has."]
+    long = "<p>A comment that is longer than the article by far, as they are at times, and goes on and on.</p>" * 9
+    assert html_text.extract(f'<body><article>{text}</article><div class="comments">{long}</div></body>').split("\n\n") == body
+
+
 def test_html_of_the_test_pages(spark):
     """The article's blocks of the generated pages, by a parser that knows only them."""
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
