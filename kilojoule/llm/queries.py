@@ -49,7 +49,7 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_spans.sentence_span_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "kept_sha256", "removed")
+    return sentence_spans.sentence_span_dedup(table(spark, sf_dir, "documents"), least_words=sentence_spans.LEAST_WORDS).select("doc_id", "n_sentences", "n_removed", "kept_sha256", "removed")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

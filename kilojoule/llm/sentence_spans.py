@@ -15,11 +15,14 @@ from kilojoule.llm._shared import cut, key, mix, own_id, pieces, signed, spread
 
 #: Consecutive sentences in a span.
 RUN = 3
-_SENTENCE = re.compile(r"[^\s.!?][^.!?\n]*[.!?]*|[.!?]+")
+#: Words from which a shorter run is a span too, where that is asked for.
+LEAST_WORDS = 12
+_STOPS = ".!?。！？｡．।॥؟۔։።፧"
+_SENTENCE = re.compile(rf"[^\s{_STOPS}][^{_STOPS}\n]*[{_STOPS}]*|[{_STOPS}]+")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Where the sentences are; they end at a full stop, exclamation or question mark, or at the line's end."""
+    """Where the sentences are; they end at a full stop, exclamation or question mark of any of several scripts, or at the line's end."""
     return [m.span() for m in _SENTENCE.finditer(text)]
 
 
@@ -27,18 +30,37 @@ def _hash(sentence: str) -> int:
     return int.from_bytes(hashlib.blake2b(" ".join(sentence.lower().split()).encode(), digest_size=8).digest(), "little")
 
 
-def _spans(run_length: int):
+def _weight(sentence: str) -> int:
+    """Its words; where scripts put no spaces, eight characters count as one."""
+    return max(len(sentence.split()), len(sentence) // 8)
+
+
+def _spans(run_length: int, least_words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            each = [[_hash(t[s:e]) for s, e in sentences(t)] for t in ((x.as_py() or "") for x in b.column("text"))]
-            n = np.array([len(x) for x in each], np.int64)
-            h = np.array([x for y in each for x in y], np.uint64)
-            row, place = spread(np.maximum(n - run_length + 1, 0))
-            at = (np.cumsum(n) - n)[row] + place
-            v = np.zeros(len(at), np.uint64)
-            for k in range(run_length):
-                v = mix(v * np.uint64(0x100000001B3) + h[at + k]) if len(at) else v
-            yield pa.RecordBatch.from_arrays([signed(v), pa.array(np.asarray(b.column("key"))[row]), pa.array(place.astype(np.int32))], names=["span", "key", "at"])
+            found = [[t[s:e] for s, e in sentences(t)] for t in ((x.as_py() or "") for x in b.column("text"))]
+            n = np.array([len(x) for x in found], np.int64)
+            h = np.array([_hash(x) for y in found for x in y], np.uint64)
+            begin, keys = np.cumsum(n) - n, np.asarray(b.column("key"))
+            if least_words is not None:
+                heavy = np.append(0, np.cumsum([_weight(x) for y in found for x in y])).astype(np.int64)
+            for size in range(run_length if least_words is None else 1, run_length + 1):
+                row, place = spread(np.maximum(n - size + 1, 0))
+                whole = np.zeros(len(row), bool)
+                if size < run_length:
+                    at = begin[row] + place
+                    wide = heavy[at + size] - heavy[at] >= least_words
+                    # a text of fewer sentences than a span is compared as a whole
+                    whole = ~wide & (n[row] == size)
+                    if size > 1:  # unless its ends are covered by shorter ones
+                        wide &= ~((heavy[at + size - 1] - heavy[at] >= least_words) & (heavy[at + size] - heavy[at + 1] >= least_words))
+                    row, place, whole = (x[wide | whole] for x in (row, place, whole))
+                at = begin[row] + place
+                v = np.zeros(len(at), np.uint64)
+                for k in range(size):
+                    v = mix(v * np.uint64(0x100000001B3) + h[at + k]) if len(at) else v
+                v = np.where(whole, mix(v ^ np.uint64(0x77686F6C65)), v)
+                yield pa.RecordBatch.from_arrays([signed(v), pa.array(keys[row]), pa.array((place * (run_length + 1) + size).astype(np.int32))], names=["span", "key", "at"])
 
     return run
 
@@ -50,7 +72,7 @@ def _without(run_length: int):
             for text, starts in zip(b.column("text"), b.column("starts")):
                 text, starts = text.as_py() or "", starts.as_py() or []
                 where = sentences(text)
-                gone = sorted({i for s in starts for i in range(s, s + run_length) if i < len(where)})
+                gone = sorted({i for s in starts for i in range(s // (run_length + 1), s // (run_length + 1) + s % (run_length + 1)) if i < len(where)})
                 kept, at = [], 0
                 for i in gone:
                     kept.append(text[at : where[i][0]])
@@ -67,16 +89,17 @@ def _without(run_length: int):
     return run
 
 
-def sentence_span_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def sentence_span_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least_words: int | None = None) -> DataFrame:
     """(doc_id, n_sentences, n_removed, kept_sha256, removed, kept): every document without the sentences that a span seen earlier covers.
 
-    A span is `run` consecutive sentences, compared in lower case with white space as one space; its first occurrence (smaller id,
-    then earlier place) stays. removed are the sentences' numbers from 0. A text with fewer sentences keeps all; null counts as empty
+    A span is `run` consecutive sentences, and with least_words also fewer that have as many words together, and the whole of a text
+    with fewer sentences; spans are compared in lower case with white space as one space; its first occurrence (smaller id,
+    then earlier place) stays. removed are the sentences' numbers from 0. Without least_words a text with fewer sentences keeps all; null counts as empty
     and a null id as the smallest. Rows that repeat an id count as one document: what is found in any is removed from all, and of
     equal rows with one id both stay. Other columns are ignored.
     """
     texts = documents.select(key(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    spans = texts.mapInArrow(_spans(run), "span long, key long, at int")
+    spans = texts.mapInArrow(_spans(run, least_words), "span long, key long, at int")
     # sums come before the shuffle, so a span that a third of all rows have is a row for each task; the join deals hot spans anew
     seen = spans.groupBy("span").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first")).where("n > 1")
     again = spans.join(seen.hint("merge"), "span").where("key <> first.key or at <> first.at")

@@ -390,6 +390,19 @@ def test_sentence_spans(cases, small, empty):
     assert got(sentence_spans.sentence_span_dedup(empty)) == []
 
 
+def test_short_sentence_spans(spark):
+    """Passages of over 50 words in one, two and three sentences, one cut inside its ends, and short texts that are equal."""
+    plain = lambda seed, n: prose(seed, n).replace(".", "")
+    other = lambda k: " ".join(f"o{k}x{i}" for i in range(8)) + "."
+    passages = [plain(90, 55) + ".", plain(91, 30) + ". " + plain(92, 25) + "!", ". ".join(plain(93 + i, 20) for i in range(3)) + "?", plain(97, 50) + "。" + plain(98, 9) + "।"]
+    rows = [(10 * k + c, f"{other(20 * k + c)} {p} {other(20 * k + 10 + c)}") for k, p in enumerate(passages) for c in range(2)]
+    ends = "tail of one. " + plain(99, 25) + ". " + plain(100, 20) + ". head of"
+    rows += [(70, "a b " + ends + " x."), (71, "c " + ends + " y."), (80, "Short one."), (81, "short  one."), (82, "Short one. More here."), (83, "other.")]
+    out = {r.doc_id: (r.n_sentences, r.removed) for r in sentence_spans.sentence_span_dedup(spark.createDataFrame(rows, "doc_id long, text string"), least_words=sentence_spans.LEAST_WORDS).collect()}
+    want = {10 * k + c: list(range(1, out[10 * k + c][0] - 1)) if c else [] for k in range(4) for c in range(2)} | {70: [], 71: [1, 2], 80: [], 81: [0], 82: [], 83: []}
+    assert {d: r for d, (_, r) in out.items()} == want and [out[k][0] for k in (1, 11, 21, 31)] == [3, 4, 5, 4]
+
+
 # --- quality
 
 
