@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -46,15 +45,36 @@ def small_batches(spark: SparkSession):
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table in the shared checkpoint folder, so that a lost executor costs no recomputation and lineage ends."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir or the context names it."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+        if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, so that a lost executor costs no recomputation and lineage ends.
+
+    spent are tables of earlier cuts that nothing reads any more once df is written; their files go.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     with small_batches(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    drop(*spent)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables that cut() wrote."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.cut_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def join_checked(large: DataFrame, small: DataFrame, on: str, how: str, rows_limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -97,20 +117,29 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial hashes modulo 2**64 of any slice of a byte array; powers are made once and kept."""
+    """Polynomial hashes modulo 2**64 of any slice of a byte array. A worker keeps the powers for texts of KEPT bytes, not longer ones."""
 
     base = 0x9E3779B97F4A7C55 | 1
-    powers = np.ones(1, np.uint64)
-    inverses = np.ones(1, np.uint64)
+    KEPT = 1 << 20
+    kept: tuple[np.ndarray, np.ndarray] | None = None
+
+    @classmethod
+    def tables(cls, n: int) -> tuple[np.ndarray, ...]:
+        """The powers of the base and of its inverse."""
+        if n <= cls.KEPT and cls.kept is not None:
+            return cls.kept
+        out = []
+        for b in (cls.base, pow(cls.base, -1, 2**64)):
+            steps = np.full(max(n, cls.KEPT), b, np.uint64)
+            steps[0] = 1
+            out.append(np.multiply.accumulate(steps))
+        if n <= cls.KEPT:
+            cls.kept = tuple(out)
+        return tuple(out)
 
     def __init__(self, data: np.ndarray):
         n = len(data) + 1
-        if len(Rolling.powers) < n:
-            size = max(n, 1 << 20)
-            for name, b in (("powers", self.base), ("inverses", pow(self.base, -1, 2**64))):
-                steps = np.full(size, b, np.uint64)
-                steps[0] = 1
-                setattr(Rolling, name, np.multiply.accumulate(steps))
+        self.powers, self.inverses = self.tables(n)
         self.sums = np.zeros(n, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: n - 1], out=self.sums[1:])
 

@@ -1,4 +1,8 @@
-"""Substring dedup by sliding sentence spans: runs of consecutive sentences that occur earlier are removed."""
+"""Substring dedup by sliding sentence spans: runs of consecutive sentences that occur earlier are removed.
+
+The shortest run from a sentence on, and up to a sentence, that has LEAST_WORDS words is a span: some ten words a sentence make it
+several sentences, one long sentence may be a span by itself, and three one-word exclamations are none.
+"""
 
 from __future__ import annotations
 
@@ -8,15 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilojoule.llm._shared import cut, key, mix, own_id, pieces, signed, spread
 
-#: Consecutive sentences in a span.
-RUN = 3
-#: Words from which a shorter run is a span too, where that is asked for.
-LEAST_WORDS = 12
+#: Words of a span at least.
+LEAST_WORDS = 25
+#: A span is hot from this share of all spans on, so there can't be more hot ones than one by it; and from as many rows.
+HOT, LEAST_HOT = 1e-4, 1000
+#: Spans that a task counts at once, and repeats among them from which it tells of a span.
+BLOCK, TOLD = 1 << 20, 16
+#: Parts into which a hot span is dealt.
+SALTS = 64
 _STOPS = ".!?。！？｡．।॥؟۔։።፧"
 _SENTENCE = re.compile(rf"[^\s{_STOPS}][^{_STOPS}\n]*[{_STOPS}]*|[{_STOPS}]+")
 
@@ -26,53 +34,75 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _SENTENCE.finditer(text)]
 
 
-def _hash(sentence: str) -> int:
-    return int.from_bytes(hashlib.blake2b(" ".join(sentence.lower().split()).encode(), digest_size=8).digest(), "little")
+def _hashes(sentence: str) -> bytes:
+    return hashlib.blake2b(" ".join(sentence.lower().split()).encode(), digest_size=16).digest()
 
 
-def _weight(sentence: str) -> int:
+def weight(sentence: str) -> int:
     """Its words; where scripts put no spaces, eight characters count as one."""
     return max(len(sentence.split()), len(sentence) // 8)
 
 
-def _spans(run_length: int, least_words: int | None):
+def _found(texts: list[str], least_words: int) -> tuple[np.ndarray, ...]:
+    """(span, other, row, at): two independent hashes of each span, and at = its first sentence * (least_words + 1) + its sentences."""
+    found = [[t[s:e] for s, e in sentences(t)] for t in texts]
+    n = np.array([len(x) for x in found], np.int64)
+    h = np.frombuffer(b"".join(_hashes(x) for y in found for x in y), np.uint64).reshape(-1, 2)
+    words = np.append(0, np.cumsum([weight(x) for y in found for x in y])).astype(np.int64)
+    row, place = spread(n)
+    begin, i = np.cumsum(n) - n, np.arange(len(row))
+    ahead = np.searchsorted(words, words[:-1] + least_words)  # where the run from a sentence on ends
+    back = np.searchsorted(words, words[1:] - least_words, "right") - 1  # where the run up to a sentence begins
+    on, upto = i[ahead <= (begin + n)[row]], i[back >= begin[row]]
+    both = np.unique(np.concatenate([on * (least_words + 1) + ahead[on] - on, back[upto] * (least_words + 1) + upto + 1 - back[upto]]))
+    first, size = both // (least_words + 1), both % (least_words + 1)
+    v, w = np.zeros(len(first), np.uint64), np.zeros(len(first), np.uint64)
+    for k in range(int(size.max(initial=0))):
+        has = size > k
+        at = np.where(has, first + k, 0)
+        v = np.where(has, mix(v * np.uint64(0x100000001B3) + h[at, 0]), v)
+        w = np.where(has, mix(w * np.uint64(0x9E3779B97F4A7C55) + h[at, 1]), w)
+    return v, (w >> np.uint64(33)).astype(np.int32), row[first], (place[first] * (least_words + 1) + size).astype(np.int32)
+
+
+def _spans(least_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            span, other, row, at = _found([x.as_py() or "" for x in b.column("text")], least_words)
+            yield pa.RecordBatch.from_arrays([signed(span), pa.array(other), pa.array(np.asarray(b.column("key"))[row]), pa.array(at)], names=["span", "other", "key", "at"])
+
+    return run
+
+
+def _frequent(least_words: int):
+    """(span, n): what repeats within a block of spans, and the number of all spans under a null."""
+
+    def told(block: list[np.ndarray]) -> pa.RecordBatch:
+        span, n = np.unique(np.concatenate(block), return_counts=True)
+        often = n >= TOLD
+        return pa.RecordBatch.from_arrays([pa.array([*span[often].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[often].tolist(), int(n.sum())], pa.int64())], names=["span", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = []
         for b in pieces(batches, "text"):
-            found = [[t[s:e] for s, e in sentences(t)] for t in ((x.as_py() or "") for x in b.column("text"))]
-            n = np.array([len(x) for x in found], np.int64)
-            h = np.array([_hash(x) for y in found for x in y], np.uint64)
-            begin, keys = np.cumsum(n) - n, np.asarray(b.column("key"))
-            if least_words is not None:
-                heavy = np.append(0, np.cumsum([_weight(x) for y in found for x in y])).astype(np.int64)
-            for size in range(run_length if least_words is None else 1, run_length + 1):
-                row, place = spread(np.maximum(n - size + 1, 0))
-                whole = np.zeros(len(row), bool)
-                if size < run_length:
-                    at = begin[row] + place
-                    wide = heavy[at + size] - heavy[at] >= least_words
-                    # a text of fewer sentences than a span is compared as a whole
-                    whole = ~wide & (n[row] == size)
-                    if size > 1:  # unless its ends are covered by shorter ones
-                        wide &= ~((heavy[at + size - 1] - heavy[at] >= least_words) & (heavy[at + size] - heavy[at + 1] >= least_words))
-                    row, place, whole = (x[wide | whole] for x in (row, place, whole))
-                at = begin[row] + place
-                v = np.zeros(len(at), np.uint64)
-                for k in range(size):
-                    v = mix(v * np.uint64(0x100000001B3) + h[at + k]) if len(at) else v
-                v = np.where(whole, mix(v ^ np.uint64(0x77686F6C65)), v)
-                yield pa.RecordBatch.from_arrays([signed(v), pa.array(keys[row]), pa.array((place * (run_length + 1) + size).astype(np.int32))], names=["span", "key", "at"])
+            block.append(_found([x.as_py() or "" for x in b.column("text")], least_words)[0])
+            if sum(map(len, block)) >= BLOCK:
+                yield told(block)
+                block = []
+        if block:
+            yield told(block)
 
     return run
 
 
-def _without(run_length: int):
+def _without(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             out: dict[str, list] = {"n_sentences": [], "n_removed": [], "kept_sha256": [], "removed": [], "kept": []}
             for text, starts in zip(b.column("text"), b.column("starts")):
                 text, starts = text.as_py() or "", starts.as_py() or []
                 where = sentences(text)
-                gone = sorted({i for s in starts for i in range(s // (run_length + 1), s // (run_length + 1) + s % (run_length + 1)) if i < len(where)})
+                gone = sorted({i for s in starts for i in range(s // (least_words + 1), s // (least_words + 1) + s % (least_words + 1)) if i < len(where)})
                 kept, at = [], 0
                 for i in gone:
                     kept.append(text[at : where[i][0]])
@@ -89,21 +119,28 @@ def _without(run_length: int):
     return run
 
 
-def sentence_span_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, least_words: int | None = None) -> DataFrame:
+def sentence_span_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, n_sentences, n_removed, kept_sha256, removed, kept): every document without the sentences that a span seen earlier covers.
 
-    A span is `run` consecutive sentences, and with least_words also fewer that have as many words together, and the whole of a text
-    with fewer sentences; spans are compared in lower case with white space as one space; its first occurrence (smaller id,
-    then earlier place) stays. removed are the sentences' numbers from 0. Without least_words a text with fewer sentences keeps all; null counts as empty
-    and a null id as the smallest. Rows that repeat an id count as one document: what is found in any is removed from all, and of
-    equal rows with one id both stay. Other columns are ignored.
+    The shortest run from each sentence on, and up to each, with least_words words or more is a span. Spans are compared in lower case
+    with white space as one space, by hashes of 95 bits; a span's first occurrence (smaller id, then earlier place) stays. removed
+    are the sentences' numbers from 0. A text of fewer words has no span and stays whole. Null counts as empty and a null id as the
+    smallest. Rows that repeat an id count as one document: what is found in any is removed from all, and of equal rows with one id
+    both stay. Other columns are ignored.
     """
     texts = documents.select(key(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    spans = texts.mapInArrow(_spans(run, least_words), "span long, key long, at int")
-    # sums come before the shuffle, so a span that a third of all rows have is a row for each task; the join deals hot spans anew
-    seen = spans.groupBy("span").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first")).where("n > 1")
-    again = spans.join(seen.hint("merge"), "span").where("key <> first.key or at <> first.at")
-    starts = cut(again.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("starts")))
+    often = cut(texts.mapInArrow(_frequent(least_words), "span long, n long").groupBy("span").agg(F.sum("n").alias("n")))
+    limit = max(LEAST_HOT, HOT * (often.where("span is null").agg(F.sum("n")).first()[0] or 0))
+    # hot spans, fewer than 1 / HOT, are broadcast; each is dealt out in SALTS parts, whose first ones are compared at the end
+    hot = often.where(F.col("span").isNotNull() & (F.col("n") >= limit)).select("span", F.lit(True).alias("hot"))
+    spans = texts.mapInArrow(_spans(least_words), "span long, other int, key long, at int").join(F.broadcast(hot), "span", "left")
+    spans = spans.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("key", "at"), F.lit(SALTS)).cast("int")))
+    nth = F.row_number().over(Window.partitionBy("span", "other", "salt").orderBy("key", "at"))
+    met = cut(spans.withColumn("nth", nth).where("nth > 1 or hot").select("span", "other", "key", "at", (F.col("nth") == 1).alias("heads")), often)
+    heads = met.where("heads")
+    last = heads.groupBy("span", "other").agg(F.min(F.struct("key", "at")).alias("first"))
+    again = met.where("not heads").select("key", "at").union(heads.join(last.hint("merge"), ["span", "other"]).where("key <> first.key or at <> first.at").select("key", "at"))
+    starts = cut(again.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("starts")), met)
     out = texts.join(starts.hint("merge"), "key", "left")
-    out = out.mapInArrow(_without(run), "key long, n_sentences long, n_removed long, kept_sha256 string, removed array<int>, kept string")
+    out = out.mapInArrow(_without(least_words), "key long, n_sentences long, n_removed long, kept_sha256 string, removed array<int>, kept string")
     return out.select(own_id().alias("doc_id"), *out.columns[1:])

@@ -138,7 +138,7 @@ def test_bpe_is_the_librarys(cases, small, empty):
     for t in odd:
         want = tok.encode(t, add_special_tokens=False).ids
         assert codec.encode(t) == want, t
-        assert " ".join(p[2] for p in codec.parts([t])[0]) == tok.decode(want, skip_special_tokens=False), t
+        assert codec.parts([t])[0][2] == tok.decode(want, skip_special_tokens=False), t
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     for df in (cases, small):
         want = []
@@ -151,6 +151,26 @@ def test_bpe_is_the_librarys(cases, small, empty):
     assert got(bpe.bpe(empty, queries.tokenizer_path())) == []
 
 
+def test_bpe_of_every_code_point(monkeypatch):
+    """Each one between a letter and a sign, and what Unicode 16 composes, as the library has them."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "REMEMBER", 5000)  # the tables are emptied many times
+    tok, codec = Tokenizer.from_file(queries.tokenizer_path()), bpe.Codec(queries.tokenizer_path())
+    texts = [f"a{chr(c)}!" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += [chr(a) + chr(b) for a, b in ((0x105D2, 0x307), (0x11382, 0x113C9), (0x113C2, 0x113B8), (0x1611E, 0x1611F), (0x16D67, 0x16D67), (0x65, 0x301), (0x1100, 0x1161))]
+    for k in range(0, len(texts), 50_000):
+        want = [(len(x.ids), " ".join(map(str, x.ids))) for x in tok.encode_batch(texts[k : k + 50_000], add_special_tokens=False)]
+        assert [x[:2] for x in codec.parts(texts[k : k + 50_000])] == want
+
+
+def test_frequent_words(spark):
+    texts = spark.createDataFrame([(" ".join(f"w{'abcdefghij'[i]}" for i in range(10) for _ in range([9, 9, 7, 7, 7, 7, 3, 2, 2, 1][i])),)], "text string")
+    names = [f"w{x}" for x in "abcdefghi"]
+    for size in range(12):
+        assert sorted(bpe.frequent_words(texts, queries.tokenizer_path(), size)) == names[:size], size
+
+
 def test_transducer():
     rng = random.Random(5)
     words = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))).encode(): [i, i + 1][: i % 3] for i in range(300)}
@@ -353,8 +373,23 @@ def test_likeness_is_the_generalised_jaccard_similarity(spark):
     assert abs(sum(err) / len(err)) < 0.03 and max(map(abs, err)) < 0.3
 
 
+def test_likeness_of_repetitive_texts(spark):
+    """Few words carry much of the weight, as in Zipf-like and repetitive texts; each pair within a bound."""
+    rng = random.Random(18)
+    rows, want = [(0, "a " * 8 + "b"), (1, "a " * 8 + "c")], [0.8]
+    for k in range(1, 150):
+        a = Counter({w: max(1, int(120 / (i + 1) ** 1.1)) for i, w in enumerate(rng.sample(WORDS, rng.randint(5, 120)))})
+        b = Counter({(w if rng.random() < k / 150 else f"x{w}"): n for w, n in a.items()})
+        want.append(sum((a & b).values()) / sum((a | b).values()))
+        rows += [(2 * k, " ".join(a.elements())), (2 * k + 1, " ".join(b.elements()))]
+    f = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "codes")
+    pairs = f.alias("a").join(f.alias("b"), F.expr("a.doc_id + 1 = b.doc_id and a.doc_id % 2 = 0")).select(F.col("a.doc_id").alias("k"), F.col("a.codes").alias("x"), F.col("b.codes").alias("y")).select("k", fingerprint.likeness("x", "y"))
+    err = {k // 2: v - want[k // 2] for k, v in pairs.collect()}
+    assert abs(err[0]) < 0.01 and abs(sum(err.values()) / len(err)) < 0.03 and max(map(abs, err.values())) < 0.25
+
+
 def test_fingerprints_run_no_python(small, capsys):
-    for df in (fingerprint.fingerprints(small), secrets.secret_scan(small)):
+    for df in (fingerprint.fingerprints(small), fingerprint.edit_likeness(small), secrets.secret_scan(small)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
 
@@ -362,20 +397,25 @@ def test_fingerprints_run_no_python(small, capsys):
 # --- sentence spans
 
 
-def plain_spans(rows, run=3):
+def plain_spans(rows, least_words=sentence_spans.LEAST_WORDS):
     docs = sorted(((-(2**63) if d is None else d), i, t or "") for i, (d, t) in enumerate(rows))
-    norm = lambda s: " ".join(s.lower().split())
     first, gone, out = {}, {}, {}
+
+    def runs(t):
+        s = [t[a:b] for a, b in sentence_spans.sentences(t)]
+        for k in range(len(s)):
+            enough = lambda a, z: sum(map(sentence_spans.weight, s[a:z])) >= least_words
+            n, m = next((n for n in range(k + 1, len(s) + 1) if enough(k, n)), None), next((m for m in range(k, -1, -1) if enough(m, k + 1)), None)
+            for a, z in [(k, n)] * (n is not None) + [(m, k + 1)] * (m is not None):
+                yield a, z, tuple(" ".join(x.lower().split()) for x in s[a:z])
+
     for d, _, t in docs:
-        s = [norm(t[a:b]) for a, b in sentence_spans.sentences(t)]
-        for k in range(len(s) - run + 1):
-            x = tuple(s[k : k + run])
+        for k, _, x in runs(t):
             first[x] = min(first.get(x, (d, k)), (d, k))
     for d, _, t in docs:
-        s = [norm(t[a:b]) for a, b in sentence_spans.sentences(t)]
-        for k in range(len(s) - run + 1):
-            if first[tuple(s[k : k + run])] != (d, k):
-                gone.setdefault(d, set()).update(range(k, k + run))
+        for k, n, x in runs(t):
+            if first[x] != (d, k):
+                gone.setdefault(d, set()).update(range(k, n))
     for d, i, t in docs:
         where = sentence_spans.sentences(t)
         g = sorted(x for x in gone.get(d, ()) if x < len(where))
@@ -384,23 +424,30 @@ def plain_spans(rows, run=3):
     return list(out.values())
 
 
-def test_sentence_spans(cases, small, empty):
-    for df in (cases, small):
+def test_sentence_spans(spark, cases, small, empty, monkeypatch):
+    rng = random.Random(12)
+    common = prose(80, 60)  # most texts have it: a hot span once the limit is low
+    mixed = spark.createDataFrame([(i % 90, f"{prose(300 + i % 40, 50)} {common if i % 3 else ''} {prose(500 + i, rng.randint(0, 80))}") for i in range(120)], "doc_id long, text string")
+    for df in (cases, small, mixed):
         assert order(got(sentence_spans.sentence_span_dedup(df).drop("kept"))) == order(plain_spans(texts_of(df)))
+    monkeypatch.setattr(sentence_spans, "LEAST_HOT", 5)
+    monkeypatch.setattr(sentence_spans, "TOLD", 2)
+    assert order(got(sentence_spans.sentence_span_dedup(mixed).drop("kept"))) == order(plain_spans(texts_of(mixed)))
     assert got(sentence_spans.sentence_span_dedup(empty)) == []
 
 
-def test_short_sentence_spans(spark):
-    """Passages of over 50 words in one, two and three sentences, one cut inside its ends, and short texts that are equal."""
+def test_passages_of_over_50_words(spark):
+    """Passages in one, two and three sentences, one cut inside its ends, in scripts with other stops; short repeats stay."""
     plain = lambda seed, n: prose(seed, n).replace(".", "")
     other = lambda k: " ".join(f"o{k}x{i}" for i in range(8)) + "."
     passages = [plain(90, 55) + ".", plain(91, 30) + ". " + plain(92, 25) + "!", ". ".join(plain(93 + i, 20) for i in range(3)) + "?", plain(97, 50) + "。" + plain(98, 9) + "।"]
     rows = [(10 * k + c, f"{other(20 * k + c)} {p} {other(20 * k + 10 + c)}") for k, p in enumerate(passages) for c in range(2)]
     ends = "tail of one. " + plain(99, 25) + ". " + plain(100, 20) + ". head of"
-    rows += [(70, "a b " + ends + " x."), (71, "c " + ends + " y."), (80, "Short one."), (81, "short  one."), (82, "Short one. More here."), (83, "other.")]
-    out = {r.doc_id: (r.n_sentences, r.removed) for r in sentence_spans.sentence_span_dedup(spark.createDataFrame(rows, "doc_id long, text string"), least_words=sentence_spans.LEAST_WORDS).collect()}
-    want = {10 * k + c: list(range(1, out[10 * k + c][0] - 1)) if c else [] for k in range(4) for c in range(2)} | {70: [], 71: [1, 2], 80: [], 81: [0], 82: [], 83: []}
-    assert {d: r for d, (_, r) in out.items()} == want and [out[k][0] for k in (1, 11, 21, 31)] == [3, 4, 5, 4]
+    rows += [(70, "a b " + ends + " x."), (71, "c " + ends + " y."), (80, "Short one."), (81, "short  one."), (82, "SE!! CION!! DE!! UN!!"), (83, "SE!! CION!! DE!!")]
+    out = {r.doc_id: (r.n_sentences, r.removed) for r in sentence_spans.sentence_span_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {d: bool(r) for d, (_, r) in out.items()}
+    assert found == {10 * k + c: c == 1 for k in range(4) for c in range(2)} | {70: False, 71: True, 80: False, 81: False, 82: False, 83: False}
+    assert out[71][1] == [1, 2] and out[1][1] == [1] and out[11][1] == [1, 2]
 
 
 # --- quality
