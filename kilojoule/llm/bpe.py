@@ -16,6 +16,8 @@ import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilojoule.llm._shared import key, own_id, pieces
+from kilojoule.llm._shared import cut, drop, key, own_id, pieces, spread
 
 #: Frequent words that the lexicon holds at most; it is read by every task, so this bounds its size (some megabytes).
 LEXICON_WORDS = 32_768
-#: Encoded white-space-free chunks that a task remembers; later ones are worked out again in each piece of texts.
-REMEMBER = 100_000
+#: Words that a worker remembers; beyond it only those stay that another piece of texts had before.
+REMEMBER = 200_000
 #: Bytes beyond which a word is merged by itself.
 LONG = 64
 #: The rank of a pair that is never merged.
@@ -36,8 +38,20 @@ NEVER = 1 << 30
 
 # White space as the vocabulary's normalizer takes it, without U+001C to U+001F, which Python adds.
 _SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SPACES = regex.compile(f"[{_SPACE}]+")
-_ODD = regex.compile("[\x1c-\x1f]")
+# Where the vocabulary's library knows another version of Unicode than Python and its `regex` do. Capitals and their
+# small letters, as first, last and small first; what isn't a letter to the library, and what isn't a number.
+_CAPITALS = ((0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB))
+_NO_LETTERS = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d\U000107bb-\U000107bf\U00010940-\U00010959"
+    "\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011df1\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff3\U000187f8-\U000187ff"
+    "\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24"
+    "\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4"
+    "\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+_NO_NUMBERS = "\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ff4-\U00016ff6"
+_SMALL = {c: small + c - first for first, last, small in _CAPITALS for c in range(first, last + 1)}
+_BEYOND = regex.compile("[\u0558-\U0010ffff]")
+_IS_CAPITAL = regex.compile("[" + "".join(map(chr, _SMALL)) + "]")
 
 
 def _byte_chars() -> list[str]:
@@ -107,7 +121,7 @@ class Transducer:
             setattr(self, name, whole[at : at + int(n)])
             at += int(n)
 
-        self.state = np.repeat(np.arange(len(self.final)), np.diff(self.first))
+        self.arcs = np.repeat(np.arange(len(self.final), dtype=np.int64), np.diff(self.first)) << 8 | self.byte
 
     def find(self, words: list[bytes]) -> list[list[int] | None]:
         """The ids of each word of the lexicon, None for others: all words take a transition at a time."""
@@ -116,7 +130,7 @@ class Transducer:
         sizes = np.array([len(w) for w in words])
         text = np.frombuffer(b"".join(words), np.uint8)
         begin = np.cumsum(sizes) - sizes
-        arcs = self.state.astype(np.int64) << 8 | self.byte
+        arcs = self.arcs
         at, number, alive = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.arange(len(words))
         for k in range(int(sizes.max())):
             if not len(arcs):
@@ -153,17 +167,36 @@ class Codec:
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.added.items()]}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
-        self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", _SPACE))
-        self.names = {i: str(i) for i in self.tokens}
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", _SPACE)
+        self.word = regex.compile(pattern)
+        #: for texts with characters of which Python knows another version; slower
+        self.odd = regex.compile(f"[{_NO_LETTERS}{_NO_NUMBERS}]")
+        self.odd_word = regex.compile(pattern.replace(r"\p{L}", rf"[\p{{L}}--[{_NO_LETTERS}]]").replace(r"\p{N}", rf"[\p{{N}}--[{_NO_NUMBERS}]]"), regex.V1)
         self.lexicon = Transducer(lexicon) if lexicon else None
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        top = max(self.tokens) + 1
+        self.names, self.shown = np.empty(top, object), np.empty(top, object)
+        for i, t in self.tokens.items():
+            self.names[i], self.shown[i] = str(i), t
+        self.forget({})
+
+    def forget(self, kept: dict[str, np.ndarray]) -> None:
+        """Leaves only these words, with their ids, in the table: rows of ids, one after another."""
+        kept = kept | {x: np.array([i], np.int32) for x, i in self.added.items()}
+        self.row = {w: k for k, w in enumerate(kept)}
+        self.sizes = np.array([len(x) for x in kept.values()], np.int64)
+        self.flat = np.concatenate([*kept.values(), np.zeros(0, np.int32)])
 
     def normal(self, text: str) -> str:
+        if text.isascii():
+            return text.lower()
         text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
-        return text.replace("Σ", "σ").lower()  # one character at a time: no final sigma
+        text = text.replace("Σ", "σ").lower()  # one character at a time: no final sigma
+        return text.translate(_SMALL) if _IS_CAPITAL.search(text) else text
 
-    def chunks(self, text: str) -> list[str]:
-        return [x for x in _SPACES.split(text) if x] if _ODD.search(text) else text.split()
+    def words(self, text: str) -> list[str]:
+        """The words of a normalized text; white space is in none."""
+        odd = _BEYOND.search(text) and self.odd.search(text)
+        return (self.odd_word if odd else self.word).findall(text)
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word, by merging its pairs in order of rank, the leftmost first: many words of like sizes a step."""
@@ -236,91 +269,113 @@ class Codec:
                     heapq.heappush(heap, (rank[p][0], a, p))
         return [s for s in sym if s >= 0]
 
-    def learn(self, chunks: Iterable[str]) -> dict[str, tuple[int, str, str]]:
-        """(number of ids, ids, decoded) of chunks."""
-        chunks = list(chunks)
-        split = [self.word.findall(c) for c in chunks]
-        words = list({w for x in split for w in x})
-        raw = [w.encode() for w in words]
-        ids = self.lexicon.find(raw) if self.lexicon else [None] * len(words)
+    def learn(self, words: set[str]) -> None:
+        """Takes the words of a piece of texts into the table."""
+        new = list(words.difference(self.row))
+        raw = [w.encode() for w in new]
+        ids = self.lexicon.find(raw) if self.lexicon else [None] * len(new)
         rest = [i for i, x in enumerate(ids) if x is None]
         for i, x in zip(rest, self.merge([raw[i] for i in rest])):
             ids[i] = x
-        names, tokens = self.names, self.tokens
-        known = {w: (len(x), " ".join([names[i] for i in x]), " ".join([tokens[i] for i in x])) for w, x in zip(words, ids)}
-        out = {}
-        for c, x in zip(chunks, split):
-            got = [known[w] for w in x]
-            out[c] = got[0] if len(got) == 1 else (sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got]))
-        return out
-
-    def parts(self, texts: list[str]) -> list[list[tuple[int, str, str]]]:
-        """For each text (number of ids, ids, decoded), chunk by chunk; a chunk without ids is left out."""
-        pieces_: list[list[list[str] | tuple[int, str, str]]] = []
+        if len(self.row) + len(new) > REMEMBER:
+            end = np.cumsum(self.sizes)
+            self.forget({w: self.flat[end[k] - self.sizes[k] : end[k]] for w, k in self.row.items() if w in words})
+        begin = len(self.row)
+        self.row.update(zip(new, range(begin, begin + len(new))))
+        self.sizes = np.append(self.sizes, np.fromiter(map(len, ids), np.int64, len(ids)))
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.int32))
+
+    def parts(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """(number of ids, ids, decoded) of each text."""
+        split: list[list[str]] = []
         for text in texts:
             if "<|" in text and self.special.search(text):
                 own, at = [], 0
                 for m in self.special.finditer(text):
-                    own += [self.chunks(self.normal(text[at : m.start()])), (1, str(self.added[m[0]]), m[0])]
+                    own += [*self.words(self.normal(text[at : m.start()])), m[0]]
                     at = m.end()
-                pieces_.append([*own, self.chunks(self.normal(text[at:]))])
+                split.append([*own, *self.words(self.normal(text[at:]))])
             else:
-                pieces_.append([self.chunks(self.normal(text))])
-        cache = self.cache
-        new = self.learn({c for own in pieces_ for x in own if isinstance(x, list) for c in x if c not in cache})
-        room = max(REMEMBER - len(cache), 0)
-        cache.update(list(new.items())[:room])
-        get = lambda c: new.get(c) or cache[c]
-        return [[p for x in own for p in ([x] if isinstance(x, tuple) else map(get, x)) if p[0]] for own in pieces_]
+                split.append(self.words(self.normal(text)))
+        self.learn(set().union(*split))
+        rows = np.fromiter(map(self.row.__getitem__, chain.from_iterable(split)), np.int64)
+        of, place = spread(self.sizes[rows])
+        ids = self.flat[(np.cumsum(self.sizes) - self.sizes)[rows][of] + place]
+        ends = np.append(0, np.cumsum(self.sizes[rows]))[np.append(0, np.cumsum([len(x) for x in split])).astype(np.int64)]
+        names, shown = self.names[ids].tolist(), self.shown[ids].tolist()
+        return [(z - a, " ".join(names[a:z]), " ".join(shown[a:z])) for a, z in pairwise(ends.tolist())]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.parts([text])[0] for i in ids.split()]
+        return [int(i) for i in self.parts([text])[0][1].split()]
 
     def decode(self, ids: Iterable[int]) -> str:
         """As a vocabulary without a decoder is decoded: the tokens joined by one space."""
         return " ".join(self.tokens[i] for i in ids)
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str, lexicon: bytes | None = None) -> Codec:
+    """One codec a worker process, for all the tasks that it runs."""
+    return Codec(path, lexicon)
+
+
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for b in pieces(batches, "text", 8 << 20):
-            chunks: Counter = Counter()
-            for text in b.column("text"):
-                chunks.update(codec.chunks(codec.normal(text.as_py() or "")))
             found: Counter = Counter()
-            for chunk, n in chunks.items():
-                for word in codec.word.findall(chunk):
-                    found[word] += n
+            for text in b.column("text"):
+                found.update(codec.words(codec.normal(text.as_py() or "")))
             yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
     return run
 
 
+def frequent_words(texts: DataFrame, path: str, size: int) -> list[str]:
+    """The corpus's `size` most frequent words (ties: the smaller word).
+
+    How many words occur how often tells which count is the last to be kept, so that the tasks send only words that are; only words
+    of that very count, which tie, are sorted.
+    """
+    counts = cut(texts.mapInArrow(_count(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+    # a row for each power of two, then for each count at which the words run out
+    often = F.floor(F.log2("n")).cast("int")
+    levels = sorted(((r["k"], r["words"]) for r in counts.groupBy(often.alias("k")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    above, low, high = 0, 2, None
+    for k, words in levels:
+        if above + words > size:
+            low, high = 2**k, 2 ** (k + 1)
+            break
+        above += words
+    while high is not None and high - low > 1:  # halve what is left
+        middle = (low + high) // 2
+        words = counts.where(F.col("n").between(middle, high - 1)).count()
+        low, high, above = (middle, high, above) if above + words > size else (low, middle, above + words)
+    kept = [r["word"] for r in counts.where(F.col("n") >= (high or 2)).select("word").collect()]
+    if high is not None:
+        kept += [r["word"] for r in counts.where(F.col("n") == low).orderBy("word").limit(size - above).collect()]
+    drop(counts)
+    return kept
+
+
 def compile_lexicon(texts: DataFrame, path: str, size: int = LEXICON_WORDS) -> bytes:
-    """The transducer of the corpus's `size` most frequent words (ties: the smaller word)."""
-    counts = texts.mapInArrow(_count(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    frequent = counts.orderBy(F.desc("n"), "word").limit(size).collect()
-    codec = Codec(path)
-    words = [r["word"].encode() for r in frequent]
-    return Transducer.compile(dict(zip(words, codec.merge(words))))
+    """The transducer of the corpus's most frequent words."""
+    words = [w.encode() for w in frequent_words(texts, path, size)]
+    return Transducer.compile(dict(zip(words, codec_of(path).merge(words))))
 
 
 def _encode(path: str, lexicon, digest_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, lexicon.value)
+        codec = codec_of(path, lexicon.value)
         for b in pieces(batches, "text"):
-            rows = codec.parts([t.as_py() or "" for t in b.column("text")])
-            n = pa.array([sum(p[0] for p in x) for x in rows], pa.int64())
-            ids = [" ".join(p[1] for p in x) for x in rows]
-            decoded = [" ".join(p[2] for p in x) for x in rows]
+            n, ids, decoded = zip(*codec.parts([t.as_py() or "" for t in b.column("text")]))
             if digest_only:
                 sha = lambda texts: pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())
                 columns = [sha(ids), sha(decoded)]
             else:
                 columns = [pa.array([np.fromstring(x, np.int32, sep=" ") for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
             names = ["key", "n_tokens", *(("ids_sha256", "decoded_sha256") if digest_only else ("ids", "decoded"))]
-            yield pa.RecordBatch.from_arrays([b.column("key"), n, *columns], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(n, pa.int64()), *columns], names=names)
 
     return run
 
