@@ -6,7 +6,10 @@ c / (exp(r * (t - b)) * exp(r)). The sample of the function is the (term, t) of
 probability equal to their generalised Jaccard similarity, the sum of smaller weights over the sum of larger weights.
 
 The terms are stratified by hash into BINS, and each of ROUNDS functions samples every bin, so that a term is drawn ROUNDS times for
-ROUNDS * BINS samples. A bin without terms has no sample; the likeness is the share of equal samples among bins filled in either.
+ROUNDS * BINS samples. The fingerprint also has each bin's total weight: with a collision rate j and totals u and v, a bin's larger
+weights add up to (u + v) / (1 + j), u and v at least, and its smaller ones to j times that. The likeness is the sum of the one over
+all bins by the sum of the other; for the larger weights alone, j is drawn to the mean of all bins by PRIOR of its rounds, since so few
+rounds say little.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from kilojoule.llm._shared import cut, key, own_id
 
 ROUNDS = 4
 BINS = 16
+PRIOR = 2
 #: Bits of a sample that a fingerprint keeps.
 SAMPLE_BITS = 24
 
@@ -39,24 +43,45 @@ def _draw(term: str, weight: str) -> tuple[Column, Column]:
 
 
 def samples(texts: DataFrame, by: list[str], text: str = "text") -> DataFrame:
-    """(by, slot, sample): the samples of every text; `by` names its row. A text without words has none."""
+    """(by, slot, sample, total): the samples of every text and their bin's weight; `by` names its row. A text without words has none."""
     words = texts.select(*by, F.explode(F.split(F.lower(F.col(text)), r"\s+")).alias("word")).where("word <> ''")
     weighted = words.select(*by, F.xxhash64("word").alias("term")).groupBy(*by, "term").agg(F.count("*").alias("weight"))
     rounds = weighted.select("*", F.explode(F.array([F.lit(i) for i in range(ROUNDS)])).alias("round"))
     slot, packed = _draw("term", "weight")
-    least = rounds.select(*by, slot.alias("slot"), packed.alias("packed")).groupBy(*by, "slot").agg(F.min("packed").alias("packed"))
-    return least.select(*by, "slot", F.expr(f"packed & {2**SAMPLE_BITS - 1}").alias("sample"))
+    least = rounds.select(*by, slot.alias("slot"), packed.alias("packed"), "weight").groupBy(*by, "slot").agg(F.min("packed").alias("packed"), F.sum("weight").alias("total"))
+    return least.select(*by, "slot", F.expr(f"packed & {2**SAMPLE_BITS - 1}").alias("sample"), F.expr(f"least(total, {2**SAMPLE_BITS - 1})").alias("total"))
+
+
+def _codes(kind: int | None) -> Column:
+    """Aggregate over samples(): the sample of each slot, round by round, then each bin's total; -1 where there is none."""
+    pair = F.struct("slot", F.col("sample").cast("int").alias("sample"), F.col("total").cast("int").alias("total"))
+    found = F.collect_list(pair if kind is None else F.when(F.col("kind") == kind, pair))
+    drawn = F.map_from_entries(F.transform(found, lambda x: F.struct(x["slot"], x["sample"])))
+    totals = F.map_from_entries(F.transform(F.filter(found, lambda x: x["slot"] < BINS), lambda x: F.struct(x["slot"], x["total"])))
+    at = lambda m, n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(-1)))
+    return F.concat(at(drawn, ROUNDS * BINS), at(totals, BINS))
 
 
 def likeness(a: str, b: str) -> Column:
-    """The share of equal samples, of arrays of slot and sample; 1 if neither text has any."""
-    slots = lambda x: f"transform({x}, c -> shiftright(c, {SAMPLE_BITS}))"
-    return F.expr(f"case when size({a}) = 0 and size({b}) = 0 then 1D else cast(size(array_intersect({a}, {b})) as double) / size(array_union({slots(a)}, {slots(b)})) end")
+    """The estimated generalised Jaccard similarity of two arrays of codes; 1 if neither text has any word."""
+    equal = " + ".join(f"if({a}[i + {k * BINS}] = {b}[i + {k * BINS}], 1, 0)" for k in range(ROUNDS))
+    u, v = (f"cast(greatest({x}[i + {ROUNDS * BINS}], 0) as double)" for x in (a, b))
+    # an empty bin's samples are equal, but it weighs nothing
+    bins = f"transform(sequence(0, {BINS - 1}), i -> named_struct('n', {equal}, 'u', {u}, 'v', {v}))"
+    mean = "aggregate(bins, named_struct('low', 0D, 'high', 0D), (s, x) -> named_struct('low', s.low + x.n * (x.u + x.v), 'high', s.high + x.u + x.v), s -> if(s.high = 0, 0D, s.low / s.high))"
+    most = f"greatest((x.u + x.v) / (1 + (x.n + {PRIOR / ROUNDS} * m) / {ROUNDS + PRIOR}), x.u, x.v)"
+    sums = f"aggregate(bins, named_struct('low', 0D, 'high', 0D), (s, x) -> named_struct('low', s.low + x.n * {most} / {ROUNDS}, 'high', s.high + {most}), s -> if(s.high = 0, 1D, s.low / s.high))"
+    # each value is worked out once, by way of an array of one
+    return F.expr(f"transform(array({bins}), bins -> transform(array({mean}), m -> {sums})[0])[0]")
 
 
 def hex_of(codes: str) -> Column:
-    """A fingerprint as text: slot and sample of each filled slot in hexadecimal, by slot."""
-    return F.expr(f"array_join(transform({codes}, c -> lpad(lower(hex(c)), {2 + SAMPLE_BITS // 4}, '0')), '')")
+    """A fingerprint as text: place and code of each filled place in hexadecimal, by place."""
+    return F.expr(f"array_join(filter(transform({codes}, (c, i) -> if(c < 0, '', concat(lpad(lower(hex(i)), 2, '0'), lpad(lower(hex(c)), {SAMPLE_BITS // 4}, '0')))), x -> x <> ''), '')")
+
+
+def _nothing() -> Column:
+    return F.expr(f"array_repeat(-1, {(ROUNDS + 1) * BINS})")
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -65,8 +90,8 @@ def next_ids(ids: DataFrame) -> DataFrame:
     led = ranged.withColumn("next_key", F.lead("key").over(Window.partitionBy("part").orderBy("key")))
     # one row for each range
     starts = ranged.groupBy("part").agg(F.min("key").alias("start"))
-    least = starts.agg(F.min("start").alias("least"))
-    after = starts.withColumn("after", F.lead("start").over(Window.orderBy("part"))).crossJoin(F.broadcast(least)).select("part", F.coalesce("after", "least").alias("after"))
+    least = ranged.agg(F.min("key")).first()[0]
+    after = starts.select("part", F.coalesce(F.lead("start").over(Window.orderBy("part")), F.lit(least).cast("long")).alias("after"))
     return led.join(F.broadcast(after), "part").select("key", F.coalesce("next_key", "after").alias("next_key"))
 
 
@@ -79,16 +104,11 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = documents.select(key(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     texts = texts.repartition("key").groupBy("key", "text").agg(F.count("*").alias("copies")).withColumn("th", F.xxhash64("text"))
     found = samples(texts, ["key", "th"]).groupBy("key", "th").agg(_codes(None).alias("codes"))
-    out = texts.join(found, ["key", "th"], "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<long>")))
+    out = texts.join(found, ["key", "th"], "left").withColumn("codes", F.coalesce("codes", _nothing()))
     out = out.select("*", F.explode(F.expr("sequence(1, copies)")))
     return out.select(own_id().alias("doc_id"), F.sha2("text", 256).alias("text_sha256"), hex_of("codes").alias("fingerprint"), "codes")
 
 
-def _codes(kind: int | None) -> Column:
-    code = F.expr(f"shiftleft(cast(slot as bigint), {SAMPLE_BITS}) | sample")
-    return F.sort_array(F.collect_list(code if kind is None else F.when(F.col("kind") == kind, code)))
-
-
 def edit_likeness(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document.
 
@@ -97,24 +117,22 @@ def edit_likeness(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     that repeat an id the smallest text is the one that others have as their next. Other columns are ignored.
     """
     texts = documents.select(key(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # without the texts: who is next, and how much of it is needed
+    sizes = documents.select(key(id_col).alias("key"), F.length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("n")).groupBy("key").agg(F.max(F.expr("n div 2")).alias("need"))
+    need = cut(next_ids(sizes.select("key")).join(sizes.hint("merge"), "key").select(F.col("next_key").alias("key"), F.col("key").alias("before"), "need"))
     texts = texts.repartition("key").groupBy("key", "text").agg(F.count("*").alias("copies"))
-    sizes = texts.select("key", F.length("text").alias("n"))
-    order = cut(next_ids(documents.select(key(id_col).alias("key")).distinct()))  # without the texts
-    # of the next document travels only what is needed
-    need = sizes.groupBy("key").agg(F.max(F.expr("n div 2")).alias("need")).join(order, "key").select(F.col("next_key").alias("key"), F.col("key").alias("before"), "need")
-    nexts = texts.groupBy("key").agg(F.min("text").alias("text")).join(need, "key")
+    nexts = texts.groupBy("key").agg(F.min("text").alias("text")).join(need.hint("merge"), "key")
     nexts = nexts.select(F.col("before").alias("key"), F.col("key").alias("next_key"), F.xxhash64("text").alias("next_th"), F.expr("left(text, cast(need as int))").alias("head"))
-    both = texts.join(nexts, "key").withColumn("n", F.length("text"))
+    both = texts.join(nexts.hint("merge"), "key").withColumn("n", F.length("text")).withColumn("th", F.xxhash64("text"))
     both = both.withColumn("edited", F.expr("concat(left(text, cast(n - n div 2 as int)), left(head, cast(n div 2 as int)))"))
-    by = ["key", "th", "next_key", "next_th", "n", "copies", "edited_sha256"]
-    both = both.withColumn("th", F.xxhash64("text")).withColumn("edited_sha256", F.sha2("edited", 256))
+    # both branches read the same columns, so that the shuffles of texts and heads are made once
+    by = ["key", "th", "next_key", "next_th", "n", "copies"]
     kinds = both.select(*by, F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x")).select(*by, "x.kind", "x.text")
-    # a row for each text besides its samples', for texts without words
-    drawn = samples(kinds.select("key", "th", "kind", "text"), ["key", "th", "kind"]).groupBy("key", "th").agg(_codes(0).alias("codes"), _codes(1).alias("edited_codes"))
-    empty = F.array().cast("array<long>")
-    done = cut(both.select(*by).join(drawn, ["key", "th"], "left").select(*by, F.coalesce("codes", empty).alias("codes"), F.coalesce("edited_codes", empty).alias("edited_codes")))
-    following = done.groupBy("key", "th").agg(F.first("codes").alias("next_codes")).select(F.col("key").alias("next_key"), F.col("th").alias("next_th"), "next_codes")
-    out = done.join(following, ["next_key", "next_th"]).select("*", F.explode(F.expr("sequence(1, cast(copies as int))")))
+    drawn = samples(kinds, [*by, "kind"]).groupBy(*by).agg(_codes(0).alias("codes"), _codes(1).alias("edited_codes")).select("key", "th", "codes", "edited_codes")
+    rows = both.select(*by, F.sha2("edited", 256).alias("edited_sha256"))  # texts without words have no samples
+    done = cut(rows.join(drawn.hint("merge"), ["key", "th"], "left").select(*by, "edited_sha256", F.coalesce("codes", _nothing()).alias("codes"), F.coalesce("edited_codes", _nothing()).alias("edited_codes")), need)
+    following = done.select(F.col("key").alias("next_key"), F.col("th").alias("next_th"), F.col("codes").alias("next_codes"))
+    out = done.join(following.hint("merge"), ["next_key", "next_th"]).select("*", F.explode(F.expr("sequence(1, cast(copies as int))")))
     return out.select(
         own_id().alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256", hex_of("codes").alias("fingerprint"), hex_of("edited_codes").alias("edited_fingerprint"),
         likeness("codes", "edited_codes").alias("near_edited"), likeness("codes", "next_codes").alias("near_next"),
