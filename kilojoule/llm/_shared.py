@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 #: Most rows of a list of ids (or of short records) that a join may broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
-#: Bytes and rows of a batch that a task hands to its Python worker at once, where a table is cut.
+#: Bytes and rows of a batch that a task hands to its Python worker at once, (bounds of the session, see small_batches).
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2_000
 
 
@@ -31,18 +30,13 @@ def own_id(column: str | Column = "key") -> Column:
     return F.when(column != F.lit(NULL_ID), column)
 
 
-@contextmanager
-def small_batches(spark: SparkSession):
-    """Hands texts to Python workers in batches of BATCH_BYTES within the block: tasks hold several copies of a batch outside the heap."""
-    names = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch")
-    before = {n: spark.conf.get(n, None) for n in names}
-    try:
-        for n, v in zip(names, (BATCH_BYTES, BATCH_ROWS)):
-            spark.conf.set(n, str(v))
-        yield
-    finally:
-        for n, v in before.items():
-            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what the session hands to Python workers at once: tasks hold several copies of a batch outside the heap, and an operator's
+    result is computed by an action of the caller's, so the bounds stay set. Smaller ones stay as they are."""
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = spark.conf.get(name, None) or ""
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -61,8 +55,8 @@ def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
     spent are tables of earlier cuts that nothing reads any more once df is written; their files go.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    with small_batches(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+    small_batches(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
     drop(*spent)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.cut_path = path

@@ -1,42 +1,42 @@
 """N-gram Jaccard join: which documents share most of their word shingles, by universe partitioning.
 
-Two sets of sizes a and b with a Jaccard similarity of t or more differ in at most (1-t)/(1+t) * (a+b) members. Hash the universe
-of shingles into segments: among any H+1 segments, two sets that differ in at most H members agree on one whole segment. Every set
-therefore indexes its first H+1+slack segment subsets under a scheme of its size band, and sets that meet in no bucket can't link.
+Two sets of sizes a and b with a Jaccard similarity of t or more differ in at most H = (1-t)/(1+t) * (a+b) members. Hash the universe
+of shingles into segments, by a scheme of each size band: among any H+1+k segments, two sets that differ in at most H members agree on
+k+1 whole segments at least. Every set indexes its segments, and sets that meet in no bucket can't link.
 
-Costs are allocated per segment. A segment that is empty in a set, or whose bucket is large, costs most and says least, so a set
-leaves those out; `slack` segments more than H+1 pay for it. A set that would leave out more than the slack keeps its empty segments,
-and if its buckets are large is joined by its rarest shingles instead, so that no link is lost. Small sets, where one member makes up a whole segment, take one segment and its one-deletion neighbourhood
-where that is cheaper than H+1 small segments.
+Costs are allocated per segment, by the sizes of the buckets that the corpus gives: each set leaves out its costliest segments, as many
+as half of k, and two sets are compared if they still agree on more than the other half. Of what two sets that link agree on the
+smaller half is left out by neither, so no link is lost. Small sets, whose segments would be mostly empty, are a segment each, with
+the deletion neighbourhood that reaches what a set of the size may have besides its partner.
 
-Buckets never make all their pairs. Their members are first verified against the bucket's smallest one, then only members of
-components that are still apart are paired.
+Buckets don't make all their pairs. In each round every set is verified against one other, the head that its buckets elect, and linked
+sets are one from then on. Only what is still apart after the rounds is paired, where sizes and bitmaps of the sets allow a link.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilojoule.llm._shared import cut, join_checked, key, mix, own_id, pieces, signed, spread, words
+from kilojoule.llm._shared import cut, drop, join_checked, key, mix, own_id, pieces, signed, spread, words
 
 SHINGLE = 5
 #: Bytes of text that a task works on at once.
 PIECE = 1 << 19
-#: Members of a bucket beyond which its signature counts as costly.
-LARGE_BUCKET = 48
-#: Costly signatures of a set that may be left out, besides its empty segments.
-SLACK = 2
-#: Schemes for sizes up to this have no slack, and their sets leave nothing out.
-NO_SLACK = 16
-#: Sizes up to this use one segment with its one-deletion neighbourhood when the sets can differ in one member.
-ONE_DELETION = 8
+#: Segments beyond H+1, as a share of them and at least; half of them are left out.
+SLACK, LEAST_SLACK = 0.1, 2
+#: Sets up to this size are one segment, if a partner lacks no more than so many of their members.
+SMALL, DELETIONS = 17, 3
+#: Rounds in which sets are verified against an elected head.
+ROUNDS = 2
+#: 64-bit words of a set's bitmap.
+BITMAP = 4
 
 
 def shingles(column: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -66,41 +66,70 @@ def _set_hash(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Scheme:
-    """How sets of sizes low..high are cut: `differ` members at most between two sets of these sizes, `segments` in all."""
+    """How sets of sizes low..high are cut: `segments` in all."""
 
     def __init__(self, number: int, low: int, high: int, t: float):
         self.number, self.low, self.high = number, low, high
         self.rate = (1 - t) / (1 + t)
-        self.empties = 0 if high <= NO_SLACK else 1 + math.ceil(0.02 * high)
-        self.slack = 0 if high <= NO_SLACK else SLACK
+        self.slack = max(LEAST_SLACK, math.ceil(SLACK * (self.differ(high, t) + 1))) if number else 0
+        # sets without members in more segments than this index those, too
+        self.empties = 1 + math.ceil(0.012 * high)
         self.segments = self.first(high, t)
 
-    def first(self, size: int, t: float) -> int:
-        """Segments that a set of this size indexes: one more than two sets can differ in, and the slack."""
+    def differ(self, size: int, t: float) -> int:
         partner = min(self.high, math.floor(size / t + 1e-9))
-        return math.floor(self.rate * (size + partner) + 1e-9) + 1 + self.empties + self.slack
+        return math.floor(self.rate * (size + partner) + 1e-9)
+
+    def first(self, size: int, t: float) -> int:
+        """Segments that a set of this size indexes."""
+        return self.differ(size, t) + 1 + self.empties + self.slack
+
+
+def slacks(t: float) -> list[int]:
+    """Of every scheme there can be, by number."""
+    return [s.slack for s in schemes(t, 1 << 30)]
 
 
 def schemes(t: float, most: int) -> list[Scheme]:
-    """Bands that double, and one scheme across each border for sets on either side that can still link."""
-    out, low = [], 1
-    while low <= most:
-        high = 2 * low - 1 if low > 1 else 1
-        out.append(Scheme(len(out), low, high, t))
-        out.append(Scheme(len(out), math.ceil(t * (high + 1) - 1e-9), math.floor(high / t + 1e-9), t))
-        low = high + 1
+    """The small sizes, number 0; from there on bands by a factor of 1 / t, of which each scheme takes two that follow one another.
+
+    Two sets that link are of one band or of neighbours, so they have a scheme in common; the first one crosses into the small sizes.
+    """
+    high = max(n for n in range(SMALL + 1) if lacking(n, t) <= DELETIONS)
+    out, low, middle = [Scheme(0, 1, high, t)], math.ceil(t * (high + 1) - 1e-9), high + 1
+    while middle <= most:
+        next_ = max(middle + 1, math.ceil(middle / t - 1e-9))
+        out.append(Scheme(len(out), low, next_ - 1, t))
+        low, middle = middle, next_
     return out
 
 
+def lacking(n: int, t: float) -> int:
+    """Members of a set of n that one which links may lack."""
+    return math.floor((1 - t) * n + 1e-9)
+
+
+def _named(sig: np.ndarray, s: Scheme) -> np.ndarray:
+    """With the scheme's number in the lowest seven bits."""
+    return sig >> np.uint64(7) << np.uint64(7) | np.uint64(s.number)
+
+
 def signatures(h: np.ndarray, at: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature) of every segment subset that a set indexes."""
     n = np.diff(at)
     rows, sigs = [], []
     row_of = np.repeat(np.arange(len(n)), n)
-    for s in schemes(t, int(n.max(initial=0))):
+    small, *others = schemes(t, int(n.max(initial=0)))
+    for k in np.unique(n[(n > 0) & (n <= small.high)]).tolist():
+        some = np.flatnonzero(n == k)
+        v = mix(h[at[:-1][some][:, None] + np.arange(k)])
+        for gone in range(lacking(k, t) + 1):
+            without = np.array(list(combinations(range(k), gone)), np.int64)
+            left = v.sum(1)[:, None] - (v[:, without].sum(2) if gone else np.zeros((len(some), 1), np.uint64))
+            rows.append(np.repeat(some, left.shape[1]))
+            sigs.append(_named(mix(left + mix(np.full(1, k - gone, np.uint64))).ravel(), small))
+    for s in others:
         members = (n >= s.low) & (n <= s.high)
-        if s.number % 2:  # across a border: both sides, if each can have a partner on the other
-            members &= s.low < s.high
         if not members.any():
             continue
         first = np.zeros(len(n), np.int64)
@@ -110,15 +139,6 @@ def signatures(h: np.ndarray, at: np.ndarray, t: float) -> tuple[np.ndarray, np.
         pick = members[row_of]
         r, x = row_of[pick], h[pick]
         salt = np.uint64((s.number + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
-        if s.high <= ONE_DELETION and 1 < s.segments <= 2:
-            # one segment, the whole set, and the set without each of its members
-            v = mix(x ^ salt)
-            sums = np.zeros(len(n), np.uint64)
-            np.add.at(sums, r, v)
-            whole = np.flatnonzero(members)
-            rows += [whole, r]
-            sigs += [mix(sums[whole] + salt), mix(sums[r] - v + salt)]
-            continue
         seg = ((mix(x ^ salt) >> np.uint64(20)) % np.uint64(s.segments)).astype(np.int64)
         keep = seg < first[r]
         r, x, seg = r[keep], x[keep], seg[keep]
@@ -130,7 +150,7 @@ def signatures(h: np.ndarray, at: np.ndarray, t: float) -> tuple[np.ndarray, np.
         own = cell[begins]
         who, which = own // s.segments, own % s.segments
         rows.append(who)
-        sigs.append(mix(sums + mix(salt + which.astype(np.uint64))))
+        sigs.append(_named(mix(sums + mix(salt + which.astype(np.uint64))), s))
         empty = np.where(members, first - np.bincount(who, minlength=len(n)), 0)
         many = np.flatnonzero(empty > s.empties)
         if len(many):  # keeps its empty segments: their agreement may be all that such a pair has
@@ -141,16 +161,29 @@ def signatures(h: np.ndarray, at: np.ndarray, t: float) -> tuple[np.ndarray, np.
             has[place[who[sel]], which[sel]] = True
             a, b = np.nonzero(~has & (np.arange(s.segments) < first[many][:, None]))
             rows.append(many[a])
-            sigs.append(mix(mix(salt + b.astype(np.uint64)) + np.uint64(1)))
+            sigs.append(_named(mix(mix(salt + b.astype(np.uint64)) + np.uint64(1)), s))
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(rows), np.concatenate(sigs)
 
 
+def _bitmaps(h: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """A bitmap for each set: every member turns one bit over, so the bitmaps of two sets differ in no more bits than the sets in members."""
+    n, row = len(at) - 1, np.repeat(np.arange(len(at) - 1), np.diff(at))
+    bit = (mix(h ^ np.uint64(0x6B69746D)) >> np.uint64(40)).astype(np.int64) % (64 * BITMAP)
+    odd = (np.bincount(row * (64 * BITMAP) + bit, minlength=n * 64 * BITMAP) & 1).astype(np.uint8).reshape(n, BITMAP, 64)
+    return [signed(np.packbits(odd[:, k], axis=1, bitorder="little").view(np.uint64).ravel()) for k in range(BITMAP)]
+
+
+_BITS = [f"bits{k}" for k in range(BITMAP)]
+#: What of a set tells that it can't link with another.
+_SHAPE = ["n", "many", *_BITS]
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, "text", PIECE):
         h, at = shingles(b.column("text"))
-        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(np.diff(at)), signed(_set_hash(h, at))], names=["key", "n", "h"])
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(np.diff(at)), signed(_set_hash(h, at)), *_bitmaps(h, at)], names=["key", "n", "h", *_BITS])
 
 
 def _index(t: float):
@@ -191,39 +224,37 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         new = cut(large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
         same = [d.agg(F.count("*"), F.sum(F.hash("u", "v")), F.bit_xor(F.xxhash64("u", "v"))).first() for d in (edges, new)]
+        drop(edges)
         edges = new
         if same[0] == same[1]:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _linked(pairs: DataFrame, per_id: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids that link, by their whole sets; sizes alone rule many out."""
-    size = lambda c: per_id.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"))
-    pairs = join_checked(join_checked(pairs.distinct(), size("a"), "a", "inner"), size("b"), "b", "inner")
-    pairs = cut(pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = cut(join_checked(texts, ends, "key", "left_semi").mapInArrow(_whole_sets, "key long, members array<long>"))
+def _allowed(percent: int) -> str:
+    """Whether sets a and b may link, by their sizes and bitmaps: |A ^ B| <= (100 - percent) / (100 + percent) * (|A| + |B|)."""
+    differ = " + ".join(f"bit_count(a{c} ^ b{c})" for c in _BITS)
+    return f"(amany or bmany or 100 * least(an, bn) >= {percent} * greatest(an, bn) and {100 + percent} * ({differ}) <= {100 - percent} * (an + bn))"
+
+
+def _linked(pairs: DataFrame, per_id: DataFrame, texts: DataFrame, percent: int, *spent: DataFrame) -> DataFrame:
+    """The pairs (a, b) of class ids that link, by their whole sets; sizes and bitmaps alone rule many out."""
+    of = lambda c: per_id.select(F.col("id").alias(c), *[F.col(x).alias(c + x) for x in _SHAPE]).hint("merge")
+    pairs = cut(pairs.join(of("a"), "a").join(of("b"), "b").where(_allowed(percent)).select("a", "b"), *spent)
+    ends = cut(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
+    sets = cut(join_checked(texts, ends, "key", "left_semi").mapInArrow(_whole_sets, "key long, members array<long>"), ends)
     side = lambda c: sets.select(F.col("key").alias(c), F.col("members").alias(f"members_{c}"))
     both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     common, total = F.size(F.array_intersect("members_a", "members_b")), F.size("members_a") + F.size("members_b")
-    return cut(both.where((100 * common.cast("long") >= percent * (total - common)) & (common > 0)).select("a", "b"))
-
+    return cut(both.where((100 * common.cast("long") >= percent * (total - common)) & (common > 0)).select("a", "b"), pairs, sets)
 
-def _by_rare_members(texts: DataFrame, state: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets of different components that may link, for sets that mostly consist of what many sets share.
 
-    Two sets that link share one of each one's rarest members, as many as it may lack of the other and one more.
-    """
-    members = texts.mapInArrow(_whole_sets, "key long, members array<long>").select(F.col("key").alias("id"), F.size("members").alias("n"), F.explode("members").alias("member"))
-    members = cut(members)
-    often = members.groupBy("member").agg(F.count("*").alias("often"))
-    rare = members.join(often, "member").withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("often", "member")))
-    rare = rare.where((F.col("nth") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - F.lit(1e-9)) + 1) & (F.col("often") > 1)).select("member", "id", "n")
-    rare = cut(join_checked(rare, state.select("id", "component"), "id", "inner"))
-    side = lambda c: rare.select("member", *[F.col(x).alias(c + x) for x in ("id", "n", "component")])
-    pairs = side("a").join(side("b").hint("merge"), "member").where(f"aid < bid and acomponent <> bcomponent and 100 * least(an, bn) >= {percent} * greatest(an, bn)")
-    return pairs.select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct()
+def _apart(buckets: DataFrame, comp: DataFrame) -> DataFrame:
+    """The buckets with their members' components, where there are several in a bucket."""
+    rows = buckets.join(comp.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    by_sig = Window.partitionBy("sig")
+    rows = rows.withColumn("low", F.min("component").over(by_sig)).withColumn("high", F.max("component").over(by_sig))
+    return rows.where("low <> high").drop("low", "high")
 
 
 def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -237,35 +268,43 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     t = percent / 100
     texts = documents.select(key(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    sets = cut(texts.mapInArrow(_sets, "key long, n long, h long"))
+    sets = cut(texts.mapInArrow(_sets, f"key long, n long, h long, {', '.join(c + ' long' for c in _BITS)}"))
     classes = sets.where("n > 0").groupBy("h", "n").agg(F.min("key").alias("rep"), F.count("*").alias("n_copies"))
-    to_rep = cut(sets.where("n > 0").select("key", "h", "n").distinct().join(classes, ["h", "n"]).select("key", "rep", "n_copies", "n", "h"))
+    to_rep = cut(sets.where("n > 0").distinct().join(classes, ["h", "n"]))
     # of equal sets only the smallest id's is indexed
-    copies = to_rep.groupBy("key").agg(F.bool_or(F.col("key") == F.col("rep")).alias("stands")).where("not stands").select("key")
+    copies = cut(to_rep.groupBy("key").agg(F.bool_or(F.col("key") == F.col("rep")).alias("stands")).where("not stands").select("key"))
     texts = join_checked(texts, copies, "key", "left_anti")
 
     by_sig = Window.partitionBy("sig")
     found = texts.mapInArrow(_index(t), "sig long, id long").withColumn("head", F.min("id").over(by_sig)).withColumn("most", F.max("id").over(by_sig))
     buckets = cut(found.withColumn("size", F.count("*").over(by_sig).cast("int")).where("head <> most").select("sig", "id", "head", "size"))
-    per_id = cut(to_rep.where("key = rep").groupBy(F.col("rep").alias("id")).agg(F.min("n").alias("n")))
-    edges = [_linked(buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")), per_id, texts, percent)]
-    comp = components(edges[0])
-
-    # what is still apart: pairs in small buckets, and sets with more large buckets than the slack
-    met = buckets.groupBy("id").agg(F.count_if(F.col("size") > LARGE_BUCKET).alias("n_large"))
-    state = cut(met.join(per_id, "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "n_large", "n", F.coalesce("component", "id").alias("component")))
-    apart = join_checked(buckets.select("sig", "id", "size"), state, "id", "inner")
-    apart = cut(apart.withColumn("low", F.min("component").over(by_sig)).withColumn("high", F.max("component").over(by_sig)).where("low <> high").drop("low", "high"))
-    kept = apart.where(F.col("size") <= LARGE_BUCKET)
-    costly = apart.where((F.col("size") > LARGE_BUCKET) & ((F.col("n_large") > SLACK) | (F.col("n") <= NO_SLACK))).select(F.col("id").alias("key")).distinct()
-    side = lambda c: kept.select("sig", *[F.col(x).alias(c + x) for x in ("id", "component", "n", "n_large")])
-    rest = side("a").join(side("b").hint("merge"), "sig").where(f"aid < bid and acomponent <> bcomponent and 100 * least(an, bn) >= {percent} * greatest(an, bn)")
-    # two sets that link agree on more segments than the slack; those in left-out buckets are among the large ones of both
-    rest = rest.groupBy(F.col("aid").alias("a"), F.col("bid").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("an_large", "bn_large")).alias("large"), F.min(F.greatest("an", "bn")).alias("size"))
-    rest = rest.where(f"shared + large > {SLACK} or size <= {NO_SLACK}").select("a", "b")
-    rest = rest.union(_by_rare_members(join_checked(texts, costly, "key", "left_semi"), state, percent))
-    edges.append(_linked(rest, per_id, texts, percent))
-    comp = components(reduce(DataFrame.union, edges))
+    # rows that repeat an id may have several sets, of which no one shape says anything
+    per_id = cut(to_rep.where("key = rep").groupBy(F.col("rep").alias("id")).agg((F.count("*") > 1).alias("many"), *[F.min(c).alias(c) for c in ("n", *_BITS)]))
+    heads = buckets.where("id <> head").groupBy(F.col("id").alias("b")).agg(F.min("head").alias("a"))
+    links = _linked(heads, per_id, texts, percent)
+    comp = components(links)
+
+    # each set leaves out its costliest signatures: the largest buckets, up to half of its scheme's slack
+    slack = F.element_at(F.array(*map(F.lit, slacks(t))), F.expr("cast(sig & 127 as int) + 1"))
+    costly = F.row_number().over(Window.partitionBy("id", F.expr("sig & 127")).orderBy(F.desc("size"), "sig"))
+    kept = buckets.withColumn("left_out", F.floor(slack / 2)).withColumn("costly", costly).where("costly > left_out").withColumn("need", slack - F.col("left_out") + 1).drop("left_out", "costly", "head")
+    kept = cut(_apart(kept, comp), buckets)
+    for _ in range(ROUNDS - 1):
+        # of a bucket that member which is in the largest ones: what many texts were edited from. A set takes the head that it meets most
+        score = kept.groupBy("id").agg(F.sum("size").alias("score"))
+        ranked = kept.join(score.hint("merge"), "id").withColumn("head", F.max(F.struct("score", "id", "component")).over(by_sig)).where("component <> head.component")
+        met = ranked.groupBy(F.col("id").alias("b"), F.col("head.id").alias("a")).agg(F.struct(F.count("*").alias("often"), F.max("head.score").alias("score")).alias("met"))
+        pairs = met.groupBy("b").agg(F.max_by("a", F.struct("met", "a")).alias("a"))
+        more = _linked(pairs, per_id, texts, percent)
+        links = cut(links.union(more), links, more)
+        comp = components(links)
+        kept = cut(_apart(kept.select("sig", "id", "size", "need"), comp), kept)
+    kept = cut(kept.join(per_id.hint("merge"), "id"), kept)
+    side = lambda c: kept.select("sig", *([] if c == "b" else ["need"]), *[F.col(x).alias(c + x) for x in ("id", "component", *_SHAPE)])
+    rest = side("a").join(side("b").hint("merge"), "sig").where(f"aid < bid and acomponent <> bcomponent and {_allowed(percent)}")
+    rest = rest.groupBy(F.col("aid").alias("a"), F.col("bid").alias("b"), F.expr("sig & 127").alias("scheme")).agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b").distinct()
+    more = _linked(rest, per_id, texts, percent)
+    comp = components(links.union(more))
 
     reached = to_rep.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     reached = reached.groupBy("key", "h", "n").agg(F.min(F.coalesce("component", "rep")).alias("component"), F.max("n_copies").alias("n_copies"))

@@ -104,8 +104,9 @@ def test_join(cases, small, empty):
     assert got(jaccard_join.jaccard_join(empty)) == []
 
 
-def test_join_of_sets_in_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LARGE_BUCKET", 3)
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_join_of_sets_in_large_buckets(spark, monkeypatch, rounds):
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
     rng, line = random.Random(6), " ".join(f"c{i}" for i in range(60))
     rows = [(i, line + " " + " ".join(f"d{i // 2}x{j}" for j in range(rng.choice([3, 8, 20, 60]))) + (" end" if i % 2 else "")) for i in range(80)]
     rows += [(100 + i, " ".join(f"c{k}" for k in range(i % 9, i % 9 + 9)) + f" t{i // 3}") for i in range(60)]
@@ -116,8 +117,8 @@ def test_join_of_sets_in_large_buckets(spark, monkeypatch):
 def test_join_links_at_the_threshold(spark):
     """Random pairs of sets around the threshold, of many sizes; a chain; a group whose members meet only in large buckets."""
     rng, rows = random.Random(3), []
-    for k in range(150):
-        n = rng.choice([6, 7, 8, 9, 12, 15, 16, 17, 20, 31, 33, 40, 63, 64, 66, 80, 100, 127, 130, 200, 255, 258, 300])
+    for k in range(200):
+        n = rng.choice([1, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 25, 26, 31, 33, 40, 63, 64, 66, 80, 100, 127, 130, 200, 255, 258, 300])
         words = [f"p{k}x{i}" for i in range(n + 4)]
         rows.append((len(rows), " ".join(words)))
         cut = rng.randint(0, max(1, n // 4 + 1))
