@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilojoule.llm._shared import cut, drop, key, own_id, pieces, spread
+from kilojoule.llm._shared import cut, drop, key, own_id, pieces, small_batches, spread
 
 #: Frequent words that the lexicon holds at most; it is read by every task, so this bounds its size (some megabytes).
 LEXICON_WORDS = 32_768
@@ -387,6 +387,7 @@ def bpe(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     empty texts have no tokens; their ids and decoded text are empty. Row by row: null and repeated ids stay as they are, and other
     columns are ignored.
     """
+    small_batches(documents.sparkSession)
     texts = documents.select(key(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     lexicon = documents.sparkSession.sparkContext.broadcast(compile_lexicon(texts, path, lexicon_words))
     columns = "ids_sha256 string, decoded_sha256 string" if digest_only else "ids array<int>, decoded string"

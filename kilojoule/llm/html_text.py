@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilojoule.llm._shared import own_id, key, pieces
+from kilojoule.llm._shared import key, own_id, pieces, small_batches
 
 # Fixed values of HTML: elements without an end, with raw content, and that stand in a line of text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -271,5 +271,6 @@ def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Null, empty and textless pages give the empty text. Row by row: null and repeated ids and repeated rows stay as they are, and
     other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(key(id_col).alias("key"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_extract, "key long, url string, text string, n_chars long").select(own_id().alias("page_id"), "url", "text", "n_chars")

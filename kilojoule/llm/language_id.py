@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilojoule.llm._shared import key, mix, own_id, pieces
+from kilojoule.llm._shared import key, mix, own_id, pieces, small_batches
 
 BITS = 15
 GRAMS = (1, 2, 3)
@@ -99,6 +99,7 @@ def language_id(documents: DataFrame, held_out: Column, id_col: str = "doc_id",
     probability of lang_pred otherwise; ties go to the language that sorts first. A null held_out counts as false. Null and repeated
     ids and repeated rows are scored row by row; other columns are ignored.
     """
+    small_batches(documents.sparkSession)
     rows = documents.select(key(id_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     model = documents.sparkSession.sparkContext.broadcast(train(rows.where("not held_out")))
     return rows.select("key", "text", "held_out").mapInArrow(_score(model), "key long, held_out boolean, lang_pred string, score double").select(own_id().alias("doc_id"), "held_out", "lang_pred", "score")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilojoule.llm._shared import Rolling, key, mix, own_id, pieces, text_bytes, words
+from kilojoule.llm._shared import key, mix, own_id, pieces, Rolling, small_batches, text_bytes, words
 
 LABELLED = 6000
 UNLABELLED = 4000
@@ -228,6 +228,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
     Without any labels all documents score alike. Null texts count as empty; missing source or lang columns as null. Null and
     repeated ids are scored row by row; other columns are ignored, but row_col, a long, is handed on last if it is given.
     """
+    small_batches(documents.sparkSession)
     column = lambda c: F.col(c).cast("string").alias(c) if c in documents.columns else F.lit(None).cast("string").alias(c)
     rows = documents.select(key(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), column("source"), column("lang"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
     models = documents.sparkSession.sparkContext.broadcast(train(rows.drop("row"), labels.select(key(id_col).alias("key"), "quality", "toxic")))

@@ -106,25 +106,34 @@ def _scan(rule: Rule) -> Column:
     return F.col("text").rlike(f"{rule.pattern.removesuffix('+')}{{{rule.least}}}" if rule.pattern.endswith("]+") else rule.pattern)
 
 
-def secret_scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
-    """(doc_id, found): for every document the spans found, an array of (start, end, number, kind) by start, then rule.
+def _rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return documents.select(key(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
-    Places are code points, ends exclusive. Null counts as empty and has none. Null and repeated ids keep their rows (rows with one
-    id are told apart by their texts, equal rows share their spans); other columns are ignored.
-    """
-    texts = documents.select(key(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+
+def secret_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
+    """(key, th, found): the spans of each id and text (th: its hash) that has any, as a table; see secret_scan()."""
+    texts = _rows(documents, id_col, text_col)
     asked = cut(candidates(trigram_index(texts, rules), rules))
     full = [(n, r) for n, r in enumerate(rules) if not trigram_query(r)]
     scan = F.array_compact(F.array([F.when(_scan(r), F.lit(n)) for n, r in full])) if full else F.array().cast("array<int>")
     scanned = texts.select("key", "th", scan.alias("rules")).where("size(rules) > 0")
-    due = cut(asked.union(scanned).groupBy("key", "th").agg(F.flatten(F.collect_list("rules")).alias("rules")))
+    due = cut(asked.union(scanned).groupBy("key", "th").agg(F.flatten(F.collect_list("rules")).alias("rules")), asked)
     verified = join_checked(texts.withColumn("row", F.struct("key", "th")), due.select(F.struct("key", "th").alias("row"), "rules"), "row", "inner")
     spans = F.concat(*[F.when(F.array_contains("rules", n), spans_of(r, n)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,number:int>>)")) for n, r in enumerate(rules)])
     kinds = F.array([F.lit(r.kind) for r in rules])
     spans = verified.select("key", "th", spans.alias("s")).where("size(s) > 0").dropDuplicates(["key", "th"])
     spans = spans.withColumn("kinds", kinds).select("key", "th", F.expr("transform(array_sort(s, (x, y) -> if(x.start <> y.start, x.start - y.start, x.number - y.number)), x -> named_struct('start', x.start, 'end', x.end, 'number', x.number, 'kind', element_at(kinds, x.number + 1)))").alias("found"))
-    spans = cut(spans)
-    ids = texts.select(F.struct("key", "th").alias("row"))
+    return cut(spans, due)
+
+
+def secret_scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
+    """(doc_id, found): for every document the spans found, an array of (start, end, number, kind) by start, then rule.
+
+    Places are code points, ends exclusive. Null counts as empty and has none. Null and repeated ids keep their rows (rows with one
+    id are told apart by their texts, equal rows share their spans); other columns are ignored.
+    """
+    spans = secret_spans(documents, id_col, text_col, rules)
+    ids = _rows(documents, id_col, text_col).select(F.struct("key", "th").alias("row"))
     out = join_checked(ids, spans.select(F.struct("key", "th").alias("row"), "found"), "row", "left", 100_000)
     none = F.expr("cast(array() as array<struct<start:int,end:int,number:int,kind:string>>)")
     return out.select(own_id("row.key").alias("doc_id"), F.coalesce("found", none).alias("found"))

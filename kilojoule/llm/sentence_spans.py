@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilojoule.llm._shared import cut, key, mix, own_id, pieces, signed, spread
+from kilojoule.llm._shared import cut, key, mix, own_id, pieces, signed, small_batches, spread
 
 #: Words of a span at least.
 LEAST_WORDS = 25
@@ -128,6 +128,7 @@ def sentence_span_dedup(documents: DataFrame, id_col: str = "doc_id", text_col:
     smallest. Rows that repeat an id count as one document: what is found in any is removed from all, and of equal rows with one id
     both stay. Other columns are ignored.
     """
+    small_batches(documents.sparkSession)
     texts = documents.select(key(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     often = cut(texts.mapInArrow(_frequent(least_words), "span long, n long").groupBy("span").agg(F.sum("n").alias("n")))
     limit = max(LEAST_HOT, HOT * (often.where("span is null").agg(F.sum("n")).first()[0] or 0))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilojoule.llm._shared import Rolling, cut, join_checked, key, mix, own_id, pieces, signed, spread, text_bytes
+from kilojoule.llm._shared import cut, join_checked, key, mix, own_id, pieces, Rolling, signed, small_batches, spread, text_bytes
 
 GRAM = 20
 #: Bytes of distinct segments that one bucket holds about, and that one anchor may bring to it.
@@ -247,6 +247,7 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
     than `length` keeps all. A null id counts as the smallest id. Rows that repeat an id count as one document: what is found in any
     of them is removed from all, and of two equal texts with one id both stay. Other columns are ignored.
     """
+    small_batches(documents.sparkSession)
     texts = documents.select(key(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spans = repeated_spans(texts, length)
     spans = cut(spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")))
