@@ -22,6 +22,15 @@ def test_one_document_of_each_group_stays(spark, cases):  # noqa: F811
     assert sorted(kept, key=str) == sorted(want, key=str)
 
 
+def test_columns_with_names_used_inside(spark, cases):  # noqa: F811
+    """Like-named columns, a map among them, come through every stage; tables without n_chars, lang and source do, too."""
+    odd = cases.select("doc_id", "text", *[F.lit(i).alias(c) for i, c in enumerate(("found", "_row", "_doc", "_id", "_n", "_gone", "_text", "row", "kept", "key", "th"))], F.create_map(F.lit("a"), "n").alias("tags"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns, name
+        assert {tuple(r) for r in out.select("found", "_row", "_doc", "th").distinct().collect()} <= {(0, 1, 2, 10)}, name
+
+
 def test_secrets_go(spark, cases):  # noqa: F811
     out = texts_of(corpus_pipeline.secrets_stage(spark, cases, SF))
     assert len(out) == len(hard_cases()) and not any(re.search("(?<![0-9])assign:", plain_secrets(t or "")) for _, t in out)
