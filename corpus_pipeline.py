@@ -5,43 +5,51 @@ Each stage works on all that its predecessor kept; run() writes what a stage ret
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilojoule.llm._shared import cut, join_checked, key
+from kilojoule.llm._shared import cut, join_checked, key, shared_folder
 from kilojoule.llm.bpe import bpe
 from kilojoule.llm.decontaminate import decontaminate
 from kilojoule.llm.jaccard_join import jaccard_join
 from kilojoule.llm.quality import quality_scores
 from kilojoule.llm.queries import table, tokenizer_path
-from kilojoule.llm.secrets import secret_scan
+from kilojoule.llm.secrets import secret_spans
 
 
 def _keyed(docs: DataFrame, *also: str) -> DataFrame:
-    """The documents with _row, a key of their own for every id and text: ids may be null or repeated. `also` names columns to tell apart too."""
-    return docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in also if c in docs.columns]))
+    """(_row, _doc, doc_id, text) and `also`: each row whole in _doc, so that no column of its can clash, under a key for its id and text.
+
+    Ids may be null or repeated; `also` names columns that tell rows apart, too. Missing ones are null.
+    """
+    rows = docs.select(F.struct("*").alias("_doc"))
+    column = lambda c: (F.col(f"_doc.{c}") if c in docs.columns else F.lit(None).cast("string")).alias(c)
+    named = rows.select("_doc", *map(column, ("doc_id", "text", *also)))
+    return named.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in also]))
 
 
-def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The keyed documents whose _row isn't among `rows` (_row)."""
-    return join_checked(docs, rows.select("_row").distinct(), "_row", "left_anti")
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The keyed rows whose _row isn't in `gone`; that is written first, since its size decides how it is joined."""
+    return join_checked(rows, cut(gone.select("_row").distinct()), "_row", "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the classifier keeps; each row by its own score."""
+    """Keeps what the classifier keeps; each row by its own score, null ids and texts, repeated ids and repeated rows included.
+
+    An empty table stays empty.
+    """
     rows = _keyed(docs, "lang", "source")
-    scored = quality_scores(rows, table(spark, sf_dir, "labels"), row_col="_row")
-    return _without(rows, scored.where("not keep").select("_row")).select(*docs.columns)
+    scored = quality_scores(rows.drop("_doc"), table(spark, sf_dir, "labels"), row_col="_row")
+    return _without(rows, scored.where("not keep")).select("_doc.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates one row of the smallest id stays, whatever other texts have that id.
 
-    Null ids count as one id, the smallest. Texts without words have no group; each stays, rows of one id and text once, unless its id
-    has a row with words.
+    Null ids count as one id, the smallest. Texts without words have no group; each stays, rows of one id and text once (any one of
+    them, if other columns differ), unless its id has a row with words. An empty table stays empty.
     """
     rows = _keyed(docs)
     groups = jaccard_join(rows, "_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"), (F.col("n_shingles") > 0).alias("_words")).groupBy("_row", "_group", "_words").agg(F.count("*").alias("_n"))
@@ -50,41 +58,41 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = groups.join(heads.hint("merge"), "_group").where("_row <> _head._row").select("_row")
     wordless = groups.where("not _words")
     named = join_checked(groups.where("_words").select("_id"), wordless.select("_id").distinct(), "_id", "left_semi").distinct()
-    gone = cut(gone.union(join_checked(wordless, named, "_id", "left_semi").select("_row")))
-    kept = _without(rows, gone)
-    repeated = cut(groups.where("_n > 1").select("_row"))
+    kept = _without(rows, gone.union(join_checked(wordless, named, "_id", "left_semi").select("_row")))
     # rows of one id and text are one document
+    repeated = cut(groups.where("_n > 1").select("_row"))
     once = _without(kept, repeated)
-    again = join_checked(kept, repeated, "_row", "left_semi")
-    again = again.groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_kept"))
-    return once.select(*docs.columns).unionByName(again.select("_kept.*"))
+    again = join_checked(kept, repeated, "_row", "left_semi").groupBy("_row").agg(F.first("_doc").alias("_doc"))
+    return once.select("_doc.*").unionByName(again.select("_doc.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops rows that hold a benchmark item, each by its own text; null and empty texts hold none. An empty table stays empty."""
     rows = _keyed(docs)
     held = decontaminate(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return _without(rows, held.select(F.col("doc_id").alias("_row"))).select(*docs.columns)
+    return _without(rows, held.select(F.col("doc_id").alias("_row"))).select("_doc.*")
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts [kind] in the place of every secret found; n_chars follows."""
+    """Puts [kind] in the place of every secret found; n_chars follows, if it is there. Rows that share an id keep their own texts.
+
+    Null and empty texts stay as they are, as does an empty table.
+    """
     rows = _keyed(docs)
-    found = secret_scan(rows, "_row").where("size(found) > 0").select(F.col("doc_id").alias("_row"), "found").dropDuplicates(["_row"])
-    both = join_checked(rows, found, "_row", "left", 100_000)
+    found = secret_spans(rows, "_row").select(F.col("key").alias("_row"), "found")
     walked = (
         "aggregate(found, named_struct('at', 0, 'out', ''), (a, x) -> if(x.start < a.at, named_struct('at', greatest(a.at, x.end), 'out', a.out), "
         "named_struct('at', x.end, 'out', concat(a.out, substring(text, a.at + 1, x.start - a.at), '[', x.kind, ']'))), a -> concat(a.out, substring(text, a.at + 1)))"
     )
-    text = F.when(F.col("found").isNotNull(), F.expr(walked)).otherwise(F.col("text"))
-    redacted = both.withColumn("text", text)
+    both = join_checked(rows, found, "_row", "left", 100_000).select("_doc", F.when(F.col("found").isNotNull(), F.expr(walked)).alias("_text"))
+    own = {"text": F.coalesce("_text", F.col("_doc.text"))}
     if "n_chars" in docs.columns:
-        redacted = redacted.withColumn("n_chars", F.when(F.col("found").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return redacted.select(*docs.columns)
+        own["n_chars"] = F.coalesce(F.length("_text").cast(docs.schema["n_chars"].dataType), F.col("_doc.n_chars"))
+    return both.select(*[(own[c] if c in own else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every document that is left."""
+    """(doc_id, n_tokens, ids) of every row that is left; null and empty texts have no tokens."""
     return bpe(docs, tokenizer_path()).select("doc_id", "n_tokens", "ids")
 
 
@@ -101,12 +109,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each one's result written to the shared checkpoint folder and read again."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        path = f"{sc.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
