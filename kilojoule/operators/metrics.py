@@ -127,7 +127,7 @@ def power_curve(samples: DataFrame) -> DataFrame:
 
 def envelope(curve: DataFrame) -> DataFrame:
     """The curve with `envelope`, the best watts over a duration or any longer one."""
-    w = by().orderBy("duration_s").rowsBetween(0, Window.unboundedFollowing)
+    w = by().orderBy(F.desc("duration_s")).rowsBetween(Window.unboundedPreceding, 0)
     return curve.withColumn("envelope", F.max(F.col("best_sum") / F.col("duration_s")).over(w))
 
 
@@ -138,7 +138,7 @@ def w_prime_balance(samples: DataFrame, cp: float, w_prime: float = DEFAULT_W_PR
     sums; activities whose exponent passes EXPONENT_GUARD go through a kernel that steps along.
     """
     if not (cp > 0 and w_prime > 0 and np.isfinite(cp) and np.isfinite(w_prime)):
-        return samples.select("activity_id", "idx", F.lit(None).cast("double").alias("balance")).limit(0)
+        return samples.select("activity_id", "idx", F.lit(None).cast("double").alias("balance")).where("false")
     gap = F.coalesce(F.col("elapsed") - F.lag("elapsed").over(in_order()) - 1, F.lit(0)) if "elapsed" in samples.columns else F.lit(0)
     rows = samples.select("activity_id", "idx", "power", gap.alias("gap"))
     rows = rows.withColumn("a", F.greatest(cp - F.col("power"), F.lit(0.0)) / w_prime + F.col("gap") * (cp / w_prime)).withColumn("b", F.greatest(F.col("power") - cp, F.lit(0.0)))

@@ -66,13 +66,15 @@ def _series(rows: DataFrame, pauses: DataFrame | None, cfg: ResampleConfig) -> D
 def _interpolated(series: DataFrame, cfg: ResampleConfig) -> DataFrame:
     """Every channel's gaps bridged within its segment, and raw_<channel> as it was."""
     w = Window.partitionBy("activity_id", "segment").orderBy("t")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # what lies ahead is what lies behind in falling order: a frame that only grows, where one up to the end is worked out anew in each row
+    falling = Window.partitionBy("activity_id", "segment").orderBy(F.desc("t"))
+    back, ahead = (x.rowsBetween(Window.unboundedPreceding, 0) for x in (w, falling))
     lost = [F.sum((F.col("recorded") & F.col(c).isNull()).cast("int")).over(back).alias(f"lost_{c}") for c in CHANNELS]
     rows = series.select("*", *lost)
     out = [F.col("activity_id"), F.col("segment"), F.col("t"), F.col("recorded")]
     for c in CHANNELS:
         point = F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("t"), F.col(f"lost_{c}").alias("lost")))
-        a, b = F.last(point, True).over(back), F.first(point, True).over(ahead)
+        a, b = F.last(point, True).over(back), F.last(point, True).over(ahead)
         run = F.coalesce(b["lost"], F.max(f"lost_{c}").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))) - F.coalesce(a["lost"], F.lit(0))
         between = a["v"] + (b["v"] - a["v"]) * (F.col("t") - a["t"]) / F.greatest(b["t"] - a["t"], F.lit(1))
         value = F.when(F.col(c).isNotNull(), F.col(c)).when(run > cfg.max_dropout, None).otherwise(F.coalesce(between, a["v"], b["v"]))
