@@ -250,11 +250,34 @@ def _linked(pairs: DataFrame, per_id: DataFrame, texts: DataFrame, percent: int,
 
 
 def _apart(buckets: DataFrame, comp: DataFrame) -> DataFrame:
-    """The buckets with their members' components, where there are several in a bucket."""
+    """The buckets with their members' components, where there are several in a bucket.
+
+    A set stays only where it has as many rows left of a scheme as two sets that link must share, `need`; what goes for that leaves
+    other buckets with one component, so this is done twice.
+    """
     rows = buckets.join(comp.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     by_sig = Window.partitionBy("sig")
-    rows = rows.withColumn("low", F.min("component").over(by_sig)).withColumn("high", F.max("component").over(by_sig))
-    return rows.where("low <> high").drop("low", "high")
+    for _ in range(2):
+        rows = rows.withColumn("low", F.min("component").over(by_sig)).withColumn("high", F.max("component").over(by_sig)).where("low <> high").drop("low", "high")
+        rows = rows.withColumn("own", F.count("*").over(Window.partitionBy("id", F.expr("sig & 127")))).where("own >= need").drop("own")
+    return rows
+
+
+def _merged(kept: DataFrame) -> DataFrame:
+    """Buckets of a scheme with the same members as one: (bucket, scheme, id, component, need, weight), weight counting them.
+
+    Members are told apart by sums over hashes of their ids; buckets taken for the same by mistake would only bring more pairs.
+    """
+    by_sig = Window.partitionBy("sig")
+    named = kept.withColumn("bucket", F.xxhash64(F.expr("sig & 127"), F.bit_xor(F.xxhash64("id")).over(by_sig), F.sum(F.hash("id").cast("long")).over(by_sig), F.count("*").over(by_sig)))
+    return named.groupBy("bucket", F.expr("sig & 127").alias("scheme"), "id", "component").agg(F.count("*").alias("weight"), F.max("need").alias("need"))
+
+
+def _met(kept: DataFrame, percent: int) -> DataFrame:
+    """A row for every two sets (aid, bid) of different components that may link and each merged bucket that both are in."""
+    side = lambda c, *more: kept.select("bucket", *more, *[F.col(x).alias(c + x) for x in ("id", "component", *_SHAPE)])
+    both = side("a", "scheme", "need", "weight").join(side("b").hint("merge"), "bucket").where(f"aid < bid and acomponent <> bcomponent and {_allowed(percent)}")
+    return both.select("aid", "bid", "scheme", "need", "weight")
 
 
 def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -299,10 +322,9 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         links = cut(links.union(more), links, more)
         comp = components(links)
         kept = cut(_apart(kept.select("sig", "id", "size", "need"), comp), kept)
-    kept = cut(kept.join(per_id.hint("merge"), "id"), kept)
-    side = lambda c: kept.select("sig", *([] if c == "b" else ["need"]), *[F.col(x).alias(c + x) for x in ("id", "component", *_SHAPE)])
-    rest = side("a").join(side("b").hint("merge"), "sig").where(f"aid < bid and acomponent <> bcomponent and {_allowed(percent)}")
-    rest = rest.groupBy(F.col("aid").alias("a"), F.col("bid").alias("b"), F.expr("sig & 127").alias("scheme")).agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b").distinct()
+    kept = cut(_merged(kept).join(per_id.hint("merge"), "id"), kept)
+    rest = _met(kept, percent).groupBy(F.col("aid").alias("a"), F.col("bid").alias("b"), "scheme").agg(F.sum("weight").alias("shared"), F.min("need").alias("need"))
+    rest = rest.where("shared >= need").select("a", "b").distinct()
     more = _linked(rest, per_id, texts, percent)
     comp = components(links.union(more))
 
