@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -14,8 +15,8 @@ from kilojoule.functions.metrics import HR_ZONES, POWER_ZONES, intensity_factor,
 
 NP_WINDOW = 30
 DEFAULT_W_PRIME = 20_000.0
-#: Largest exponent that the closed form of W' balance may reach.
-EXPONENT_GUARD = 600.0
+#: Length of the blocks of W' balance, as an exponent.
+EXPONENT_BLOCK = 300.0
 
 
 def by():
@@ -131,33 +132,29 @@ def envelope(curve: DataFrame) -> DataFrame:
     return curve.withColumn("envelope", F.max(F.col("best_sum") / F.col("duration_s")).over(w))
 
 
-def w_prime_balance(samples: DataFrame, cp: float, w_prime: float = DEFAULT_W_PRIME) -> DataFrame:
-    """(activity_id, idx, balance): what is left of W' after each row; a pause is one step at 0 W.
+def with_balance(samples: DataFrame, cp: float, w_prime: float = DEFAULT_W_PRIME) -> DataFrame:
+    """samples with `balance`, what is left of W' after each row; a pause is one step at 0 W. Null if either isn't positive.
 
     What is expended is a linear recurrence, e_t = e_(t-1) * exp(-a_t) + b_t, so e_t = exp(-A_t) * sum(b_i * exp(A_i)) with running
-    sums; activities whose exponent passes EXPONENT_GUARD go through a kernel that steps along.
+    sums. Rows are in blocks of EXPONENT_BLOCK along A, each with sums of its own so that no exponential overflows; a block takes over
+    what the one before left, and what is older has decayed below the least digit.
     """
     if not (cp > 0 and w_prime > 0 and np.isfinite(cp) and np.isfinite(w_prime)):
-        return samples.select("activity_id", "idx", F.lit(None).cast("double").alias("balance")).where("false")
+        return samples.withColumn("balance", F.lit(None).cast("double"))
     gap = F.coalesce(F.col("elapsed") - F.lag("elapsed").over(in_order()) - 1, F.lit(0)) if "elapsed" in samples.columns else F.lit(0)
-    rows = samples.select("activity_id", "idx", "power", gap.alias("gap"))
-    rows = rows.withColumn("a", F.greatest(cp - F.col("power"), F.lit(0.0)) / w_prime + F.col("gap") * (cp / w_prime)).withColumn("b", F.greatest(F.col("power") - cp, F.lit(0.0)))
-    rows = rows.withColumn("A", F.sum("a").over(in_order().rowsBetween(Window.unboundedPreceding, 0))).withColumn("top", F.sum("a").over(by()))
-    near = rows.where(F.col("top") < EXPONENT_GUARD).withColumn("e", F.exp(-F.col("A")) * F.sum(F.col("b") * F.exp("A")).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
-    closed = near.select("activity_id", "idx", (F.lit(w_prime) - F.col("e")).alias("balance"))
+    a = F.greatest(cp - F.col("power"), F.lit(0.0)) / w_prime + F.col("_gap") * (cp / w_prime)
+    rows = samples.withColumn("_gap", gap).withColumn("_a", F.sum(a).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_block", F.floor(F.col("_a") / EXPONENT_BLOCK)).withColumn("_a", F.col("_a") - F.col("_block") * EXPONENT_BLOCK)
+    rows = rows.withColumn("_b", F.greatest(F.col("power") - cp, F.lit(0.0)) * F.exp("_a"))
+    own = F.sum("_b").over(Window.partitionBy("activity_id", "_block").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    before = F.coalesce(F.sum("_b").over(by().orderBy("_block").rangeBetween(-1, -1)), F.lit(0.0)) * math.exp(-EXPONENT_BLOCK)
+    rows = rows.withColumn("_own", own).withColumn("_before", before)
+    return rows.withColumn("balance", w_prime - F.exp(-F.col("_a")) * (F.col("_own") + F.col("_before"))).drop("_gap", "_a", "_block", "_b", "_own", "_before")
 
-    def kernel(table: pa.Table) -> pa.Table:
-        table = table.sort_by("idx")
-        keep, add = np.exp(-np.asarray(table.column("a"))), np.asarray(table.column("b"))
-        e, out = 0.0, np.empty(len(add))
-        for i in range(len(add)):
-            e = e * keep[i] + add[i]
-            out[i] = w_prime - e
-        return pa.table({"activity_id": table.column("activity_id"), "idx": table.column("idx"), "balance": pa.array(out)})
-
-    types = {f.name: f.dataType.simpleString() for f in samples.schema}
-    far = rows.where(F.col("top") >= EXPONENT_GUARD).select("activity_id", "idx", "a", "b").groupBy("activity_id").applyInArrow(kernel, f"activity_id {types['activity_id']}, idx {types['idx']}, balance double")
-    return closed.union(far)
+
+def w_prime_balance(samples: DataFrame, cp: float, w_prime: float = DEFAULT_W_PRIME) -> DataFrame:
+    """(activity_id, idx, balance) of with_balance(); no rows if cp or w_prime isn't positive."""
+    return with_balance(samples, cp, w_prime).where("balance is not null").select("activity_id", "idx", "balance")
 
 
 def least_balance(balance: DataFrame) -> DataFrame:

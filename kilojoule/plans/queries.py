@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 
 from kilojoule.functions import metrics as fn
 from kilojoule.operators import metrics as m
+from kilojoule.operators import season
+from kilojoule.operators.analysis import analyze
 from kilojoule.operators.resample import ResampleConfig, resample
 
 ATHLETE = m.Athlete(ftp=1000.0, weight_kg=72.0, lthr=150.0, max_hr=190.0, resting_hr=50.0, cp=1000.0, w_prime=20_000.0)
 DURATIONS = list(fn.STANDARD_DURATIONS)
+#: The day, counted from 1970, that season_fitness ends on.
+END_DAY = 10_000
 
 
 def milli(c: Column | str) -> Column:
@@ -66,12 +70,16 @@ def activity_zones(spark, d):
 
 def activity_summary(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: power, heart rate, zones and least W' balance of every ride."""
-    r = rides(spark, d)
-    parts = [m.power_summary(r, ATHLETE.ftp), m.heart_rate_summary(r, ATHLETE), m.zones_of_activity(r, ATHLETE), m.least_balance(m.w_prime_balance(r, ATHLETE.cp, ATHLETE.w_prime)).withColumnRenamed("balance", "least_balance").withColumnRenamed("idx", "least_at")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "activity_id")
-    return out.select("activity_id", "seconds", "max_power", "max_hr", "least_at", *[milli(c).alias(c) for c in ("np", "intensity", "tss", "work_kj", "hr_tss", "decoupling", "least_balance")], (milli("np") * 1000 / milli("avg_hr")).cast("long").alias("ef"), F.col("power_zones")[6].alias("po_z7"))
+    a = analyze(rides(spark, d), ATHLETE)
+    names = {"normalized_power": "np", "intensity_factor": "intensity", "tss": "tss", "work_kj": "work_kj", "hr_tss": "hr_tss", "decoupling_pct": "decoupling", "min_w_prime_balance": "least_balance"}
+    return a.select("activity_id", F.col("recording_time_s").alias("seconds"), "max_power", "max_hr", F.col("min_w_prime_at").alias("least_at"), *[milli(c).alias(n) for c, n in names.items()], (milli("normalized_power") * 1000 / milli("average_hr")).cast("long").alias("ef"), F.col("power_zone_seconds")[6].alias("po_z7"))
+
+
+def activity_analysis(spark, d):
+    """What activity_summary leaves out: times, shares and all zones."""
+    a = analyze(rides(spark, d), ATHLETE)
+    whole = [F.col(f"{n}_zone_seconds")[i].alias(f"{n[:2]}_z{i + 1}") for n in ("power", "hr") for i in range(7)]
+    return a.select("activity_id", "elapsed_time_s", "moving_time_s", *[milli(c).alias(c) for c in ("average_power", "average_watts_per_kg", "variability_index", "average_hr", "efficiency_factor")], *whole)
 
 
 def resample_series(spark, d):
@@ -96,6 +104,11 @@ def season_best(spark, d):
     return m.season_curve(c.withColumn("athlete_id", F.col("activity_id") % 10).withColumn("added", F.col("activity_id")), "athlete_id")
 
 
+def improved_durations(spark, d):
+    c = m.mean_max_at(rides(spark, d), DURATIONS)
+    return season.improved(c.withColumn("athlete_id", F.col("activity_id") % 10).withColumn("added", F.col("activity_id")), "athlete_id")
+
+
 def w_balance(spark, d):
     b = m.w_prime_balance(rides(spark, d), ATHLETE.cp, ATHLETE.w_prime)
     return m.least_balance(b).select("activity_id", F.col("idx").alias("least_at"), milli("balance").alias("least_balance"))
@@ -163,6 +176,37 @@ def fuelling_rules(spark, d):
     )
 
 
+def plan(spark, d):
+    """Orders as planned sessions of ten athletes."""
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").withColumn("date", F.col("o_orderdate").cast("date"))
+    known = o.select((F.col("o_custkey") % 10).alias("athlete_id"), "date", F.datediff("date", F.lit("1970-01-01").cast("date")).cast("long").alias("day"), k.alias("seq"), (30 + k % 300).cast("int").alias("minutes"), ((50 + k % 55) / 100).alias("intensity"), F.when(k % 11 == 0, "A").when(k % 5 == 0, "B").alias("priority"))
+    return known.withColumns({"tss": F.when(F.col("seq") % 7 > 0, F.col("minutes") / 2), "hr_tss": F.when(F.col("seq") % 14 > 0, F.col("minutes") / 4)})
+
+
+def season_fitness(spark, d):
+    """Fitness to a fixed day; activities after it don't count."""
+    f = m.training_load(season.season_loads(plan(spark, d), "athlete_id", END_DAY), "athlete_id")
+    return f.select("athlete_id", "day", *[milli(c).alias(c) for c in ("load", "ctl", "atl", "tsb")])
+
+
+def week_loads(spark, d):
+    return season.week_load(plan(spark, d), "athlete_id").select("athlete_id", "week", "sessions", milli("tss").alias("tss"))
+
+
+def planned_days(spark, d):
+    p = season.planned_days(plan(spark, d), "athlete_id")
+    return p.select("athlete_id", "day", "longest", "priority", milli("mean_intensity").alias("mean_intensity"), F.col("key.seq").alias("key_seq"))
+
+
+def raised_targets(spark, d):
+    """What a session asks of the two days before, where a day's own target is 3 to 6.9 g/kg by its number; rest days are days, too."""
+    p = plan(spark, d)
+    days = m.daily_loads(p.select("athlete_id", "day", F.lit(0.0).alias("load")), "athlete_id").select("athlete_id", "day", ((30 + F.col("day") % 40) / 10).alias("own"))
+    r = season.raised(days, season.planned_days(p, "athlete_id"), "athlete_id")
+    return r.select("athlete_id", "day", milli("to_g_per_kg").alias("target"), "reason", "days_before", "note")
+
+
 def rounded_grams(spark, d):
     line = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("idx")).agg((F.floor(F.sum("l_quantity") * 16) / 16).alias("grams"))
     return m.round_grams(line, "plan_id").select("plan_id", "idx", "rounded")
@@ -170,7 +214,7 @@ def rounded_grams(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (activity_summary, activity_power, activity_heart_rate, activity_zones, resample_series, resample_report, mean_max, full_power_curve, season_best, w_balance, daily_load, fitness, critical_power, critical_power_3p, eftp, planned_load, workout_files, fuelling_rules, rounded_grams)
+    for f in (activity_summary, activity_analysis, improved_durations, season_fitness, week_loads, planned_days, raised_targets, activity_power, activity_heart_rate, activity_zones, resample_series, resample_report, mean_max, full_power_curve, season_best, w_balance, daily_load, fitness, critical_power, critical_power_3p, eftp, planned_load, workout_files, fuelling_rules, rounded_grams)
 }
 
 _RIDES = """rides AS (SELECT user_id AS activity_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, CAST(floor(value * 5) AS INTEGER) AS power,
@@ -209,7 +253,25 @@ _TICKS = """t AS (SELECT user_id AS activity_id, row_number() OVER (PARTITION BY
 _W = "(CASE WHEN planned >= 0 THEN planned ELSE minutes * 60 * greatest(intensity, 0) * (mass * 3) / 1000 END)"
 _S = """s AS (SELECT o_orderkey, (30 + o_orderkey % 240)::DOUBLE AS minutes, (50 + o_orderkey % 55)::DOUBLE / 100 AS intensity, (55 + o_orderkey % 40)::DOUBLE AS mass, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 2000)::DOUBLE END AS planned, (o_orderkey % 14)::DOUBLE AS gap FROM orders)"""
 
+_PLAN = """p AS (SELECT o_custkey % 10 AS athlete_id, CAST(o_orderdate AS DATE) AS date, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day, o_orderkey AS seq, CAST(30 + o_orderkey % 300 AS INTEGER) AS minutes, (50 + o_orderkey % 55)::DOUBLE / 100 AS intensity,
+    CASE WHEN o_orderkey % 11 = 0 THEN 'A' WHEN o_orderkey % 5 = 0 THEN 'B' END AS priority, CASE WHEN o_orderkey % 7 > 0 THEN (30 + o_orderkey % 300)::DOUBLE / 2 WHEN o_orderkey % 14 > 0 THEN (30 + o_orderkey % 300)::DOUBLE / 4 ELSE 0 END AS load, CASE WHEN o_orderkey % 7 > 0 THEN (30 + o_orderkey % 300)::DOUBLE / 2 ELSE 0 END AS tss FROM orders),
+    pd AS (SELECT athlete_id, day, max(minutes) AS longest, min(priority) AS priority, sum(minutes * intensity) / sum(minutes) AS mean_intensity, arg_max(seq, (intensity, seq)) FILTER (minutes >= 45 AND intensity >= 0.80::DOUBLE) AS key_seq FROM p GROUP BY 1, 2)"""
+_HM = lambda x: f"(CASE WHEN {x} < 60 THEN {x} || ' min' WHEN {x} % 60 = 0 THEN {x} // 60 || ' h' ELSE {x} // 60 || ' h ' || printf('%02d', {x} % 60) || ' min' END)"
+
 ORACLE_SQL: dict[str, str] = {
+    "activity_analysis": f"WITH {_RIDES}, {_POWER}, {_HR}, z AS (SELECT activity_id, {_ZONES('power', 1000, fn.POWER_ZONES)}, {_ZONES('heart_rate', 150, fn.HR_ZONES)} FROM rides GROUP BY 1) SELECT z.*, seconds AS elapsed_time_s, moving_seconds AS moving_time_s, {_MILLI('avg_power')} AS average_power, {_MILLI('avg_power / 72')} AS average_watts_per_kg, {_MILLI('np / avg_power')} AS variability_index, {_MILLI('avg_hr')} AS average_hr, {_MILLI('np / avg_hr')} AS efficiency_factor FROM np JOIN hr USING (activity_id) JOIN z USING (activity_id)",
+    "improved_durations": f"WITH {_RIDES}, {_BEST(DURATIONS)}, i AS (SELECT activity_id % 10 AS athlete_id, activity_id, duration_s, best_sum, max(best_sum) OVER (PARTITION BY activity_id % 10, duration_s ORDER BY activity_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM best) SELECT * FROM i WHERE before IS NULL OR best_sum > before",
+    "season_fitness": f"WITH RECURSIVE {_PLAN}, s AS (SELECT athlete_id, day, sum(load) AS load FROM p GROUP BY 1, 2), daily AS (SELECT athlete_id, d.day, coalesce(load, 0) AS load FROM (SELECT athlete_id, unnest(range(least(min(day), {END_DAY}), {END_DAY} + 1)) AS day FROM p GROUP BY 1) d LEFT JOIN s USING (athlete_id, day)), n AS (SELECT *, row_number() OVER (PARTITION BY athlete_id ORDER BY day) AS k FROM daily), f AS (SELECT athlete_id, 0::BIGINT AS k, 0::BIGINT AS day, 0.0::DOUBLE AS load, 0.0::DOUBLE AS ctl, 0.0::DOUBLE AS atl FROM n WHERE k = 1 UNION ALL SELECT n.athlete_id, n.k, n.day, n.load, f.ctl + (n.load - f.ctl) * (1 - exp(-1 / 42.0::DOUBLE)), f.atl + (n.load - f.atl) * (1 - exp(-1 / 7.0::DOUBLE)) FROM f JOIN n ON n.athlete_id = f.athlete_id AND n.k = f.k + 1) SELECT athlete_id, day, {_MILLI('load')} AS load, {_MILLI('ctl')} AS ctl, {_MILLI('atl')} AS atl, {_MILLI('ctl - atl')} AS tsb FROM f WHERE k > 0",
+    "week_loads": f"WITH {_PLAN} SELECT athlete_id, CAST(date_trunc('week', date) AS DATE) AS week, count(*) AS sessions, {_MILLI('sum(tss)')} AS tss FROM p GROUP BY 1, 2",
+    "planned_days": f"WITH {_PLAN} SELECT athlete_id, day, longest, priority, {_MILLI('mean_intensity')} AS mean_intensity, key_seq FROM pd",
+    "raised_targets": f"""WITH {_PLAN}, days AS (SELECT athlete_id, unnest(range(min(day), max(day) + 1)) AS day FROM p GROUP BY 1), o AS (SELECT athlete_id, day, (30 + day % 40)::DOUBLE / 10 AS own FROM days),
+        c AS (SELECT o.*, 1 AS rank, 10 + 2 * least(greatest((longest - 90) / 180::DOUBLE, 0), 1) AS g, 'carb_load' AS reason, 1 AS k, longest AS mn, NULL::DOUBLE AS i FROM o JOIN pd ON pd.athlete_id = o.athlete_id AND pd.day = o.day + 1 WHERE priority = 'A' AND longest > 90
+          UNION ALL SELECT o.*, 2, CASE WHEN longest >= 240 THEN 8 ELSE 5 + 2 * (longest - 90) / 150::DOUBLE END, CASE WHEN longest >= 240 THEN 'very_long_session_tomorrow' ELSE 'long_session_tomorrow' END, 1, longest, NULL FROM o JOIN pd ON pd.athlete_id = o.athlete_id AND pd.day = o.day + 1 WHERE longest > 90
+          UNION ALL SELECT o.*, 4, 5.5, 'key_session_tomorrow', 1, p.minutes, p.intensity FROM o JOIN pd ON pd.athlete_id = o.athlete_id AND pd.day = o.day + 1 JOIN p ON p.seq = key_seq
+          UNION ALL SELECT o.*, 5, 10 + 2 * least(greatest((longest - 90) / 180::DOUBLE, 0), 1), 'carb_load', 2, longest, NULL FROM o JOIN pd ON pd.athlete_id = o.athlete_id AND pd.day = o.day + 2 WHERE priority = 'A' AND longest > 90),
+        b AS (SELECT * FROM c WHERE g > own + 1e-9 QUALIFY row_number() OVER (PARTITION BY athlete_id, day ORDER BY g DESC, rank) = 1)
+        SELECT athlete_id, day, {_MILLI('coalesce(g, own)')} AS target, reason, k AS days_before, CASE WHEN reason = 'carb_load' THEN 'Carb-loading: ' || {_HM('mn')} || CASE k WHEN 1 THEN ' A event tomorrow' ELSE ' A event in 2 days' END WHEN reason = 'key_session_tomorrow' THEN 'Raised: hard ' || {_HM('mn')} || ' session tomorrow (IF ' || printf('%.2f', i) || ')' WHEN reason IS NOT NULL THEN 'Raised: ' || {_HM('mn')} || ' ride tomorrow' END AS note
+        FROM o LEFT JOIN (SELECT athlete_id, day, g, reason, k, mn, i FROM b) USING (athlete_id, day)""",
     "activity_power": f"WITH {_RIDES}, {_POWER} SELECT activity_id, seconds, moving_seconds, max_power, {_MILLI('avg_power')} AS avg_power, {_MILLI('work_kj')} AS work_kj, {_MILLI('np')} AS np, {_MILLI('np / 1000')} AS intensity, {_MILLI('np / avg_power')} AS vi, {_MILLI('moving_seconds * np * (np / 1000) / (1000.0::DOUBLE * 3600) * 100')} AS tss FROM np",
     "activity_heart_rate": f"WITH {_RIDES}, {_HR} SELECT activity_id, max_hr, {_MILLI('avg_hr')} AS avg_hr, {_MILLI('hr_tss')} AS hr_tss, {_MILLI('(r1 - r2) / r1 * 100')} AS decoupling FROM hr",
     "activity_zones": f"WITH {_RIDES} SELECT activity_id, {_ZONES('power', 1000, fn.POWER_ZONES)}, {_ZONES('heart_rate', 150, fn.HR_ZONES)} FROM rides GROUP BY 1",

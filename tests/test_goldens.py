@@ -1,6 +1,7 @@
 """Hand-computed values, and the rule that what SQL gives for a query is what the query gives."""
 
 import glob
+import math
 import os
 
 import pytest
@@ -52,10 +53,18 @@ def test_curves(spark):
 
 def test_w_balance(spark, monkeypatch):
     s = samples(spark, [1200, 1200, 1200, 100])
-    for guard in (600, -1):
-        monkeypatch.setattr(m, "EXPONENT_GUARD", guard)
-        got = [r.balance for r in m.w_prime_balance(s, 200.0, 10_000.0).orderBy("idx").collect()]
-        assert got == pytest.approx([9000, 8000, 7000, 7029.85], abs=0.01)
+    got = [r.balance for r in m.w_prime_balance(s, 200.0, 10_000.0).orderBy("idx").collect()]
+    assert got == pytest.approx([9000, 8000, 7000, 7029.85], abs=0.01)
+    # the same as step by step, over many blocks
+    power = ([900] * 5 + [0] * 40 + [250] * 10) * 12
+    left, want = 10.0, []
+    for p in power:
+        left = left - (p - 200) if p >= 200 else 10 - (10 - left) * math.exp((p - 200) / 10)
+        want.append(left)
+    for block in (m.EXPONENT_BLOCK, 60.0):
+        monkeypatch.setattr(m, "EXPONENT_BLOCK", block)
+        assert [r.balance for r in m.w_prime_balance(samples(spark, power), 200.0, 10.0).orderBy("idx").collect()] == pytest.approx(want, abs=1e-6)
+    assert m.w_prime_balance(s, 0.0).count() == 0
     r = m.least_balance(m.w_prime_balance(samples(spark, [1200] * 20), 200.0, 10_000.0)).first()
     assert (round(r.balance), r.idx) == (-10_000, 19)
 
@@ -148,4 +157,4 @@ def test_queries_match_their_sql(spark):
         r = con.sql(sql)
         assert sorted(df.columns) == sorted(r.columns), name
         cols = sorted(df.columns)
-        assert sorted(map(tuple, df.select(*cols).collect())) == sorted(map(tuple, r.select(",".join(cols)).fetchall())), name
+        assert sorted(map(tuple, df.select(*cols).collect()), key=repr) == sorted(map(tuple, r.select(",".join(cols)).fetchall()), key=repr), name
