@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilojoule.llm import bpe, decontaminate, fingerprint, html_text, jaccard_join, language_id, quality, secrets, sentence_spans, substring_array
+from kilojoule.llm import bpe, decontaminate, fingerprint, html_text, jaccard_join, language_id, merkle, quality, secrets, sentence_spans, substring_array
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,13 +66,39 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    out = merkle.merkle_manifest(table(spark, sf_dir, "documents"), changed={"text": tampered})
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_bpe, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_html_extraction, op6_document_fingerprints, op7_sentence_span_dedup, op8_quality_classifier, op9_secret_scan, op10_language_id)
+    for f in (op1_ngram_jaccard_join, op2_bpe, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_html_extraction, op6_document_fingerprints, op7_sentence_span_dedup, op8_quality_classifier, op9_secret_scan, op10_language_id, op11_merkle_manifest)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_FIELD = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+_LEAF = lambda text: "sha256(" + " || ".join(map(_FIELD, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+_CRC = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT)),
+    lambda crc, x: list_reduce(list_transform(range(8), lambda k: CAST(k AS UBIGINT)), lambda y, k: xor(y >> 1, (y & 1) * 3988292384), xor(crc, x)), CAST(4294967295 AS UBIGINT)), 4294967295)"""
+#: Of a tree's levels t (g, l, i, n, h): each node's siblings to its left and right, where a level has several nodes.
+_SIBLINGS = lambda t: f"""SELECT a.g, a.l, a.i, string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i) AS lo, string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i) AS hi
+    FROM {t} a JOIN {t} b ON a.g = b.g AND a.l = b.l AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY 1, 2, 3"""
+_UP = lambda t, first: f"{t} AS ({first} UNION ALL SELECT g, l + 1, i // 3, max((n + 2) // 3), sha256(string_agg(h, '' ORDER BY i)) FROM {t} WHERE n > 1 GROUP BY g, l, i // 3)"
+_FOLD = lambda f, first, s: f"{f} AS ({first} UNION ALL SELECT doc_id, g, {s}.l + 1, {s}.i // 3, sha256(coalesce(lo, '') || h || coalesce(hi, '')), path || coalesce(lo, '') || coalesce(hi, '') FROM {f} JOIN {s} USING (g, l, i))"
 ORACLE_SQL: dict[str, str] = {
+    # levels by recursion, each node's siblings by a join, and every record folded upwards
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE c AS (SELECT *, {_CRC} % 2 = 0 AS hit, coalesce('s' || source, '') AS name FROM documents),
+        d AS (SELECT doc_id, name, {_LEAF("text")} AS leaf, CASE WHEN hit THEN {_LEAF("replace(text, chr(10), '')")} ELSE {_LEAF("text")} END AS now FROM c),
+        e AS (SELECT *, dense_rank() OVER (ORDER BY name) - 1 AS g, row_number() OVER (PARTITION BY name ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY name) AS n FROM d),
+        {_UP("t", "SELECT g, 0 AS l, i, n, leaf AS h FROM e")}, r AS (SELECT g, h FROM t WHERE n = 1),
+        {_UP("u", "SELECT 0 AS g, 0 AS l, g AS i, count(*) OVER () AS n, h FROM r")}, q AS (SELECT h FROM u WHERE n = 1),
+        s AS ({_SIBLINGS("t")}), v AS ({_SIBLINGS("u")}),
+        {_FOLD("f", "SELECT doc_id, g, 0 AS l, i, now AS h, '' AS path FROM e", "s")}, o AS (SELECT doc_id, arg_max(g, l) AS g, arg_max(h, l) AS h, arg_max(path, l) AS path FROM f GROUP BY 1),
+        {_FOLD("w", "SELECT doc_id, 0 AS g, 0 AS l, g AS i, h, path FROM o", "v")}, x AS (SELECT doc_id, arg_max(h, l) AS h, arg_max(path, l) AS path FROM w GROUP BY 1)
+        SELECT e.doc_id, e.leaf, r.h AS subroot, q.h AS root, sha256(x.path) AS proof_sha256, x.h AS folded_root, x.h = q.h AS verified FROM e JOIN r USING (g) JOIN x USING (doc_id) CROSS JOIN q""",
     # all pairs that share a shingle, then reachability
     "op1_ngram_jaccard_join": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
