@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilojoule.llm import bpe, decontaminate, fingerprint, html_text, jaccard_join, language_id, merkle, quality, secrets, sentence_spans, substring_array
+from kilojoule.llm import bpe, collocations, decontaminate, fingerprint, html_text, jaccard_join, language_id, merkle, quality, secrets, sentence_spans, substring_array
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,9 +72,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_bpe, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_html_extraction, op6_document_fingerprints, op7_sentence_span_dedup, op8_quality_classifier, op9_secret_scan, op10_language_id, op11_merkle_manifest)
+    for f in (op1_ngram_jaccard_join, op2_bpe, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_html_extraction, op6_document_fingerprints, op7_sentence_span_dedup, op8_quality_classifier, op9_secret_scan, op10_language_id, op11_merkle_manifest, op13_phrase_collocations)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -88,6 +92,20 @@ _SIBLINGS = lambda t: f"""SELECT a.g, a.l, a.i, string_agg(b.h, '' ORDER BY b.i)
 _UP = lambda t, first: f"{t} AS ({first} UNION ALL SELECT g, l + 1, i // 3, max((n + 2) // 3), sha256(string_agg(h, '' ORDER BY i)) FROM {t} WHERE n > 1 GROUP BY g, l, i // 3)"
 _FOLD = lambda f, first, s: f"{f} AS ({first} UNION ALL SELECT doc_id, g, {s}.l + 1, {s}.i // 3, sha256(coalesce(lo, '') || h || coalesce(hi, '')), path || coalesce(lo, '') || coalesce(hi, '') FROM {f} JOIN {s} USING (g, l, i))"
 ORACLE_SQL: dict[str, str] = {
+    # every phrase as text, all counts by grouping
+    "op13_phrase_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        u AS (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(w) AS x FROM w) GROUP BY 1, 2), t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM u GROUP BY 1),
+        g2 AS (SELECT lang, x, y, count(*) AS a FROM (SELECT lang, unnest(w[:-2]) AS x, unnest(w[2:]) AS y FROM w WHERE len(w) >= 2) GROUP BY ALL HAVING count(*) >= 10),
+        g3 AS (SELECT lang, x, y, z, count(*) AS a FROM (SELECT lang, unnest(w[:-3]) AS x, unnest(w[2:-2]) AS y, unnest(w[3:]) AS z FROM w WHERE len(w) >= 3) GROUP BY ALL HAVING count(*) >= 10),
+        longer AS (SELECT lang, x, y, max(a) AS longest FROM (SELECT lang, x, y, a FROM g3 UNION ALL SELECT lang, y, z, a FROM g3) GROUP BY ALL),
+        c AS (SELECT lang, x || ' ' || y AS phrase, a, b.f AS l, e.f AS r, 1 AS k FROM g2 LEFT JOIN longer USING (lang, x, y) JOIN (SELECT lang, x, f FROM u) b USING (lang, x) JOIN (SELECT lang, x AS y, f FROM u) e USING (lang, y) WHERE longest IS NULL OR 100 * longest < 50 * a
+          UNION ALL SELECT g3.lang, g3.x || ' ' || g3.y || ' ' || z, g3.a, u.f, g2.a, 1 FROM g3 JOIN u ON u.lang = g3.lang AND u.x = g3.x JOIN g2 ON g2.lang = g3.lang AND g2.x = g3.y AND g2.y = z
+          UNION ALL SELECT g3.lang, g3.x || ' ' || g3.y || ' ' || z, g3.a, g2.a, u.f, 2 FROM g3 JOIN u ON u.lang = g3.lang AND u.x = z JOIN g2 ON g2.lang = g3.lang AND g2.x = g3.x AND g2.y = g3.y),
+        s AS (SELECT *, (1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS score FROM c), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b)
+        SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM q JOIN t USING (lang) WHERE rank <= 2000""",
     # levels by recursion, each node's siblings by a join, and every record folded upwards
     "op11_merkle_manifest": f"""
         WITH RECURSIVE c AS (SELECT *, {_CRC} % 2 = 0 AS hit, coalesce('s' || source, '') AS name FROM documents),
