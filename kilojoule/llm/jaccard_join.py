@@ -59,10 +59,13 @@ def shingles(column: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return h, np.searchsorted(row, np.arange(len(column) + 1))
 
 
-def _set_hash(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One hash for each whole set."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5BF03635)))])
-    return mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(np.diff(at).astype(np.uint64)))
+def set_hash(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes for each whole set; 128 bits tell any number of documents' sets apart."""
+    out = []
+    for salt in (0x5BF03635, 0x1D8E4E27C47D124F):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(salt)))])
+        out.append(mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(np.diff(at).astype(np.uint64))))
+    return out[0], out[1]
 
 
 class Scheme:
@@ -183,17 +186,17 @@ _SHAPE = ["n", "many", *_BITS]
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, "text", PIECE):
         h, at = shingles(b.column("text"))
-        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(np.diff(at)), signed(_set_hash(h, at)), *_bitmaps(h, at)], names=["key", "n", "h", *_BITS])
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(np.diff(at)), *map(signed, set_hash(h, at)), *_bitmaps(h, at)], names=["key", "n", "h", "h2", *_BITS])
 
 
 def _index(t: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", PIECE):
             h, at = shingles(b.column("text"))
-            whole, ids = _set_hash(h, at), np.asarray(b.column("key"))
+            (whole, more), ids = set_hash(h, at), np.asarray(b.column("key"))
             # equal sets of a piece count once: the smallest id stands for them
-            order = np.lexsort((ids, whole))
-            once = order[np.concatenate([[True], whole[order][1:] != whole[order][:-1]])] if len(order) else order
+            order = np.lexsort((ids, more, whole))
+            once = order[np.concatenate([[True], (whole[order][1:] != whole[order][:-1]) | (more[order][1:] != more[order][:-1])])] if len(order) else order
             once.sort()
             row, place = spread(np.diff(at)[once])
             sub = np.concatenate([[0], np.cumsum(np.diff(at)[once])])
@@ -291,9 +294,9 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     t = percent / 100
     texts = documents.select(key(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    sets = cut(texts.mapInArrow(_sets, f"key long, n long, h long, {', '.join(c + ' long' for c in _BITS)}"))
-    classes = sets.where("n > 0").groupBy("h", "n").agg(F.min("key").alias("rep"), F.count("*").alias("n_copies"))
-    to_rep = cut(sets.where("n > 0").distinct().join(classes, ["h", "n"]))
+    sets = cut(texts.mapInArrow(_sets, f"key long, n long, h long, h2 long, {', '.join(c + ' long' for c in _BITS)}"))
+    classes = sets.where("n > 0").groupBy("h", "h2", "n").agg(F.min("key").alias("rep"), F.count("*").alias("n_copies"))
+    to_rep = cut(sets.where("n > 0").distinct().join(classes, ["h", "h2", "n"]))
     # of equal sets only the smallest id's is indexed
     copies = cut(to_rep.groupBy("key").agg(F.bool_or(F.col("key") == F.col("rep")).alias("stands")).where("not stands").select("key"))
     texts = join_checked(texts, copies, "key", "left_anti")
@@ -329,6 +332,6 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     comp = components(links.union(more))
 
     reached = to_rep.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    reached = reached.groupBy("key", "h", "n").agg(F.min(F.coalesce("component", "rep")).alias("component"), F.max("n_copies").alias("n_copies"))
-    out = sets.join(reached, ["key", "h", "n"], "left")
+    reached = reached.groupBy("key", "h", "h2", "n").agg(F.min(F.coalesce("component", "rep")).alias("component"), F.max("n_copies").alias("n_copies"))
+    out = sets.join(reached, ["key", "h", "h2", "n"], "left")
     return out.select(own_id().alias("doc_id"), F.col("n").alias("n_shingles"), own_id(F.coalesce("component", "key")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
