@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilojoule.llm import bpe, collocations, decontaminate, fingerprint, html_text, jaccard_join, language_id, merkle, quality, secrets, sentence_spans, substring_array
+from kilojoule.llm import bpe, collocations, decontaminate, fingerprint, html_text, jaccard_join, language_id, merkle, minhash_forest, quality, secrets, sentence_spans, substring_array
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,16 +72,39 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.minhash_forest(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_bpe, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_html_extraction, op6_document_fingerprints, op7_sentence_span_dedup, op8_quality_classifier, op9_secret_scan, op10_language_id, op11_merkle_manifest, op13_phrase_collocations)
+    for f in (op1_ngram_jaccard_join, op2_bpe, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_html_extraction, op6_document_fingerprints, op7_sentence_span_dedup, op8_quality_classifier, op9_secret_scan, op10_language_id, op11_merkle_manifest, op12_minhash_neardup, op13_phrase_collocations)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+def _linked_sets(width: int) -> str:
+    """The sets c (doc_id, n, rep, n_copies) of shingles and the components m (node, component): all pairs that share a shingle, then reachability."""
+    return rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS BIGINT[]) WHEN len(w) < {width} THEN [CAST(hash(array_to_string(w, ' ')) % 4611686018427387904 AS BIGINT)]
+              ELSE list_transform(range(1, len(w) - {width} + 2), lambda i: CAST(hash(array_to_string(w[i:i + {width} - 1], ' ')) % 4611686018427387904 AS BIGINT)) END) AS h FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        g AS (SELECT doc_id, n, list_sort(list(h)) AS hs FROM s JOIN n USING (doc_id) GROUP BY 1, 2),
+        c AS (SELECT *, min(doc_id) OVER (PARTITION BY hs) AS rep, count(*) OVER (PARTITION BY hs) AS n_copies FROM g),
+        r AS (SELECT s.doc_id, s.h, c.n FROM s JOIN c ON s.doc_id = c.doc_id AND c.rep = c.doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.h = b.h AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= 80 * greatest(a.n, b.n)
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+        t AS (SELECT rep AS node, rep AS reached FROM c WHERE rep = doc_id UNION SELECT t.node, e.b FROM t JOIN e ON t.reached = e.a),
+        m AS (SELECT node, min(reached) AS component FROM t GROUP BY 1)"""
+
+
 _FIELD = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
 _LEAF = lambda text: "sha256(" + " || ".join(map(_FIELD, ("doc_id", "source", "lang", "n_chars", text))) + ")"
 _CRC = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT)),
@@ -117,20 +140,8 @@ ORACLE_SQL: dict[str, str] = {
         {_FOLD("f", "SELECT doc_id, g, 0 AS l, i, now AS h, '' AS path FROM e", "s")}, o AS (SELECT doc_id, arg_max(g, l) AS g, arg_max(h, l) AS h, arg_max(path, l) AS path FROM f GROUP BY 1),
         {_FOLD("w", "SELECT doc_id, 0 AS g, 0 AS l, g AS i, h, path FROM o", "v")}, x AS (SELECT doc_id, arg_max(h, l) AS h, arg_max(path, l) AS path FROM w GROUP BY 1)
         SELECT e.doc_id, e.leaf, r.h AS subroot, q.h AS root, sha256(x.path) AS proof_sha256, x.h AS folded_root, x.h = q.h AS verified FROM e JOIN r USING (g) JOIN x USING (doc_id) CROSS JOIN q""",
-    # all pairs that share a shingle, then reachability
-    "op1_ngram_jaccard_join": rf"""
-        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS BIGINT[]) WHEN len(w) < 5 THEN [CAST(hash(array_to_string(w, ' ')) % 4611686018427387904 AS BIGINT)]
-              ELSE list_transform(range(1, len(w) - 3), lambda i: CAST(hash(array_to_string(w[i:i + 4], ' ')) % 4611686018427387904 AS BIGINT)) END) AS h FROM w),
-        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-        g AS (SELECT doc_id, n, list_sort(list(h)) AS hs FROM s JOIN n USING (doc_id) GROUP BY 1, 2),
-        c AS (SELECT *, min(doc_id) OVER (PARTITION BY hs) AS rep, count(*) OVER (PARTITION BY hs) AS n_copies FROM g),
-        r AS (SELECT s.doc_id, s.h, c.n FROM s JOIN c ON s.doc_id = c.doc_id AND c.rep = c.doc_id),
-        p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.h = b.h AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= 80 * greatest(a.n, b.n)
-              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
-        e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
-        t AS (SELECT rep AS node, rep AS reached FROM c WHERE rep = doc_id UNION SELECT t.node, e.b FROM t JOIN e ON t.reached = e.a),
-        m AS (SELECT node, min(reached) AS component FROM t GROUP BY 1)
-        SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.component, d.doc_id) AS component_id, coalesce(c.n_copies, 1) AS n_copies
-        FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.node = c.rep""",
+    "op1_ngram_jaccard_join": _linked_sets(5)
+    + " SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.component, d.doc_id) AS component_id, coalesce(c.n_copies, 1) AS n_copies FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.node = c.rep",
+    "op12_minhash_neardup": _linked_sets(4)
+    + " SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.component, d.doc_id) AS component_id, coalesce(m.component, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.node = c.rep",
 }
