@@ -43,6 +43,13 @@ def trimp(hr: Column, rest: Column, top: Column, kind: str = "men") -> Column:
     return x * a * F.exp(x * b) / 60
 
 
+def trimp_of(hr: Column, rest: Column, top: Column, kind: Column) -> Column:
+    """trimp() where the kind is a column, too."""
+    by_kind = lambda i: reduce(lambda out, k: F.when(kind == k, TRIMP[k][i]).otherwise(out), TRIMP, F.lit(None).cast("double"))
+    x = F.least(F.greatest((hr - rest) / positive(top - rest), F.lit(0.0)), F.lit(1.0))
+    return x * by_kind(0) * F.exp(x * by_kind(1)) / 60
+
+
 def curve_grid(longest: int) -> list[int]:
     """Durations at which a curve is stored: every second to 20, then steps of a tenth, and the longest."""
     out, d = [], 1

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kilojoule.functions.fits import EFTP_RANGE, TWO_PARAMETER, eftp
 from kilojoule.functions.metrics import HR_ZONES, POWER_ZONES, intensity_factor, positive, trimp, tss, zone_of
 
 NP_WINDOW = 30
@@ -105,13 +106,6 @@ def mean_max_at(samples: DataFrame, durations: Sequence[int]) -> DataFrame:
     return best.select("activity_id", F.explode(pairs).alias("p")).select("activity_id", "p.*").where("best_sum is not null")
 
 
-def elapsed_power(samples: DataFrame) -> DataFrame:
-    """(activity_id, idx, power) over elapsed time, pauses as zeros."""
-    gap = F.lead("elapsed").over(by().orderBy("elapsed")) - F.col("elapsed")
-    seconds = samples.select("activity_id", "power", "elapsed", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(gap, F.lit(1)) - 1)).alias("k"))
-    return seconds.select("activity_id", (F.col("elapsed") + F.col("k")).alias("idx"), F.when(F.col("k") == 0, F.col("power")).otherwise(0).alias("power"))
-
-
 def power_curve(samples: DataFrame) -> DataFrame:
     """(activity_id, duration_s, best_sum) for every duration: a kernel over an activity's running sums, each activity in a task."""
 
@@ -132,19 +126,20 @@ def envelope(curve: DataFrame) -> DataFrame:
     return curve.withColumn("envelope", F.max(F.col("best_sum") / F.col("duration_s")).over(w))
 
 
-def with_balance(samples: DataFrame, cp: float, w_prime: float = DEFAULT_W_PRIME) -> DataFrame:
-    """samples with `balance`, what is left of W' after each row; a pause is one step at 0 W. Null if either isn't positive.
+def with_balance(samples: DataFrame, cp: float | Column, w_prime: float | Column = DEFAULT_W_PRIME) -> DataFrame:
+    """samples with `balance`, what is left of W' after each row; a pause is one step at 0 W. Null if either isn't positive and finite.
 
     What is expended is a linear recurrence, e_t = e_(t-1) * exp(-a_t) + b_t, so e_t = exp(-A_t) * sum(b_i * exp(A_i)) with running
     sums. Rows are in blocks of EXPONENT_BLOCK along A, each with sums of its own so that no exponential overflows; a block takes over
     what the one before left, and what is older has decayed below the least digit.
     """
-    if not (cp > 0 and w_prime > 0 and np.isfinite(cp) and np.isfinite(w_prime)):
-        return samples.withColumn("balance", F.lit(None).cast("double"))
+    cp, w_prime = (F.lit(x).cast("double") if not isinstance(x, Column) else x for x in (cp, w_prime))
+    usable = lambda x: F.when((x > 0) & (x < float("inf")), x)
+    cp, w_prime = usable(cp), usable(w_prime)
     gap = F.coalesce(F.col("elapsed") - F.lag("elapsed").over(in_order()) - 1, F.lit(0)) if "elapsed" in samples.columns else F.lit(0)
     a = F.greatest(cp - F.col("power"), F.lit(0.0)) / w_prime + F.col("_gap") * (cp / w_prime)
     rows = samples.withColumn("_gap", gap).withColumn("_a", F.sum(a).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_block", F.floor(F.col("_a") / EXPONENT_BLOCK)).withColumn("_a", F.col("_a") - F.col("_block") * EXPONENT_BLOCK)
+    rows = rows.withColumn("_block", F.coalesce(F.floor(F.col("_a") / EXPONENT_BLOCK), F.lit(0))).withColumn("_a", F.col("_a") - F.col("_block") * EXPONENT_BLOCK)
     rows = rows.withColumn("_b", F.greatest(F.col("power") - cp, F.lit(0.0)) * F.exp("_a"))
     own = F.sum("_b").over(Window.partitionBy("activity_id", "_block").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
     before = F.coalesce(F.sum("_b").over(by().orderBy("_block").rangeBetween(-1, -1)), F.lit(0.0)) * math.exp(-EXPONENT_BLOCK)
@@ -164,9 +159,10 @@ def least_balance(balance: DataFrame) -> DataFrame:
 
 def daily_loads(loads: DataFrame, by: str) -> DataFrame:
     """(by, day, load): loads summed by day, every day from the first to the last of its key, days without any 0."""
-    sums = loads.groupBy(by, "day").agg(F.sum("load").alias("load"))
-    days = sums.groupBy(by).agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
-    return days.join(sums, [by, "day"], "left").select(by, "day", F.coalesce("load", F.lit(0.0)).alias("load"))
+    sums = loads.groupBy(by, F.col("day").cast("long").alias("day")).agg(F.sum("load").alias("load"))
+    following = F.coalesce(F.lead("day").over(Window.partitionBy(by).orderBy("day")), F.col("day") + 1)
+    filled = sums.withColumn("following", following).select(by, "load", F.posexplode(F.sequence("day", F.col("following") - 1)).alias("k", "day"))
+    return filled.select(by, "day", F.when(F.col("k") == 0, F.coalesce("load", F.lit(0.0))).otherwise(0.0).alias("load"))
 
 
 @dataclass(frozen=True)
@@ -179,27 +175,32 @@ class LoadConfig:
     tsb_of_yesterday: bool = False
 
 
+def _decaying(rows: DataFrame, by: str, value: str, keep: float, out: str) -> DataFrame:
+    """rows (by, _turn, value) with `out`, the sum of all values so far, each times `keep` for every turn since; in blocks, see with_balance()."""
+    if keep <= 0:
+        return rows.withColumn(out, F.col(value))
+    at = F.col("_turn") * -math.log(keep)
+    rows = rows.withColumn("_block", F.floor(at / EXPONENT_BLOCK)).withColumn("_a", at - F.col("_block") * EXPONENT_BLOCK).withColumn("_b", F.col(value) * F.exp("_a"))
+    own = F.sum("_b").over(Window.partitionBy(by, "_block").orderBy("_turn").rowsBetween(Window.unboundedPreceding, 0))
+    before = F.coalesce(F.sum("_b").over(Window.partitionBy(by).orderBy("_block").rangeBetween(-1, -1)), F.lit(0.0)) * math.exp(-EXPONENT_BLOCK)
+    return rows.withColumn("_own", own).withColumn("_before", before).withColumn(out, F.exp(-F.col("_a")) * (F.col("_own") + F.col("_before"))).drop("_block", "_a", "_b", "_own", "_before")
+
+
 def training_load(daily: DataFrame, by: str, cfg: LoadConfig = LoadConfig()) -> DataFrame:
-    """(by, day, load, ctl, atl, tsb) by exponentially weighted means, folded over a key's days in order."""
-    w = lambda days: float(1 - np.exp(-1 / days)) if cfg.exponential else 1 / days
-    c, a = w(cfg.ctl_days), w(cfg.atl_days)
-    lists = daily.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("day", "load"))).alias("x"))
-
-    def kernel(batches):
-        for b in batches:
-            out = {by: [], "day": [], "load": [], "ctl": [], "atl": [], "tsb": []}
-            for k, x in zip(b.column(by), b.column("x")):
-                ctl, atl = cfg.ctl0, cfg.atl0
-                for row in x.as_py():
-                    before = ctl - atl
-                    ctl += (row["load"] - ctl) * c
-                    atl += (row["load"] - atl) * a
-                    for n, v in zip(out, (k.as_py(), row["day"], row["load"], ctl, atl, before if cfg.tsb_of_yesterday else ctl - atl)):
-                        out[n].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, b.schema.field(by).type if n == by else pa.int64() if n == "day" else pa.float64()) for n, v in out.items()], names=list(out))
-
-    kind = daily.schema[by].dataType.simpleString()
-    return lists.mapInArrow(kernel, f"{by} {kind}, day long, load double, ctl double, atl double, tsb double")
+    """daily (by, day, load) with ctl, atl and tsb, exponentially weighted means over a key's days in order.
+
+    Running sums and no loop: all windows share one partitioning by the key, also those of several settings after one another.
+    """
+    share = lambda days: 1 - math.exp(-1 / days) if cfg.exponential else 1 / days
+    rows = daily.withColumn("_turn", F.row_number().over(Window.partitionBy(by).orderBy("day")) - 1)
+    for name, days, seed in (("ctl", cfg.ctl_days, cfg.ctl0), ("atl", cfg.atl_days, cfg.atl0)):
+        w = share(days)
+        seeded = F.lit(seed) * F.pow(F.lit(1 - w), F.col("_turn") + 1) if seed else F.lit(0.0)
+        rows = _decaying(rows, by, "load", 1 - w, name).withColumn(name, F.col(name) * w + seeded)
+    form = F.col("ctl") - F.col("atl")
+    if cfg.tsb_of_yesterday:
+        form = F.coalesce(F.lag(form).over(Window.partitionBy(by).orderBy("day")), F.lit(cfg.ctl0 - cfg.atl0))
+    return rows.withColumn("tsb", form).drop("_turn")
 
 
 def season_curve(curves: DataFrame, by: str) -> DataFrame:
@@ -208,14 +209,35 @@ def season_curve(curves: DataFrame, by: str) -> DataFrame:
     return curves.groupBy(by, "duration_s").agg(best.alias("b")).select(by, "duration_s", "b.best_sum", "b.source")
 
 
+def _fit_sums(when: Column | None = None) -> list[Column]:
+    """Aggregates over points (t, p) that fit_2p() needs: counts, means and centred sums of times, works, powers and inverse times."""
+    when = F.lit(True) if when is None else when
+    t, p = F.when(when & F.col("p").isNotNull(), F.col("t")), F.when(when & F.col("t").isNotNull(), F.col("p"))
+    w, u = p * t, 1 / t
+    out = {"n": F.count(t), "mt": F.avg(t), "mw": F.avg(w), "mp": F.avg(p), "mu": F.avg(u), "vt": F.var_pop(t), "vw": F.var_pop(w), "vp": F.var_pop(p), "vu": F.var_pop(u), "ctw": F.covar_pop(t, w), "cpu": F.covar_pop(p, u)}
+    return [c.alias(f"_{k}") for k, c in out.items()]
+
+
+def _fitted(sums: DataFrame) -> DataFrame:
+    """sums with cp, w_prime, r2, rmse, se_cp, se_w_prime and n of the line through works; all but n null if there are fewer than 3
+    points or either value isn't positive. r2 (1 if all powers are equal) and rmse are those of the powers that it gives, from the same sums."""
+    c = lambda k: F.col(f"_{k}")
+    n = c("n")
+    rows = sums.withColumn("cp", F.when((n >= 3) & (c("vt") > 0), c("ctw") / c("vt"))).withColumn("w_prime", c("mw") - F.col("cp") * c("mt"))
+    rows = rows.withColumn("_ok", (F.col("cp") > 0) & (F.col("w_prime") > 0)).withColumns({k: F.when(F.col("_ok"), F.col(k)) for k in ("cp", "w_prime")})
+    aside = c("mp") - F.col("w_prime") * c("mu") - F.col("cp")
+    off = F.greatest(c("vp") - 2 * F.col("w_prime") * c("cpu") + F.col("w_prime") * F.col("w_prime") * c("vu"), F.lit(0.0)) + aside * aside
+    s2 = F.when(F.col("_ok"), F.greatest(c("vw") - c("ctw") * c("ctw") / c("vt"), F.lit(0.0)) * n / (n - 2))
+    rows = rows.withColumns({"_off": off, "_s2": s2})
+    return rows.withColumns(
+        {"r2": F.when(F.col("_ok"), F.when(c("vp") > 0, 1 - c("off") / c("vp")).otherwise(1.0)), "rmse": F.sqrt("_off"), "se_cp": F.sqrt(c("s2") / (n * c("vt"))), "se_w_prime": F.sqrt(c("s2") * (1 / n + c("mt") * c("mt") / (n * c("vt")))), "n": n}
+    )
+
+
 def fit_2p(points: DataFrame, by: str) -> DataFrame:
-    """(by, cp, w_prime, r2, rmse, n) of work = W' + CP * t from (by, t, p); null if fewer than 3 points or either isn't positive."""
-    work = points.withColumn("w", F.col("p") * F.col("t"))
-    line = work.groupBy(by).agg(F.count("*").alias("n"), F.regr_slope("w", "t").alias("cp"), F.regr_intercept("w", "t").alias("w_prime"), F.avg("p").alias("mean"))
-    line = line.where("n >= 3 and cp > 0 and w_prime > 0")
-    off = points.join(line, by).withColumn("r", F.col("p") - (F.col("w_prime") / F.col("t") + F.col("cp")))
-    out = off.groupBy(by, "cp", "w_prime", "n").agg(F.sum(F.col("r") * F.col("r")).alias("ss"), F.sum(F.pow(F.col("p") - F.col("mean"), F.lit(2.0))).alias("tot"))
-    return out.select(by, "cp", "w_prime", F.when(F.col("tot") > 0, 1 - F.col("ss") / positive(F.col("tot"))).otherwise(1.0).alias("r2"), F.sqrt(F.col("ss") / F.col("n")).alias("rmse"), "n")
+    """(by, cp, w_prime, r2, rmse, n, se_cp, se_w_prime) of work = W' + CP * t from (by, t, p), in one aggregation; no row for fewer than
+    3 points or if either isn't positive."""
+    return _fitted(points.groupBy(by).agg(*_fit_sums())).where("_ok").select(by, "cp", "w_prime", "r2", "rmse", "n", "se_cp", "se_w_prime")
 
 
 def _line_for(t: np.ndarray, p: np.ndarray, k: float) -> tuple[float, float] | None:
@@ -273,12 +295,12 @@ def fit_3p(points: DataFrame, by: str) -> DataFrame:
     return points.where("t is not null and p is not null").select(by, F.col("t").cast("double").alias("t"), F.col("p").cast("double").alias("p")).groupBy(by).applyInPandas(fit, schema)
 
 
-def estimate_ftp(points: DataFrame, by: str, low: int = 180, high: int = 1800, fallback: float = DEFAULT_W_PRIME) -> DataFrame:
-    """(by, eftp, duration_s): the best power over an hour that any point from low to high stands for; ties take the longest."""
-    fits = fit_2p(points.where("t between 120 and 1200"), by).select(by, "w_prime")
-    both = points.where(F.col("t").between(low, high)).join(fits, by, "left").withColumn("w", F.when(F.col("w_prime").between(5000, 50000), F.col("w_prime")).otherwise(fallback))
-    each = both.withColumn("eftp", F.col("p") - F.col("w") / F.col("t") + F.col("w") / 3600)
-    return each.groupBy(by).agg(F.max(F.struct("eftp", F.col("t").alias("duration_s"))).alias("m")).select(by, "m.*")
+def estimate_ftp(points: DataFrame, by: str, fallback: float = DEFAULT_W_PRIME) -> DataFrame:
+    """(by, eftp, duration_s, watts, w_prime): the best power over an hour that any point from 180 to 1800 s stands for; ties take the
+    longest. The fit of the points from 120 to 1200 s and the search share one aggregation; a group is one curve's points."""
+    own = F.collect_list(F.when(F.col("t").between(*EFTP_RANGE) & F.col("p").isNotNull(), F.struct(F.col("t").cast("double").alias("t"), F.col("p").cast("double").alias("p"))))
+    rows = _fitted(points.groupBy(by).agg(own.alias("_points"), *_fit_sums(F.col("t").between(*TWO_PARAMETER))))
+    return rows.withColumn("best", eftp(F.col("_points"), F.col("w_prime"), F.lit(float(fallback)))).where("best is not null").select(by, "best.*")
 
 
 def workout_profile(steps: DataFrame, ftp: float) -> DataFrame:
@@ -326,5 +348,8 @@ def round_grams(entries: DataFrame, by: str, step: int = 5) -> DataFrame:
 
 
 def zones_of_activity(samples: DataFrame, athlete: Athlete) -> DataFrame:
-    """(activity_id, power_zones, hr_zones) with the common seven-zone bounds."""
-    return zone_seconds(samples, "power", athlete.ftp, POWER_ZONES).withColumnRenamed("zones", "power_zones").join(zone_seconds(samples, "heart_rate", athlete.lthr, HR_ZONES).withColumnRenamed("zones", "hr_zones"), "activity_id")
+    """(activity_id, power_zones, hr_zones) with the common seven-zone bounds, in one aggregation."""
+    parts = (("power", athlete.ftp, POWER_ZONES), ("heart_rate", athlete.lthr, HR_ZONES))
+    rows = samples.select("activity_id", *[zone_of(F.col(c), F.lit(ref), bounds).alias(c) for c, ref, bounds in parts])
+    counts = [F.array([F.count_if(F.col(c) == i) for i in range(len(bounds) + 1)]).alias(name) for (c, _, bounds), name in zip(parts, ("power_zones", "hr_zones"))]
+    return rows.groupBy("activity_id").agg(*counts)

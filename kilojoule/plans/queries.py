@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kilojoule.functions import metrics as fn
 from kilojoule.operators import metrics as m
 from kilojoule.operators import season
-from kilojoule.operators.analysis import analyze
+from kilojoule.operators.analysis import analyze, checked_settings, mean_max_elapsed, settings_on, summarize
 from kilojoule.operators.resample import ResampleConfig, resample
 
 ATHLETE = m.Athlete(ftp=1000.0, weight_kg=72.0, lthr=150.0, max_hr=190.0, resting_hr=50.0, cp=1000.0, w_prime=20_000.0)
@@ -33,20 +33,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events")
+    w = Window.partitionBy("activity_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "activity_id")
     return e.select(
-        F.col("user_id").alias("activity_id"), (F.row_number().over(w) - 1).alias("idx"), F.floor(F.col("value") * 5).cast("int").alias("power"),
+        "activity_id", (F.row_number().over(w) - 1).alias("idx"), F.floor(F.col("value") * 5).cast("int").alias("power"),
         (90 + F.get_json_object("props", "$.k").cast("int")).alias("heart_rate"), F.when(F.col("event_type") == "view", 0.0).otherwise(8.0).alias("speed"),
     )
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "activity_id")
+    w = Window.partitionBy("activity_id").orderBy("ts", "event_id")
     none = F.lit(None).cast("double")
     return e.select(
-        F.col("user_id").alias("activity_id"), F.row_number().over(w).alias("seq"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000).cast("long").alias("ts"),
+        "activity_id", F.row_number().over(w).alias("seq"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000).cast("long").alias("ts"),
         F.when(F.col("event_type") != "error", F.floor(F.col("value") * 6).cast("int")).alias("power"), (90 + F.get_json_object("props", "$.k").cast("int")).alias("heart_rate"),
         F.lit(None).cast("int").alias("cadence"), none.alias("speed"), none.alias("altitude"), none.alias("distance"),
     )
@@ -125,24 +125,25 @@ def daily_load(spark, d):
 
 def fitness(spark, d):
     daily = m.daily_loads(loads(spark, d), "c_nationkey")
-    today, before = m.training_load(daily, "c_nationkey"), m.training_load(daily, "c_nationkey", m.LoadConfig(exponential=False, tsb_of_yesterday=True))
-    both = today.select("c_nationkey", "day", *[milli(c).alias(c) for c in ("ctl", "atl", "tsb")]).join(before.select("c_nationkey", "day", milli("tsb").alias("tsb_yesterday")), ["c_nationkey", "day"])
-    return both
+    today = m.training_load(daily, "c_nationkey").withColumnsRenamed({"ctl": "ctl0", "atl": "atl0", "tsb": "tsb0"})
+    both = m.training_load(today, "c_nationkey", m.LoadConfig(exponential=False, tsb_of_yesterday=True))
+    return both.select("c_nationkey", "day", *[milli(f"{c}0").alias(c) for c in ("ctl", "atl", "tsb")], milli("tsb").alias("tsb_yesterday"))
 
 
 def critical_power(spark, d):
-    p = m.mean_max_at(rides(spark, d), range(3, 46, 3)).select("activity_id", F.col("duration_s").cast("double").alias("t"), (F.col("best_sum") / F.col("duration_s")).alias("p"))
+    p = m.mean_max_at(rides(spark, d), DURATIONS).select("activity_id", F.col("duration_s").cast("double").alias("t"), (F.col("best_sum") / F.col("duration_s")).alias("p"))
     return m.fit_2p(p, "activity_id").select("activity_id", "n", *[milli(c).alias(c) for c in ("cp", "w_prime", "r2", "rmse")])
 
 
 def eftp(spark, d):
-    p = m.mean_max_at(rides(spark, d), range(3, 46, 3)).select("activity_id", (F.col("duration_s") * 40).alias("t"), (F.col("best_sum") / F.col("duration_s")).alias("p"))
+    p = m.mean_max_at(rides(spark, d), DURATIONS).select("activity_id", (F.col("duration_s") * 40).alias("t"), (F.col("best_sum") / F.col("duration_s")).alias("p"))
     return m.estimate_ftp(p, "activity_id").select("activity_id", "duration_s", milli("eftp").alias("eftp"))
 
 
 def planned_load(spark, d):
-    line = table(spark, d, "lineitem")
-    steps = line.groupBy(F.col("l_orderkey").alias("activity_id"), F.col("l_linenumber").alias("seq")).agg(F.sum("l_quantity").cast("int").alias("duration_s"))
+    # by order once, for the steps' sums and all that follows
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("activity_id"), F.col("l_linenumber").alias("seq"), "l_quantity").repartition("activity_id")
+    steps = line.groupBy("activity_id", "seq").agg(F.sum("l_quantity").cast("int").alias("duration_s"))
     steps = steps.select("*", (40 + F.col("seq") * 12).cast("double").alias("from_pct"), (40 + F.col("seq") * 12 + F.col("duration_s") % 3 * 5).cast("double").alias("to_pct"))
     return m.power_summary(m.workout_profile(steps, 250.0), 250.0).select("activity_id", "seconds", *[milli(c).alias(c) for c in ("avg_power", "np", "tss", "work_kj")])
 
@@ -156,7 +157,7 @@ def workout_files(spark, d):
 
 
 def critical_power_3p(spark, d):
-    p = m.mean_max_at(rides(spark, d), range(3, 46, 3)).select("activity_id", F.col("duration_s").cast("double").alias("t"), (F.col("best_sum") / F.col("duration_s")).alias("p"))
+    p = m.mean_max_at(rides(spark, d), DURATIONS).select("activity_id", F.col("duration_s").cast("double").alias("t"), (F.col("best_sum") / F.col("duration_s")).alias("p"))
     return m.fit_3p(p, "activity_id").select("activity_id", "n", *[milli(c).alias(c) for c in ("cp", "w_prime", "k", "p_max", "r2", "rmse")])
 
 
@@ -212,9 +213,52 @@ def rounded_grams(spark, d):
     return m.round_grams(line, "plan_id").select("plan_id", "idx", "rounded")
 
 
+def paused_rides(spark, d):
+    """rides() with a pause of 50 seconds after every 20 samples."""
+    r = rides(spark, d)
+    return r.withColumn("elapsed", F.col("idx") + 50 * F.floor(F.col("idx") / 20))
+
+
+def athlete_settings(spark, d):
+    """Of ten athletes two settings each, from day 0 and day 15 on: nations stand in for them. Some leave out values, half have zones of their own."""
+    n = F.col("n_nationkey")
+    ftp = (800 + 20 * n).cast("double")
+    return table(spark, d, "nation").where(n < 20).select(
+        (n % 10).alias("athlete_id"), (F.floor(n / 10) * 15).alias("from_day"), ftp.alias("ftp"), (55 + n).cast("double").alias("weight_kg"), (140 + n).cast("double").alias("lthr"), (45 + n % 5).cast("double").alias("resting_hr"),
+        (185 + n % 7).cast("double").alias("max_hr"), F.when(n % 3 > 0, ftp - 20).alias("cp"), F.when(n % 4 > 0, (15000 + 500 * n).cast("double")).alias("w_prime"), F.when(n % 2 == 1, "women").alias("trimp"),
+        F.when(n % 2 == 1, F.array(*[F.lit(b) for b in (0.5, 0.8, 1.0, 1.3)])).alias("power_zones"),
+    )
+
+
+def athlete_summaries(spark, d):
+    """Every ride by the settings that its athlete had on its day, curve over elapsed time, fit and estimate included."""
+    r = paused_rides(spark, d)
+    known = table(spark, d, "events").select(F.col("user_id").alias("activity_id")).distinct().select("activity_id", (F.col("activity_id") % 10).alias("athlete_id"), (F.col("activity_id") % 30).alias("day"))
+    s = summarize(r, settings_on(known, checked_settings(athlete_settings(spark, d))))
+    names = {"normalized_power": "np", "intensity_factor": "intensity", "tss": "tss", "average_watts_per_kg": "watts_per_kg", "min_w_prime_balance": "least_balance", "efficiency_factor": "ef", "decoupling_pct": "decoupling", "hr_tss": "hr_tss"}
+    best = F.element_at(F.filter("power_curve", lambda x: x["duration_s"] <= 120), -1)
+    return s.select(
+        "activity_id", F.col("recording_time_s").alias("seconds"), F.col("elapsed_time_s").alias("elapsed"), F.col("moving_time_s").alias("moving"), *[milli(c).alias(n) for c, n in names.items()],
+        *[F.get("power_zone_seconds", F.lit(i)).alias(f"po_z{i + 1}") for i in range(7)], *[F.get("hr_zone_seconds", F.lit(i)).alias(f"hr_z{i + 1}") for i in range(7)],
+        F.size("power_curve").cast("long").alias("durations"), milli(best["watts"]).alias("best"), F.col("cp_fit.points").cast("long").alias("points"), *[milli(f"cp_fit.{c}").alias(c) for c in ("cp", "w_prime", "rmse", "se_cp")],
+        F.col("eftp.duration_s").alias("eftp_s"), milli("eftp.eftp").alias("eftp"), milli("eftp.w_prime").alias("eftp_w_prime"),
+    )
+
+
+def elapsed_curve(spark, d):
+    """Best sums over elapsed time, pauses as zeros, at every standard duration."""
+    return mean_max_elapsed(paused_rides(spark, d), DURATIONS)
+
+
+def season_elapsed(spark, d):
+    """An athlete's best over elapsed time, with the ride that it is from."""
+    c = mean_max_elapsed(paused_rides(spark, d), DURATIONS)
+    return m.season_curve(c.withColumn("athlete_id", F.col("activity_id") % 10).withColumn("added", F.col("activity_id")), "athlete_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (activity_summary, activity_analysis, improved_durations, season_fitness, week_loads, planned_days, raised_targets, activity_power, activity_heart_rate, activity_zones, resample_series, resample_report, mean_max, full_power_curve, season_best, w_balance, daily_load, fitness, critical_power, critical_power_3p, eftp, planned_load, workout_files, fuelling_rules, rounded_grams)
+    for f in (athlete_summaries, elapsed_curve, season_elapsed, activity_summary, activity_analysis, improved_durations, season_fitness, week_loads, planned_days, raised_targets, activity_power, activity_heart_rate, activity_zones, resample_series, resample_report, mean_max, full_power_curve, season_best, w_balance, daily_load, fitness, critical_power, critical_power_3p, eftp, planned_load, workout_files, fuelling_rules, rounded_grams)
 }
 
 _RIDES = """rides AS (SELECT user_id AS activity_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, CAST(floor(value * 5) AS INTEGER) AS power,
@@ -258,7 +302,38 @@ _PLAN = """p AS (SELECT o_custkey % 10 AS athlete_id, CAST(o_orderdate AS DATE)
     pd AS (SELECT athlete_id, day, max(minutes) AS longest, min(priority) AS priority, sum(minutes * intensity) / sum(minutes) AS mean_intensity, arg_max(seq, (intensity, seq)) FILTER (minutes >= 45 AND intensity >= 0.80::DOUBLE) AS key_seq FROM p GROUP BY 1, 2)"""
 _HM = lambda x: f"(CASE WHEN {x} < 60 THEN {x} || ' min' WHEN {x} % 60 = 0 THEN {x} // 60 || ' h' ELSE {x} // 60 || ' h ' || printf('%02d', {x} % 60) || ' min' END)"
 
+_STEPS = fn.fit_durations(120, 1200)
+# best sums over elapsed time: a row for every second of it, pauses as 0
+_ELAPSED = lambda ds: f"""paused AS (SELECT *, idx + 50 * (idx // 20) AS elapsed FROM rides), spine AS (SELECT activity_id, unnest(range(max(elapsed) + 1)) AS x FROM paused GROUP BY 1),
+    cum AS (SELECT activity_id, x + 1 AS k, sum(coalesce(power, 0)) OVER (PARTITION BY activity_id ORDER BY x) AS total FROM spine LEFT JOIN (SELECT activity_id, elapsed AS x, power FROM paused) USING (activity_id, x) UNION ALL SELECT DISTINCT activity_id, 0, 0 FROM rides),
+    d AS (SELECT unnest({ds}) AS duration_s), best AS (SELECT a.activity_id, CAST(d.duration_s AS INTEGER) AS duration_s, CAST(max(b.total - a.total) AS BIGINT) AS best_sum FROM cum a, d, cum b WHERE a.activity_id = b.activity_id AND b.k = a.k + d.duration_s GROUP BY 1, 2)"""
+_KIND = lambda h: f"(least(greatest(({h} - resting) / (top - resting), 0), 1) * c1 * exp(c2 * least(greatest(({h} - resting) / (top - resting), 0), 1)) / 60)"
+_OWN_ZONES = lambda value, ref, bounds, name: ", ".join(f"CASE WHEN len({bounds}) >= {i} THEN count(*) FILTER ({'true' if i == 0 else f'{value} > {bounds}[{i}] * {ref}'} AND (len({bounds}) <= {i} OR {value} <= {bounds}[{i + 1}] * {ref})) END AS {name}_z{i + 1}" for i in range(7))
+_SUMMARIES = f"""WITH {_RIDES}, {_ELAPSED('range(1, 2 + (SELECT max(elapsed) FROM paused))')},
+    st AS (SELECT n_nationkey % 10 AS athlete, n_nationkey // 10 * 15 AS from_day, (800 + 20 * n_nationkey)::DOUBLE AS ftp, (55 + n_nationkey)::DOUBLE AS kg, (140 + n_nationkey)::DOUBLE AS lthr, (45 + n_nationkey % 5)::DOUBLE AS resting, (185 + n_nationkey % 7)::DOUBLE AS top,
+      CASE WHEN n_nationkey % 3 > 0 THEN 780 + 20 * n_nationkey ELSE 800 + 20 * n_nationkey END::DOUBLE AS cp, CASE WHEN n_nationkey % 4 > 0 THEN 15000 + 500 * n_nationkey ELSE 20000 END::DOUBLE AS wp, CASE WHEN n_nationkey % 2 = 1 THEN 0.86 ELSE 0.64 END::DOUBLE AS c1, CASE WHEN n_nationkey % 2 = 1 THEN 1.67 ELSE 1.92 END::DOUBLE AS c2,
+      CASE WHEN n_nationkey % 2 = 1 THEN [0.5, 0.8, 1.0, 1.3]::DOUBLE[] ELSE {list(fn.POWER_ZONES)}::DOUBLE[] END AS pb, {list(fn.HR_ZONES)}::DOUBLE[] AS hb FROM nation WHERE n_nationkey < 20),
+    act AS (SELECT DISTINCT user_id AS activity_id FROM events), own AS (SELECT activity_id, st.* FROM act JOIN st ON athlete = activity_id % 10 AND from_day <= activity_id % 30 QUALIFY row_number() OVER (PARTITION BY activity_id ORDER BY from_day DESC) = 1),
+    x AS (SELECT p.*, own.* EXCLUDE (activity_id), count(*) OVER (PARTITION BY p.activity_id) AS n, CAST(sum(power) OVER w AS DOUBLE) AS s30, count(*) OVER w AS n30, CASE WHEN idx % 20 = 0 AND idx > 0 THEN 50 ELSE 0 END AS gap FROM paused p JOIN own USING (activity_id) WINDOW w AS (PARTITION BY p.activity_id ORDER BY idx ROWS 29 PRECEDING)),
+    e AS (SELECT *, sum(greatest(cp - power, 0) / wp + gap * (cp / wp)) OVER (PARTITION BY activity_id ORDER BY idx) AS a FROM x),
+    b AS (SELECT *, wp - exp(-a) * sum(greatest(power - cp, 0) * exp(a)) OVER (PARTITION BY activity_id ORDER BY idx) AS bal FROM e),
+    g AS (SELECT activity_id, count(*) AS seconds, max(elapsed) + 1 AS elapsed, count(*) FILTER (speed > 0.5) AS moving, avg(power) AS ap, sqrt(sqrt(avg(pow(s30 / 30, 4)) FILTER (n30 = 30))) AS np, min(bal) AS bal, avg(heart_rate) AS ahr, any_value(ftp) AS ftp, any_value(kg) AS kg, any_value(wp) AS wp,
+      sum({_KIND('heart_rate::DOUBLE')}) FILTER (speed > 0.5) / (any_value({_KIND('lthr')}) * 3600) * 100 AS hr_tss, sum(power) FILTER (idx < n // 2) / sum(heart_rate) FILTER (idx < n // 2) AS r1, sum(power) FILTER (idx >= n // 2) / sum(heart_rate) FILTER (idx >= n // 2) AS r2 FROM b GROUP BY 1),
+    z AS (SELECT activity_id, {_OWN_ZONES('power', 'ftp', 'pb', 'po')}, {_OWN_ZONES('heart_rate', 'lthr', 'hb', 'hr')} FROM x GROUP BY activity_id, pb, hb),
+    cv AS (SELECT activity_id, count(*) AS durations, arg_max(best_sum / duration_s, duration_s) FILTER (duration_s <= 120) AS best FROM best WHERE duration_s IN ({', '.join(map(str, DURATIONS))}) GROUP BY 1),
+    fp AS (SELECT activity_id, duration_s::DOUBLE AS t, best_sum / duration_s AS p FROM best JOIN g USING (activity_id) WHERE duration_s IN ({', '.join(map(str, _STEPS))}) OR (duration_s = elapsed AND elapsed BETWEEN 120 AND 1200)),
+    fl AS (SELECT activity_id, count(*) AS points, regr_slope(p * t, t) AS cp, regr_intercept(p * t, t) AS w_prime, regr_sxx(p * t, t) AS sxx FROM fp GROUP BY 1 HAVING count(*) >= 3),
+    ff AS (SELECT activity_id, points, cp, w_prime, sqrt(sum(pow(p - (w_prime / t + cp), 2)) / points) AS rmse, sqrt(sum(pow(p * t - (cp * t + w_prime), 2)) / (points - 2) / sxx) AS se_cp FROM fl JOIN fp USING (activity_id) WHERE cp > 0 AND w_prime > 0 GROUP BY activity_id, points, cp, w_prime, sxx),
+    ew AS (SELECT activity_id, CASE WHEN w_prime BETWEEN 5000 AND 50000 THEN w_prime ELSE wp END AS w FROM g LEFT JOIN ff USING (activity_id)),
+    ef AS (SELECT activity_id, best_sum / duration_s - w / duration_s + w / 3600 AS eftp, duration_s AS eftp_s, w FROM best JOIN ew USING (activity_id) WHERE duration_s BETWEEN 180 AND 1800 QUALIFY row_number() OVER (PARTITION BY activity_id ORDER BY eftp DESC, duration_s DESC) = 1)
+    SELECT activity_id, seconds, g.elapsed, moving, {_MILLI('np')} AS np, {_MILLI('np / ftp')} AS intensity, {_MILLI('moving * np * (np / ftp) / (ftp * 3600) * 100')} AS tss, {_MILLI('ap / kg')} AS watts_per_kg, {_MILLI('bal')} AS least_balance, {_MILLI('np / ahr')} AS ef, {_MILLI('(r1 - r2) / r1 * 100')} AS decoupling, {_MILLI('hr_tss')} AS hr_tss,
+      z.* EXCLUDE (activity_id), durations, {_MILLI('best')} AS best, points, {_MILLI('ff.cp')} AS cp, {_MILLI('w_prime')} AS w_prime, {_MILLI('rmse')} AS rmse, {_MILLI('se_cp')} AS se_cp, eftp_s, {_MILLI('eftp')} AS eftp, {_MILLI('w')} AS eftp_w_prime
+    FROM g JOIN z USING (activity_id) JOIN cv USING (activity_id) LEFT JOIN ff USING (activity_id) LEFT JOIN (SELECT activity_id, eftp, eftp_s, w FROM ef) USING (activity_id)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "athlete_summaries": _SUMMARIES,
+    "elapsed_curve": f"WITH {_RIDES}, {_ELAPSED(DURATIONS)} SELECT * FROM best",
+    "season_elapsed": f"WITH {_RIDES}, {_ELAPSED(DURATIONS)} SELECT activity_id % 10 AS athlete_id, duration_s, max(best_sum) AS best_sum, arg_max(activity_id, (best_sum, -activity_id)) AS source FROM best GROUP BY 1, 2",
     "activity_analysis": f"WITH {_RIDES}, {_POWER}, {_HR}, z AS (SELECT activity_id, {_ZONES('power', 1000, fn.POWER_ZONES)}, {_ZONES('heart_rate', 150, fn.HR_ZONES)} FROM rides GROUP BY 1) SELECT z.*, seconds AS elapsed_time_s, moving_seconds AS moving_time_s, {_MILLI('avg_power')} AS average_power, {_MILLI('avg_power / 72')} AS average_watts_per_kg, {_MILLI('np / avg_power')} AS variability_index, {_MILLI('avg_hr')} AS average_hr, {_MILLI('np / avg_hr')} AS efficiency_factor FROM np JOIN hr USING (activity_id) JOIN z USING (activity_id)",
     "improved_durations": f"WITH {_RIDES}, {_BEST(DURATIONS)}, i AS (SELECT activity_id % 10 AS athlete_id, activity_id, duration_s, best_sum, max(best_sum) OVER (PARTITION BY activity_id % 10, duration_s ORDER BY activity_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM best) SELECT * FROM i WHERE before IS NULL OR best_sum > before",
     "season_fitness": f"WITH RECURSIVE {_PLAN}, s AS (SELECT athlete_id, day, sum(load) AS load FROM p GROUP BY 1, 2), daily AS (SELECT athlete_id, d.day, coalesce(load, 0) AS load FROM (SELECT athlete_id, unnest(range(least(min(day), {END_DAY}), {END_DAY} + 1)) AS day FROM p GROUP BY 1) d LEFT JOIN s USING (athlete_id, day)), n AS (SELECT *, row_number() OVER (PARTITION BY athlete_id ORDER BY day) AS k FROM daily), f AS (SELECT athlete_id, 0::BIGINT AS k, 0::BIGINT AS day, 0.0::DOUBLE AS load, 0.0::DOUBLE AS ctl, 0.0::DOUBLE AS atl FROM n WHERE k = 1 UNION ALL SELECT n.athlete_id, n.k, n.day, n.load, f.ctl + (n.load - f.ctl) * (1 - exp(-1 / 42.0::DOUBLE)), f.atl + (n.load - f.atl) * (1 - exp(-1 / 7.0::DOUBLE)) FROM f JOIN n ON n.athlete_id = f.athlete_id AND n.k = f.k + 1) SELECT athlete_id, day, {_MILLI('load')} AS load, {_MILLI('ctl')} AS ctl, {_MILLI('atl')} AS atl, {_MILLI('ctl - atl')} AS tsb FROM f WHERE k > 0",
@@ -279,13 +354,13 @@ ORACLE_SQL: dict[str, str] = {
     "resample_series": f"WITH {_TICKS} SELECT activity_id, idx, elapsed, coalesce(pw, 0) AS power, pw IS NULL AS power_dropout, hw AS heart_rate, CASE WHEN recorded THEN 'recorded' ELSE 'filled' END AS state, segment, coalesce(x - before > 1, true) AS segment_start FROM o",
     "resample_report": f"WITH {_TICKS}, c AS (SELECT activity_id, count(*) AS records, count(*) FILTER (late) AS out_of_order, count(*) FILTER (spike) AS power_spikes, count(*) FILTER (NOT late) AS kept FROM r GROUP BY 1), m AS (SELECT activity_id, count(*) FILTER (recorded) AS n, count(*) FILTER (NOT recorded AND was) AS gaps_filled, count(*) FILTER (NOT recorded) AS gap_seconds_filled, count(*) FILTER (x - before > 1) AS pauses, coalesce(sum(x - before - 1) FILTER (x - before > 1), 0)::BIGINT AS paused_seconds, count(*) FILTER (recorded AND power IS NULL AND pw IS NOT NULL) AS power_dropouts_repaired, CASE WHEN count(pw) > 0 THEN count(*) FILTER (pw IS NULL) ELSE 0 END AS power_dropout_seconds, count(*) FILTER (recorded AND heart_rate IS NULL AND hw IS NOT NULL) AS hr_dropouts_repaired FROM o GROUP BY 1) SELECT activity_id, records, kept - n AS duplicates, out_of_order, power_spikes, gaps_filled, gap_seconds_filled, pauses, paused_seconds, power_dropouts_repaired, power_dropout_seconds, hr_dropouts_repaired FROM c JOIN m USING (activity_id)",
     "mean_max": f"WITH {_RIDES}, {_BEST(DURATIONS)} SELECT * FROM best",
-    "full_power_curve": f"WITH {_RIDES}, {_BEST('range(1, 200)')} SELECT *, {_MILLI('max(best_sum / duration_s) OVER (PARTITION BY activity_id ORDER BY duration_s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)')} AS envelope FROM best",
+    "full_power_curve": f"WITH {_RIDES}, {_BEST('range(1, 1 + (SELECT max(n) FROM (SELECT count(*) AS n FROM events GROUP BY user_id)))')} SELECT *, {_MILLI('max(best_sum / duration_s) OVER (PARTITION BY activity_id ORDER BY duration_s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)')} AS envelope FROM best",
     "season_best": f"WITH {_RIDES}, {_BEST(DURATIONS)} SELECT activity_id % 10 AS athlete_id, duration_s, max(best_sum) AS best_sum, arg_max(activity_id, (best_sum, -activity_id)) AS source FROM best GROUP BY 1, 2",
     "w_balance": f"WITH {_RIDES}, {_BALANCE} SELECT activity_id, least_at, {_MILLI('least_balance')} AS least_balance FROM low",
     "daily_load": f"WITH {_LOADS} SELECT c_nationkey, day, {_MILLI('load')} AS load FROM daily",
     "fitness": f"WITH RECURSIVE {_LOADS}, n AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY day) AS k FROM daily), f AS (SELECT c_nationkey, 0::BIGINT AS k, 0::BIGINT AS day, 0.0::DOUBLE AS ctl, 0.0::DOUBLE AS atl, 0.0::DOUBLE AS c2, 0.0::DOUBLE AS a2, 0.0::DOUBLE AS y FROM n WHERE k = 1 UNION ALL SELECT n.c_nationkey, n.k, n.day, f.ctl + (n.load - f.ctl) * (1 - exp(-1 / 42.0::DOUBLE)), f.atl + (n.load - f.atl) * (1 - exp(-1 / 7.0::DOUBLE)), f.c2 + (n.load - f.c2) * (1 / 42.0::DOUBLE), f.a2 + (n.load - f.a2) * (1 / 7.0::DOUBLE), f.c2 - f.a2 FROM f JOIN n ON n.c_nationkey = f.c_nationkey AND n.k = f.k + 1) SELECT c_nationkey, day, {_MILLI('ctl')} AS ctl, {_MILLI('atl')} AS atl, {_MILLI('ctl - atl')} AS tsb, {_MILLI('y')} AS tsb_yesterday FROM f WHERE k > 0",
-    "critical_power": f"WITH {_RIDES}, {_BEST('range(3, 46, 3)')}, p AS (SELECT activity_id, duration_s::DOUBLE AS t, best_sum / duration_s AS p FROM best), l AS (SELECT activity_id, count(*) AS n, regr_slope(p * t, t) AS cp, regr_intercept(p * t, t) AS w_prime, avg(p) AS mean FROM p GROUP BY 1 HAVING count(*) >= 3 AND regr_slope(p * t, t) > 0 AND regr_intercept(p * t, t) > 0), s AS (SELECT activity_id, n, cp, w_prime, sum(pow(p - (w_prime / t + cp), 2)) AS ss, sum(pow(p - mean, 2)) AS tot FROM p JOIN l USING (activity_id) GROUP BY 1, 2, 3, 4) SELECT activity_id, n, {_MILLI('cp')} AS cp, {_MILLI('w_prime')} AS w_prime, {_MILLI('CASE WHEN tot > 0 THEN 1 - ss / tot ELSE 1 END')} AS r2, {_MILLI('sqrt(ss / n)')} AS rmse FROM s",
-    "eftp": f"WITH {_RIDES}, {_BEST('range(3, 46, 3)')}, p AS (SELECT activity_id, duration_s * 40 AS t, best_sum / duration_s AS p FROM best), l AS (SELECT activity_id, regr_intercept(p * t, t) AS w FROM p WHERE t BETWEEN 120 AND 1200 GROUP BY 1 HAVING count(*) >= 3 AND regr_slope(p * t, t) > 0 AND regr_intercept(p * t, t) > 0), e AS (SELECT activity_id, t, p - v / t + v / 3600 AS e FROM (SELECT p.*, CASE WHEN w BETWEEN 5000 AND 50000 THEN w ELSE 20000.0::DOUBLE END AS v FROM p LEFT JOIN l USING (activity_id) WHERE t BETWEEN 180 AND 1800)) SELECT activity_id, arg_max(t, (e, t)) AS duration_s, {_MILLI('max(e)')} AS eftp FROM e GROUP BY 1",
+    "critical_power": f"WITH {_RIDES}, {_BEST(DURATIONS)}, p AS (SELECT activity_id, duration_s::DOUBLE AS t, best_sum / duration_s AS p FROM best), l AS (SELECT activity_id, count(*) AS n, regr_slope(p * t, t) AS cp, regr_intercept(p * t, t) AS w_prime, avg(p) AS mean FROM p GROUP BY 1 HAVING count(*) >= 3 AND regr_slope(p * t, t) > 0 AND regr_intercept(p * t, t) > 0), s AS (SELECT activity_id, n, cp, w_prime, sum(pow(p - (w_prime / t + cp), 2)) AS ss, sum(pow(p - mean, 2)) AS tot FROM p JOIN l USING (activity_id) GROUP BY 1, 2, 3, 4) SELECT activity_id, n, {_MILLI('cp')} AS cp, {_MILLI('w_prime')} AS w_prime, {_MILLI('CASE WHEN tot > 0 THEN 1 - ss / tot ELSE 1 END')} AS r2, {_MILLI('sqrt(ss / n)')} AS rmse FROM s",
+    "eftp": f"WITH {_RIDES}, {_BEST(DURATIONS)}, p AS (SELECT activity_id, duration_s * 40 AS t, best_sum / duration_s AS p FROM best), l AS (SELECT activity_id, regr_intercept(p * t, t) AS w FROM p WHERE t BETWEEN 120 AND 1200 GROUP BY 1 HAVING count(*) >= 3 AND regr_slope(p * t, t) > 0 AND regr_intercept(p * t, t) > 0), e AS (SELECT activity_id, t, p - v / t + v / 3600 AS e FROM (SELECT p.*, CASE WHEN w BETWEEN 5000 AND 50000 THEN w ELSE 20000.0::DOUBLE END AS v FROM p LEFT JOIN l USING (activity_id) WHERE t BETWEEN 180 AND 1800)) SELECT activity_id, arg_max(t, (e, t)) AS duration_s, {_MILLI('max(e)')} AS eftp FROM e GROUP BY 1",
     "planned_load": f"WITH st AS (SELECT l_orderkey AS activity_id, l_linenumber AS seq, CAST(sum(l_quantity) AS INTEGER) AS dur FROM lineitem GROUP BY 1, 2), b AS (SELECT *, coalesce(sum(dur) OVER (PARTITION BY activity_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS beg, (40 + seq * 12)::DOUBLE AS f, (40 + seq * 12 + dur % 3 * 5)::DOUBLE AS t FROM st), rides AS (SELECT activity_id, beg + k AS idx, CAST(floor((f + (t - f) * (k + 0.5::DOUBLE) / dur) / 100 * 250 + 0.5) AS INTEGER) AS power, 8.0::DOUBLE AS speed FROM (SELECT *, unnest(range(0, dur)) AS k FROM b)), {_POWER} SELECT activity_id, seconds, {_MILLI('avg_power')} AS avg_power, {_MILLI('np')} AS np, {_MILLI('seconds * np * (np / 250) / (250.0::DOUBLE * 3600) * 100')} AS tss, {_MILLI('work_kj')} AS work_kj FROM np",
     "fuelling_rules": f"WITH {_S}, w AS (SELECT *, {_W} AS work FROM s), l AS (SELECT *, work / mass * least(greatest(intensity / 0.75, 0.6), 1.4) AS load FROM w), q AS (SELECT *, least(greatest(load / 35, 0), 1) AS dem, least(greatest((intensity - 0.55) / 0.30::DOUBLE, 0), 1) AS z FROM l) SELECT o_orderkey, {_MILLI('work')} AS work, {_MILLI('load')} AS load, {_MILLI('CASE WHEN load <= 0 THEN 3 WHEN load < 8 THEN 3 + load * (2.0::DOUBLE / 8) WHEN load < 15 THEN 5 + (load - 8) * (1.5::DOUBLE / 7) WHEN load < 35 THEN 6.5 + (load - 15) * (2.5::DOUBLE / 20) WHEN load < 60 THEN 9 + (load - 35) * (3.0::DOUBLE / 25) ELSE 12 END')} AS carbs, {_MILLI('1.2 + 0.8 * least(greatest(load / 60, 0), 1)')} AS protein, CASE WHEN load < 8 THEN 'light' WHEN load < 15 THEN 'moderate' WHEN load < 35 THEN 'high' ELSE 'very_high' END AS band, {_MILLI('least(greatest(least(1 + 3 * dem, greatest(gap, 1)), 1), 4)')} AS pre_hours, CAST(floor(CASE WHEN minutes <= 45 THEN 0 WHEN minutes <= 75 THEN 30 * z WHEN minutes <= 120 THEN 30 + 30 * z WHEN minutes <= 150 THEN 45 + 15 * z ELSE 60 + 30 * z END + 0.5) AS BIGINT) AS in_ride, minutes BETWEEN 46 AND 75 AND intensity >= 0.85::DOUBLE AS rinse, {_MILLI('CASE WHEN gap < 8 THEN 1 + 0.2 * dem ELSE 0 END')} AS recovery_rate, CASE WHEN gap < 8 THEN CAST(greatest(floor(least(greatest(gap, 0), 4)), 1) AS BIGINT) ELSE 0 END AS recovery_hours FROM q",
     "workout_files": """WITH st AS (SELECT l_orderkey AS activity_id, l_linenumber AS seq, CAST(sum(l_quantity) AS INTEGER) AS dur, 40 + l_linenumber * 12 AS pct FROM lineitem GROUP BY 1, 2),
