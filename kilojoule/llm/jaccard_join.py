@@ -170,7 +170,7 @@ def signatures(h: np.ndarray, at: np.ndarray, t: float) -> tuple[np.ndarray, np.
     return np.concatenate(rows), np.concatenate(sigs)
 
 
-def _bitmaps(h: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+def bitmaps(h: np.ndarray, at: np.ndarray) -> list[pa.Array]:
     """A bitmap for each set: every member turns one bit over, so the bitmaps of two sets differ in no more bits than the sets in members."""
     n, row = len(at) - 1, np.repeat(np.arange(len(at) - 1), np.diff(at))
     bit = (mix(h ^ np.uint64(0x6B69746D)) >> np.uint64(40)).astype(np.int64) % (64 * BITMAP)
@@ -186,7 +186,7 @@ _SHAPE = ["n", "many", *_BITS]
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, "text", PIECE):
         h, at = shingles(b.column("text"))
-        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(np.diff(at)), *map(signed, set_hash(h, at)), *_bitmaps(h, at)], names=["key", "n", "h", "h2", *_BITS])
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(np.diff(at)), *map(signed, set_hash(h, at)), *bitmaps(h, at)], names=["key", "n", "h", "h2", *_BITS])
 
 
 def _index(t: float):

@@ -4,13 +4,13 @@ A document's set of word shingles has TREES labels of DEPTH minimum hashes each.
 probability of J ** d, so alike sets stand close together in some of the sorted orders. Candidates are looked for in two steps, and
 each of them is confirmed on the whole sets:
 
-1. every set against the neighbour that it shares the longest prefixes with over all orders, and against the head of its regions, the
+1. every set against its neighbours in all orders that share LEAST hashes or more with it, and against the head of its regions, the
    sets whose labels begin with the same LEAST hashes; a head is the set that is in the largest regions. That joins most groups, also
    those whose members are alike by one original only.
-2. of what is still apart, the sets of a region that are in different groups. A region's depth adapts: where its pairs outnumber its
+2. of what is still apart, the sets of a region that are in different groups, the likeliest pairs first. A region's depth adapts: where its pairs outnumber its
    rows PAIRS times, it is split by the next hash, and so on until DEPTH.
 
-Equal sets are one from the start. Sizes and a sketch of two bits a hash rule most pairs out before sets are compared.
+Equal sets are one from the start. Sizes, a bitmap and a sketch of two bits a hash rule most pairs out before sets are compared.
 """
 
 from __future__ import annotations
@@ -25,13 +25,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilojoule.llm._shared import cut, join_checked, key, own_id, pieces, signed
-from kilojoule.llm.jaccard_join import PIECE, components, set_hash, shingles
+from kilojoule.llm.jaccard_join import BITMAP, PIECE, bitmaps, components, set_hash, shingles
 
 SHINGLE = 4
 #: Orders, hashes of a label, and how many of them two sets must share at least to meet.
 TREES, DEPTH, LEAST = 16, 8, 3
 #: A region is split further where more pairs than so many times its rows are apart.
 PAIRS = 16
+#: What is apart is compared in rounds, by how many standard deviations a pair's sketch may be off: those most like a link first, so that
+#: they join what the next round needn't pair; by the last one a link is lost once in three million times.
+DEVIATIONS = (0, 5)
 #: 64-bit words of a sketch, with two bits of each hash.
 SKETCH = TREES * DEPTH // 32
 #: A head with more candidates than this is hot: its set is sent to them, as long as the hot sets are within so many bytes.
@@ -39,6 +42,9 @@ HOT, HOT_BYTES = 1_000, 32 << 20
 _HASHES = np.random.default_rng(20).integers(0, 2**64, (2, TREES * DEPTH), np.uint64)
 _HASHES[1] |= np.uint64(1)
 _SKETCH = [f"sketch{k}" for k in range(SKETCH)]
+#: A set's bitmap, whose bits differ from another's in no more places than the sets in members.
+_BITS = [f"bits{k}" for k in range(BITMAP)]
+_SHAPE = [*_SKETCH, *_BITS]
 
 
 def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -60,7 +66,7 @@ def _sets(width: int):
             two = np.stack([sig & 1, sig >> 1 & 1], axis=2).astype(np.uint8).reshape(len(sig), SKETCH, 64)
             sketch = [signed(np.packbits(two[:, k], axis=1, bitorder="little").view(np.uint64).ravel()) for k in range(SKETCH)]
             labels = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * TREES * DEPTH), len(sig), [None, pa.py_buffer(sig.astype(">u4").tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(np.diff(at)), *map(signed, set_hash(h, at)), labels, *sketch], names=["key", "n", "h", "h2", "labels", *_SKETCH])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(np.diff(at)), *map(signed, set_hash(h, at)), labels, *sketch, *bitmaps(h, at)], names=["key", "n", "h", "h2", "labels", *_SHAPE])
 
     return run
 
@@ -129,17 +135,26 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) ->
     return cut(both.where((100 * common.cast("long") >= percent * (total - common)) & (common > 0)).select("a", "b"), pairs, sets, often, hot_sets)
 
 
-def _candidates(near: DataFrame) -> DataFrame:
-    """(b, a): for each set b the neighbour with the longest shared prefixes, and the head that most of its regions have."""
+def _alike(percent: int, deviations: int = DEVIATIONS[-1]) -> str:
+    """Whether sets a and b may link by their sizes and bitmaps, which rule out no link, and by their sketches: the two bits differ in as
+    many hashes as is expected at the least likeness and some deviations, at most."""
+    p = 0.75 * (1 - percent / 100)
+    most = math.ceil(TREES * DEPTH * p + deviations * math.sqrt(TREES * DEPTH * p * (1 - p)))
+    differ = " + ".join(f"bit_count((a{c} ^ b{c} | shiftrightunsigned(a{c} ^ b{c}, 1)) & {0x5555555555555555})" for c in _SKETCH)
+    apart = " + ".join(f"bit_count(a{c} ^ b{c})" for c in _BITS)
+    return f"100 * least(an, bn) >= {percent} * greatest(an, bn) and {100 + percent} * ({apart}) <= {100 - percent} * (an + bn) and {differ} <= {most}"
+
+
+def _candidates(near: DataFrame, per_id: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each set with its neighbours in all orders and with the head that most of its regions have, as far as they may link."""
     inside = near.where("not edge")
     # what stands beside a task's edge: two rows a task
     w = Window.orderBy("tree", "label", "id")
     edges = near.where("edge").withColumns({"tree0": F.lag("tree").over(w), "label0": F.lag("label").over(w), "id0": F.lag("id").over(w)})
-    beside = [F.when(F.substring("label", 1, 4 * d) == F.substring("label0", 1, 4 * d), d) for d in range(DEPTH, LEAST - 1, -1)]
-    over = edges.where("tree = tree0").select("id", F.col("id0").alias("prev"), F.coalesce(*beside).alias("common"))
+    depths = [F.when(F.substring("label", 1, 4 * d) == F.substring("label0", 1, 4 * d), d) for d in range(DEPTH, LEAST - 1, -1)]
+    over = edges.where("tree = tree0").select("id", F.col("id0").alias("prev"), F.coalesce(*depths).alias("common"))
     met = inside.select("id", "prev", "common").union(near.where("edge").select("id", "prev", "common")).union(over).where("prev is not null and common is not null and id <> prev")
-    both = met.union(met.select("prev", "id", "common")).toDF("b", "a", "common").groupBy("b", "a").agg(F.sum("common").alias("shared"))
-    nearest = both.groupBy("b").agg(F.max(F.struct("shared", F.bitwise_not("a").alias("first"), "a")).alias("best")).select("b", F.col("best.a").alias("a"))
+    beside = met.select(F.least("id", "prev").alias("a"), F.greatest("id", "prev").alias("b")).distinct()
 
     region = near.select("tree", F.substring("label", 1, 4 * LEAST).alias("prefix"), "id")
     sizes = region.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1")
@@ -149,8 +164,10 @@ def _candidates(near: DataFrame) -> DataFrame:
     heads = scored.groupBy("tree", "prefix").agg(F.max(F.struct("score", "id")).alias("head"))
     to_head = scored.join(heads.hint("merge"), ["tree", "prefix"]).where("id <> head.id").groupBy(F.col("id").alias("b"), F.col("head.id").alias("a")).agg(F.count("*").alias("often"), F.max("head.score").alias("score"))
     to_head = to_head.groupBy("b").agg(F.max(F.struct("often", "score", "a")).alias("best")).select("b", F.col("best.a").alias("a"))
-    # one direction of a pair; the larger side is the one that many may share
-    return cut(nearest.union(to_head).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").groupBy("x", "y").agg(F.max(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), scored)
+    # a pair once, its head, if there is one, as a
+    once = beside.withColumn("head", F.lit(False)).union(to_head.select("a", "b", F.lit(True))).groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max(F.struct("head", "a", "b")).alias("p")).select("p.a", "p.b")
+    of = lambda c: per_id.select(F.col("id").alias(c), *[F.col(x).alias(c + x) for x in ("n", *_SHAPE)]).hint("merge")
+    return cut(once.join(of("a"), "a").join(of("b"), "b").where(_alike(percent)).select("a", "b").distinct(), scored)
 
 
 def _regions(near: DataFrame, comp: DataFrame) -> DataFrame:
@@ -171,15 +188,11 @@ def _regions(near: DataFrame, comp: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, out)
 
 
-def _apart(regions: DataFrame, per_id: DataFrame, percent: int) -> DataFrame:
+def _apart(regions: DataFrame, per_id: DataFrame, percent: int, deviations: int) -> DataFrame:
     """The pairs (a, b) of different groups in a region that sizes and sketches don't rule out."""
     rows = cut(regions.join(per_id.hint("merge"), "id"))
-    side = lambda c: rows.select("tree", "prefix", *[F.col(x).alias(c + x) for x in ("id", "component", "n", *_SKETCH)])
-    # in how many hashes the two bits may differ: the expected number at the least likeness and five deviations
-    p = 0.75 * (1 - percent / 100)
-    most = math.ceil(TREES * DEPTH * p + 5 * math.sqrt(TREES * DEPTH * p * (1 - p)))
-    differ = " + ".join(f"bit_count((a{c} ^ b{c} | shiftrightunsigned(a{c} ^ b{c}, 1)) & {0x5555555555555555})" for c in _SKETCH)
-    may = f"aid < bid and acomponent <> bcomponent and 100 * least(an, bn) >= {percent} * greatest(an, bn) and {differ} <= {most}"
+    side = lambda c: rows.select("tree", "prefix", *[F.col(x).alias(c + x) for x in ("id", "component", "n", *_SHAPE)])
+    may = f"aid < bid and acomponent <> bcomponent and {_alike(percent, deviations)}"
     return cut(side("a").join(side("b").hint("merge"), ["tree", "prefix"]).where(may).select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct(), rows)
 
 
@@ -194,7 +207,7 @@ def minhash_forest(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     other texts keep their own sets and share what is reached. Other columns are ignored.
     """
     texts = documents.select(key(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    sets = cut(texts.mapInArrow(_sets(width), f"key long, n long, h long, h2 long, labels binary, {', '.join(c + ' long' for c in _SKETCH)}"))
+    sets = cut(texts.mapInArrow(_sets(width), f"key long, n long, h long, h2 long, labels binary, {', '.join(c + ' long' for c in _SHAPE)}"))
     same = ["h", "h2", "n"]
     some = sets.where("n > 0").select("key", *same)
     classes = some.groupBy(*same).agg(F.min("key").alias("rep"), F.count("*").alias("n_copies"))
@@ -202,15 +215,16 @@ def minhash_forest(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # of equal sets one; sets too small to be like any other have their class only
     reps = cut(to_rep.where(f"key = rep and 100 * n >= {percent} * (n + 1)").select("key").distinct())
-    signed_sets = cut(join_checked(sets.where("n > 0").select("key", *same, "labels", *_SKETCH), reps, "key", "left_semi").groupBy("key", *same).agg(*[F.first(c).alias(c) for c in ("labels", *_SKETCH)]))
+    signed_sets = cut(join_checked(sets.where("n > 0").select("key", *same, "labels", *_SHAPE), reps, "key", "left_semi").groupBy("key", *same).agg(*[F.first(c).alias(c) for c in ("labels", *_SHAPE)]))
     rows = signed_sets.select("labels", F.col("key").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     orders = cut(rows.select("tree", F.expr(f"substring(labels, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("label"), "id"))
     sorted_orders = orders.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id")
     near = cut(sorted_orders.mapInArrow(_neighbours, "tree int, label binary, id long, prev long, common int, edge boolean"), orders)
-    links = _confirmed(_candidates(near), texts, percent, width)
-    per_id = signed_sets.select(F.col("key").alias("id"), "n", *_SKETCH)
-    more = _confirmed(_apart(_regions(near, components(links)), per_id, percent), texts, percent, width)
-    comp = components(links.union(more))
+    per_id = cut(signed_sets.select(F.col("key").alias("id"), "n", *_SHAPE))
+    links = _confirmed(_candidates(near, per_id, percent), texts, percent, width)
+    for deviations in DEVIATIONS:
+        links = links.union(_confirmed(_apart(_regions(near, components(links)), per_id, percent, deviations), texts, percent, width))
+    comp = components(links)
 
     reached = to_rep.join(comp.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left")
     reached = reached.groupBy("key", *same).agg(F.min(F.coalesce("component", "rep")).alias("component"), F.max("n_copies").alias("n_copies"))
