@@ -125,3 +125,32 @@ def recovery_hours(load: Column, gap_hours: Column) -> tuple[Column, Column]:
     rapid = F.coalesce(gap_hours < 8, F.lit(False))
     hours = F.greatest(F.floor(F.least(F.greatest(gap_hours, F.lit(0.0)), F.lit(4.0))), F.lit(1))
     return F.when(rapid, 1 + 0.2 * demand(load)).otherwise(0.0), F.when(rapid, hours).otherwise(0)
+
+
+def band_for_carbs(grams: Column) -> Column:
+    """The load band that a day's carbohydrate, g/kg, belongs to."""
+    return F.when(grams < 5, "light").when(grams < 6.5, "moderate").when(grams < 9, "high").otherwise("very_high")
+
+
+def round_tenth(c: Column) -> Column:
+    return F.floor(c * 10 + 0.5) / 10
+
+
+def floor15(minute: Column) -> Column:
+    """The quarter hour that a minute of the day is in."""
+    return (minute - minute % 15).cast("int")
+
+
+def ceil15(minute: Column) -> Column:
+    return floor15(minute + 14)
+
+
+def meal_floor(kind: Column, day_grams: Column) -> Column:
+    """Least carbohydrate of a meal, g/kg, on a day of so many; a snack has half."""
+    main = F.greatest(day_grams * 0.1, F.lit(0.5))
+    return F.when(kind.isin("evening_snack", "snack"), main / 2).otherwise(main)
+
+
+def multiple_transportable(grams_per_hour: Column) -> Column:
+    """Whether carbohydrate comes faster than one kind of sugar is taken up."""
+    return grams_per_hour > 60

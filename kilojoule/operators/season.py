@@ -29,10 +29,11 @@ def season_loads(activities: DataFrame, by: str, end_day: int) -> DataFrame:
     return filled.select(by, "day", F.when(F.col("k") == 0, F.col("load")).otherwise(0.0).alias("load"))
 
 
-def mean_intensity() -> Column:
+def mean_intensity(minutes: Column | None = None) -> Column:
     """Aggregate over sessions: the mean intensity by minutes; NaN counts as MODERATE, null as UNKNOWN; null without minutes."""
     known = F.coalesce(F.nanvl("intensity", F.lit(MODERATE)), F.lit(UNKNOWN))
-    return F.sum(F.col("minutes") * known) / positive(F.sum("minutes"))
+    minutes = F.col("minutes") if minutes is None else minutes
+    return F.sum(minutes * known) / positive(F.sum(minutes))
 
 
 def planned_days(sessions: DataFrame, by: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kilojoule.functions import metrics as fn
 from kilojoule.operators import metrics as m
-from kilojoule.operators import season
+from kilojoule.operators import dayplan, season
 from kilojoule.operators.analysis import analyze, checked_settings, mean_max_elapsed, settings_on, summarize
 from kilojoule.operators.resample import ResampleConfig, resample
 
@@ -256,9 +256,35 @@ def season_elapsed(spark, d):
     return m.season_curve(c.withColumn("athlete_id", F.col("activity_id") % 10).withColumn("added", F.col("activity_id")), "athlete_id")
 
 
+def day_inputs(spark, d):
+    """Orders as days and their lines as sessions, of which some overlap."""
+    k = F.col("o_orderkey")
+    days = table(spark, d, "orders").select(k.alias("plan_id"), (55 + k % 40).cast("double").alias("mass"), (330 + k % 8 * 15).cast("int").alias("wake_min"), F.when(k % 3 == 0, 300 + k % 500).cast("int").alias("tomorrow_start"), F.when(k % 5 == 0, F.lit(7.54)).alias("raised_to"))
+    line = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("seq")).agg((F.sum("l_quantity").cast("int") * 2).alias("duration_min"))
+    start = 330 + (F.col("seq") - 1) * 130 + F.col("plan_id") % 40
+    return days, line.select("plan_id", "seq", start.cast("int").alias("start_min"), "duration_min", ((50 + (F.col("plan_id") + 7 * F.col("seq")) % 45) / 100).alias("intensity"), F.lit(None).cast("double").alias("planned_kj"))
+
+
+def session_drafts(spark, d):
+    """Each session among its neighbours on the clock."""
+    s = dayplan.session_drafts(*day_inputs(spark, d))
+    return s.select("plan_id", "index", "start_min", "end_min", milli("load").alias("load"), milli("pre_hours").alias("pre_hours"), "pre_time", "replaces_breakfast", milli("during_total").alias("during_total"), "next_start", milli("recovery_rate").alias("recovery_rate"), "recovery_wanted", "post_ride_dinner", "overlaps")
+
+
+def day_budgets(spark, d):
+    """Targets of each day and how its carbohydrate is dealt out; days whose sessions overlap have an error."""
+    b = dayplan.day_budgets(*day_inputs(spark, d))
+    return b.select("plan_id", "error", F.col("error_index").cast("long").alias("error_index"), "band", "training_min", "exceeds", *[milli(c).alias(c) for c in ("load", "target", "protein_g", "floors", "during", "first_recovery", "fixed", "budget")], F.size("kept").cast("long").alias("meals"), F.array_join(F.transform("hours", lambda h: h.cast("string")), ",").alias("hours"))
+
+
+def day_timeline(spark, d):
+    """What to eat when, in steps of five grams."""
+    return dayplan.timeline(dayplan.day_budgets(*day_inputs(spark, d))).select("plan_id", F.col("idx").cast("long").alias("idx"), "time_min", "kind", "session", "hour", "carbs_g", "protein_g")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (athlete_summaries, elapsed_curve, season_elapsed, activity_summary, activity_analysis, improved_durations, season_fitness, week_loads, planned_days, raised_targets, activity_power, activity_heart_rate, activity_zones, resample_series, resample_report, mean_max, full_power_curve, season_best, w_balance, daily_load, fitness, critical_power, critical_power_3p, eftp, planned_load, workout_files, fuelling_rules, rounded_grams)
+    for f in (session_drafts, day_budgets, day_timeline, athlete_summaries, elapsed_curve, season_elapsed, activity_summary, activity_analysis, improved_durations, season_fitness, week_loads, planned_days, raised_targets, activity_power, activity_heart_rate, activity_zones, resample_series, resample_report, mean_max, full_power_curve, season_best, w_balance, daily_load, fitness, critical_power, critical_power_3p, eftp, planned_load, workout_files, fuelling_rules, rounded_grams)
 }
 
 _RIDES = """rides AS (SELECT user_id AS activity_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, CAST(floor(value * 5) AS INTEGER) AS power,
@@ -330,7 +356,60 @@ _SUMMARIES = f"""WITH {_RIDES}, {_ELAPSED('range(1, 2 + (SELECT max(elapsed) FRO
       z.* EXCLUDE (activity_id), durations, {_MILLI('best')} AS best, points, {_MILLI('ff.cp')} AS cp, {_MILLI('w_prime')} AS w_prime, {_MILLI('rmse')} AS rmse, {_MILLI('se_cp')} AS se_cp, eftp_s, {_MILLI('eftp')} AS eftp, {_MILLI('w')} AS eftp_w_prime
     FROM g JOIN z USING (activity_id) JOIN cv USING (activity_id) LEFT JOIN ff USING (activity_id) LEFT JOIN (SELECT activity_id, eftp, eftp_s, w FROM ef) USING (activity_id)"""
 
+_DOWN = lambda x: f"(({x}) - ({x}) % 15)"
+_UP = lambda x: f"(({x}) + 14 - (({x}) + 14) % 15)"
+_SMALL = lambda k: f"{k} IN ('snack', 'evening_snack')"
+_FLOOR = lambda k: f"(greatest(gkg * 0.1, 0.5::DOUBLE) / CASE WHEN {_SMALL(k)} THEN 2 ELSE 1 END * mass)"
+_SNACK = lambda out, of: f"""{out}a AS (SELECT *, list_sort(list_concat(list_transform(kept, lambda m: m.t), feeds_at, [{_UP('wake')}])) AS ts FROM {of}),
+    {out}b AS (SELECT * EXCLUDE (ts), list_max(list_filter(list_transform(range(1, len(ts)), lambda i: {{'long': ts[i + 1] - ts[i], 'i': i, 'a': ts[i], 'b': ts[i + 1]}}), lambda g: g.long > 210 AND len(list_filter(s, lambda x: x.st < g.b AND x.en > g.a)) = 0)) AS gap FROM {out}a),
+    {out} AS (SELECT * EXCLUDE (kept, gap), CASE WHEN base / (feeds + len(kept)) > 0.4::DOUBLE + 1e-9 AND gap IS NOT NULL THEN list_append(kept, {{'k': 'snack', 't': {_DOWN('gap.a + gap.long // 2')}}}) ELSE kept END AS kept FROM {out}b)"""
+_DRAFTS = f"""dy AS (SELECT o_orderkey AS plan_id, (55 + o_orderkey % 40)::DOUBLE AS mass, CAST(330 + o_orderkey % 8 * 15 AS INTEGER) AS wake, CASE WHEN o_orderkey % 3 = 0 THEN CAST(300 + o_orderkey % 500 AS INTEGER) END AS tomorrow, CASE WHEN o_orderkey % 5 = 0 THEN 7.54::DOUBLE END AS raised FROM orders),
+    se AS (SELECT l_orderkey AS plan_id, l_linenumber AS seq, CAST(330 + (l_linenumber - 1) * 130 + l_orderkey % 40 AS INTEGER) AS st, CAST(sum(l_quantity) AS INTEGER) * 2 AS du, (50 + (l_orderkey + 7 * l_linenumber) % 45)::DOUBLE / 100 AS i FROM lineitem GROUP BY 1, 2),
+    d1 AS (SELECT *, st + du AS en, CAST(row_number() OVER w - 1 AS INTEGER) AS idx, lag(st + du) OVER w AS before, lead(st) OVER w AS later, du * 60 * i * (mass * 3) / 1000 / mass * least(greatest(i / 0.75, 0.6), 1.4) AS load FROM se JOIN dy USING (plan_id) WINDOW w AS (PARTITION BY plan_id ORDER BY seq)),
+    d2 AS (SELECT *, coalesce(before, wake) AS early, least(greatest(load / 35, 0), 1) AS need, coalesce(later, tomorrow + 1440) AS nx, least(greatest((i - 0.55) / 0.30, 0), 1) AS sc FROM d1),
+    d3 AS (SELECT *, greatest(floor(least(greatest(least(1 + 3 * need, greatest(greatest(st - early, 0) / 60, 1)), 1), 4) * 2) / 2, 1) AS hrs, floor(CASE WHEN du <= 45 THEN 0 WHEN du <= 75 THEN 30 * sc WHEN du <= 120 THEN 30 + 30 * sc WHEN du <= 150 THEN 45 + 15 * sc ELSE 60 + 30 * sc END + 0.5) AS rate, CASE WHEN nx IS NOT NULL THEN greatest(nx - en, 0) / 60 END AS gap FROM d2),
+    d4 AS (SELECT *, least(greatest({_DOWN('greatest(st - CAST(floor(hrs * 60 + 0.5) AS INTEGER), 0)')}, {_UP('early')}), {_DOWN('st')}) AS pre, rate * du / 60 AS during, CASE WHEN gap < 8 THEN 1 + 0.2 * need ELSE 0 END::DOUBLE AS rec, CASE WHEN gap < 8 THEN CAST(greatest(floor(least(gap, 4)), 1) AS INTEGER) ELSE 0 END AS wanted FROM d3),
+    dr AS (SELECT *, idx = 0 AND (st <= wake + 150 OR (hrs >= 2 AND abs(420 - pre) < 60)) AS rep, CASE WHEN 1110 >= greatest(pre - 60, 0) AND 1110 < en + 60 THEN {_UP('en + 30')} END AS din, coalesce(st < before, false) AS ovl FROM d4)"""
+_BUDGETS = f"""{_DRAFTS},
+    gr AS (SELECT plan_id, list({{'idx': idx, 'st': st, 'du': du, 'en': en, 'hrs': hrs, 'pre': pre, 'rate': rate, 'during': during, 'rec': rec, 'wanted': wanted, 'rep': rep, 'din': din, 'nx': nx, 'load': load}} ORDER BY idx) AS s, min(idx) FILTER (ovl) AS bad, sum(load ORDER BY idx) AS load, sum(du) AS mins FROM dr GROUP BY 1),
+    b0 AS (SELECT dy.*, coalesce(s, []) AS s, bad, coalesce(load, 0) AS load, coalesce(mins, 0) AS mins FROM dy LEFT JOIN gr USING (plan_id)),
+    b1 AS (SELECT *, floor((CASE WHEN load <= 0 THEN 3 WHEN load < 8 THEN 3 + load * ((5.0::DOUBLE - 3) / 8) WHEN load < 15 THEN 5 + (load - 8) * ((6.5::DOUBLE - 5) / 7) WHEN load < 35 THEN 6.5 + (load - 15) * ((9.0::DOUBLE - 6.5) / 20) WHEN load < 60 THEN 9 + (load - 35) * ((12.0::DOUBLE - 9) / 25) ELSE 12 END)::DOUBLE * 10 + 0.5) / 10 AS own, 1.2 + 0.8 * least(load / 60, 1) AS base FROM b0 WHERE bad IS NULL),
+    b2 AS (SELECT *, greatest(own, coalesce(floor(raised * 10 + 0.5) / 10, 0)) AS gkg, (list_filter(list_transform(s, lambda x: x.din), lambda t: t IS NOT NULL))[-1] AS pd, coalesce(list_sum(list_transform(s, lambda x: (x.hrs >= 2 OR x.rep)::INTEGER + (x.din IS NULL)::INTEGER)), 0) AS feeds,
+      flatten(list_transform(s, lambda x: CASE WHEN x.hrs >= 2 OR x.rep THEN [x.pre, coalesce(x.din, {_UP('x.en')})] ELSE [coalesce(x.din, {_UP('x.en')})] END)) AS feeds_at FROM b1),
+    b3 AS (SELECT *, list_concat(list_transform(list_filter([{{'k': 'breakfast', 't': 420}}, {{'k': 'lunch', 't': 750}}, {{'k': 'dinner', 't': 1110}}, {{'k': 'evening_snack', 't': 1290}}], lambda m: NOT ((m.k = 'breakfast' AND len(list_filter(s, lambda x: x.rep)) > 0) OR (m.k = 'dinner' AND pd IS NOT NULL) OR coalesce(m.k = 'evening_snack' AND m.t < pd + 90, false)
+        OR len(list_filter(s, lambda x: abs(m.t - x.pre) < 60 OR (x.din IS NULL AND abs(m.t - {_UP('x.en')}) < 60) OR (m.t >= greatest(x.st - 30, 0) AND m.t < x.en))) > 0)), lambda m: {{'k': m.k, 't': {_UP('m.t')}}}), CASE WHEN pd IS NULL THEN [] ELSE [{{'k': 'post_ride_dinner', 't': pd}}] END) AS stay FROM b2),
+    b4 AS (SELECT * EXCLUDE (stay), CASE WHEN len(stay) > 0 THEN stay ELSE [{{'k': 'dinner', 't': {_UP('greatest(coalesce(list_max(list_transform(s, lambda x: ' + _UP('x.en') + ')), 0) + 60, 1110)')}}}] END AS kept FROM b3),
+    {_SNACK('s1', 'b4')}, {_SNACK('s2', 's1')}, {_SNACK('s3', 's2')},
+    f1 AS (SELECT *, gkg * mass AS target, list_sum(list_transform(kept, lambda m: {_FLOOR('m.k')})) AS floors, coalesce(list_sum(list_transform(s, lambda x: x.during)), 0) AS during, coalesce(list_sum(list_transform(s, lambda x: CASE WHEN x.wanted > 0 THEN x.rec * mass ELSE 0 END)), 0) AS first FROM s3),
+    f2 AS (SELECT *, floors + during + len(s) * mass + first AS fixed FROM f1), f3 AS (SELECT *, fixed > target + 1e-9 AS exceeds, greatest(target - fixed, 0) AS b FROM f2),
+    wa AS (SELECT plan_id, x.idx AS idx, greatest(x.hrs - 1, 0) * mass AS wish, b, x.pre AS pre, x.st AS st, mass FROM (SELECT plan_id, unnest(s) AS x, b, mass FROM f3)),
+    wb AS (SELECT *, greatest(least(wish, b - coalesce(sum(wish) OVER (PARTITION BY plan_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS extra FROM wa),
+    wc AS (SELECT plan_id, list(1 + extra / mass ORDER BY idx) AS pre, list(1 + extra / mass > 2 AND pre + 60 < greatest(st - 60, 0) ORDER BY idx) AS split, greatest(any_value(b) - sum(wish), 0) AS b2 FROM wb GROUP BY 1),
+    f4 AS (SELECT f3.*, coalesce(wc.pre, []) AS pre_kg, coalesce(split, []) AS split, coalesce(b2, b) AS b2 FROM f3 LEFT JOIN wc USING (plan_id)),
+    rc AS (SELECT plan_id, 0 AS i, b2 AS rest, CAST([] AS INTEGER[]) AS hours, s, mass FROM f4
+      UNION ALL SELECT plan_id, i + 1, rest - CASE WHEN x.wanted > 0 THEN x.rec * mass * extra ELSE 0 END, list_append(hours, CASE WHEN x.wanted > 0 THEN extra + 1 ELSE x.wanted END), s, mass FROM (
+        SELECT *, CASE WHEN x.wanted > 0 THEN least(CAST(floor(rest / (x.rec * mass)) AS INTEGER), CASE WHEN until IS NULL THEN x.wanted - 1 ELSE least(x.wanted - 1, greatest(CAST(ceil((until - coalesce(x.din, {_UP('x.en')})) / 60) AS INTEGER) - 1, 0)) END) ELSE 0 END AS extra FROM (
+          SELECT *, s[i + 1] AS x, coalesce(s[i + 2].pre, CASE WHEN s[i + 1].nx IS NOT NULL THEN greatest(s[i + 1].nx - 60, 0) END) AS until FROM rc WHERE i < len(s)))),
+    rd AS (SELECT plan_id, rest, hours FROM rc WHERE i = len(s)),
+    f5 AS (SELECT f4.*, rest, hours, feeds + len(kept) AS fed, greatest(least(greatest(base, 0.3::DOUBLE * (feeds + len(kept))), 2), base) * mass AS protein FROM f4 JOIN rd USING (plan_id))"""
+_ENTRY = lambda t, k, i, h, c, p: f"{{'t': CAST({t} AS INTEGER), 'k': {k}, 'i': CAST({i} AS INTEGER), 'h': CAST({h} AS INTEGER), 'c': CAST({c} AS DOUBLE), 'p': CAST({p} AS DOUBLE)}}"
+_TIMELINE = f"""{_BUDGETS}, f6 AS (SELECT *, protein / fed AS each, list_sum(list_transform(kept, lambda m: CASE WHEN {_SMALL('m.k')} THEN 0.5 ELSE 1 END)) AS weights FROM f5),
+    z AS (SELECT plan_id, list_concat(flatten(list_transform(s, lambda x: list_concat(
+        [{_ENTRY('x.pre', "'pre_session'", 'x.idx', 'NULL', 'pre_kg[x.idx + 1] * mass * CASE WHEN split[x.idx + 1] THEN 0.75 ELSE 1 END', 'CASE WHEN x.hrs >= 2 OR x.rep THEN each ELSE 0 END')}],
+        CASE WHEN split[x.idx + 1] THEN [{_ENTRY(_DOWN('greatest(x.st - 60, 0)'), "'pre_session_top_up'", 'x.idx', 'NULL', 'pre_kg[x.idx + 1] * mass - pre_kg[x.idx + 1] * mass * 0.75', '0')}] ELSE [] END,
+        CASE WHEN x.rate > 0 AND (x.du - 1) // 30 > 0 THEN list_transform(range(1, (x.du - 1) // 30 + 1), lambda k: {_ENTRY('greatest(' + _DOWN('x.st + k * 30') + ', ' + _UP('x.st + 1') + ')', "'during_session'", 'x.idx', 'NULL', 'x.during / ((x.du - 1) // 30)', '0')}) ELSE [] END,
+        CASE WHEN hours[x.idx + 1] > 0 THEN list_transform(range(0, hours[x.idx + 1]), lambda h: CASE WHEN h = 0 AND x.din IS NOT NULL THEN {_ENTRY('x.din', "'post_ride_dinner'", 'NULL', 'NULL', 'x.rec * mass', '0')} ELSE {_ENTRY('coalesce(x.din, ' + _UP('x.en') + ') + h * 60', "'recovery'", 'x.idx', 'h', 'x.rec * mass', 'CASE WHEN h = 0 THEN each ELSE 0 END')} END)
+          WHEN x.din IS NULL THEN [{_ENTRY(_UP('x.en'), "'recovery'", 'x.idx', '0', '0', 'each')}] ELSE [] END))),
+      list_transform(kept, lambda m: {_ENTRY('m.t', 'm.k', 'NULL', 'NULL', _FLOOR('m.k') + " + rest * CASE WHEN " + _SMALL('m.k') + " THEN 0.5 ELSE 1 END / weights", 'each')})) AS es FROM f6),
+    y AS (SELECT plan_id, es[n] AS e, n FROM (SELECT plan_id, es, unnest(range(1, len(es) + 1)) AS n FROM z)),
+    g1 AS (SELECT plan_id, e.t AS time_min, e.k AS kind, e.i AS session, e.h AS hour, min(n) AS n, sum(e.c) AS c, sum(e.p) AS p FROM y GROUP BY ALL),
+    g2 AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY time_min, n) - 1 AS idx, floor(c / 5) AS cb, c / 5 - floor(c / 5) AS cr, floor(p / 5) AS pb, p / 5 - floor(p / 5) AS pr FROM g1),
+    g3 AS (SELECT *, floor(sum(c) OVER v / 5 + 0.5) - sum(cb) OVER v AS cm, floor(sum(p) OVER v / 5 + 0.5) - sum(pb) OVER v AS pm, row_number() OVER (PARTITION BY plan_id ORDER BY cr DESC, idx) AS ck, row_number() OVER (PARTITION BY plan_id ORDER BY pr DESC, idx) AS pk FROM g2 WINDOW v AS (PARTITION BY plan_id))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "session_drafts": f"WITH {_DRAFTS} SELECT plan_id, idx AS index, st AS start_min, en AS end_min, {_MILLI('load')} AS load, {_MILLI('hrs')} AS pre_hours, pre AS pre_time, rep AS replaces_breakfast, {_MILLI('during')} AS during_total, nx AS next_start, {_MILLI('rec')} AS recovery_rate, wanted AS recovery_wanted, din AS post_ride_dinner, ovl AS \"overlaps\" FROM dr",
+    "day_budgets": f"WITH RECURSIVE {_BUDGETS} SELECT plan_id, CASE WHEN bad IS NOT NULL THEN 'overlap' END AS error, CAST(bad AS BIGINT) AS error_index, CASE WHEN gkg < 5 THEN 'light' WHEN gkg < 6.5 THEN 'moderate' WHEN gkg < 9 THEN 'high' WHEN gkg >= 9 THEN 'very_high' END AS band, f5.mins AS training_min, exceeds, {', '.join(_MILLI(c) + ' AS ' + n for c, n in (('f5.load', 'load'), ('target', 'target'), ('protein', 'protein_g'), ('floors', 'floors'), ('during', 'during'), ('first', 'first_recovery'), ('fixed', 'fixed'), ('rest', 'budget')))}, len(kept) AS meals, array_to_string(hours, ',') AS hours FROM (SELECT plan_id, bad FROM b0) LEFT JOIN (SELECT * EXCLUDE (bad) FROM f5) f5 USING (plan_id)",
+    "day_timeline": f"WITH RECURSIVE {_TIMELINE} SELECT plan_id, idx, time_min, kind, session, hour, CAST((cb + (ck <= cm)::INTEGER) * 5 AS BIGINT) AS carbs_g, CAST((pb + (pk <= pm)::INTEGER) * 5 AS BIGINT) AS protein_g FROM g3",
     "athlete_summaries": _SUMMARIES,
     "elapsed_curve": f"WITH {_RIDES}, {_ELAPSED(DURATIONS)} SELECT * FROM best",
     "season_elapsed": f"WITH {_RIDES}, {_ELAPSED(DURATIONS)} SELECT activity_id % 10 AS athlete_id, duration_s, max(best_sum) AS best_sum, arg_max(activity_id, (best_sum, -activity_id)) AS source FROM best GROUP BY 1, 2",
