@@ -49,16 +49,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of every group of near duplicates one row of the smallest id stays, whatever other texts have that id.
 
     Null ids count as one id, the smallest. Texts without words have no group; each stays, rows of one id and text once (any one of
-    them, if other columns differ), unless its id has a row with words. An empty table stays empty.
+    them, if other columns differ). An empty table stays empty.
     """
     rows = _keyed(docs)
-    groups = jaccard_join(rows, "_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"), (F.col("n_shingles") > 0).alias("_words")).groupBy("_row", "_group", "_words").agg(F.count("*").alias("_n"))
+    groups = jaccard_join(rows, "_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).groupBy("_row", "_group").agg(F.count("*").alias("_n"))
     groups = cut(groups.join(rows.select("_row", key("doc_id").alias("_id")).distinct().hint("merge"), "_row"))
     heads = groups.groupBy("_group").agg(F.min(F.struct("_id", "_row")).alias("_head"), F.count("*").alias("_size")).where("_size > 1")
     gone = groups.join(heads.hint("merge"), "_group").where("_row <> _head._row").select("_row")
-    wordless = groups.where("not _words")
-    named = join_checked(groups.where("_words").select("_id"), wordless.select("_id").distinct(), "_id", "left_semi").distinct()
-    kept = _without(rows, gone.union(join_checked(wordless, named, "_id", "left_semi").select("_row")))
+    kept = _without(rows, gone)
     # rows of one id and text are one document
     repeated = cut(groups.where("_n > 1").select("_row"))
     once = _without(kept, repeated)
