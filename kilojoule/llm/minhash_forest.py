@@ -7,7 +7,7 @@ each of them is confirmed on the whole sets:
 1. every set against its neighbours in all orders that share LEAST hashes or more with it, and against the head of its regions, the
    sets whose labels begin with the same LEAST hashes; a head is the set that is in the largest regions. That joins most groups, also
    those whose members are alike by one original only.
-2. of what is still apart, the sets of a region that are in different groups, the likeliest pairs first. A region's depth adapts: where its pairs outnumber its
+2. of what is still apart, the sets of a region that are in different groups. A region's depth adapts: where its pairs outnumber its
    rows PAIRS times, it is split by the next hash, and so on until DEPTH.
 
 Equal sets are one from the start. Sizes, a bitmap and a sketch of two bits a hash rule most pairs out before sets are compared.
@@ -32,9 +32,8 @@ SHINGLE = 4
 TREES, DEPTH, LEAST = 16, 8, 3
 #: A region is split further where more pairs than so many times its rows are apart.
 PAIRS = 16
-#: What is apart is compared in rounds, by how many standard deviations a pair's sketch may be off: those most like a link first, so that
-#: they join what the next round needn't pair; by the last one a link is lost once in three million times.
-DEVIATIONS = (0, 5)
+#: Standard deviations by which a pair's sketch may be off; a link is lost by that once in three million times.
+DEVIATIONS = 5
 #: 64-bit words of a sketch, with two bits of each hash.
 SKETCH = TREES * DEPTH // 32
 #: A head with more candidates than this is hot: its set is sent to them, as long as the hot sets are within so many bytes.
@@ -135,11 +134,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) ->
     return cut(both.where((100 * common.cast("long") >= percent * (total - common)) & (common > 0)).select("a", "b"), pairs, sets, often, hot_sets)
 
 
-def _alike(percent: int, deviations: int = DEVIATIONS[-1]) -> str:
+def _alike(percent: int) -> str:
     """Whether sets a and b may link by their sizes and bitmaps, which rule out no link, and by their sketches: the two bits differ in as
-    many hashes as is expected at the least likeness and some deviations, at most."""
+    many hashes as is expected at the least likeness and DEVIATIONS, at most."""
     p = 0.75 * (1 - percent / 100)
-    most = math.ceil(TREES * DEPTH * p + deviations * math.sqrt(TREES * DEPTH * p * (1 - p)))
+    most = math.ceil(TREES * DEPTH * p + DEVIATIONS * math.sqrt(TREES * DEPTH * p * (1 - p)))
     differ = " + ".join(f"bit_count((a{c} ^ b{c} | shiftrightunsigned(a{c} ^ b{c}, 1)) & {0x5555555555555555})" for c in _SKETCH)
     apart = " + ".join(f"bit_count(a{c} ^ b{c})" for c in _BITS)
     return f"100 * least(an, bn) >= {percent} * greatest(an, bn) and {100 + percent} * ({apart}) <= {100 - percent} * (an + bn) and {differ} <= {most}"
@@ -188,11 +187,11 @@ def _regions(near: DataFrame, comp: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, out)
 
 
-def _apart(regions: DataFrame, per_id: DataFrame, percent: int, deviations: int) -> DataFrame:
+def _apart(regions: DataFrame, per_id: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of different groups in a region that sizes and sketches don't rule out."""
     rows = cut(regions.join(per_id.hint("merge"), "id"))
     side = lambda c: rows.select("tree", "prefix", *[F.col(x).alias(c + x) for x in ("id", "component", "n", *_SHAPE)])
-    may = f"aid < bid and acomponent <> bcomponent and {_alike(percent, deviations)}"
+    may = f"aid < bid and acomponent <> bcomponent and {_alike(percent)}"
     return cut(side("a").join(side("b").hint("merge"), ["tree", "prefix"]).where(may).select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct(), rows)
 
 
@@ -222,9 +221,8 @@ def minhash_forest(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     near = cut(sorted_orders.mapInArrow(_neighbours, "tree int, label binary, id long, prev long, common int, edge boolean"), orders)
     per_id = cut(signed_sets.select(F.col("key").alias("id"), "n", *_SHAPE))
     links = _confirmed(_candidates(near, per_id, percent), texts, percent, width)
-    for deviations in DEVIATIONS:
-        links = links.union(_confirmed(_apart(_regions(near, components(links)), per_id, percent, deviations), texts, percent, width))
-    comp = components(links)
+    more = _confirmed(_apart(_regions(near, components(links)), per_id, percent), texts, percent, width)
+    comp = components(links.union(more))
 
     reached = to_rep.join(comp.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left")
     reached = reached.groupBy("key", *same).agg(F.min(F.coalesce("component", "rep")).alias("component"), F.max("n_copies").alias("n_copies"))
