@@ -12,6 +12,7 @@ The models are fitted on a bounded sample of LABELLED and UNLABELLED rows; every
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,7 +79,8 @@ def metadata(column: pa.Array, source: list, lang: list) -> np.ndarray:
 
 
 def hash_of(value: str) -> int:
-    return 1 + int(mix(np.array([int.from_bytes(value.encode()[:64].ljust(8, b"\0")[:8], "little") + 31 * len(value)], np.uint64))[0] % np.uint64(255))
+    """1 to 255, by the whole value."""
+    return 1 + int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little") % 255
 
 
 class Sparse:
@@ -182,12 +184,14 @@ def train(rows: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, np.ndarr
     """The models of quality and of toxicity."""
     marked = labels.groupBy("key").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality is not null and toxic is not null")
     some = marked.orderBy(F.xxhash64("key"), "key").limit(LABELLED)
+    rows = rows.withColumn("turn", F.xxhash64("key", "text", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))))
     first = rows.join(F.broadcast(some), "key")
     others = rows.select("key").join(marked.select("key"), "key", "left_anti").distinct().orderBy(F.xxhash64("key"), "key").limit(UNLABELLED)
     second = rows.join(F.broadcast(others), "key").select(*rows.columns, F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
-    table = first.select(*rows.columns, F.col("quality").cast("int"), F.col("toxic").cast("int")).union(second)
-    # within the task each text becomes its features; a text brings a few kilobytes at most
-    sent = table.mapInArrow(_features, "buckets array<int>, meta array<float>, quality int, toxic int").toArrow()
+    # within the task each text becomes its features, a few kilobytes at most; an id may have any number of rows, so the limits hold for rows, too
+    kinds = "buckets array<int>, meta array<float>, quality int, toxic int, turn long"
+    some_of = lambda part, most: part.select(*rows.columns, F.col("quality").cast("int"), F.col("toxic").cast("int")).mapInArrow(_features, kinds).orderBy("turn").limit(most)
+    sent = pa.concat_tables([some_of(first, LABELLED).toArrow(), some_of(second, UNLABELLED).toArrow()])
     n = sent.num_rows
     lists = [np.asarray(x.values, np.int64) for x in sent.column("buckets")]
     text = Sparse(np.repeat(np.arange(n), [len(x) for x in lists]), np.concatenate([*lists, np.zeros(0, np.int64)]), n)
@@ -203,7 +207,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, bucket = content(b.column("text"))
         at = np.searchsorted(row, np.arange(b.num_rows + 1))
         meta = metadata(b.column("text"), b.column("source").to_pylist(), b.column("lang").to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(bucket.astype(np.int32))), pa.array(list(meta), pa.list_(pa.float32())), b.column("quality"), b.column("toxic")], names=["buckets", "meta", "quality", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(bucket.astype(np.int32))), pa.array(list(meta), pa.list_(pa.float32())), b.column("quality"), b.column("toxic"), b.column("turn")], names=["buckets", "meta", "quality", "toxic", "turn"])
 
 
 def _score(models):

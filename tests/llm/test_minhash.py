@@ -7,6 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from kilojoule.llm import _shared, jaccard_join, minhash_forest, queries
 from tests.llm.test_operators import SF, cases, empty, near, prose, small, texts_of  # noqa: F401
 
@@ -93,3 +95,19 @@ def test_words_apart(spark):
     df = spark.createDataFrame([(1, a), (2, b), (3, "differs")], "doc_id long, text string")
     for op in (jaccard_join.jaccard_join, minhash_forest.minhash_forest):
         assert sorted((r.doc_id, r.component_id, r.n_copies) for r in op(df).collect()) == [(1, 1, 1), (2, 2, 1), (3, 3, 1)]
+
+
+def test_sources_apart_and_training_rows_bounded(spark, monkeypatch):
+    """Sources that begin alike count as different ones; an id of any number of rows stays within the bounds of the fit."""
+    from kilojoule.llm import quality
+
+    names = [f"https://{c}.com" for c in ("aaa", "bbb")] + [f"news_site{c}" for c in ("yyy", "zzz", "abcdef")] + [f"s{i}" for i in range(200)]
+    assert len({quality.hash_of(n) for n in names[:5]}) == 5 and len({quality.hash_of(n) for n in names}) > 110
+    monkeypatch.setattr(quality, "LABELLED", 40)
+    monkeypatch.setattr(quality, "UNLABELLED", 30)
+    sizes = []
+    plain = quality.co_train
+    monkeypatch.setattr(quality, "co_train", lambda text, *a: sizes.append(text.n) or plain(text, *a))
+    docs = spark.range(3000).select(F.expr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) as doc_id"), F.expr("concat('text ', id) as text"))
+    labels = spark.createDataFrame([(7, 1, 0), (None, 0, 0)] + [(i, i % 2, 0) for i in range(100, 400)], "doc_id long, quality int, toxic int")
+    assert quality.quality_scores(docs, labels).count() == 3000 and set(sizes) <= set(range(71))
