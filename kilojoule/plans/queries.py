@@ -16,6 +16,7 @@ from kilojoule.operators import metrics as m
 from kilojoule.operators import dayplan, season
 from kilojoule.operators.analysis import analyze, checked_settings, mean_max_elapsed, settings_on, summarize
 from kilojoule.operators.resample import ResampleConfig, resample
+from kilojoule.sources import json_inputs
 
 ATHLETE = m.Athlete(ftp=1000.0, weight_kg=72.0, lthr=150.0, max_hr=190.0, resting_hr=50.0, cp=1000.0, w_prime=20_000.0)
 DURATIONS = list(fn.STANDARD_DURATIONS)
@@ -282,9 +283,18 @@ def day_timeline(spark, d):
     return dayplan.timeline(dayplan.day_budgets(*day_inputs(spark, d))).select("plan_id", F.col("idx").cast("long").alias("idx"), "time_min", "kind", "session", "hour", "carbs_g", "protein_g")
 
 
+def json_settings(spark, d):
+    """Settings as JSON text made of customers, some of them wrong, read strictly."""
+    k = F.col("c_custkey")
+    good = F.concat(F.lit('{"ftp": '), (200 + k % 150).cast("string"), F.lit(', "lthr": '), (140 + k % 40).cast("string"), F.lit(', "power_zones": [0.5, '), (k % 5 / 4 + 0.75).cast("string"), F.lit("]}"))
+    text = F.when(k % 11 == 0, F.replace(good, F.lit("lthr"), F.lit("lhtr"))).when(k % 13 == 0, F.replace(good, F.lit('"ftp": '), F.lit('"ftp": "about '))).when(k % 17 == 0, F.concat(F.lit("["), good, F.lit("]"))).when(k % 19 == 0, F.lit(" ")).otherwise(good)
+    s = json_inputs.settings(table(spark, d, "customer").select("c_custkey", text.alias("text")), "text")
+    return s.select("c_custkey", milli("ftp").alias("ftp"), F.col("lthr").cast("long").alias("lthr"), milli(F.get("power_zones", F.lit(1))).alias("zone"), "error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (session_drafts, day_budgets, day_timeline, athlete_summaries, elapsed_curve, season_elapsed, activity_summary, activity_analysis, improved_durations, season_fitness, week_loads, planned_days, raised_targets, activity_power, activity_heart_rate, activity_zones, resample_series, resample_report, mean_max, full_power_curve, season_best, w_balance, daily_load, fitness, critical_power, critical_power_3p, eftp, planned_load, workout_files, fuelling_rules, rounded_grams)
+    for f in (json_settings, session_drafts, day_budgets, day_timeline, athlete_summaries, elapsed_curve, season_elapsed, activity_summary, activity_analysis, improved_durations, season_fitness, week_loads, planned_days, raised_targets, activity_power, activity_heart_rate, activity_zones, resample_series, resample_report, mean_max, full_power_curve, season_best, w_balance, daily_load, fitness, critical_power, critical_power_3p, eftp, planned_load, workout_files, fuelling_rules, rounded_grams)
 }
 
 _RIDES = """rides AS (SELECT user_id AS activity_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, CAST(floor(value * 5) AS INTEGER) AS power,
@@ -407,6 +417,8 @@ _TIMELINE = f"""{_BUDGETS}, f6 AS (SELECT *, protein / fed AS each, list_sum(lis
     g3 AS (SELECT *, floor(sum(c) OVER v / 5 + 0.5) - sum(cb) OVER v AS cm, floor(sum(p) OVER v / 5 + 0.5) - sum(pb) OVER v AS pm, row_number() OVER (PARTITION BY plan_id ORDER BY cr DESC, idx) AS ck, row_number() OVER (PARTITION BY plan_id ORDER BY pr DESC, idx) AS pk FROM g2 WINDOW v AS (PARTITION BY plan_id))"""
 
 ORACLE_SQL: dict[str, str] = {
+    "json_settings": f"""SELECT c_custkey, CASE WHEN e IS NULL AND NOT blank THEN CAST((200 + c_custkey % 150) * 1000 AS BIGINT) END AS ftp, CASE WHEN e IS NULL AND NOT blank THEN CAST(140 + c_custkey % 40 AS BIGINT) END AS lthr, CASE WHEN e IS NULL AND NOT blank THEN {_MILLI('c_custkey % 5 / 4.0 + 0.75')} END AS zone, e AS error
+        FROM (SELECT c_custkey, c_custkey % 19 = 0 AND c_custkey % 11 > 0 AND c_custkey % 13 > 0 AND c_custkey % 17 > 0 AS blank, CASE WHEN c_custkey % 11 = 0 THEN 'the text: unknown key lhtr' WHEN c_custkey % 13 = 0 OR c_custkey % 17 = 0 THEN 'the text: no JSON object' END AS e FROM customer)""",
     "session_drafts": f"WITH {_DRAFTS} SELECT plan_id, idx AS index, st AS start_min, en AS end_min, {_MILLI('load')} AS load, {_MILLI('hrs')} AS pre_hours, pre AS pre_time, rep AS replaces_breakfast, {_MILLI('during')} AS during_total, nx AS next_start, {_MILLI('rec')} AS recovery_rate, wanted AS recovery_wanted, din AS post_ride_dinner, ovl AS \"overlaps\" FROM dr",
     "day_budgets": f"WITH RECURSIVE {_BUDGETS} SELECT plan_id, CASE WHEN bad IS NOT NULL THEN 'overlap' END AS error, CAST(bad AS BIGINT) AS error_index, CASE WHEN gkg < 5 THEN 'light' WHEN gkg < 6.5 THEN 'moderate' WHEN gkg < 9 THEN 'high' WHEN gkg >= 9 THEN 'very_high' END AS band, f5.mins AS training_min, exceeds, {', '.join(_MILLI(c) + ' AS ' + n for c, n in (('f5.load', 'load'), ('target', 'target'), ('protein', 'protein_g'), ('floors', 'floors'), ('during', 'during'), ('first', 'first_recovery'), ('fixed', 'fixed'), ('rest', 'budget')))}, len(kept) AS meals, array_to_string(hours, ',') AS hours FROM (SELECT plan_id, bad FROM b0) LEFT JOIN (SELECT * EXCLUDE (bad) FROM f5) f5 USING (plan_id)",
     "day_timeline": f"WITH RECURSIVE {_TIMELINE} SELECT plan_id, idx, time_min, kind, session, hour, CAST((cb + (ck <= cm)::INTEGER) * 5 AS BIGINT) AS carbs_g, CAST((pb + (pk <= pm)::INTEGER) * 5 AS BIGINT) AS protein_g FROM g3",

@@ -143,3 +143,27 @@ def test_loads_over_many_blocks(spark, cfg):
         want.append((ctl, atl, before if cfg.tsb_of_yesterday else ctl - atl))
     got = [(r.ctl, r.atl, r.tsb) for r in m.training_load(df, "k", cfg).where("k = 'k'").orderBy("day").collect()]
     assert np.allclose(got, want, atol=1e-6)
+
+
+def test_only_what_changed_is_worked_out_anew(spark, tmp_path):
+    from kilojoule.operators import stored
+
+    path = str(tmp_path / "summaries")
+    rides = {f"{k}{i}": [(150 + 10 * i, 140)] * 40 for k in "abc" for i in range(2)}
+    x = samples(spark, rides)
+    acts = spark.createDataFrame([(f"{k}{i}", n, 10 * i) for n, k in enumerate("abc") for i in range(2)] + [("a0x", None, 0)], "activity_id string, athlete_id int, day int")
+    own = lambda *rows: spark.createDataFrame(list(rows), "athlete_id int, from_day int, ftp double")
+    first = own((0, 0, 200.0), (1, 0, 250.0), (2, 0, 300.0))
+    files = lambda: {f.relative_to(tmp_path): f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    assert sorted(r[0] for r in stored.refresh(x, acts, first, path).collect()) == [0, 1, 2]
+    before = files()
+    assert stored.refresh(x, acts, first, path).count() == 0 and files() == before
+    second = own((0, 0, 200.0), (1, 0, 250.0), (1, 5, 280.0), (2, 0, 300.0))
+    assert [r[0] for r in stored.refresh(x, acts, second, path).collect()] == [1]
+    after = files()
+    keep = lambda fs: {f: t for f, t in fs.items() if "athlete_id=1" not in str(f)}
+    assert keep(after) == keep(before) and set(after) != set(before)
+    got = {r.activity_id: r.intensity_factor for r in spark.read.parquet(path).collect()}
+    assert len(got) == 6 and math.isclose(got["b0"], 150 / 250) and math.isclose(got["b1"], 160 / 280)
+    more = acts.where("activity_id <> 'c1'")
+    assert [r[0] for r in stored.refresh(x, more, second, path).collect()] == [2] and spark.read.parquet(path).count() == 5
