@@ -52,8 +52,8 @@ COUNTERS = ("records", "duplicates", "out_of_order", "power_spikes", "gaps_fille
 class _Reports(StatefulProcessor):
     """Of each activity the last time, the segment that is open and the counters so far; a timer closes what gets no more records."""
 
-    def __init__(self, cfg: ResampleConfig, idle_s: int):
-        self.cfg, self.idle = cfg, idle_s * 1000
+    def __init__(self, cfg: ResampleConfig, idle_s: int | None):
+        self.cfg, self.idle = cfg, None if idle_s is None else idle_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -64,7 +64,7 @@ class _Reports(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self.state.get() if self.state.exists() else None
-        last, begun, segment, due, *counts = known if known is not None else (None, 0, 0, None, *[0] * len(COUNTERS))
+        last, begun, segment, due, *counts = known if known is not None else (None, 0, 0, -1, *[0] * len(COUNTERS))
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
         ts = batch["ts"].to_numpy(np.int64)
         top = np.maximum.accumulate(np.concatenate([[ts[0] if last is None else last], ts]))
@@ -81,10 +81,11 @@ class _Reports(StatefulProcessor):
         counts = [int(a) + b for a, b in zip(counts, new)]
         segment = int(segment) + int(pause.sum())
         begun = int(ts[np.flatnonzero(pause)[-1]]) if pause.any() else int(ts[0]) if last is None else int(begun)
-        if due is not None:
+        if due >= 0:
             self.handle.deleteTimer(int(due))
-        due = timerValues.getCurrentProcessingTimeInMs() + self.idle
-        self.handle.registerTimer(due)
+        if self.idle is not None:
+            due = timerValues.getCurrentProcessingTimeInMs() + self.idle
+            self.handle.registerTimer(due)
         self.state.update((int(top[-1]), begun, segment, due, *counts))
         yield self._row(key, int(top[-1]), begun, segment, counts, False)
 
@@ -98,16 +99,17 @@ class _Reports(StatefulProcessor):
         pass
 
 
-def live_report(records: DataFrame, cfg: ResampleConfig = ResampleConfig(), idle_s: int = 3600) -> DataFrame:
+def live_report(records: DataFrame, cfg: ResampleConfig = ResampleConfig(), idle_s: int | None = None) -> DataFrame:
     """(activity_id, COUNTERS, segment, segment_start, last_ts, closed) of a stream of records (activity_id, seq, ts, power), a row for each
     activity of each batch with the counters so far.
 
     A record earlier than the last kept one of its activity is dropped and counted, in whichever batch it comes; within a batch records
-    count in order of seq. Gaps of up to pause_gap seconds count as filled, longer ones begin a segment, also across batches. After
-    idle_s seconds of processing time without records a last row with `closed` follows and the activity is forgotten. The state store
-    must keep state by key: set spark.sql.streaming.stateStore.providerClass to the one of RocksDB.
+    count in order of seq. Gaps of up to pause_gap seconds count as filled, longer ones begin a segment, also across batches. With
+    idle_s, a last row with `closed` follows after so many seconds of processing time without records, and the activity is forgotten; such a
+    query waits for its timers and so never ends by itself, as one without it does under availableNow. The state store must keep state by
+    key: set spark.sql.streaming.stateStore.providerClass to the one of RocksDB.
     """
     kind = records.schema["activity_id"].dataType.simpleString()
     rows = records.where("ts is not null").select("activity_id", F.col("seq").cast("long").alias("seq"), F.col("ts").cast("long").alias("ts"), F.col("power").cast("double").alias("power"))
     out = f"activity_id {kind}, {', '.join(c + ' long' for c in COUNTERS)}, segment long, segment_start long, last_ts long, closed boolean"
-    return rows.groupBy("activity_id").transformWithStateInPandas(_Reports(cfg, idle_s), out, "Update", "ProcessingTime")
+    return rows.groupBy("activity_id").transformWithStateInPandas(_Reports(cfg, idle_s), out, "Update", "None" if idle_s is None else "ProcessingTime")

@@ -69,7 +69,7 @@ def rocks(spark):
         spark.conf.set(k, v)
 
 
-def run(spark, path, name, idle=3600):
+def run(spark, path, name, idle=None):
     stream = spark.readStream.schema("activity_id string, seq long, ts long, power int").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
     q = live.live_report(stream, idle_s=idle).writeStream.format("memory").queryName(name).outputMode("update")
     return q
