@@ -92,6 +92,24 @@ def resample_report(spark, d):
     return resample(ticks(spark, d), cfg=ResampleConfig(max_power=1000))[1].drop("timer_paused_records")
 
 
+def timer_ticks(spark, d):
+    """Purchases stop the timer, sign-ups start it again."""
+    e = table(spark, d, "events").withColumnRenamed("user_id", "activity_id")
+    w = Window.partitionBy("activity_id").orderBy("ts", "event_id")
+    kind = F.when(F.col("event_type") == "purchase", "stop").when(F.col("event_type") == "signup", "start")
+    return e.select("activity_id", F.row_number().over(w).alias("seq"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000).cast("long").alias("ts"), kind.alias("kind")).where("kind is not null")
+
+
+def timer_series(spark, d):
+    """resample_series with the timer's pauses cut out."""
+    s, _ = resample(ticks(spark, d), timer_ticks(spark, d), ResampleConfig(max_power=1000, use_timer_events=True))
+    return s.select("activity_id", "idx", "elapsed", "power", "power_dropout", "heart_rate", "state", "segment", "segment_start")
+
+
+def timer_report(spark, d):
+    return resample(ticks(spark, d), timer_ticks(spark, d), ResampleConfig(max_power=1000, use_timer_events=True))[1]
+
+
 def mean_max(spark, d):
     return m.mean_max_at(rides(spark, d), DURATIONS)
 
@@ -294,7 +312,7 @@ def json_settings(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (json_settings, session_drafts, day_budgets, day_timeline, athlete_summaries, elapsed_curve, season_elapsed, activity_summary, activity_analysis, improved_durations, season_fitness, week_loads, planned_days, raised_targets, activity_power, activity_heart_rate, activity_zones, resample_series, resample_report, mean_max, full_power_curve, season_best, w_balance, daily_load, fitness, critical_power, critical_power_3p, eftp, planned_load, workout_files, fuelling_rules, rounded_grams)
+    for f in (timer_series, timer_report, json_settings, session_drafts, day_budgets, day_timeline, athlete_summaries, elapsed_curve, season_elapsed, activity_summary, activity_analysis, improved_durations, season_fitness, week_loads, planned_days, raised_targets, activity_power, activity_heart_rate, activity_zones, resample_series, resample_report, mean_max, full_power_curve, season_best, w_balance, daily_load, fitness, critical_power, critical_power_3p, eftp, planned_load, workout_files, fuelling_rules, rounded_grams)
 }
 
 _RIDES = """rides AS (SELECT user_id AS activity_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, CAST(floor(value * 5) AS INTEGER) AS power,
@@ -338,6 +356,14 @@ _PLAN = """p AS (SELECT o_custkey % 10 AS athlete_id, CAST(o_orderdate AS DATE)
     pd AS (SELECT athlete_id, day, max(minutes) AS longest, min(priority) AS priority, sum(minutes * intensity) / sum(minutes) AS mean_intensity, arg_max(seq, (intensity, seq)) FILTER (minutes >= 45 AND intensity >= 0.80::DOUBLE) AS key_seq FROM p GROUP BY 1, 2)"""
 _HM = lambda x: f"(CASE WHEN {x} < 60 THEN {x} || ' min' WHEN {x} % 60 = 0 THEN {x} // 60 || ' h' ELSE {x} // 60 || ' h ' || printf('%02d', {x} % 60) || ' min' END)"
 
+_TIMED = """tn AS (SELECT user_id AS activity_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS ts, CASE event_type WHEN 'purchase' THEN 'stop' WHEN 'signup' THEN 'start' END AS kind FROM events),
+    tw AS (SELECT *, lag(kind, 1, 'start') OVER (PARTITION BY activity_id ORDER BY seq) AS was FROM tn WHERE kind IS NOT NULL), tz AS (SELECT activity_id, ts AS stop, kind, lead(ts) OVER (PARTITION BY activity_id ORDER BY seq) AS start FROM tw WHERE kind <> was), pz AS (SELECT * FROM tz WHERE kind = 'stop'),
+    """ + _TICKS.replace(
+    "    r AS (SELECT *, coalesce(raw > 1000, false) AS spike,",
+    "    tp AS (SELECT *, EXISTS (SELECT 1 FROM pz WHERE pz.activity_id = t.activity_id AND t.ts >= stop AND (start IS NULL OR t.ts < start)) AS paused FROM t),\n    r AS (SELECT *, coalesce(raw > 1000, false) AS spike,",
+).replace("coalesce(ts < max(ts) OVER", "NOT paused AND coalesce(ts < max(CASE WHEN NOT paused THEN ts END) OVER").replace("AS late FROM t)", "AS late FROM tp)").replace("FROM r WHERE NOT late GROUP", "FROM r WHERE NOT late AND NOT paused GROUP").replace(
+    "ts - prev > 31 AS brk FROM p)", "ts - prev > 31 OR EXISTS (SELECT 1 FROM pz WHERE pz.activity_id = p.activity_id AND stop > prev AND stop <= ts) AS brk FROM p)"
+)
 _STEPS = fn.fit_durations(120, 1200)
 # best sums over elapsed time: a row for every second of it, pauses as 0
 _ELAPSED = lambda ds: f"""paused AS (SELECT *, idx + 50 * (idx // 20) AS elapsed FROM rides), spine AS (SELECT activity_id, unnest(range(max(elapsed) + 1)) AS x FROM paused GROUP BY 1),
@@ -463,3 +489,9 @@ ORACLE_SQL: dict[str, str] = {
         FROM orders LEFT JOIN body ON o_orderkey = activity_id""",
     "rounded_grams": "WITH g AS (SELECT l_orderkey AS plan_id, l_linenumber AS idx, floor(sum(l_quantity) * 16) / 16 AS grams FROM lineitem GROUP BY 1, 2), b AS (SELECT *, floor(grams / 5) AS base, grams / 5 - floor(grams / 5) AS rem FROM g), r AS (SELECT *, floor(sum(grams) OVER w / 5 + 0.5) - sum(base) OVER w AS missing, row_number() OVER (PARTITION BY plan_id ORDER BY rem DESC, idx) AS k FROM b WINDOW w AS (PARTITION BY plan_id)) SELECT plan_id, idx, CAST((base + (k <= missing)::INTEGER) * 5 AS BIGINT) AS rounded FROM r",
 }
+ORACLE_SQL["timer_series"] = ORACLE_SQL["resample_series"].replace(_TICKS, _TIMED)
+_COUNTED = ("gaps_filled", "gap_seconds_filled", "pauses", "paused_seconds", "power_dropouts_repaired", "power_dropout_seconds", "hr_dropouts_repaired")
+ORACLE_SQL["timer_report"] = (
+    ORACLE_SQL["resample_report"].replace(_TICKS, _TIMED).replace("count(*) FILTER (NOT late) AS kept", "count(*) FILTER (NOT late AND NOT paused) AS kept, count(*) FILTER (paused) AS timer_paused_records").replace("kept - n AS", "timer_paused_records, kept - coalesce(n, 0) AS")
+    .replace(", ".join(_COUNTED) + " FROM c JOIN m USING", ", ".join(f"coalesce({c}, 0) AS {c}" for c in _COUNTED) + " FROM c LEFT JOIN m USING")
+)
