@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kilojoule.functions import fits
 from kilojoule.functions.metrics import positive
+from kilojoule.operators.metrics import DEFAULT_W_PRIME, LoadConfig, fit_3p, training_load
 
 #: What a session counts as whose intensity isn't a number, and one of no known intensity.
 MODERATE, UNKNOWN = 0.75, 0.65
@@ -92,3 +94,32 @@ def raised(days: DataFrame, ahead: DataFrame, by: str) -> DataFrame:
         .when(F.col("best").isNotNull(), F.concat(F.lit("Raised: "), minutes, F.lit(" ride tomorrow")))
     )
     return best.select(by, "day", "own", F.coalesce("best.grams", "own").alias("to_g_per_kg"), F.col("best.reason").alias("reason"), F.col("best.k").alias("days_before"), note.alias("note"))
+
+
+def season_summary(loads: DataFrame, curves: DataFrame, by: str, end_day: int, fallback: float = DEFAULT_W_PRIME, cfg: LoadConfig = LoadConfig()) -> DataFrame:
+    """A row for each key with first_day, ctl, atl and tsb of end_day, season_curve, cp_2p, cp_3p and eftp.
+
+    loads are as season_loads() takes them; curves (by, duration_s, watts) are activities' sampled curves, of which the best finite watts of
+    each duration make the season's, whenever they were. The fits take its points from 120 and from 10 to 1200 s, the estimate those
+    from 180 to 1800 s. A key that one of the two lacks has nulls for it. A curve's points, some dozens, are in one row.
+    """
+    days = training_load(season_loads(loads, by, end_day), by, cfg)
+    form = days.groupBy(by).agg(F.min("day").alias("first_day"), *[F.max(F.when(F.col("day") == end_day, F.col(c))).alias(c) for c in ("ctl", "atl", "tsb")])
+    best = curves.where(F.col("watts").isNotNull() & ~F.isnan("watts") & (F.abs("watts") < float("inf"))).groupBy(by, "duration_s").agg(F.max("watts").alias("watts"))
+    points = best.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col("duration_s").cast("double").alias("t"), F.col("watts").alias("p")))).alias("points"))
+    points = points.withColumn("cp_2p", fits.fit_2p(F.filter("points", lambda x: x["t"].between(*fits.TWO_PARAMETER))))
+    curve = F.transform("points", lambda x: F.struct(x["t"].cast("long").alias("duration_s"), x["p"].alias("watts")))
+    points = points.select(by, curve.alias("season_curve"), "cp_2p", fits.eftp(F.col("points"), F.col("cp_2p.w_prime"), F.lit(float(fallback))).alias("eftp"))
+    long = fit_3p(best.where(F.col("duration_s").between(*fits.THREE_PARAMETER)).select(by, F.col("duration_s").cast("double").alias("t"), F.col("watts").alias("p")), by)
+    long = long.select(by, F.struct("cp", "w_prime", "k", "p_max", "r2", "rmse", "n").alias("cp_3p"))
+    return form.join(points.join(long.hint("merge"), by, "left").hint("merge"), by, "full").select(by, "first_day", "ctl", "atl", "tsb", "season_curve", "cp_2p", "cp_3p", "eftp")
+
+
+def day_load(sessions: DataFrame, by: str) -> DataFrame:
+    """(by, day, load, training_min) of sessions (by, day, load, minutes): a day's load in kJ/kg and its minutes of training."""
+    return sessions.groupBy(by, "day").agg(F.sum("load").alias("load"), F.sum("minutes").cast("long").alias("training_min"))
+
+
+def local_day(at: Column, zone: Column | str) -> Column:
+    """The calendar day, counted from 1970, that an instant has in a time zone."""
+    return F.unix_date(F.to_date(F.from_utc_timestamp(at, zone)))

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from kilojoule.functions import metrics as fn
 from kilojoule.operators import metrics as m
 from kilojoule.operators import dayplan, season
-from kilojoule.operators.analysis import analyze, checked_settings, mean_max_elapsed, settings_on, summarize
+from kilojoule.operators.analysis import analyze, checked_settings, curves, mean_max_elapsed, settings_on, summarize
 from kilojoule.operators.resample import ResampleConfig, resample
 from kilojoule.sources import json_inputs
 
 ATHLETE = m.Athlete(ftp=1000.0, weight_kg=72.0, lthr=150.0, max_hr=190.0, resting_hr=50.0, cp=1000.0, w_prime=20_000.0)
 DURATIONS = list(fn.STANDARD_DURATIONS)
+#: Durations at which sampled curves are kept.
+GRID = fn.curve_grid(21_600)
 #: The day, counted from 1970, that season_fitness ends on.
 END_DAY = 10_000
 
@@ -33,9 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rides(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rides(spark: SparkSession, sf_dir: str, users: Column | None = None) -> DataFrame:
+    """A user's events as a ride's seconds, or those of several users, as `users` makes an id of them."""
     w = Window.partitionBy("activity_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "activity_id")
+    e = table(spark, sf_dir, "events").withColumn("activity_id", F.col("user_id") if users is None else users)
     return e.select(
         "activity_id", (F.row_number().over(w) - 1).alias("idx"), F.floor(F.col("value") * 5).cast("int").alias("power"),
         (90 + F.get_json_object("props", "$.k").cast("int")).alias("heart_rate"), F.when(F.col("event_type") == "view", 0.0).otherwise(8.0).alias("speed"),
@@ -83,6 +86,22 @@ def activity_analysis(spark, d):
     return a.select("activity_id", "elapsed_time_s", "moving_time_s", *[milli(c).alias(c) for c in ("average_power", "average_watts_per_kg", "variability_index", "average_hr", "efficiency_factor")], *whole)
 
 
+def long_mean_max(spark, d):
+    """Every tenth user's events as one ride, which is long enough for the long durations."""
+    return m.mean_max_at(rides(spark, d, F.col("user_id") % 10), DURATIONS)
+
+
+def long_power(spark, d):
+    p = m.power_summary(rides(spark, d, F.col("user_id") % 10), ATHLETE.ftp)
+    return p.select("activity_id", "seconds", "moving_seconds", "max_power", *[milli(c).alias(c) for c in ("avg_power", "work_kj", "np", "intensity", "vi", "tss")])
+
+
+def long_fit(spark, d):
+    """The fit and the estimate of rides of many minutes, by every second of their ranges."""
+    s = curves(rides(spark, d, F.col("user_id") % 10))
+    return s.select("activity_id", F.col("cp_fit.points").cast("long").alias("points"), *[milli(f"cp_fit.{c}").alias(c) for c in ("cp", "w_prime", "rmse")], F.col("eftp.duration_s").alias("eftp_s"), milli("eftp.eftp").alias("eftp"))
+
+
 def resample_series(spark, d):
     s, _ = resample(ticks(spark, d), cfg=ResampleConfig(max_power=1000))
     return s.select("activity_id", "idx", "elapsed", "power", "power_dropout", "heart_rate", "state", "segment", "segment_start")
@@ -149,6 +168,26 @@ def fitness(spark, d):
     return both.select("c_nationkey", "day", *[milli(f"{c}0").alias(c) for c in ("ctl", "atl", "tsb")], milli("tsb").alias("tsb_yesterday"))
 
 
+def season_summary(spark, d):
+    """An athlete's form on a fixed day with the season's curve over elapsed time, its fit and estimate."""
+    c = mean_max_elapsed(paused_rides(spark, d), GRID).select((F.col("activity_id") % 10).alias("athlete_id"), "duration_s", (F.col("best_sum") / F.col("duration_s")).alias("watts"))
+    s = season.season_summary(plan(spark, d), c, "athlete_id", END_DAY)
+    last = F.element_at("season_curve", -1)
+    return s.select(
+        "athlete_id", "first_day", *[milli(c).alias(c) for c in ("ctl", "atl", "tsb")], F.size("season_curve").cast("long").alias("durations"), last["duration_s"].alias("longest"), milli(last["watts"]).alias("watts"), F.col("cp_2p.points").cast("long").alias("points"),
+        *[milli(f"cp_2p.{c}").alias(c) for c in ("cp", "w_prime", "rmse")], F.col("eftp.duration_s").alias("eftp_s"), milli("eftp.eftp").alias("eftp"),
+    )
+
+
+def day_loads(spark, d):
+    """Orders as sessions: an athlete's load and minutes of each day."""
+    k = F.col("o_orderkey")
+    mass, minutes, intensity = F.lit(70.0), 30 + k % 300, (50 + k % 55) / 100
+    work = fn.session_work_kj(F.lit(None).cast("double"), minutes, intensity, F.lit(250.0), mass)
+    s = table(spark, d, "orders").select((F.col("o_custkey") % 10).alias("athlete_id"), season.local_day(F.col("o_orderdate").cast("timestamp"), "Asia/Tokyo").cast("long").alias("day"), minutes.alias("minutes"), fn.session_load(work, mass, intensity).alias("load"))
+    return season.day_load(s, "athlete_id").select("athlete_id", "day", milli("load").alias("load"), "training_min")
+
+
 def critical_power(spark, d):
     p = m.mean_max_at(rides(spark, d), DURATIONS).select("activity_id", F.col("duration_s").cast("double").alias("t"), (F.col("best_sum") / F.col("duration_s")).alias("p"))
     return m.fit_2p(p, "activity_id").select("activity_id", "n", *[milli(c).alias(c) for c in ("cp", "w_prime", "r2", "rmse")])
@@ -312,7 +351,7 @@ def json_settings(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (timer_series, timer_report, json_settings, session_drafts, day_budgets, day_timeline, athlete_summaries, elapsed_curve, season_elapsed, activity_summary, activity_analysis, improved_durations, season_fitness, week_loads, planned_days, raised_targets, activity_power, activity_heart_rate, activity_zones, resample_series, resample_report, mean_max, full_power_curve, season_best, w_balance, daily_load, fitness, critical_power, critical_power_3p, eftp, planned_load, workout_files, fuelling_rules, rounded_grams)
+    for f in (long_mean_max, long_power, long_fit, season_summary, day_loads, timer_series, timer_report, json_settings, session_drafts, day_budgets, day_timeline, athlete_summaries, elapsed_curve, season_elapsed, activity_summary, activity_analysis, improved_durations, season_fitness, week_loads, planned_days, raised_targets, activity_power, activity_heart_rate, activity_zones, resample_series, resample_report, mean_max, full_power_curve, season_best, w_balance, daily_load, fitness, critical_power, critical_power_3p, eftp, planned_load, workout_files, fuelling_rules, rounded_grams)
 }
 
 _RIDES = """rides AS (SELECT user_id AS activity_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, CAST(floor(value * 5) AS INTEGER) AS power,
@@ -495,3 +534,20 @@ ORACLE_SQL["timer_report"] = (
     ORACLE_SQL["resample_report"].replace(_TICKS, _TIMED).replace("count(*) FILTER (NOT late) AS kept", "count(*) FILTER (NOT late AND NOT paused) AS kept, count(*) FILTER (paused) AS timer_paused_records").replace("kept - n AS", "timer_paused_records, kept - coalesce(n, 0) AS")
     .replace(", ".join(_COUNTED) + " FROM c JOIN m USING", ", ".join(f"coalesce({c}, 0) AS {c}" for c in _COUNTED) + " FROM c LEFT JOIN m USING")
 )
+ORACLE_SQL["season_summary"] = f"""WITH RECURSIVE {_RIDES}, {_ELAPSED(GRID)}, {_PLAN}, s AS (SELECT athlete_id, day, sum(load) AS load FROM p GROUP BY 1, 2), daily AS (SELECT athlete_id, d.day, coalesce(load, 0) AS load FROM (SELECT athlete_id, unnest(range(least(min(day), {END_DAY}), {END_DAY} + 1)) AS day FROM p GROUP BY 1) d LEFT JOIN s USING (athlete_id, day)), n AS (SELECT *, row_number() OVER (PARTITION BY athlete_id ORDER BY day) AS k FROM daily), f AS (SELECT athlete_id, 0::BIGINT AS k, 0::BIGINT AS day, 0.0::DOUBLE AS load, 0.0::DOUBLE AS ctl, 0.0::DOUBLE AS atl FROM n WHERE k = 1 UNION ALL SELECT n.athlete_id, n.k, n.day, n.load, f.ctl + (n.load - f.ctl) * (1 - exp(-1 / 42.0::DOUBLE)), f.atl + (n.load - f.atl) * (1 - exp(-1 / 7.0::DOUBLE)) FROM f JOIN n ON n.athlete_id = f.athlete_id AND n.k = f.k + 1),
+    fo AS (SELECT athlete_id, (SELECT min(day) FROM daily WHERE daily.athlete_id = f.athlete_id) AS first_day, ctl, atl FROM f WHERE k > 0 AND day = {END_DAY}),
+    sc AS (SELECT activity_id % 10 AS athlete_id, duration_s, max(best_sum / duration_s) AS watts FROM best GROUP BY 1, 2), sl AS (SELECT athlete_id, count(*) AS durations, max(duration_s)::BIGINT AS longest, arg_max(watts, duration_s) AS watts FROM sc GROUP BY 1),
+    fl AS (SELECT athlete_id, count(*) AS points, regr_slope(watts * duration_s, duration_s) AS cp, regr_intercept(watts * duration_s, duration_s) AS w_prime FROM sc WHERE duration_s BETWEEN 120 AND 1200 GROUP BY 1 HAVING count(*) >= 3),
+    ff AS (SELECT athlete_id, points, cp, w_prime, sqrt(avg(pow(watts - (w_prime / duration_s + cp), 2))) AS rmse FROM fl JOIN sc USING (athlete_id) WHERE duration_s BETWEEN 120 AND 1200 AND cp > 0 AND w_prime > 0 GROUP BY 1, 2, 3, 4),
+    se AS (SELECT athlete_id, watts - w / duration_s + w / 3600 AS eftp, duration_s::BIGINT AS eftp_s FROM sc JOIN (SELECT athlete_id, CASE WHEN w_prime BETWEEN 5000 AND 50000 THEN w_prime ELSE 20000 END AS w FROM sl LEFT JOIN ff USING (athlete_id)) USING (athlete_id) WHERE duration_s BETWEEN 180 AND 1800 QUALIFY row_number() OVER (PARTITION BY athlete_id ORDER BY eftp DESC, duration_s DESC) = 1)
+    SELECT athlete_id, first_day, {_MILLI('ctl')} AS ctl, {_MILLI('atl')} AS atl, {_MILLI('ctl - atl')} AS tsb, durations, longest, {_MILLI('watts')} AS watts, points, {_MILLI('cp')} AS cp, {_MILLI('w_prime')} AS w_prime, {_MILLI('rmse')} AS rmse, eftp_s, {_MILLI('eftp')} AS eftp
+    FROM fo FULL JOIN sl USING (athlete_id) LEFT JOIN ff USING (athlete_id) LEFT JOIN se USING (athlete_id)"""
+ORACLE_SQL["day_loads"] = f"""WITH x AS (SELECT o_custkey % 10 AS athlete_id, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day, 30 + o_orderkey % 300 AS minutes, (50 + o_orderkey % 55)::DOUBLE / 100 AS i FROM orders)
+    SELECT athlete_id, day, {_MILLI('sum(minutes * 60 * greatest(i, 0) * 250 / 1000 / 70 * least(greatest(i / 0.75::DOUBLE, 0.6::DOUBLE), 1.4::DOUBLE))')} AS load, sum(minutes)::BIGINT AS training_min FROM x GROUP BY 1, 2"""
+_LONG = _RIDES.replace("user_id", "user_id % 10")
+ORACLE_SQL["long_mean_max"] = ORACLE_SQL["mean_max"].replace(_RIDES, _LONG)
+ORACLE_SQL["long_power"] = ORACLE_SQL["activity_power"].replace(_RIDES, _LONG)
+ORACLE_SQL["long_fit"] = f"""WITH {_LONG}, len AS (SELECT activity_id, count(*) AS n FROM rides GROUP BY 1), {_BEST("range(1, 1801)")}, p AS (SELECT activity_id, duration_s AS t, best_sum / duration_s AS p FROM best JOIN len USING (activity_id) WHERE duration_s IN ({', '.join(map(str, _STEPS))}) OR (duration_s = n AND n BETWEEN 120 AND 1200)),
+    l AS (SELECT activity_id, count(*) AS points, regr_slope(p * t, t) AS cp, regr_intercept(p * t, t) AS w FROM p GROUP BY 1 HAVING count(*) >= 3), f AS (SELECT activity_id, points, cp, w, sqrt(avg(pow(p - (w / t + cp), 2))) AS rmse FROM l JOIN p USING (activity_id) WHERE cp > 0 AND w > 0 GROUP BY 1, 2, 3, 4),
+    e AS (SELECT activity_id, duration_s::BIGINT AS eftp_s, best_sum / duration_s - v / duration_s + v / 3600 AS eftp FROM best JOIN (SELECT activity_id, CASE WHEN w BETWEEN 5000 AND 50000 THEN w ELSE 20000 END AS v FROM len LEFT JOIN f USING (activity_id)) USING (activity_id) WHERE duration_s BETWEEN 180 AND 1800 QUALIFY row_number() OVER (PARTITION BY activity_id ORDER BY eftp DESC, duration_s DESC) = 1)
+    SELECT len.activity_id, points, {_MILLI('cp')} AS cp, {_MILLI('w')} AS w_prime, {_MILLI('rmse')} AS rmse, eftp_s, {_MILLI('eftp')} AS eftp FROM len LEFT JOIN f USING (activity_id) LEFT JOIN e USING (activity_id)"""

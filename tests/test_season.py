@@ -76,3 +76,26 @@ def test_store_and_latest(spark, tmp_path):
         assert store(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     got = latest(spark.read.parquet(str(tmp_path / "out"))).collect()
     assert sorted(r.name for r in got) == ["b", "c"] and all(len(r.content_id) == 24 for r in got)
+
+
+def test_season_in_one_row(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from kilojoule.operators import season
+
+    loads = spark.createDataFrame([(1, 10, 100.0, None), (1, 12, None, 50.0), (1, 99, 500.0, None), (2, 99, 80.0, None)], "who int, day long, tss double, hr_tss double")
+    ts = (10, 30, 60, 120, 180, 300, 420, 600, 900, 1200, 1800)
+    good = [(1, t, 20000 / (t + 25) + 280) for t in ts]
+    curves = spark.createDataFrame([*good, (1, 300, 100.0), (1, 60, float("nan")), (1, 120, math.inf), (1, 180, None), (3, 60, 400.0)], "who int, duration_s int, watts double")
+    out = {r.who: r for r in season.season_summary(loads, curves, "who", 20).collect()}
+    assert set(out) == {1, 2, 3} and (out[1].first_day, out[2].first_day, out[3].first_day) == (10, 20, None)
+    ctl = sum(x * (1 - math.exp(-1 / 42)) * math.exp(-n / 42) for x, n in ((100, 10), (50, 8)))
+    assert math.isclose(out[1].ctl, ctl) and out[2].ctl == 0 and out[3].ctl is None and out[2].season_curve is None
+    assert len(out[1].season_curve) == len(ts) and math.isclose(out[1].season_curve[5].watts, 20000 / 325 + 280)
+    assert abs(out[1].cp_3p.cp - 280) < 0.5 and abs(out[1].cp_3p.k + 25) < 1 and out[1].cp_2p.points == 7 and out[3].cp_2p is None and out[3].eftp is None and out[1].eftp.duration_s in ts
+    zoned = spark.createDataFrame([("2024-01-01 20:00:00", "Asia/Tokyo"), ("2024-01-01 20:00:00", "UTC")], "at string, zone string").select(season.local_day(F.col("at").cast("timestamp"), F.col("zone")).alias("d")).collect()
+    assert [r.d for r in zoned] == [19724, 19723]
+    d = season.day_load(spark.createDataFrame([(1, 5, 2.5, 30), (1, 5, 1.0, 45), (1, 6, None, 20)], "k int, day int, load double, minutes int"), "k").orderBy("day").collect()
+    assert [(r.load, r.training_min) for r in d] == [(3.5, 75), (None, 20)]
