@@ -193,9 +193,9 @@ def train(rows: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, np.ndarr
     some_of = lambda part, most: part.select(*rows.columns, F.col("quality").cast("int"), F.col("toxic").cast("int")).mapInArrow(_features, kinds).orderBy("turn").limit(most)
     sent = pa.concat_tables([some_of(first, LABELLED).toArrow(), some_of(second, UNLABELLED).toArrow()])
     n = sent.num_rows
-    lists = [np.asarray(x.values, np.int64) for x in sent.column("buckets")]
-    text = Sparse(np.repeat(np.arange(n), [len(x) for x in lists]), np.concatenate([*lists, np.zeros(0, np.int64)]), n)
-    meta = Dense(np.array(sent.column("meta").to_pylist(), np.float32).reshape(n, N_META))
+    buckets = sent.column("buckets").combine_chunks()
+    text = Sparse(np.repeat(np.arange(n), np.asarray(buckets.value_lengths())), np.asarray(buckets.flatten(), np.int64), n)
+    meta = Dense(np.asarray(sent.column("meta").combine_chunks().flatten(), np.float32).reshape(n, N_META))
     quality, toxic = (np.array([np.nan if v is None else v for v in sent.column(c).to_pylist()], float) for c in ("quality", "toxic"))
     labelled, free = np.flatnonzero(~np.isnan(quality)), np.flatnonzero(np.isnan(quality))
     order = np.random.default_rng(5).permutation(len(labelled))
