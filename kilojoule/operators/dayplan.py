@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilojoule.functions import metrics as fn
+from kilojoule.operators import season
+from kilojoule.operators.metrics import daily_loads
 from kilojoule.operators.season import mean_intensity
 
 # Minutes after midnight of waking and of the usual meals.
@@ -265,3 +267,27 @@ def day_plan(days: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame
     entries = timeline(budgets)
     planned = entries.groupBy("plan_id").agg(F.sum("carbs_g").alias("carbs_planned_g"))
     return budgets.drop("s", "kept", "pre", "split", "hours", "weights").join(planned.hint("merge"), "plan_id", "left"), session_plans(budgets), entries
+
+
+def fuel_week(athletes: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """day_plan() of every day from an athlete's first to the last planned session, rest days included; plan_id is (athlete_id, day).
+
+    athletes are (athlete_id, mass and, if there are, ftp, wake_min, meals), sessions (athlete_id, day, seq, start_min, duration_min,
+    intensity, planned_kj, priority). What the next two days ask for raises a day's target, plans carry why (reason, days_before, note),
+    and the next day's first session decides about recovery. Sessions of unknown athletes are left out.
+    """
+    known = sessions.join(athletes.select("athlete_id", F.col("mass").cast("double").alias("mass"), (F.col("ftp") if "ftp" in athletes.columns else F.lit(None)).cast("double").alias("ftp")).hint("merge"), "athlete_id")
+    c = F.col
+    work = fn.session_work_kj(c("planned_kj"), c("duration_min"), c("intensity"), F.when(c("ftp") < float("inf"), c("ftp")), c("mass"))
+    loads = daily_loads(known.select("athlete_id", "day", fn.session_load(work, c("mass"), c("intensity")).alias("load")), "athlete_id")
+    own = loads.select("athlete_id", "day", fn.round_tenth(fn.carbs_g_per_kg(c("load"))).alias("own"))
+    ahead = season.planned_days(known.select("athlete_id", "day", "seq", c("duration_min").alias("minutes"), "intensity", "priority"), "athlete_id")
+    raised = season.raised(own, ahead, "athlete_id")
+    following = known.groupBy("athlete_id", (c("day") - 1).alias("day")).agg(F.min("start_min").alias("tomorrow_start"))
+    plan_id = F.struct("athlete_id", F.col("day").cast("long").alias("day"))
+    extra = [x for x in ("ftp", "wake_min", "meals") if x in athletes.columns]
+    days = raised.join(following.hint("merge"), ["athlete_id", "day"], "left").join(athletes.select("athlete_id", "mass", *extra).hint("merge"), "athlete_id")
+    days = days.select(plan_id.alias("plan_id"), "mass", *extra, "tomorrow_start", F.when(c("reason").isNotNull(), c("to_g_per_kg")).alias("raised_to"), "reason", "days_before", "note")
+    own_sessions = known.select(plan_id.alias("plan_id"), "seq", "start_min", "duration_min", "intensity", "planned_kj")
+    plans, each, entries = day_plan(days, own_sessions)
+    return plans.join(days.select("plan_id", "reason", "days_before", "note").hint("merge"), "plan_id", "left"), each, entries

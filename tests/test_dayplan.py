@@ -222,3 +222,19 @@ def test_bands(spark, grams, band):
     from kilojoule.functions import metrics as fn
 
     assert spark.range(1).select(fn.band_for_carbs(F.lit(grams))).first()[0] == band
+
+
+def test_a_week(spark):
+    """Rest days between, what lies ahead, and the same plans as day by day."""
+    athletes = spark.createDataFrame([(1, 70.0), (2, 60.0)], "athlete_id int, mass double")
+    rows = [(1, 10, 0, 600, 60, 0.7, None, None), (1, 12, 1, 300, 300, 0.7, None, "A"), (1, 13, 2, 1320, 60, 0.9, None, "C"), (2, 10, 0, 420, 90, 0.6, 700.0, None), (3, 10, 0, 600, 60, 0.7, None, None), (2, 11, 1, 600, 60, 0.7, None, None), (2, 11, 2, 630, 60, 0.7, None, None)]
+    sessions = spark.createDataFrame(rows, "athlete_id int, day long, seq int, start_min int, duration_min int, intensity double, planned_kj double, priority string")
+    plans, each, entries = dayplan.fuel_week(athletes, sessions)
+    got = {(r.plan_id.athlete_id, r.plan_id.day): r for r in plans.collect()}
+    assert set(got) == {(1, d) for d in (10, 11, 12, 13)} | {(2, 10), (2, 11)} and got[2, 11].error == "overlap" and each.count() == 4
+    assert (got[1, 11].reason, got[1, 11].days_before, got[1, 11].carbs_g_per_kg) == ("carb_load", 1, 12.0) and got[1, 10].days_before == 2 and got[1, 11].note == "Carb-loading: 5 h A event tomorrow"
+    assert got[1, 13].reason is None and got[1, 11].training_min == 0 and got[1, 11].carbs_planned_g == 840
+    day = {"mass": 70.0, "wake_min": 390, "meals": MEALS, "tomorrow_start": 1320, "raised_to": None}
+    want = plain(day, [(300, 300, 0.7)])[1]
+    rows = entries.where("plan_id.athlete_id = 1 and plan_id.day = 12").orderBy("idx").collect()
+    assert got[1, 12].reason is None and [(e.time_min, e.kind) for e in rows] == [(e[0], e[1]) for e in want["entries"]]
