@@ -8,7 +8,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-HEADLINES = ("activity_summary", "activity_power", "activity_heart_rate", "resample_series", "resample_report", "mean_max", "full_power_curve", "season_best", "w_balance", "fitness", "critical_power", "eftp", "planned_load", "fuelling_rules", "activity_analysis", "season_fitness", "raised_targets", "improved_durations", "athlete_summaries", "elapsed_curve", "session_drafts", "day_budgets", "day_timeline", "json_settings", "long_mean_max", "long_power", "long_fit", "season_summary", "timer_report")
+HEADLINES = ("activity_summary", "activity_power", "activity_heart_rate", "resample_series", "resample_report", "mean_max", "full_power_curve", "season_best", "w_balance", "fitness", "critical_power", "eftp", "planned_load", "fuelling_rules", "activity_analysis", "season_fitness", "raised_targets", "improved_durations", "elapsed_curve", "long_mean_max", "long_power")
 
 
 def main() -> None:
