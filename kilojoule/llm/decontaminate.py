@@ -1,13 +1,13 @@
 """Benchmark decontamination: which documents hold a benchmark item, allowing for edits.
 
-Item and text share grams, runs of GRAM characters, that the edits left alone; those of one occurrence lie near one diagonal (place in
-the text less place in the item). Shared grams are summed by item and band of diagonals, each weighing less the more of the items'
-places have it, and wherever a band and its neighbour have LEAST_SHARED of the item's weight, the item's exact edit distance to that
-part of the text is taken. Items of under SHORT characters use grams so short that MOST_EDITS edits can't break them all, unweighted.
-
-The CGK embedding (random walks: at each step of a walk the current character is written out and a random bit, fixed by the step and
-the character, says whether to go on to the next one) tells windows that start where the item does; the search doesn't use it, since
-it needs such a window at every word and costs more than the exact distance of the parts found here.
+Item and text go through the CGK embedding: at each step of a random walk the current character is written out, and a random bit, fixed
+by the step and the character, says whether to go on to the next one. Two walks that an edit drives apart soon meet again, so what they
+write agrees wherever edits are few. A walk starts at every place of the items and of the text; SAMPLES of its STEPS are what a place is
+filed under (bit sampling), for each of SEARCH_WALKS walks. Item and text meet where they are filed alike, and those meetings that belong
+to one occurrence lie near one diagonal (place in the text less place in the item). Meetings are summed by item and band of diagonals,
+each weighing less the more of the items' places are filed there, and wherever a band and its neighbour have LEAST_SHARED of the item's
+weight, the item's exact edit distance to that part of the text is taken. Items of under SHORT characters take walks of so few steps,
+all sampled, that MOST_EDITS edits can't break them all, unweighted.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 
 from kilojoule.llm._shared import key, mix, own_id, pieces, small_batches, spread
 
-#: Characters of a gram, the least share of an item's grams by weight to look closer, and diagonals of a band.
-GRAM = 6
+#: Steps of a walk and those of them that are sampled, walks, the least share of an item's places by weight to look closer, and diagonals of a band.
+STEPS = 16
+SAMPLES = (0, 2, 5, 7, 10, 12, 15)
+SEARCH_WALKS = 1
 LEAST_SHARED = 0.09
 BAND = 32
-#: Items of fewer characters use shorter grams.
+#: Items of fewer characters use shorter walks.
 SHORT = 60
 #: Characters of text, and counters of item and band, that are worked on at once.
 SEGMENT = 1 << 16
@@ -60,12 +62,22 @@ def codes_of(strings: list[str], width: int) -> np.ndarray:
     return out
 
 
+def classes_of(codes: np.ndarray) -> np.ndarray:
+    """Characters as one of 255 classes, 0 where there is none."""
+    return np.where(codes > 0, 1 + codes % 255, 0).astype(np.uint8)
+
+
+def walk_bits(n_steps: int, walk: int) -> np.ndarray:
+    """For each step of a walk and class of characters, 1 to go on to the next character and 0 to stay."""
+    step = np.arange(n_steps, dtype=np.uint64)[:, None]
+    return (mix(np.arange(256, dtype=np.uint64) + np.uint64((walk << 40) + 1) + (step << np.uint64(22))) >> np.uint64(63)).astype(np.int64)
+
+
 def embed(strings: list[str], n_steps: int, walk: int) -> np.ndarray:
     """What each string writes at every step of a walk, a row a step: its characters as one of 255 classes, 0 beyond its end."""
     codes = codes_of(strings, max(n_steps, max((len(s) for s in strings), default=0)) + 1)
-    classes = np.where(codes > 0, 1 + codes % 255, 0).astype(np.uint8)
-    step = np.arange(n_steps, dtype=np.uint64)[:, None]
-    bits = (mix(np.arange(256, dtype=np.uint64) + np.uint64((walk << 40) + 1) + (step << np.uint64(22))) >> np.uint64(63)).astype(np.int64)
+    classes = classes_of(codes)
+    bits = walk_bits(n_steps, walk)
     flat, at = classes.ravel(), np.arange(len(strings)) * classes.shape[1]
     out = np.zeros((n_steps, len(strings)), np.uint8)
     for k in range(n_steps):
@@ -143,26 +155,28 @@ class Items:
         self.texts = [" ".join(x) for x in split]
         sizes = [len(t) for t in self.texts]
         self.longest = max(sizes, default=0)
-        self.gram = np.array([gram_of(n)[0] for n in sizes], np.int64)
-        self.least = np.array([gram_of(n)[1] for n in sizes], float)
-        #: by gram width: the distinct grams, where each one's entries start, the first gram by its upper bits, and the entries' items, places and weights
+        self.steps = np.array([steps_of(n)[0] for n in sizes], np.int64)
+        self.least = np.array([steps_of(n)[1] for n in sizes], float)
+        #: by steps and walk: the distinct keys, where each one's entries start, the first key by its upper bits, and the entries' items, places and weights
         self.index = {}
-        for width in sorted({int(w) for w in self.gram}):
-            of = np.flatnonzero(self.gram == width)
-            found = [grams_of(codes(self.texts[i]), width) for i in of]
-            item, place = spread(np.array([len(g) for g in found], np.int64))
-            g = np.concatenate(found)
+        total = np.zeros(len(ids))
+        for steps, walk in sorted({(int(n), w) for n in self.steps for w in range(SEARCH_WALKS if n == STEPS else 1)}):
+            of = np.flatnonzero(self.steps == steps)
+            found = [walk_keys(classes_of(codes(self.texts[i])), steps, walk, inside=True) for i in of]
+            g, place = (np.concatenate(x) for x in zip(*found))
+            item = np.repeat(of, [len(k) for k, _ in found])
             order = np.argsort(g, kind="stable")
-            g, item, place = g[order], of[item][order], place[order]
-            grams, at, often = np.unique(g, return_index=True, return_counts=True)
+            g, item, place = g[order], item[order], place[order]
+            keys, at, often = np.unique(g, return_index=True, return_counts=True)
             weight = np.ones(len(g))
-            if width == GRAM:
+            if steps == STEPS:
                 weight /= np.repeat(often, often)
-                self.least[of] = LEAST_SHARED * np.bincount(item, weight, minlength=len(ids))[of] - 1e-9
-            upper = (grams >> np.uint64(44)).astype(np.int64)
+                total += np.bincount(item, weight, minlength=len(ids))
+                self.least[of] = LEAST_SHARED * total[of] - 1e-9
+            upper = (keys >> np.uint64(44)).astype(np.int64)
             first = np.full(1 << 20, -1, np.int32)
-            first[upper[::-1]] = np.arange(len(grams) - 1, -1, -1)
-            self.index[width] = grams, np.append(at, len(g)), first, int(np.bincount(upper, minlength=1).max()), item, place, weight
+            first[upper[::-1]] = np.arange(len(keys) - 1, -1, -1)
+            self.index[steps, walk] = keys, np.append(at, len(g)), first, int(np.bincount(upper, minlength=1).max()), item, place, weight
         rng = np.random.default_rng(7)
         self.draws = [rng.random((math.ceil(repetitions() / WALKS), SAMPLED)) for _ in range(WALKS)]
 
@@ -185,12 +199,12 @@ class Items:
         return out
 
 
-def gram_of(size: int) -> tuple[int, int]:
-    """The width of the grams of an item of so many characters, and for short items how many must be shared."""
+def steps_of(size: int) -> tuple[int, int]:
+    """The steps of the walks of an item of so many characters, and for short items how many walks must be shared."""
     if size >= SHORT:
-        return GRAM, 0
+        return STEPS, 0
     most = int(MOST_EDITS * size)
-    left = {q: size - q + 1 - q * most for q in (4, 3, 2, 1)}  # an edit breaks q grams
+    left = {q: size - q + 1 - q * most for q in (4, 3, 2, 1)}  # a walk of q steps reads q characters at most, so an edit breaks q walks
     return next(((q, n) for q, n in left.items() if n >= 2), (1, max(left[1], 1)))
 
 
@@ -198,13 +212,21 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def grams_of(c: np.ndarray, width: int) -> np.ndarray:
-    """A hash for every `width` code points in a row."""
-    n = max(len(c) - width + 1, 0)
-    v = np.zeros(n, np.uint64)
-    for k in range(width):
-        v = v * np.uint64(0x9E3779B97F4A7C55) + c[k : k + n]
-    return mix(v)
+def walk_keys(classes: np.ndarray, steps: int, walk: int, inside: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place): what the walk from every place writes at the sampled steps, hashed; inside: only of walks that end before the text does."""
+    flat = np.append(classes, np.zeros(steps, np.uint8))
+    text = flat.tobytes()
+    sampled = SAMPLES if steps == STEPS else range(steps)
+    place = np.arange(len(classes))
+    at, v = place.copy(), np.zeros(len(classes), np.uint64)
+    for k, bits in enumerate(walk_bits(steps, walk).astype(np.uint8)):
+        if k in sampled:
+            wrote = flat.take(at)
+            v <<= np.uint64(8)
+            v |= wrote
+        at += np.frombuffer(text.translate(bits.tobytes()), np.uint8).take(at)
+    v = mix(v)
+    return (v[wrote > 0], place[wrote > 0]) if inside else (v, place)
 
 
 def _bands(items: Items, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,21 +234,21 @@ def _bands(items: Items, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pad, n_items = items.longest + BAND, len(items.ids)
     reach = math.ceil((1 + MOST_EDITS) * items.longest) + 4 * BAND  # a segment runs on so far into the next
     step = max(min(SEGMENT, COUNTERS * BAND // max(n_items, 1)), reach)
-    out = [np.zeros((2, 0), np.int64)]
+    out, classes = [np.zeros((2, 0), np.int64)], classes_of(c)
     for at in range(0, len(c), step):
-        part = c[at : at + step + reach]
+        part = classes[at : at + step + reach]
         n_bands = (len(part) + pad) // BAND + 2
         counts = np.zeros(n_items * n_bands)
-        for width, (grams, starts, first, most, item, place, weight) in items.index.items():
-            g = grams_of(part, width)
+        for (steps, walk), (keys, starts, first, most, item, place, weight) in items.index.items():
+            g, _ = walk_keys(part, steps, walk)
             nth = first[(g >> np.uint64(44)).astype(np.int64)]
             pos = np.flatnonzero(nth >= 0)
             g, nth = g[pos], nth[pos]
-            same = grams[nth] == g
-            for _ in range(1, most):  # grams of the same upper bits lie side by side
+            same = keys[nth] == g
+            for _ in range(1, most):  # keys of the same upper bits lie side by side
                 left = np.flatnonzero(~same)
-                nth[left] = np.minimum(nth[left] + 1, len(grams) - 1)
-                same[left] = grams[nth[left]] == g[left]
+                nth[left] = np.minimum(nth[left] + 1, len(keys) - 1)
+                same[left] = keys[nth[left]] == g[left]
             pos, nth = pos[same], nth[same]
             low, n = starts[nth], starts[nth + 1] - starts[nth]
             cell = item * (n_bands * BAND) + pad - place

@@ -284,6 +284,20 @@ def test_the_search_finds_edited_items():
         assert sum((k, k % len(texts)) in found for k in range(200)) >= decontaminate.RECALL * 200, name
 
 
+def test_the_search_goes_through_sampled_walks():
+    """A character changed in every run of six leaves no six in a row alone; most items are found all the same, since a walk skips it where it isn't sampled."""
+
+    class Block:
+        value = None
+
+    bench = __import__("pyarrow.parquet", fromlist=["x"]).read_table(f"{SF.replace('0.001', '0.01')}/benchmark.parquet")
+    texts = [" ".join(decontaminate.normal(t)) for t in bench.column("text").to_pylist()]
+    Block.value = decontaminate.Items(list(range(len(texts))), texts)
+    docs = [f"{prose(k, 60)} {''.join('#' if i % 6 == 5 else c for i, c in enumerate(t))} {prose(k + 1, 60)}" for k, t in enumerate(texts)]
+    found = {(d, i) for b in decontaminate._search(Block)([decontaminate.pa.RecordBatch.from_pydict({"key": list(range(len(docs))), "text": docs})]) for d, i in zip(b.column("key").to_pylist(), b.column("item").to_pylist())}
+    assert sum((k, k) in found for k in range(len(texts))) >= 0.75 * len(texts)
+
+
 # --- HTML
 
 
