@@ -24,15 +24,16 @@ from kilojoule.llm._shared import key, mix, own_id, pieces, small_batches, sprea
 
 #: Steps of a walk and those of them that are sampled, walks, the least share of an item's places by weight to look closer, and diagonals of a band.
 STEPS = 16
-SAMPLES = (0, 2, 5, 7, 10, 12, 15)
+SAMPLES = (0, 2, 4, 7, 9, 12, 15)
 SEARCH_WALKS = 1
-LEAST_SHARED = 0.09
+LEAST_SHARED = 0.07
 BAND = 32
 #: Items of fewer characters use shorter walks.
 SHORT = 60
-#: Characters of text, and counters of item and band, that are worked on at once.
+#: Characters of text, counters of item and band, and meetings, that are worked on at once.
 SEGMENT = 1 << 16
 COUNTERS = 1 << 22
+MEETINGS = 1 << 19
 #: Edits, as a share of the item's characters, up to which an item counts as held.
 MOST_EDITS = 0.2
 #: Samples compared in a repetition, the share of equal steps taken for granted at MOST_EDITS, and the recall to reach.
@@ -252,8 +253,10 @@ def _bands(items: Items, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             pos, nth = pos[same], nth[same]
             low, n = starts[nth], starts[nth + 1] - starts[nth]
             cell = item * (n_bands * BAND) + pad - place
-            for k in range(0, len(pos), SEGMENT // 4):
-                few = slice(k, k + SEGMENT // 4)
+            meetings, few = np.cumsum(n), slice(0, 0)
+            while few.stop < len(pos):
+                most_now = (meetings[few.stop - 1] if few.stop else 0) + MEETINGS
+                few = slice(few.stop, max(few.stop + 1, int(np.searchsorted(meetings, most_now, "right"))))
                 # entry by entry: the place in the run counts on from where it starts
                 hit = np.arange(n[few].sum()) + np.repeat(low[few] - np.cumsum(n[few]) + n[few], n[few])
                 counts += np.bincount((cell[hit] + np.repeat(pos[few], n[few])) // BAND, weight[hit], len(counts))
