@@ -92,11 +92,11 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 3 << 20)
             end = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(at, end - at)
             at = end
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
-    """Hands a worker's free memory back at a task's end: workers serve one stage after another, each with buffers of its own."""
+def give_back() -> None:
+    """Hands a process's free memory back, a worker's at a task's end: workers serve one stage after another, each with buffers of its own."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library is another one
         ctypes.CDLL(None).malloc_trim(0)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilojoule.llm._shared import key, mix, own_id, pieces, Rolling, small_batches, text_bytes, words
+from kilojoule.llm._shared import give_back, key, mix, own_id, pieces, Rolling, small_batches, text_bytes, words
 
 LABELLED = 6000
 UNLABELLED = 4000
@@ -55,8 +55,8 @@ N_NUMBERS = 8
 N_META = N_NUMBERS + 2 * 256
 
 
-def metadata(column: pa.Array, source: list, lang: list) -> np.ndarray:
-    """A row of measures for each document, then one-hot hashed source and language."""
+def metadata(column: pa.Array, source: list, lang: list) -> tuple[np.ndarray, np.ndarray]:
+    """A row of measures for each document, and which of the features after them its source and language are, by hash."""
     data, offsets = text_bytes(column)
     n = np.diff(offsets)
     total = lambda flag: np.diff(np.concatenate([[0], np.cumsum(flag)])[offsets])
@@ -70,12 +70,8 @@ def metadata(column: pa.Array, source: list, lang: list) -> np.ndarray:
     n_words = np.diff(at)
     symbols = np.isin(data, np.frombuffer(b"!#$%&*+/<=>@[]^_`{|}~\\", np.uint8))
     numbers = np.stack([np.log1p(n) / 10, np.log1p(n_words) / 10, total(data == 10) / np.maximum(n_words, 1), share((data >= 65) & (data <= 90)), share((data >= 48) & (data <= 57)), share(symbols), distinct / np.maximum(n_words, 1), n / np.maximum(n_words, 1) / 10], 1)
-    out = np.zeros((len(column), N_META), np.float32)
-    out[:, :N_NUMBERS] = numbers
-    for k, values in enumerate((source, lang)):
-        slot = [N_NUMBERS + 256 * k + (hash_of(str(v)) if v is not None else 0) for v in values]
-        out[np.arange(len(column)), slot] = 1
-    return out
+    slots = [[N_NUMBERS + 256 * k + (hash_of(str(v)) if v is not None else 0) for v in values] for k, values in enumerate((source, lang))]
+    return numbers.astype(np.float32), np.array(slots, np.int32).T.reshape(len(column), 2)
 
 
 def hash_of(value: str) -> int:
@@ -84,22 +80,30 @@ def hash_of(value: str) -> int:
 
 
 class Sparse:
-    """Rows of hashed features, each 1."""
+    """Rows of hashed features, each 1; sums go through them in steps, so that little is held beside them."""
+
+    STEP = 1 << 19
 
     def __init__(self, row: np.ndarray, bucket: np.ndarray, n: int):
-        self.row, self.bucket, self.n = row, bucket, n
+        self.row, self.bucket, self.n = row.astype(np.int32, copy=False), bucket.astype(np.int32, copy=False), n
 
     def take(self, rows: np.ndarray) -> Sparse:
-        place = np.full(self.n, -1)
+        place = np.full(self.n, -1, np.int32)
         place[rows] = np.arange(len(rows))
         keep = place[self.row] >= 0
         return Sparse(place[self.row[keep]], self.bucket[keep], len(rows))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.bucket], self.n)
+        return self._sums(self.row, w, self.bucket, self.n)
 
     def back(self, g: np.ndarray, width: int) -> np.ndarray:
-        return np.bincount(self.bucket, g[self.row], width)
+        return self._sums(self.bucket, g, self.row, width)
+
+    def _sums(self, to: np.ndarray, values: np.ndarray, of: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros(width)
+        for at in range(0, len(to), self.STEP):
+            out += np.bincount(to[at : at + self.STEP], values[of[at : at + self.STEP]], width)
+        return out
 
 
 class Dense:
@@ -116,7 +120,25 @@ class Dense:
         return g @ self.x
 
 
-def fit(x: Sparse | Dense, y: np.ndarray, width: int, l2: float, steps: int = 120, rate: float = 0.1) -> np.ndarray:
+class Meta:
+    """Rows of measures, and two of the other features that are 1: the view's matrix without its zeros."""
+
+    def __init__(self, numbers: np.ndarray, slots: np.ndarray):
+        self.numbers, self.slots, self.n = numbers, slots, len(numbers)
+
+    def take(self, rows: np.ndarray) -> Meta:
+        return Meta(self.numbers[rows], self.slots[rows])
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return self.numbers @ w[:N_NUMBERS] + w[self.slots].sum(1)
+
+    def back(self, g: np.ndarray, width: int) -> np.ndarray:
+        out = np.bincount(self.slots.ravel(), np.repeat(g, 2), width).astype(float)  # whole numbers without rows
+        out[:N_NUMBERS] += g @ self.numbers
+        return out
+
+
+def fit(x: Sparse | Dense | Meta, y: np.ndarray, width: int, l2: float, steps: int = 120, rate: float = 0.1) -> np.ndarray:
     """Logistic regression by Adam over all rows; the last weight is the intercept."""
     w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     prior = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
@@ -139,7 +161,7 @@ def fit_content(x: Sparse, y: np.ndarray) -> np.ndarray:
     chi2[with_ < 3] = 0
     best = np.argsort(-chi2, kind="stable")[:TELLING]
     best = best[chi2[best] >= LEAST_CHI2]
-    place = np.full(width, -1)
+    place = np.full(width, -1, np.int32)
     place[best] = np.arange(len(best))
     keep = place[x.bucket] >= 0
     small = fit(Sparse(x.row[keep], place[x.bucket[keep]], x.n), y, len(best), 1e-4, 200)
@@ -148,7 +170,7 @@ def fit_content(x: Sparse, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def co_train(text: Sparse, meta: Dense, y: np.ndarray, labelled: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def co_train(text: Sparse, meta: Meta, y: np.ndarray, labelled: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The weights of both views and of their combination: learned on four in five labelled rows, calibrated on the fifth, then
     fitted once more with it."""
     held = labelled[4::5] if len(labelled) >= 50 else labelled
@@ -189,17 +211,20 @@ def train(rows: DataFrame, labels: DataFrame) -> list[tuple[np.ndarray, np.ndarr
     others = rows.select("key").join(marked.select("key"), "key", "left_anti").distinct().orderBy(F.xxhash64("key"), "key").limit(UNLABELLED)
     second = rows.join(F.broadcast(others), "key").select(*rows.columns, F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
     # within the task each text becomes its features, a few kilobytes at most; an id may have any number of rows, so the limits hold for rows, too
-    kinds = "buckets array<int>, meta array<float>, quality int, toxic int, turn long"
+    kinds = "buckets array<int>, numbers array<float>, slots array<int>, quality int, toxic int, turn long"
     some_of = lambda part, most: part.select(*rows.columns, F.col("quality").cast("int"), F.col("toxic").cast("int")).mapInArrow(_features, kinds).orderBy("turn").limit(most)
     sent = pa.concat_tables([some_of(first, LABELLED).toArrow(), some_of(second, UNLABELLED).toArrow()])
     n = sent.num_rows
     buckets = sent.column("buckets").combine_chunks()
-    text = Sparse(np.repeat(np.arange(n), np.asarray(buckets.value_lengths())), np.asarray(buckets.flatten(), np.int64), n)
-    meta = Dense(np.asarray(sent.column("meta").combine_chunks().flatten(), np.float32).reshape(n, N_META))
+    text = Sparse(np.repeat(np.arange(n, dtype=np.int32), np.asarray(buckets.value_lengths())), np.asarray(buckets.flatten()), n)
+    meta = Meta(*(np.asarray(sent.column(c).combine_chunks().flatten()).reshape(n, k) for c, k in (("numbers", N_NUMBERS), ("slots", 2))))
     quality, toxic = (np.array([np.nan if v is None else v for v in sent.column(c).to_pylist()], float) for c in ("quality", "toxic"))
     labelled, free = np.flatnonzero(~np.isnan(quality)), np.flatnonzero(np.isnan(quality))
     order = np.random.default_rng(5).permutation(len(labelled))
-    return [co_train(text, meta, (y > 0).astype(float), labelled[order], free) for y in (quality, toxic)]
+    del sent, buckets
+    models = [co_train(text, meta, (y > 0).astype(float), labelled[order], free) for y in (quality, toxic)]
+    give_back()
+    return models
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +232,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, bucket = content(b.column("text"))
         at = np.searchsorted(row, np.arange(b.num_rows + 1))
         meta = metadata(b.column("text"), b.column("source").to_pylist(), b.column("lang").to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(bucket.astype(np.int32))), pa.array(list(meta), pa.list_(pa.float32())), b.column("quality"), b.column("toxic"), b.column("turn")], names=["buckets", "meta", "quality", "toxic", "turn"])
+        lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(bucket.astype(np.int32)))]
+        lists += [pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in meta]
+        yield pa.RecordBatch.from_arrays([*lists, b.column("quality"), b.column("toxic"), b.column("turn")], names=["buckets", "numbers", "slots", "quality", "toxic", "turn"])
 
 
 def _score(models):
@@ -215,7 +242,7 @@ def _score(models):
         for b in pieces(batches, "text", 1 << 20):
             row, bucket = content(b.column("text"))
             text = Sparse(row, bucket, b.num_rows)
-            meta = Dense(metadata(b.column("text"), b.column("source").to_pylist(), b.column("lang").to_pylist()))
+            meta = Meta(*metadata(b.column("text"), b.column("source").to_pylist(), b.column("lang").to_pylist()))
             p = []
             for w_text, w_meta, both in models.value:
                 logits = np.stack([text.dot(w_text[:-1]) + w_text[-1], meta.dot(w_meta[:-1]) + w_meta[-1]], 1)

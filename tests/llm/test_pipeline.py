@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -67,3 +68,24 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.count() < docs.count() and out.columns == ["doc_id", "n_tokens", "ids"]
     assert out.where(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def test_the_fits_metadata_view_holds_no_zeros():
+    """The view's sums are those of its whole matrix, of which a row has ten values and not one for each hash."""
+    from kilojoule.llm import quality
+
+    column = quality.pa.array([f"Some text {k} of its own, {'x' * k}" for k in range(300)])
+    numbers, slots = quality.metadata(column, [f"s{k % 7}" for k in range(300)], [None if k % 3 else "de" for k in range(300)])
+    assert numbers.shape == (300, quality.N_NUMBERS) and slots.shape == (300, 2) and numbers.nbytes + slots.nbytes <= 300 * 40
+    whole = np.zeros((300, quality.N_META))
+    whole[:, : quality.N_NUMBERS] = numbers
+    whole[np.arange(300)[:, None], slots] = 1
+    w, g, some = np.sin(np.arange(quality.N_META)), np.cos(np.arange(300)), np.arange(5, 300, 3)
+    meta = quality.Meta(numbers, slots)
+    assert np.allclose(meta.dot(w), whole @ w) and np.allclose(meta.back(g, quality.N_META), g @ whole)
+    assert np.allclose(meta.take(some).dot(w), whole[some] @ w)
+    rng = np.random.default_rng(1)
+    v = np.sin(np.arange(900))
+    text = quality.Sparse(rng.integers(0, 50, 2_000_000), rng.integers(0, 900, 2_000_000), 50)
+    assert text.row.dtype == text.bucket.dtype == np.int32
+    assert np.allclose(text.dot(v), np.bincount(text.row, v[text.bucket], 50))
