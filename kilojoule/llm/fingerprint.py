@@ -26,11 +26,11 @@ PRIOR = 2
 SAMPLE_BITS = 24
 
 
-def _draw(term: str, weight: str) -> tuple[Column, Column]:
-    """The slot (round and bin) and, packed into one long that orders by cost, the cost and the sample of a term in a round."""
+def _draw(term: str, weight: str, round_: int) -> Column:
+    """Packed into one long that orders by cost, the cost and the sample of a term in a round."""
     two = lambda salt: (  # noqa: E731  two uniforms from one hash
-        f"((shiftrightunsigned(xxhash64({term}, round, {salt}), 32) + 0.5D) / 4294967296D)",
-        f"(((xxhash64({term}, round, {salt}) & 4294967295) + 0.5D) / 4294967296D)",
+        f"((shiftrightunsigned(xxhash64({term}, {round_}, {salt}), 32) + 0.5D) / 4294967296D)",
+        f"(((xxhash64({term}, {round_}, {salt}) & 4294967295) + 0.5D) / 4294967296D)",
     )
     (u1, u2), (u3, u4), (u5, _) = two(1), two(2), two(3)
     r = f"(-ln({u1} * {u2}))"
@@ -38,28 +38,28 @@ def _draw(term: str, weight: str) -> tuple[Column, Column]:
     cost = f"(ln(-ln({u3} * {u4})) - {r} * ({t} - {u5}) - {r})"
     # costs lie well within -128..128
     order = f"cast(floor((greatest(least({cost}, 127D), -127D) + 128D) * 268435456D) as bigint)"
-    packed = f"(shiftleft({order}, {SAMPLE_BITS}) | (xxhash64({term}, round, {t}) & {2**SAMPLE_BITS - 1}))"
-    return F.expr(f"cast(round * {BINS} + pmod(xxhash64({term}, 77), {BINS}) as int)"), F.expr(packed)
+    return F.expr(f"(shiftleft({order}, {SAMPLE_BITS}) | (xxhash64({term}, {round_}, {t}) & {2**SAMPLE_BITS - 1}))")
 
 
 def samples(texts: DataFrame, by: list[str], text: str = "text") -> DataFrame:
-    """(by, slot, sample, total): the samples of every text and their bin's weight; `by` names its row. A text without words has none."""
+    """(by, bin, samples, total): what every round draws from each bin of a text, and the bin's weight; `by` names its row. A text without
+    words has none."""
     words = texts.select(*by, F.explode(F.split(F.lower(F.col(text)), r"\s+")).alias("word")).where("word <> ''")
     weighted = words.select(*by, F.xxhash64("word").alias("term")).groupBy(*by, "term").agg(F.count("*").alias("weight"))
-    rounds = weighted.select("*", F.explode(F.array([F.lit(i) for i in range(ROUNDS)])).alias("round"))
-    slot, packed = _draw("term", "weight")
-    least = rounds.select(*by, slot.alias("slot"), packed.alias("packed"), "weight").groupBy(*by, "slot").agg(F.min("packed").alias("packed"), F.sum("weight").alias("total"))
-    return least.select(*by, "slot", F.expr(f"packed & {2**SAMPLE_BITS - 1}").alias("sample"), F.expr(f"least(total, {2**SAMPLE_BITS - 1})").alias("total"))
+    # all rounds side by side: a term is one row, which its bin takes in once
+    drawn = weighted.select(*by, F.expr(f"cast(pmod(xxhash64(term, 77), {BINS}) as int)").alias("bin"), *[_draw("term", "weight", k).alias(f"packed{k}") for k in range(ROUNDS)], "weight")
+    least = drawn.groupBy(*by, "bin").agg(*[F.min(f"packed{k}").alias(f"packed{k}") for k in range(ROUNDS)], F.sum("weight").alias("total"))
+    sample = F.array(*[F.expr(f"cast(packed{k} & {2**SAMPLE_BITS - 1} as int)") for k in range(ROUNDS)])
+    return least.select(*by, "bin", sample.alias("samples"), F.expr(f"cast(least(total, {2**SAMPLE_BITS - 1}) as int)").alias("total"))
 
 
 def _codes(kind: int | None) -> Column:
-    """Aggregate over samples(): the sample of each slot, round by round, then each bin's total; -1 where there is none."""
-    pair = F.struct("slot", F.col("sample").cast("int").alias("sample"), F.col("total").cast("int").alias("total"))
-    found = F.collect_list(pair if kind is None else F.when(F.col("kind") == kind, pair))
-    drawn = F.map_from_entries(F.transform(found, lambda x: F.struct(x["slot"], x["sample"])))
-    totals = F.map_from_entries(F.transform(F.filter(found, lambda x: x["slot"] < BINS), lambda x: F.struct(x["slot"], x["total"])))
-    at = lambda m, n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(-1)))
-    return F.concat(at(drawn, ROUNDS * BINS), at(totals, BINS))
+    """Aggregate over samples(): the sample of each bin, round by round, then each bin's total; -1 where there is none."""
+    row = F.struct("bin", F.struct(*[F.element_at("samples", k + 1).alias(f"s{k}") for k in range(ROUNDS)], "total").alias("x"))
+    found = F.map_from_entries(F.collect_list(row if kind is None else F.when(F.col("kind") == kind, row)))
+    bins = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.try_element_at(found, i))
+    of = lambda name: F.transform(bins, lambda x: F.coalesce(x[name], F.lit(-1)))
+    return F.flatten(F.array(*[of(f"s{k}") for k in range(ROUNDS)], of("total")))
 
 
 def likeness(a: str, b: str) -> Column:

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -403,6 +404,12 @@ def test_likeness_of_repetitive_texts(spark):
     assert abs(err[0]) < 0.01 and abs(sum(err.values()) / len(err)) < 0.03 and max(map(abs, err.values())) < 0.25
 
 
+def test_a_terms_rounds_are_one_row(small):
+    """Words are the only thing that is exploded; a term goes to its bin once, with the draws of all rounds."""
+    plan = fingerprint.samples(small, ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1
+
+
 def test_fingerprints_run_no_python(small, capsys):
     for df in (fingerprint.fingerprints(small), fingerprint.edit_likeness(small), secrets.secret_scan(small)):
         plan = df._jdf.queryExecution().executedPlan().toString()
