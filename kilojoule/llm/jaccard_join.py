@@ -36,7 +36,7 @@ SMALL, DELETIONS = 17, 3
 #: Rounds in which sets are verified against an elected head.
 ROUNDS = 2
 #: 64-bit words of a set's bitmap.
-BITMAP = 4
+BITMAP = 16
 
 
 def shingles(column: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:

@@ -128,6 +128,19 @@ def test_join_links_at_the_threshold(spark):
     assert order(got(jaccard_join.jaccard_join(df).select("doc_id", "n_shingles", "component_id"))) == order(plain_join(rows))
 
 
+def test_bitmaps_tell_large_sets_apart():
+    """Pairs of 600 members that share 70 % of all are ruled out, those that link never."""
+    rng = np.random.default_rng(11)
+    passed = {}
+    for apart in (0.06, 0.176):  # of 600 members, on each side; 0.1 links just so
+        n, own = 600, int(600 * apart)
+        sets = [s for _ in range(100) for s in (lambda x: (x[:n], x[own : n + own]))(rng.integers(1, 2**63, n + own, dtype=np.uint64))]
+        bits = [np.asarray(b).view(np.uint64) for b in jaccard_join.bitmaps(np.concatenate(sets), np.arange(len(sets) + 1) * n)]
+        differ = sum(np.bitwise_count(b[::2] ^ b[1::2]).astype(int) for b in bits)
+        passed[apart] = int((180 * differ <= 20 * 2 * n).sum())
+    assert passed[0.06] == 100 and passed[0.176] <= 5
+
+
 # --- BPE
 
 
