@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import tempfile
 import unicodedata
 from collections import Counter
@@ -51,9 +52,27 @@ _NO_LETTERS = (
 _NO_NUMBERS = "\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ff4-\U00016ff6"
 _SMALL = {c: small + c - first for first, last, small in _CAPITALS for c in range(first, last + 1)}
 _BEYOND = regex.compile("[\u0558-\U0010ffff]")
+_MAY_BE_CAPITAL = re.compile("[\u1c89\ua7cb-\U0010ffff]")
 _IS_CAPITAL = regex.compile("[" + "".join(map(chr, _SMALL)) + "]")
 
 
+def _ranges(chars: list[int]) -> str:
+    """Ascending code points as what stands in a character class."""
+    starts = [c for k, c in enumerate(chars) if not k or chars[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(chars) if k + 1 == len(chars) or chars[k + 1] != c + 1]
+    return "".join(rf"\u{a:04x}-\u{z:04x}" for a, z in zip(starts, ends))
+
+
+@lru_cache(maxsize=2)
+def plain_word(pattern: str) -> re.Pattern | None:
+    """The word pattern for Python's own engine, which is faster, with letters and numbers up to U+FFFF as the library knows them; None if
+    the pattern has other properties than these."""
+    bmp = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    for name, less in (("L", _NO_LETTERS), ("N", _NO_NUMBERS)):
+        pattern = pattern.replace(rf"\p{{{name}}}", _ranges([ord(c) for c in regex.findall(rf"[\p{{{name}}}--[{less}]]", bmp, regex.V1)]))
+    return None if r"\p" in pattern else re.compile(pattern)
+
+
 def _byte_chars() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -168,6 +187,7 @@ class Codec:
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.added.items()]}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", _SPACE)
+        self.plain_word = plain_word(pattern)
         self.word = regex.compile(pattern)
         #: for texts with characters of which Python knows another version; slower
         self.odd = regex.compile(f"[{_NO_LETTERS}{_NO_NUMBERS}]")
@@ -191,10 +211,12 @@ class Codec:
             return text.lower()
         text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ").lower()  # one character at a time: no final sigma
-        return text.translate(_SMALL) if _IS_CAPITAL.search(text) else text
+        return text.translate(_SMALL) if _MAY_BE_CAPITAL.search(text) and _IS_CAPITAL.search(text) else text
 
     def words(self, text: str) -> list[str]:
         """The words of a normalized text; white space is in none."""
+        if self.plain_word and (text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)):
+            return self.plain_word.findall(text)
         odd = _BEYOND.search(text) and self.odd.search(text)
         return (self.odd_word if odd else self.word).findall(text)
 

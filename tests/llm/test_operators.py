@@ -179,6 +179,15 @@ def test_bpe_of_every_code_point(monkeypatch):
         assert [x[:2] for x in codec.parts(texts[k : k + 50_000])] == want
 
 
+def test_words_by_the_plain_engine():
+    """Words of texts up to U+FFFF are cut by Python's own engine, as the other one cuts them."""
+    codec = bpe.Codec(queries.tokenizer_path())
+    chars = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    text = "".join(random.Random(3).sample(chars, len(chars))) + " it's don't 12'll \x1c.\x1f'S 'd"
+    assert codec.plain_word.__class__.__module__ == "re"
+    assert codec.words(text) == codec.odd_word.findall(text) == codec.plain_word.findall(text)
+
+
 def test_frequent_words(spark):
     texts = spark.createDataFrame([(" ".join(f"w{'abcdefghij'[i]}" for i in range(10) for _ in range([9, 9, 7, 7, 7, 7, 3, 2, 2, 1][i])),)], "text string")
     names = [f"w{x}" for x in "abcdefghi"]
