@@ -30,10 +30,26 @@ LEAST_SHARED = 0.07
 BAND = 32
 #: Items of fewer characters use shorter walks.
 SHORT = 60
-#: Characters of text, counters of item and band, and meetings, that are worked on at once.
+#: Characters of text whose walks are followed at once, and those, counters of item and band, and meetings that are counted at once: few
+#: enough for a core's own cache, more counters only where segments would be less than SPARE times what they share with the next.
+WALKED = 1 << 15
 SEGMENT = 1 << 16
-COUNTERS = 1 << 22
-MEETINGS = 1 << 19
+COUNTERS = 1 << 17
+MOST_COUNTERS = 1 << 22
+SPARE = 8
+MEETINGS = 1 << 17
+#: Bands side by side that are looked at as one part of the text.
+TOGETHER = 16
+#: Parts of texts, and characters of them, that wait for the exact distance together.
+WAITING = 4096
+WAITING_CHARS = 4 << 20
+#: Characters, those after a shorter text's end included, that the exact distance works on side by side.
+SIDE_BY_SIDE = 2 << 20
+#: Between two texts; its class is that of the character beyond the last code point.
+BETWEEN = "\x11"
+#: A-Z in lower case, white space as spaces; characters as classes, for code points below 256.
+PLAIN = bytes(0x20 if 9 <= k <= 13 else k + 32 if 65 <= k <= 90 else k for k in range(256))
+CLASSES = bytes(1 + k % 255 if k else 0 for k in range(256))
 #: Edits, as a share of the item's characters, up to which an item counts as held.
 MOST_EDITS = 0.2
 #: Samples compared in a repetition, the share of equal steps taken for granted at MOST_EDITS, and the recall to reach.
@@ -54,6 +70,14 @@ def normal(text: str) -> list[str]:
     return [w.decode() for w in text.encode().lower().split()]
 
 
+def plain(text: bytes) -> bytes:
+    """The words of normal() with one space between."""
+    text = text.translate(PLAIN).strip(b" ")
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return text
+
+
 def codes_of(strings: list[str], width: int) -> np.ndarray:
     """The code points of each string in a row of its own, zeros beyond its end."""
     sizes = np.array([len(s) for s in strings], np.int64)
@@ -97,6 +121,7 @@ def _nearest(patterns: list[str], which: np.ndarray, texts: list[str]) -> np.nda
     of, place = spread(sizes)
     np.bitwise_or.at(table, (place // 64, of * columns + code), np.uint64(1) << (place % 64).astype(np.uint64))
     codes = codes_of(texts, max(len(t) for t in texts))
+    codes[np.arange(codes.shape[1]) >= np.array([len(t) for t in texts])[:, None]] = 0x110000  # no character, NUL neither
     at = np.minimum(np.searchsorted(alphabet, codes), len(alphabet) - 1)
     at = (np.where(alphabet[at] == codes, at, len(alphabet)) + which[:, None] * columns).T.copy()
     one, rows = np.uint64(1), np.arange(len(texts))
@@ -132,10 +157,12 @@ def nearest(patterns: list[str], which: np.ndarray, texts: list[str]) -> np.ndar
     todo = np.flatnonzero([bool(len(patterns[i]) and texts[k]) for k, i in enumerate(which)])
     order = todo[np.lexsort((which[todo], out[todo]))]
     at = 0
-    while at < len(order):  # a chunk: patterns of like sizes, few enough for a small table
+    while at < len(order):  # a chunk: patterns of like sizes, few enough for a small table, and texts as wide as the widest
         some = order[at : at + 2048]
         changes = np.cumsum(np.diff(which[some], prepend=which[some[0]]) != 0)
         some = some[: int(np.searchsorted(changes, 128))]
+        widest = np.maximum.accumulate([len(texts[k]) for k in some])
+        some = some[: max(1, int(np.searchsorted(widest * np.arange(1, len(some) + 1), SIDE_BY_SIDE, "right")))]
         used, local = np.unique(which[some], return_inverse=True)
         out[some] = _nearest([patterns[i] for i in used], local, [texts[k] for k in some])
         at += len(some)
@@ -174,8 +201,9 @@ class Items:
                 weight /= np.repeat(often, often)
                 total += np.bincount(item, weight, minlength=len(ids))
                 self.least[of] = LEAST_SHARED * total[of] - 1e-9
-            upper = (keys >> np.uint64(44)).astype(np.int64)
-            first = np.full(1 << 20, -1, np.int32)
+            n_bits = min(len(keys).bit_length() + 2, 22)
+            upper = (keys >> np.uint64(64 - n_bits)).astype(np.int64)
+            first = np.full(1 << n_bits, -1, np.int32)
             first[upper[::-1]] = np.arange(len(keys) - 1, -1, -1)
             self.index[steps, walk] = keys, np.append(at, len(g)), first, int(np.bincount(upper, minlength=1).max()), item, place, weight
         rng = np.random.default_rng(7)
@@ -213,108 +241,160 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def text_classes(text: str) -> np.ndarray:
+    """classes_of the text's code points."""
+    try:
+        return np.frombuffer(text.encode("latin-1").translate(CLASSES), np.uint8)
+    except UnicodeEncodeError:
+        return classes_of(codes(text))
+
+
 def walk_keys(classes: np.ndarray, steps: int, walk: int, inside: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(key, place): what the walk from every place writes at the sampled steps, hashed; inside: only of walks that end before the text does."""
-    flat = np.append(classes, np.zeros(steps, np.uint8))
+    """(key, place): what the walk from every place writes at the sampled steps, hashed; inside: only of walks that end before the text does.
+
+    Walks are followed from their last step back: what one writes from a step on is what it writes from the next step on, here or a place
+    further. So all places move side by side, without looking up where each one is.
+    """
+    n = len(classes)
+    flat = np.append(classes, np.zeros(steps + 1, np.uint8))
     text = flat.tobytes()
     sampled = SAMPLES if steps == STEPS else range(steps)
-    place = np.arange(len(classes))
-    at, v = place.copy(), np.zeros(len(classes), np.uint64)
-    for k, bits in enumerate(walk_bits(steps, walk).astype(np.uint8)):
+    bits = (walk_bits(steps, walk) * 255).astype(np.uint8)
+    wrote, live = np.zeros((len(sampled), len(flat)), np.uint8), 0  # by sampled step, the last one first
+    for k in range(sampled[-1], -1, -1):
+        if live:
+            other = wrote[:live, :-1] ^ wrote[:live, 1:]
+            other &= np.frombuffer(text.translate(bits[k].tobytes()), np.uint8)[:-1]
+            wrote[:live, :-1] ^= other
         if k in sampled:
-            wrote = flat.take(at)
-            v <<= np.uint64(8)
-            v |= wrote
-        at += np.frombuffer(text.translate(bits.tobytes()), np.uint8).take(at)
-    v = mix(v)
-    return (v[wrote > 0], place[wrote > 0]) if inside else (v, place)
+            wrote[live] = flat
+            live += 1
+    v = np.zeros((n, 8), np.uint8)
+    for k in range(live):
+        v[:, k] = wrote[k, :n]
+    v = v.view("<u8")[:, 0] * np.uint64(0x9E3779B97F4A7C55)  # one to one, the upper bits well spread
+    place = np.arange(n)
+    return (v[wrote[0, :n] > 0], place[wrote[0, :n] > 0]) if inside else (v, place)
+
+
+def _met(items: Items, classes: np.ndarray, steps: int, walk: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key): the places of the text that are filed like some item's, and the number of the key."""
+    keys, _, first, most, *_ = items.index[steps, walk]
+    shift = np.uint64(65 - len(first).bit_length())
+    out = [np.zeros((2, 0), np.int64)]
+    for at in range(0, len(classes), WALKED):
+        g = walk_keys(classes[at : at + WALKED + steps], steps, walk)[0][:WALKED]
+        nth = first.take((g >> shift).view(np.int64))
+        pos = np.flatnonzero(nth >= 0)
+        g, nth = g.take(pos), nth.take(pos).astype(np.int64)
+        same = keys.take(nth) == g
+        for _ in range(1, most):  # keys of the same upper bits lie side by side
+            left = np.flatnonzero(~same)
+            nth[left] = np.minimum(nth[left] + 1, len(keys) - 1)
+            same[left] = keys[nth[left]] == g[left]
+        out.append(np.stack([at + pos[same], nth[same]]))
+    return tuple(np.concatenate(out, 1))
 
 
-def _bands(items: Items, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(item, start): where in the text, give or take a band, an item may start."""
+def _bands(items: Items, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, from, to): between where in the text, give or take a band, an item may start."""
     pad, n_items = items.longest + BAND, len(items.ids)
     reach = math.ceil((1 + MOST_EDITS) * items.longest) + 4 * BAND  # a segment runs on so far into the next
-    step = max(min(SEGMENT, COUNTERS * BAND // max(n_items, 1)), reach)
-    out, classes = [np.zeros((2, 0), np.int64)], classes_of(c)
-    for at in range(0, len(c), step):
-        part = classes[at : at + step + reach]
-        n_bands = (len(part) + pad) // BAND + 2
-        counts = np.zeros(n_items * n_bands)
-        for (steps, walk), (keys, starts, first, most, item, place, weight) in items.index.items():
-            g, _ = walk_keys(part, steps, walk)
-            nth = first[(g >> np.uint64(44)).astype(np.int64)]
-            pos = np.flatnonzero(nth >= 0)
-            g, nth = g[pos], nth[pos]
-            same = keys[nth] == g
-            for _ in range(1, most):  # keys of the same upper bits lie side by side
-                left = np.flatnonzero(~same)
-                nth[left] = np.minimum(nth[left] + 1, len(keys) - 1)
-                same[left] = keys[nth[left]] == g[left]
-            pos, nth = pos[same], nth[same]
-            low, n = starts[nth], starts[nth + 1] - starts[nth]
-            cell = item * (n_bands * BAND) + pad - place
-            meetings, few = np.cumsum(n), slice(0, 0)
-            while few.stop < len(pos):
-                most_now = (meetings[few.stop - 1] if few.stop else 0) + MEETINGS
-                few = slice(few.stop, max(few.stop + 1, int(np.searchsorted(meetings, most_now, "right"))))
+    fits, limit = (c * BAND // max(n_items, 1) for c in (COUNTERS, MOST_COUNTERS))
+    step = max(min(SEGMENT, max(fits, min(SPARE * reach, limit))), reach) // BAND * BAND
+    n_bands = (min(step + reach, len(classes)) + pad) // BAND + 2
+    met = []
+    for (steps, walk), (_, starts, _, _, item, place, weight) in items.index.items():
+        pos, nth = _met(items, classes, steps, walk)
+        low = starts[nth]
+        met.append((pos, low, starts[nth + 1] - low, item * (n_bands * BAND) + pad - place, weight))
+    out = [np.zeros((3, 0), np.int64)]
+    for at in range(0, len(classes), step):
+        counts = None
+        for pos, low, n, cell, weight in met:
+            a, end = np.searchsorted(pos, (at, at + step + reach)).tolist()
+            meetings = np.cumsum(n[a:end])
+            while a < end:
+                done = len(meetings) - (end - a)
+                most_now = (meetings[done - 1] if done else 0) + MEETINGS
+                b = a + max(1, int(np.searchsorted(meetings[done:], most_now, "right")))
                 # entry by entry: the place in the run counts on from where it starts
-                hit = np.arange(n[few].sum()) + np.repeat(low[few] - np.cumsum(n[few]) + n[few], n[few])
-                counts += np.bincount((cell[hit] + np.repeat(pos[few], n[few])) // BAND, weight[hit], len(counts))
-        counts = counts.reshape(n_items, n_bands)
+                many = n[a:b]
+                hit = np.repeat(low[a:b] - np.cumsum(many) + many, many)
+                hit += np.arange(len(hit))
+                cells = np.repeat(pos[a:b] - at, many)
+                cells += cell.take(hit)
+                cells >>= BAND.bit_length() - 1
+                some = np.bincount(cells, weight.take(hit), n_items * n_bands)
+                counts = some if counts is None else counts + some
+                a = b
+        counts = (np.zeros(n_items * n_bands) if counts is None else counts).reshape(n_items, n_bands)
         both = counts[:, :-1] + counts[:, 1:]
-        i, band = np.nonzero(both >= items.least[:, None])
-        # of neighbours the fullest; what is laid there takes in the bands beside it
-        top = (both[i, band] >= both[i, np.maximum(band - 1, 0)]) & (both[i, band] >= both[i, np.minimum(band + 1, n_bands - 2)])
-        out.append(np.stack([i[top], at + band[top] * BAND - pad]))
+        i, band = np.divmod(np.flatnonzero(both >= items.least[:, None]), n_bands - 1)
+        # what starts beyond the segment is counted in full by the next one, what starts before it was by the one before
+        start = band * BAND - pad
+        own = ((start >= 0) | (at == 0)) & (start < step)
+        i, start = i[own], at + start[own]
+        # bands side by side make one stretch, of TOGETHER at most
+        first = (np.diff(i, prepend=-1) != 0) | (np.diff(start, prepend=-1) != BAND)
+        nth = np.arange(len(i))
+        first |= (nth - np.maximum.accumulate(np.where(first, nth, 0))) % TOGETHER == 0
+        first = np.flatnonzero(first)
+        out.append(np.stack([i[first], start[first], start[np.append(first[1:], len(i)) - 1] if len(i) else start]))
     return tuple(np.concatenate(out, 1))
 
 
 def _search(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = block.value
+        most = [int(MOST_EDITS * len(t)) for t in items.texts]
+        found: dict[tuple[int, int], int] = {}
+        which: list[tuple[int, int]] = []
+        wide: list[str] = []
+        key_of: dict[int, int] = {}
+        rows = waiting = 0
+
+        def verify() -> pa.RecordBatch:
+            for x, e in zip(which, nearest(items.texts, np.array([i for _, i in which], np.int64), wide).tolist()):
+                if e <= most[x[1]]:
+                    found[x] = min(e, found.get(x, e))
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([key_of[d] for d, _ in found], pa.int64()), pa.array([items.ids[i] for _, i in found], pa.int64()), pa.array(list(found.values()), pa.int64()), pa.array([len(items.texts[i]) for _, i in found], pa.int64())],
+                names=["key", "item", "edits", "item_chars"],
+            )
+            for kept in (found, which, wide, key_of):
+                kept.clear()
+            return out
+
         for b in pieces(batches, "text", 1 << 20):
-            texts = [b" ".join((x.as_py() or "").encode().lower().split()).decode() for x in b.column("text")]
-            # one after another, a character that no text has between
-            sizes = np.array([len(t) + 1 for t in texts], np.int64)
-            ends = np.cumsum(sizes)
-            begins = ends - sizes
-            c = np.full(int(ends[-1]), 0x110000, np.uint32)
-            row, place = spread(sizes - 1)
-            c[begins[row] + place] = codes("".join(texts))
-            found: dict[tuple[int, int], int] = {}
-            which: list[tuple[int, int]] = []
-            wide: list[str] = []
-
-            def verify() -> None:
-                of = np.array([i for _, i in which], np.int64)
-                for x, e in zip(which, nearest(items.texts, of, wide)):
-                    if e <= int(MOST_EDITS * len(items.texts[x[1]])):
-                        found[x] = min(int(e), found.get(x, int(e)))
-                which.clear()
-                wide.clear()
-
-            for i, start in zip(*(x.tolist() for x in _bands(items, c))):
+            texts = [plain(x or b"").decode() for x in b.column("text").cast(pa.large_binary()).to_pylist()]
+            keys = np.asarray(b.column("key"))
+            # one after another
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            begins = np.append(0, ends[:-1])
+            for i, start, last in zip(*(x.tolist() for x in _bands(items, text_classes(BETWEEN.join(texts))))):
                 size = len(items.texts[i])
-                most = int(MOST_EDITS * size)
-                low, high = max(start - BAND - most, 0), start + 3 * BAND + size + most
+                low, high = max(start - BAND - most[i], 0), last + 3 * BAND + size + most[i]
                 for d in range(int(np.searchsorted(ends, low, "right")), int(np.searchsorted(begins, high, "left"))):
-                    at = int(begins[d])
+                    at, row = int(begins[d]), rows + d
                     part = texts[d][max(low - at, 0) : max(high - at, 0)]
-                    if len(part) < size - most or found.get((d, i)) == 0:
+                    if len(part) < size - most[i] or found.get((row, i)) == 0:
                         continue
+                    key_of[row] = int(keys[d])
                     if items.texts[i] in part:
-                        found[d, i] = 0
+                        found[row, i] = 0
                         continue
-                    which.append((d, i))
+                    which.append((row, i))
                     wide.append(part)
-                if len(which) >= 4096:
-                    verify()
-            verify()
-            keys = np.asarray(b.column("key"))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(keys[d]) for d, _ in found], pa.int64()), pa.array([items.ids[i] for _, i in found], pa.int64()), pa.array(list(found.values()), pa.int64()), pa.array([len(items.texts[i]) for _, i in found], pa.int64())],
-                names=["key", "item", "edits", "item_chars"],
-            )
+                    waiting += len(part)
+                    if len(which) >= WAITING or waiting >= WAITING_CHARS:
+                        waiting = 0
+                        yield verify()
+            rows += len(texts)
+            if len(found) >= WAITING:
+                waiting = 0
+                yield verify()
+        yield verify()
 
     return run
 

@@ -321,6 +321,65 @@ def test_the_search_goes_through_sampled_walks():
     assert sum((k, k) in found for k in range(len(texts))) >= 0.9 * len(texts)
 
 
+def searched(items, docs, rows=1000):
+    """{(row, item): edits} by the search alone."""
+
+    class Block:
+        value = decontaminate.Items(list(range(len(items))), items)
+
+    pa = decontaminate.pa
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(at, min(at + rows, len(docs))), pa.int64()), pa.array(docs[at : at + rows], pa.string())], names=["key", "text"]) for at in range(0, len(docs), rows)]
+    out = {}
+    for b in decontaminate._search(Block)(iter(batches)):
+        for d, i, e in zip(*(b.column(c).to_pylist() for c in ("key", "item", "edits"))):
+            out[d, i] = min(e, out.get((d, i), e))
+    return out
+
+
+def test_the_search_works_on_little_memory_and_verifies_together(monkeypatch):
+    """Counters of all items over a whole piece, and a few parts verified at a time, were most of its cost."""
+    import tracemalloc
+
+    bench = __import__("pyarrow.parquet", fromlist=["x"]).read_table(f"{SF.replace('0.001', '0.1')}/benchmark.parquet")
+    items, nearest, calls = bench.column("text").to_pylist(), decontaminate.nearest, []
+    monkeypatch.setattr(decontaminate, "nearest", lambda *x: calls.append(1) or nearest(*x))
+    docs = [f"{prose(k, 3000)} {edited(items[k % len(items)], 0.1, k)} {prose(k + 1, 3000)}" for k in range(12)]
+    tracemalloc.start()
+    try:
+        found = searched(items, docs, 3)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert set(found) == {(k, k % len(items)) for k in range(12)}
+    assert len(calls) == 1  # of four batches
+    assert most < 32 << 20
+
+
+def test_no_place_hides_another_one():
+    """Short items in many texts side by side, all against the exact distance; NULs are characters like others."""
+    rng = random.Random(3)
+    for alphabet in ("ab", "abc\x00", "\u6f22\u5b57\u304b"):
+        word = lambda: "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 9)))  # noqa: E731, B023
+        items = [" ".join(word() for _ in range(n)) for n in (1, 1, 2, 2, 3)]
+        docs = [" ".join([word() for _ in range(rng.choice((0, 3, 30)))] + [rng.choice(items)] * rng.randint(0, 1)) for _ in range(120)]
+        found, sizes = searched(items, docs), [int(decontaminate.MOST_EDITS * len(t)) for t in items]
+        true = {(d, i): e for d, t in enumerate(docs) for i, x in enumerate(items) if t and (e := decontaminate.edits(x, t, sizes[i])) <= sizes[i]}
+        assert found == true
+
+
+def test_walks_followed_from_their_end_write_the_same():
+    """Against embed(), which takes a walk step by step."""
+    text = prose(80, 30) + " \u6f22\u00e9\x00z " + prose(81, 10)
+    for n in (decontaminate.STEPS, 3):
+        key, _ = decontaminate.walk_keys(decontaminate.text_classes(text), n, 0)
+        wrote = decontaminate.embed([text[k : k + n] for k in range(len(text))], n, 0)[list(decontaminate.SAMPLES if n == decontaminate.STEPS else range(n))]
+        v = sum(w.astype("u8") << decontaminate.np.uint64(8 * k) for k, w in enumerate(wrote[::-1]))
+        assert (key == v * decontaminate.np.uint64(0x9E3779B97F4A7C55)).all()
+    assert (decontaminate.text_classes(text) == decontaminate.classes_of(decontaminate.codes(text))).all()
+    for t in ("", "  A\tb\r\n\x0b\x0cC ", "\u00c9 \u00a0\x1cX  y"):
+        assert decontaminate.plain(t.encode()).decode() == " ".join(decontaminate.normal(t))
+
+
 # --- HTML
 
 
