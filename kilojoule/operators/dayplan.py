@@ -279,7 +279,7 @@ def fuel_week(athletes: DataFrame, sessions: DataFrame) -> tuple[DataFrame, Data
     known = sessions.join(athletes.select("athlete_id", F.col("mass").cast("double").alias("mass"), (F.col("ftp") if "ftp" in athletes.columns else F.lit(None)).cast("double").alias("ftp")).hint("merge"), "athlete_id")
     c = F.col
     work = fn.session_work_kj(c("planned_kj"), c("duration_min"), c("intensity"), F.when(c("ftp") < float("inf"), c("ftp")), c("mass"))
-    loads = daily_loads(known.select("athlete_id", "day", fn.session_load(work, c("mass"), c("intensity")).alias("load")), "athlete_id")
+    loads = daily_loads(known.select("athlete_id", "day", "seq", fn.session_load(work, c("mass"), c("intensity")).alias("load")), "athlete_id", "seq")
     own = loads.select("athlete_id", "day", fn.round_tenth(fn.carbs_g_per_kg(c("load"))).alias("own"))
     ahead = season.planned_days(known.select("athlete_id", "day", "seq", c("duration_min").alias("minutes"), "intensity", "priority"), "athlete_id")
     raised = season.raised(own, ahead, "athlete_id")

@@ -157,9 +157,23 @@ def least_balance(balance: DataFrame) -> DataFrame:
     return balance.groupBy("activity_id").agg(F.min(F.struct("balance", "idx")).alias("m")).select("activity_id", "m.*")
 
 
-def daily_loads(loads: DataFrame, by: str) -> DataFrame:
-    """(by, day, load): loads summed by day, every day from the first to the last of its key, days without any 0."""
-    sums = loads.groupBy(by, F.col("day").cast("long").alias("day")).agg(F.sum("load").alias("load"))
+def sums_in_order(rows: DataFrame, by: list[str], order: str, *values: str) -> DataFrame:
+    """The first row by `order` of each key, with `values` summed over the key's rows.
+
+    Doubles are added in that order, so a sum's last digit doesn't depend on how the rows are dealt out.
+    """
+    w = Window.partitionBy(*by).orderBy(order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.withColumns({**{v: F.sum(v).over(whole) for v in values}, "_turn": F.row_number().over(w)}).where("_turn = 1").drop("_turn")
+
+
+def daily_loads(loads: DataFrame, by: str, order: str | None = None) -> DataFrame:
+    """(by, day, load): loads summed by day, every day from the first to the last of its key, days without any 0.
+
+    A day's loads are added in the order of the column `order`, in any order without one.
+    """
+    loads = loads.withColumn("day", F.col("day").cast("long"))
+    sums = sums_in_order(loads, [by, "day"], order, "load") if order else loads.groupBy(by, "day").agg(F.sum("load").alias("load"))
     following = F.coalesce(F.lead("day").over(Window.partitionBy(by).orderBy("day")), F.col("day") + 1)
     filled = sums.withColumn("following", following).select(by, "load", F.posexplode(F.sequence("day", F.col("following") - 1)).alias("k", "day"))
     return filled.select(by, "day", F.when(F.col("k") == 0, F.coalesce("load", F.lit(0.0))).otherwise(0.0).alias("load"))

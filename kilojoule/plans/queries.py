@@ -154,15 +154,15 @@ def w_balance(spark, d):
 
 def loads(spark, d):
     o = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
-    return o.select("c_nationkey", F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("day"), (F.floor(F.col("o_totalprice") * 100) / 1000000).alias("load"))
+    return o.select("c_nationkey", F.col("o_orderkey").alias("seq"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("day"), (F.floor(F.col("o_totalprice") * 100) / 1000000).alias("load"))
 
 
 def daily_load(spark, d):
-    return m.daily_loads(loads(spark, d), "c_nationkey").select("c_nationkey", "day", milli("load").alias("load"))
+    return m.daily_loads(loads(spark, d), "c_nationkey", "seq").select("c_nationkey", "day", milli("load").alias("load"))
 
 
 def fitness(spark, d):
-    daily = m.daily_loads(loads(spark, d), "c_nationkey")
+    daily = m.daily_loads(loads(spark, d), "c_nationkey", "seq")
     today = m.training_load(daily, "c_nationkey").withColumnsRenamed({"ctl": "ctl0", "atl": "atl0", "tsb": "tsb0"})
     both = m.training_load(today, "c_nationkey", m.LoadConfig(exponential=False, tsb_of_yesterday=True))
     return both.select("c_nationkey", "day", *[milli(f"{c}0").alias(c) for c in ("ctl", "atl", "tsb")], milli("tsb").alias("tsb_yesterday"))
