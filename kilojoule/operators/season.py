@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kilojoule.functions import fits
@@ -31,21 +31,24 @@ def season_loads(activities: DataFrame, by: str, end_day: int) -> DataFrame:
     return filled.select(by, "day", F.when(F.col("k") == 0, F.col("load")).otherwise(0.0).alias("load"))
 
 
-def mean_intensity(minutes: Column | None = None) -> Column:
-    """Aggregate over sessions: the mean intensity by minutes; NaN counts as MODERATE, null as UNKNOWN; null without minutes."""
+def mean_intensity(minutes: Column | None = None, over: WindowSpec | None = None) -> Column:
+    """Aggregate over sessions, or over a window of them: the mean intensity by minutes; NaN counts as MODERATE, null as UNKNOWN; null without minutes."""
     known = F.coalesce(F.nanvl("intensity", F.lit(MODERATE)), F.lit(UNKNOWN))
     minutes = F.col("minutes") if minutes is None else minutes
-    return F.sum(minutes * known) / positive(F.sum(minutes))
+    total = lambda c: F.sum(c) if over is None else F.sum(c).over(over)
+    return total(minutes * known) / positive(total(minutes))
 
 
 def planned_days(sessions: DataFrame, by: str) -> DataFrame:
     """(by, day, longest, priority, mean_intensity, key) of sessions (by, day, seq, minutes, intensity, priority).
 
-    priority is the highest of A, B and C; key the most intense session of 45 minutes and 0.80 or more, the last of equals.
+    priority is the highest of A, B and C; key the most intense session of 45 minutes and 0.80 or more, the last of equals. The mean's
+    sums go in the order of seq.
     """
     hard = (F.col("minutes") >= 45) & (F.col("intensity") >= 0.80) & ~F.isnan("intensity")
-    return sessions.groupBy(by, "day").agg(
-        F.max("minutes").alias("longest"), F.min("priority").alias("priority"), mean_intensity().alias("mean_intensity"), F.max(F.when(hard, F.struct("intensity", "seq", "minutes"))).alias("key")
+    day = Window.partitionBy(by, "day").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return sessions.withColumn("_mean", mean_intensity(over=day)).groupBy(by, "day").agg(
+        F.max("minutes").alias("longest"), F.min("priority").alias("priority"), F.max("_mean").alias("mean_intensity"), F.max(F.when(hard, F.struct("intensity", "seq", "minutes"))).alias("key")
     )
 
 

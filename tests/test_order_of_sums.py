@@ -35,3 +35,10 @@ def test_daily_load(spark, tmp_path):
     stored(tmp_path, "customer", {"c_custkey": [0], "c_nationkey": [5]})
     got = plans.daily_load(spark, str(tmp_path)).collect()
     assert list(map(tuple, got)) == by_sql(tmp_path, "daily_load") == [(5, 10263, 93999)]
+
+
+def test_planned_days(spark, tmp_path):
+    # a mean of 0.7905 exactly, in order just below
+    stored(tmp_path, "orders", orders([2363, 8861], [1.0, 1.0]), orders([44627, 45729], [1.0, 1.0]))
+    got = plans.planned_days(spark, str(tmp_path)).collect()
+    assert list(map(tuple, got)) == by_sql(tmp_path, "planned_days") and [r.mean_intensity for r in got] == [790]
