@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kilojoule.functions import metrics as fn
 from kilojoule.operators import season
-from kilojoule.operators.metrics import daily_loads
+from kilojoule.operators.metrics import daily_loads, sums_in_order
 from kilojoule.operators.season import mean_intensity
 
 # Minutes after midnight of waking and of the usual meals.
@@ -244,17 +244,20 @@ def timeline(budgets: DataFrame, step: int = 5) -> DataFrame:
     """(plan_id, idx, time_min, kind, session, hour, carbs_g, protein_g) of what to eat when, a plan's entries in order of time.
 
     Entries of one kind and time are one. Grams are multiples of the step that add up to the rounded total, by largest remainder. Times past
-    1440 are after midnight.
+    1440 are after midnight. Sums go in the order in which entries are made, a
+    plan's in that of the remainders of carbohydrate.
     """
     rows = budgets.where("error is null").select("plan_id", F.posexplode(_timeline()).alias("made", "e")).select("plan_id", "made", "e.*")
-    merged = rows.groupBy("plan_id", "time_min", "kind", "session", "hour").agg(F.min("made").alias("made"), F.sum("carbs").alias("carbs"), F.sum("protein").alias("protein"))
+    merged = sums_in_order(rows, ["plan_id", "time_min", "kind", "session", "hour"], "made", "carbs", "protein")
     w = Window.partitionBy("plan_id")
     merged = merged.withColumn("idx", F.row_number().over(w.orderBy("time_min", "made")) - 1)
-    for c in ("carbs", "protein"):
-        merged = merged.withColumn("base", F.floor(F.col(c) / step)).withColumn("rem", F.col(c) / step - F.col("base"))
-        missing = F.floor(F.sum(c).over(w) / step + 0.5) - F.sum("base").over(w)
-        rank = F.row_number().over(w.orderBy(F.desc("rem"), "idx"))
-        merged = merged.withColumn(f"{c}_g", ((F.col("base") + (rank <= missing).cast("int")) * step).cast("long")).drop("base", "rem")
+    base = {c: F.floor(F.col(c) / step) for c in ("carbs", "protein")}
+    by_rest = {c: w.orderBy(F.desc(F.col(c) / step - b), "idx") for c, b in base.items()}
+    whole = by_rest["carbs"].rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    merged = merged.withColumns({f"missing_{c}": F.floor(F.sum(c).over(whole) / step + 0.5) - F.sum(b).over(whole) for c, b in base.items()})
+    for c, b in base.items():
+        given = F.row_number().over(by_rest[c]) <= F.col(f"missing_{c}")
+        merged = merged.withColumn(f"{c}_g", ((b + given.cast("int")) * step).cast("long"))
     return merged.select("plan_id", "idx", "time_min", "kind", "session", "hour", "carbs_g", "protein_g")
 
 

@@ -5,7 +5,9 @@ import datetime
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from kilojoule.operators import dayplan
 from kilojoule.plans import queries as plans
 
 
@@ -42,3 +44,21 @@ def test_planned_days(spark, tmp_path):
     stored(tmp_path, "orders", orders([2363, 8861], [1.0, 1.0]), orders([44627, 45729], [1.0, 1.0]))
     got = plans.planned_days(spark, str(tmp_path)).collect()
     assert list(map(tuple, got)) == by_sql(tmp_path, "planned_days") and [r.mean_intensity for r in got] == [790]
+
+
+def test_timeline(spark):
+    # meals several times over, whose protein makes half a step, so that it shows in which order a plan's sums go
+    times = {"breakfast": 420, "lunch": 750, "dinner": 1110, "evening_snack": 1290}
+    plan = lambda i, mass, *counts: (i, mass, [(kind, time) for (kind, time), n in zip(times.items(), counts) for _ in range(n)])
+    days = spark.createDataFrame([plan(1, 58.75, 1, 2, 2, 2), plan(2, 109.72222222222223, 1, 1, 3, 1), plan(3, 101.25, 1, 2, 3, 1)], "plan_id long, mass double, meals array<struct<kind:string,time:int>>")
+    none = spark.createDataFrame([], "plan_id long, seq int, start_min int, duration_min int, intensity double, planned_kj double")
+    budgets = dayplan.day_budgets(days, none)
+    con = duckdb.connect()
+    con.sql("SET threads = 1")
+    con.execute("CREATE TABLE y (plan_id BIGINT, e STRUCT(t INTEGER, k VARCHAR, i INTEGER, h INTEGER, c DOUBLE, p DOUBLE), n INTEGER)")
+    for r in budgets.select("plan_id", F.posexplode(dayplan._timeline()).alias("n", "e")).orderBy("plan_id", "n").collect():
+        con.execute("INSERT INTO y VALUES (?, ?, ?)", [r.plan_id, dict(zip("tkihcp", r.e)), r.n])
+    sql = plans.ORACLE_SQL["day_timeline"]
+    want = con.sql("WITH " + sql[sql.index("g1 AS (") :]).fetchall()
+    got = sorted(map(tuple, dayplan.timeline(budgets).collect()))
+    assert got == sorted(want) and [r[7] for r in got] == [15, 35, 35, 30, 35, 35, 100, 30, 30, 55, 85, 30]
